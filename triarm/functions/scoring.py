@@ -12,17 +12,32 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TOKEN_BREAK), lambda t: t != "")
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    A column used several times inside array lambdas is otherwise evaluated for
+    every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
     """Probabilities of an array of logits, shifted by its maximum."""
-    exps = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(exps, lambda x: x / total)
+
+    def share(exps: Column) -> Column:
+        total = F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
+        return bind(total, lambda t: F.transform(exps, lambda x: x / t))
+
+    def shifted(xs: Column) -> Column:
+        return bind(F.array_max(xs), lambda top: bind(F.transform(xs, lambda x: F.exp(x - top)), share))
+
+    return bind(logits, shifted)
 
 
 def argmax(scores: Column, decimals: int = SCORE_DECIMALS) -> Column:
     """0-based position of the first maximum."""
     rounded = F.transform(scores, lambda x: F.round(x, decimals))
-    return (F.array_position(rounded, F.array_max(rounded)) - 1).cast("int")
+    return bind(rounded, lambda xs: F.array_position(xs, F.array_max(xs)) - 1).cast("int")
 
 
 def odds_ratio(x: Column, y: Column) -> Column:

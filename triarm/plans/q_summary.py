@@ -32,3 +32,133 @@ GROUP BY 1, 2, 3, 4""", *ACC))
 def summary_table(spark, sf_dir):
     table = summary.summary_table(accuracies(spark, sf_dir))
     return table.withColumns({"mean": r6("mean"), "se": r6("se")})
+
+
+def _effect_sql(name: str) -> str:
+    treatment, control = EFFECTS[name]
+    return f"{treatment} - {control}"
+
+
+@query("paired_diff", sql("""
+SELECT num_train, num_test, lm_type, dataset, subsample_idx,
+       round(extra - base, 6) AS boost, round(test - extra, 6) AS bias FROM accuracies""", *ACC))
+def paired_diff(spark, sf_dir):
+    diffs = summary.paired_differences(accuracies(spark, sf_dir))
+    return diffs.select(*KEYS, r6("boost").alias("boost"), r6("bias").alias("bias"))
+
+
+@query("relative_diff", sql("""
+SELECT num_train, num_test, lm_type, dataset, subsample_idx,
+       round(CASE WHEN base <> 0 THEN (extra - base) / base END, 6) AS boost_relative,
+       round(CASE WHEN extra <> 0 THEN (test - extra) / extra END, 6) AS bias_relative FROM accuracies""", *ACC))
+def relative_diff(spark, sf_dir):
+    return accuracies(spark, sf_dir).select(
+        *KEYS,
+        r6(summary.relative_difference("extra", "base")).alias("boost_relative"),
+        r6(summary.relative_difference("test", "extra")).alias("bias_relative"),
+    )
+
+
+@query("num_correct", sql("""
+SELECT num_train, num_test, lm_type, dataset, subsample_idx, num_classes, base, extra, test, majority, majority_all
+FROM num_correct""", *NUM))
+def num_correct_counts(spark, sf_dir):
+    return num_correct(spark, sf_dir).select(
+        *KEYS, "num_classes", "base", "extra", "test", "majority", "majority_all"
+    )
+
+
+@query("majority_share", sql("""
+SELECT dataset, round(majority_all, 6) AS majority_all, num_classes
+FROM (SELECT dataset, max(n) / CAST(sum(n) AS DOUBLE) AS majority_all, CAST(count(*) AS INTEGER) AS num_classes
+      FROM (SELECT dataset, label, CAST(count(*) AS DOUBLE) AS n FROM datasets GROUP BY 1, 2) AS c GROUP BY 1) AS s
+""", "docs", "quality", "datasets"))
+def majority_share(spark, sf_dir):
+    from triarm.plans.inputs import datasets
+
+    shares = scoring.majority_share(datasets(spark, sf_dir), ["dataset"])
+    return shares.withColumn("majority_all", r6("majority_all"))
+
+
+@query("diff_summary", sql("""
+, per_group AS (SELECT DISTINCT count(*) AS k FROM accuracies GROUP BY num_train, num_test, lm_type, dataset)
+SELECT dataset, round(avg(test - extra), 6) AS mean,
+       round(stddev_samp(test - extra) / sqrt((SELECT max(k) FROM per_group)), 6) AS se
+FROM accuracies GROUP BY dataset""", *ACC))
+def diff_summary(spark, sf_dir):
+    table = summary.difference_summary(accuracies(spark, sf_dir), summary.effect("bias"))
+    return table.withColumns({"mean": r6("mean"), "se": r6("se")})
+
+
+@query("eda_overall", sql("""
+, means AS (SELECT dataset, avg(extra - base) AS raw,
+                   avg(CASE WHEN base <> 0 THEN (extra - base) / base END) AS relative
+            FROM accuracies GROUP BY 1)
+SELECT 'raw' AS difference, round(avg(raw), 6) AS mean,
+       round(stddev_samp(raw) / sqrt(count(*)), 6) AS se FROM means
+UNION ALL
+SELECT 'relative', round(avg(relative), 6), round(stddev_samp(relative) / sqrt(count(*)), 6) FROM means""", *ACC))
+def eda_overall(spark, sf_dir):
+    table = summary.overall_difference(accuracies(spark, sf_dir), *EFFECTS["boost"])
+    return table.withColumns({"mean": r6("mean"), "se": r6("se")})
+
+
+@query("summary_two_level", sql("""
+, means AS (SELECT num_test, lm_type, dataset, avg(extra - base) AS v FROM accuracies GROUP BY 1, 2, 3)
+SELECT num_test, lm_type, round(avg(v), 6) AS mean, round(stddev_samp(v) / sqrt(count(*)), 6) AS se
+FROM means GROUP BY 1, 2""", *ACC))
+def summary_two_level(spark, sf_dir):
+    table = summary.two_level_summary(accuracies(spark, sf_dir), summary.effect("boost"))
+    return table.withColumns({"mean": r6("mean"), "se": r6("se")})
+
+
+_STATS = """
+, stats AS (SELECT num_train, num_test, lm_type, dataset,
+                   avg(extra - base) AS boost_mean, stddev_samp(extra - base) / sqrt(count(*)) AS boost_se,
+                   avg(test - extra) AS bias_mean, stddev_samp(test - extra) / sqrt(count(*)) AS bias_se
+            FROM accuracies GROUP BY 1, 2, 3, 4)"""
+
+
+@query("group_stats", sql(_STATS + """
+SELECT num_train, num_test, lm_type, dataset, round(boost_mean, 6) AS boost_mean, round(boost_se, 6) AS boost_se,
+       round(bias_mean, 6) AS bias_mean, round(bias_se, 6) AS bias_se FROM stats""", *ACC))
+def group_stats(spark, sf_dir):
+    stats = summary.group_stats(accuracies(spark, sf_dir))
+    return stats.withColumns({c: r6(c) for c in ("boost_mean", "boost_se", "bias_mean", "bias_se")})
+
+
+@query("effect_threshold", sql(_STATS + """
+SELECT num_train, num_test, lm_type, dataset, round(bias_mean, 6) AS bias_mean, round(bias_se, 6) AS bias_se,
+       CASE WHEN bias_mean > 0 THEN 'above' ELSE 'below' END AS side
+FROM stats WHERE bias_mean > 0.03 OR bias_mean < -0.03""", *ACC))
+def effect_threshold(spark, sf_dir):
+    stats = summary.group_stats(accuracies(spark, sf_dir))
+    above = summary.beyond(stats, 0.03).withColumn("side", F.lit("above"))
+    below = summary.beyond(stats, -0.03).withColumn("side", F.lit("below"))
+    return above.unionByName(below).select(*GROUP, r6("bias_mean").alias("bias_mean"), r6("bias_se").alias("bias_se"), "side")
+
+
+@query("dataset_rollup", sql(_STATS + """
+SELECT dataset, round(avg(boost_mean), 6) AS boost_mean, round(avg(bias_mean), 6) AS bias_mean,
+       round(avg(CASE WHEN boost_mean < 0 THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS frac_boost_lt_0,
+       round(avg(CASE WHEN bias_mean > 0 THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS frac_bias_gt_0
+FROM stats GROUP BY 1""", *ACC))
+def dataset_rollup(spark, sf_dir):
+    rollup = summary.dataset_rollup(summary.group_stats(accuracies(spark, sf_dir)))
+    return rollup.withColumns({c: r6(c) for c in rollup.columns if c != "dataset"})
+
+
+@query("first_majority", sql("""
+SELECT num_train, num_test, lm_type, dataset, max(num_classes) AS num_classes,
+       round(min_by(majority, subsample_idx), 6) AS majority
+FROM accuracies GROUP BY 1, 2, 3, 4""", *ACC))
+def first_majority(spark, sf_dir):
+    return summary.first_majority(accuracies(spark, sf_dir)).withColumn("majority", r6("majority"))
+
+
+@query("outlier_filter", sql("""
+SELECT num_train, num_test, lm_type, dataset, subsample_idx, round(extra, 6) AS extra, round(test, 6) AS test
+FROM accuracies WHERE extra > 0.43 AND test > 0.43""", *ACC))
+def outlier_filter(spark, sf_dir):
+    kept = summary.drop_outliers(accuracies(spark, sf_dir), 0.43)
+    return kept.select(*KEYS, r6("extra").alias("extra"), r6("test").alias("test"))

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -28,12 +28,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-# Broadcast only what provably stays below this many rows; ids and short keys.
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several later steps read, and read it back.
+
+    The copy is in the shared folder, so it outlives the executors that made it.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Broadcast only what provably stays below this many rows of ids and short keys.
 BROADCAST_ROWS = 500_000
 
 
-def broadcast_bounded(df, max_rows: int):
+def broadcast_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` if its row bound allows it, else let the join shuffle."""
-    from pyspark.sql import functions as F
-
     return F.broadcast(df) if max_rows <= BROADCAST_ROWS else df
