@@ -40,8 +40,3 @@ def below(share: Column) -> Column:
     return F.when(share >= 1, F.lit("g")).otherwise(
         F.lpad(F.lower(F.hex(F.floor(share * F.lit(float(WORD_RANGE))).cast("bigint"))), WORD, "0")
     )
-
-
-def sign(key: Column, position: int) -> Column:
-    """Whether hex digit ``position`` of a key is in its upper half."""
-    return F.substring(key, position, 1) >= F.lit("8")

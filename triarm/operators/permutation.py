@@ -1,13 +1,15 @@
 """Paired sign-flip tests and false-discovery control."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from triarm.functions.draws import draw_key, sign
+from triarm.functions.draws import draw_key
 from triarm.operators.prefix import value_ranks, with_bins
+from triarm.sources.scratch import spread, stored
 
 SIGNS = 32  # hex digits of an MD5: signs from one hash
+RUN = 32  # blocks of signs a row is sent out for at a time
 TOLERANCE = 1e-9  # statistics closer than this count as equal
 
 
@@ -26,46 +28,38 @@ def sign_flip_test(
     exact. One hash gives 32 signs, so a row turns into ``resamples / 32`` rows, which
     are summed up before the shuffle: what is shuffled is 32 sums per group and block.
     """
-    rows = df.select(*group, *key, diff.cast("double").alias("_d")).where("_d is not null")
+    rows = stored(df.select(*group, *key, diff.cast("double").alias("_d")).where("_d is not null"), "differences")
     sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum("_d").alias("_observed"))
     sized = rows.join(sizes, list(group))
-    few = F.lit(2.0) ** F.col("n") <= resamples
-
-    def sums(part: DataFrame, patterns: Column, positive) -> DataFrame:
-        last = F.floor((patterns - 1) / SIGNS).cast("int")
-        blocks = part.withColumn("_all", patterns.cast("bigint")).withColumn(
-            "_block", F.explode(F.sequence(F.lit(0), last))
+    patterns = F.pow(F.lit(2.0), F.col("n"))
+    few = patterns <= resamples
+
+    def sums(part: DataFrame, total: Column, positive: Callable[[int], str], hashed: bool) -> DataFrame:
+        counted = part.withColumn("_all", total.cast("bigint"))
+        last = F.floor((F.col("_all") - 1) / SIGNS).cast("int")
+        # A few rows turn into many: share them out, in runs of blocks, before they do.
+        runs = counted.withColumn("_run", F.explode(F.sequence(F.lit(0), last, F.lit(RUN))))
+        blocks = spread(runs, *group, *key, "_run").withColumn(
+            "_block", F.explode(F.sequence(F.col("_run"), F.least(last, F.col("_run") + RUN - 1)))
         )
-        prepared, is_positive = positive(blocks)
-        flipped = [
-            F.sum(F.when(is_positive(j), F.col("_d")).otherwise(-F.col("_d"))).alias(f"_s{j}") for j in range(SIGNS)
-        ]
-        return prepared.groupBy(*group, "_block").agg(
+        if hashed:
+            parts = [F.col("_block"), *[F.col(c) for c in key]]
+            blocks = blocks.withColumn("_hash", draw_key("flip", str(seed), *parts))
+        flipped = [F.expr(f"sum(if({positive(j)}, _d, -_d)) as _s{j}") for j in range(SIGNS)]
+        return blocks.groupBy(*group, "_block").agg(
             F.max("n").alias("n"), F.max("_observed").alias("_observed"), F.max("_all").alias("_all"), *flipped
         )
 
-    # Exact: pattern number p flips row i where bit i of p is 0. At most log2(resamples) rows per group.
-    def by_bit(blocks):
-        pattern = lambda j: F.col("_block").cast("bigint") * SIGNS + j
-        return blocks, lambda j: pattern(j).bitwiseAND(F.col("_bit")) != 0
-
+    # All patterns: number p keeps the sign of row i where bit i of p is set. Such a
+    # group has at most log2(resamples) rows, so numbering them is cheap.
     index = F.row_number().over(Window.partitionBy(*group).orderBy(*key)) - 1
-    small = sized.where(few).withColumn("_bit", (F.lit(2.0) ** index).cast("bigint"))
-    exact = sums(small, F.lit(2.0) ** F.col("n"), by_bit)
-
-    def by_hash(blocks):
-        hashed = blocks.withColumn(
-            "_hash", draw_key("flip", str(seed), F.col("_block"), *[F.col(c) for c in key])
-        )
-        return hashed, lambda j: sign(F.col("_hash"), j + 1)
-
-    random = sums(sized.where(~few), F.lit(resamples), by_hash)
+    numbered = sized.where(few).withColumn("_bit", F.pow(F.lit(2.0), index).cast("bigint"))
+    pattern = lambda j: f"(cast(_block as bigint) * {SIGNS} + {j})"
+    exact = sums(numbered, patterns, lambda j: f"{pattern(j)} & _bit != 0", hashed=False)
+    drawn = sums(sized.where(~few), F.lit(resamples), lambda j: f"substr(_hash, {j + 1}, 1) >= '8'", hashed=True)
 
-    limit = F.col("_observed") - TOLERANCE * F.col("n")
-    extreme = F.lit(0)
-    for j in range(SIGNS):
-        counted = (F.col("_block").cast("bigint") * SIGNS + j < F.col("_all")) & (F.col(f"_s{j}") >= limit)
-        extreme = extreme + counted.cast("int")
+    reached = lambda j: f"int({pattern(j)} < _all and _s{j} >= _observed - {TOLERANCE!r}d * n)"
+    extreme = F.expr(" + ".join(reached(j) for j in range(SIGNS)))
 
     def p_values(null: DataFrame, plus: int) -> DataFrame:
         counts = null.select(*group, "n", "_observed", "_all", extreme.cast("bigint").alias("_extreme"))
@@ -75,15 +69,17 @@ def sign_flip_test(
             ((F.sum("_extreme") + plus) / (F.max("_all") + plus)).alias("p_value"),
         )
 
-    return p_values(exact, 0).unionByName(p_values(random, 1))
+    return p_values(exact, 0).unionByName(p_values(drawn, 1))
 
 
 def adjust_fdr(df: DataFrame, p_value: str = "p_value", family: Sequence[str] = ()) -> DataFrame:
     """Benjamini-Hochberg adjusted p-values, as column ``p_adjusted``.
 
     The adjusted value is the smallest ``p * m / rank`` at or above it: a running
-    minimum inside bins of p, plus the minimum over the bins above.
+    minimum inside bins of p, plus the minimum over the bins above. The p-values are
+    stored first, as making them costs more than all of this.
     """
+    df = stored(df, "p_values")
     place = F.struct(*family) if family else F.lit(0)
     ranked = value_ranks(df, family, p_value).withColumn("_family", place)
     sizes = ranked.groupBy("_family").agg(F.sum("n").alias("_m"))

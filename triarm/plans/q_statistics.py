@@ -7,6 +7,7 @@ from triarm.operators.describe import describe_series
 from triarm.operators.leaderboard import rank_gaps as gaps
 from triarm.plans.catalog import query
 from triarm.plans.inputs import ACC, CTES, NUM, accuracies, num_correct, predictions, r6, sql, sql_word
+from triarm.sources.scratch import stored
 
 CONFIG = ["num_train", "num_test"]
 GROUP = [*CONFIG, "lm_type", "dataset"]
@@ -90,7 +91,7 @@ def _sql_spearman(source: str, keys: str, match: str) -> str:
 , rows AS ({_EFFECTS}), s AS ({_sql_spearman('rows', 'num_train, num_test, dataset, effect', 'subsample_idx')})
 SELECT num_train, num_test, dataset, effect, n, round(spearman, 6) AS spearman FROM s""", *ACC))
 def spearman_groups(spark, sf_dir):
-    return correlation.spearman_between(accuracies(spark, sf_dir), TYPES).withColumn("spearman", r6("spearman"))
+    return correlation.spearman_between(stored(accuracies(spark, sf_dir), "accuracies"), TYPES).withColumn("spearman", r6("spearman"))
 
 
 SHUFFLES = 10
@@ -109,7 +110,7 @@ SELECT num_train, num_test, dataset, {', '.join(
     f"round(max(spearman) FILTER (WHERE effect = '{e}' AND shuffle = {i}), 6) AS {e}_{i}" for e, i in _NULL_COLUMNS)}
 FROM s GROUP BY 1, 2, 3""", *ACC))
 def spearman_null(spark, sf_dir):
-    null = correlation.spearman_null(accuracies(spark, sf_dir), TYPES, SHUFFLES)
+    null = correlation.spearman_null(stored(accuracies(spark, sf_dir), "accuracies"), TYPES, SHUFFLES)
     return null.withColumns({f"{e}_{i}": r6(f"{e}_{i}") for e, i in _NULL_COLUMNS})
 
 
@@ -176,7 +177,7 @@ def meta_replicates(spark, sf_dir):
 SELECT DISTINCT num_train, num_test, mean, count(*) OVER (PARTITION BY num_train, num_test, mean) AS n,
        round(cume_dist() OVER (PARTITION BY num_train, num_test ORDER BY mean), 6) AS ecdf FROM v""", *META_CTES))
 def ecdf(spark, sf_dir):
-    means = meta(spark, sf_dir).select(*CONFIG, r6("mean").alias("mean"))
+    means = stored(meta(spark, sf_dir).select(*CONFIG, r6("mean").alias("mean")), "means")
     return density.cumulative_share(means, "mean", CONFIG).withColumn("ecdf", r6("ecdf"))
 
 
@@ -264,4 +265,4 @@ def _sql_describe(source: str, value: str) -> str:
 , g AS (SELECT round(gap, 9) AS gap FROM gaps) {_sql_describe('g', 'gap')}""", *BOARD, "gaps"))
 def series_describe(spark, sf_dir):
     table = gaps(board(spark, sf_dir), "score", "user_id").select(F.round("gap", 9).alias("gap"))
-    return describe_series(table, "gap").withColumn("value", r6("value"))
+    return describe_series(stored(table, "gaps"), "gap").withColumn("value", r6("value"))

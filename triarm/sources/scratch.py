@@ -45,3 +45,11 @@ BROADCAST_ROWS = 500_000
 def broadcast_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` if its row bound allows it, else let the join shuffle."""
     return F.broadcast(df) if max_rows <= BROADCAST_ROWS else df
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Share out few rows over all shuffle partitions before they turn into many.
+
+    The explicit number keeps adaptive execution from merging the small partitions.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
