@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from triarm.operators.prefix import value_ranks
+from triarm.operators.prefix import join_groups, positions_by_value, value_ranks
 
 GRID_POINTS = 200  # fixed value: points of a density curve
 CUT = 3.0  # fixed value: bandwidths the curve goes beyond the data
@@ -28,7 +28,7 @@ def kernel_density(
     ).where("_sd > 0").withColumn("_h", F.col("_sd") * F.pow(F.col("_all"), F.lit(-0.2)))
     low = F.col("_min") - cut * F.col("_h")
     step = (F.col("_max") - F.col("_min") + 2 * cut * F.col("_h")) / (points - 1)
-    gridded = counts.join(stats, list(group)).withColumn(
+    gridded = join_groups(counts, stats, group).withColumn(
         "point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
     ).withColumn("x", low + F.col("point") * step)
     distance = (F.col("x") - F.col("_v")) / F.col("_h")
@@ -42,7 +42,7 @@ def cumulative_share(df: DataFrame, value: str, group: Sequence[str]) -> DataFra
     """Distinct values with the share of rows at or below them."""
     ranks = value_ranks(df, group, value)
     sizes = ranks.groupBy(*group).agg(F.sum("n").alias("_all"))
-    return ranks.join(sizes, list(group)).select(
+    return join_groups(ranks, sizes, group).select(
         *group, value, "n", ((F.col("before") + F.col("n")) / F.col("_all")).alias("ecdf")
     )
 
@@ -55,10 +55,8 @@ def share_below(df: DataFrame, value: str, threshold: float, group: Sequence[str
 
 def interval_band(df: DataFrame, value: str, tie: str, group: Sequence[str], low: str, high: str) -> DataFrame:
     """Intervals ordered by their mean: height ``i / n`` for the i-th smallest."""
-    from triarm.operators.prefix import positions_by_value
-
     placed = positions_by_value(df, "_pos", group, value, tie)
     sizes = df.groupBy(*group).agg(F.count(value).alias("_all"))
-    return placed.join(sizes, list(group)).select(
+    return join_groups(placed, sizes, group).select(
         *group, tie, (F.col("_pos") / F.col("_all")).alias("height"), value, low, high
     )

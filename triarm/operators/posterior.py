@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from triarm.functions.fixed_values import EFFECTS
-from triarm.operators.prefix import total_before, with_bins
+from triarm.operators.prefix import join_groups, total_before, with_bins
 from triarm.sources.scratch import stored
 
 HDI_SHARE = 0.89  # fixed value: share of draws inside the reported interval
@@ -65,7 +65,7 @@ def highest_density(draws: DataFrame, group: Sequence[str], value: str, tie: str
     """
     rows = draws.where(F.col(value).isNotNull()).select(*group, value, tie)
     sizes = rows.groupBy(*group).agg(F.floor(share * F.count(F.lit(1))).alias("_steps"))
-    binned = with_bins(rows, group, value).join(sizes, list(group))
+    binned = join_groups(with_bins(rows, group, value), sizes, group)
     placed = total_before(binned, "_pos", group, [F.col("_bin")], [F.col(value), F.col(tie)])
     nothing = F.lit(None).cast("double")
     low = F.struct(F.col("_pos"), F.col(value).alias("_lo"), nothing.alias("_hi"))
@@ -82,7 +82,7 @@ def draw_summary(draws: DataFrame, group: Sequence[str], value: str, tie: str, s
     """Mean, standard deviation and highest-density interval of the draws."""
     draws = stored(draws.select(*group, value, tie), "draws")
     moments = draws.groupBy(*group).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
-    return moments.join(highest_density(draws, group, value, tie, share), list(group))
+    return join_groups(moments, highest_density(draws, group, value, tie, share), group)
 
 
 def extreme_share(summaries: DataFrame, threshold: float, group: Sequence[str] = ()) -> DataFrame:

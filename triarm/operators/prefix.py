@@ -20,6 +20,14 @@ def _key(columns: Sequence[str]) -> Column:
     return F.struct(*columns) if columns else F.lit(0)
 
 
+def join_groups(left: DataFrame, right: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Join a table with one row per group (or one row at all) to the rows of the group."""
+    if group:
+        return left.join(right, list(group))
+    one = F.lit(0)
+    return left.withColumn("_one", one).join(right.withColumn("_one", one), "_one").drop("_one")
+
+
 def total_before(
     df: DataFrame,
     name: str,
