@@ -44,6 +44,8 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     assert sorted(df.columns) == sorted(relation.columns)
     assert found == expected
     assert found
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
 @pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if not q.sql])

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from triarm.functions.draws import draw_key
-from triarm.operators.prefix import value_ranks
+from triarm.operators.prefix import join_groups, value_ranks
 
 EXAMPLE_CHARACTERS = 30  # fixed value: how much of an example text is shown
 QUARTILES = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
@@ -48,14 +48,13 @@ def describe_series(df: DataFrame, value: str, group: Sequence[str] = ()) -> Dat
         F.stddev_samp(value).alias("std"),
         F.min(value).cast("double").alias("min"),
         F.max(value).cast("double").alias("max"),
-    ).withColumn("_one", F.struct(*keys) if keys else F.lit(0))
-    ranks = value_ranks(df, keys, value).withColumn("_one", F.struct(*keys) if keys else F.lit(0))
-    placed = ranks.join(moments.select("_one", "count"), "_one")
+    )
+    placed = join_groups(value_ranks(df, keys, value), moments.select(*keys, "count"), keys)
     quartiles = []
     for name, q in QUARTILES.items():
         position = F.floor((F.col("count") - 1) * F.lit(q) + F.lit(0.5))
         covers = (F.col("before") <= position) & (position < F.col("before") + F.col("n"))
         quartiles.append(F.max(F.when(covers, F.col(value)).cast("double")).alias(name))
-    wide = moments.join(placed.groupBy("_one").agg(*quartiles), "_one").drop("_one")
+    wide = join_groups(moments, placed.groupBy(*keys).agg(*quartiles), keys)
     return wide.unpivot(keys, [c for c in wide.columns if c not in keys], "statistic", "value")
 

@@ -5,7 +5,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from triarm.functions.draws import draw_key
-from triarm.operators.prefix import value_ranks, with_bins
+from triarm.operators.prefix import join_groups, value_ranks, with_bins
 from triarm.sources.scratch import spread, stored
 
 SIGNS = 32  # hex digits of an MD5: signs from one hash
@@ -80,20 +80,19 @@ def adjust_fdr(df: DataFrame, p_value: str = "p_value", family: Sequence[str] =
     stored first, as making them costs more than all of this.
     """
     df = stored(df, "p_values")
-    place = F.struct(*family) if family else F.lit(0)
-    ranked = value_ranks(df, family, p_value).withColumn("_family", place)
-    sizes = ranked.groupBy("_family").agg(F.sum("n").alias("_m"))
-    scaled = ranked.join(sizes, "_family").withColumn(
+    ranked = value_ranks(df, family, p_value)
+    sizes = ranked.groupBy(*family).agg(F.sum("n").alias("_m"))
+    scaled = join_groups(ranked, sizes, family).withColumn(
         "_q", F.col(p_value) * F.col("_m") / (F.col("before") + F.col("n"))
     )
-    binned = with_bins(scaled, ["_family"], p_value)
-    higher = Window.partitionBy("_family").orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    above = binned.groupBy("_family", "_bin").agg(F.min("_q").alias("_q_bin")).select(
-        "_family", "_bin", F.min("_q_bin").over(higher).alias("_above")
+    binned = with_bins(scaled, family, p_value)
+    higher = Window.partitionBy(*family).orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    above = binned.groupBy(*family, "_bin").agg(F.min("_q").alias("_q_bin")).select(
+        *family, "_bin", F.min("_q_bin").over(higher).alias("_above")
     )
-    within = Window.partitionBy("_family", "_bin").orderBy(F.col(p_value).desc()).rowsBetween(
+    within = Window.partitionBy(*family, "_bin").orderBy(F.col(p_value).desc()).rowsBetween(
         Window.unboundedPreceding, 0
     )
     lowest = F.least(F.lit(1.0), F.min("_q").over(within), F.coalesce(F.col("_above"), F.lit(1.0)))
-    adjusted = binned.join(above, ["_family", "_bin"]).select("_family", p_value, lowest.alias("p_adjusted"))
-    return df.withColumn("_family", place).join(adjusted, ["_family", p_value], "left").drop("_family")
+    adjusted = binned.join(above, [*family, "_bin"]).select(*family, p_value, lowest.alias("p_adjusted"))
+    return df.join(adjusted, [*family, p_value], "left")

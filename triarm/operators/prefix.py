@@ -17,15 +17,15 @@ BINS = 1024
 
 def _key(columns: Sequence[str]) -> Column:
     """The columns as one join key; unlike plain columns it also matches NULLs."""
-    return F.struct(*columns) if columns else F.lit(0)
+    return F.struct(*columns)
 
 
 def join_groups(left: DataFrame, right: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Join a table with one row per group (or one row at all) to the rows of the group."""
+    """Add the columns of a table with one row per group; without groups, of its only row."""
     if group:
         return left.join(right, list(group))
-    one = F.lit(0)
-    return left.withColumn("_one", one).join(right.withColumn("_one", one), "_one").drop("_one")
+    only = right.select(F.struct(*right.columns)).scalar()
+    return left.withColumn("_only", only).select("*", "_only.*").drop("_only")
 
 
 def total_before(
@@ -72,11 +72,15 @@ def hash_range(key: Column) -> Column:
 
 def with_bins(df: DataFrame, group: Sequence[str], value: str, name: str = "_bin", bins: int = BINS) -> DataFrame:
     """Add the value's bin between its group's exact minimum and maximum."""
-    rows = df.withColumn("_group", _key(group))
-    ends = rows.groupBy("_group").agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    ends = [F.min(value).alias("_low"), F.max(value).alias("_high")]
+    if group:
+        rows = df.withColumn("_group", _key(group))
+        rows = rows.join(rows.groupBy("_group").agg(*ends), "_group").drop("_group")
+    else:
+        rows = join_groups(df, df.agg(*ends), group)
     share = F.try_divide(F.col(value) - F.col("_low"), F.col("_high") - F.col("_low"))
     binned = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
-    return rows.join(ends, "_group").withColumn(name, binned).drop("_low", "_high", "_group")
+    return rows.withColumn(name, binned).drop("_low", "_high")
 
 
 def value_ranks(df: DataFrame, group: Sequence[str], value: str, count: str | None = None) -> DataFrame:

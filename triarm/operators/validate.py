@@ -1,12 +1,12 @@
 """Data-quality checks.
 
-``violations`` counts what is wrong in one aggregate over the table (plus one
-for the distinct keys); ``require_*`` run it and raise.
+``violations`` counts what is wrong, rule by rule; ``require_*`` run a check and
+raise.
 """
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from triarm.functions.fixed_values import REPLICATE_GROUP
 
@@ -21,54 +21,36 @@ def require_columns(df: DataFrame, columns: Sequence[str] = ("text", "label")) -
             raise InvalidDataError(f'the table is missing a "{column}" column')
 
 
-def _at_least(condition: Column) -> Column:
-    return F.count_if(condition).cast("bigint")
-
-
-def quality_counts(df: DataFrame, num_class_names: int | None = None, key: str = "row_id") -> DataFrame:
-    """One row with a count per broken rule; all zero for a valid table."""
-    label = F.col("label")
-    counts = df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        _at_least(F.col("text").isNull()).alias("null_text"),
-        _at_least(F.col("text") == "").alias("empty_text"),
-        _at_least(label.isNull()).alias("null_label"),
-        _at_least(label < 0).alias("negative_label"),
-        F.max(label).alias("max_label"),
-    )
-    labels = df.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    label_counts = labels.agg(
-        F.count("label").alias("n_labels"),
-        _at_least(label >= 0).alias("n_nonnegative"),
-    )
-    keys = df.groupBy(key).agg((F.count(F.lit(1)) - 1).alias("extra"))
-    key_counts = keys.agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("duplicate_key"))
-    # Three one-row results, put side by side on a constant key.
-    one = F.lit(1).alias("one")
-    row = (
-        counts.select(one, "*")
-        .join(label_counts.select(one, "*"), "one")
-        .join(key_counts.select(one, "*"), "one")
-    )
-    expected = F.col("n_labels") if num_class_names is None else F.lit(num_class_names)
-    return row.select(
-        "n_rows", "null_text", "empty_text", "null_label", "negative_label", "duplicate_key",
-        F.greatest(F.coalesce(F.col("max_label") + 1, F.lit(0)) - F.col("n_nonnegative"), F.lit(0))
-        .cast("bigint").alias("missing_label"),
-        F.abs(expected - F.col("n_labels")).cast("bigint").alias("class_count_off"),
-        F.col("n_labels").cast("bigint").alias("n_labels"),
-    )
-
-
 CHECKS = (
-    "null_text", "empty_text", "null_label", "negative_label", "duplicate_key", "missing_label", "class_count_off",
+    "null_text", "empty_text", "null_label", "negative_label", "missing_label", "class_count_off", "duplicate_key",
 )
 
 
 def violations(df: DataFrame, num_class_names: int | None = None, key: str = "row_id") -> DataFrame:
-    """``(check, n_bad)``, one row per rule."""
-    counts = quality_counts(df, num_class_names, key)
-    return counts.unpivot([], list(CHECKS), "check", "n_bad")
+    """``(check, n_bad)``, one row per rule; all zero for a valid table.
+
+    Texts are counted in one pass; labels and keys are counted per value first, which
+    is combined before the shuffle, so a repeated key or a hot label costs one row.
+    """
+    text = df.agg(
+        F.count_if(F.col("text").isNull()).alias("null_text"),
+        F.count_if(F.col("text") == "").alias("empty_text"),
+    )
+    label, n = F.col("label"), F.col("n")
+    known = F.count("label")
+    labels = df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.coalesce(F.sum(F.when(label.isNull(), n)), F.lit(0)).alias("null_label"),
+        F.coalesce(F.sum(F.when(label < 0, n)), F.lit(0)).alias("negative_label"),
+        F.greatest(F.coalesce(F.max(label) + 1, F.lit(0)) - F.count_if(label >= 0), F.lit(0))
+        .cast("bigint").alias("missing_label"),
+        F.abs(known - (known if num_class_names is None else F.lit(num_class_names)))
+        .cast("bigint").alias("class_count_off"),
+    )
+    keys = df.groupBy(key).agg((F.count(F.lit(1)) - 1).alias("extra")).agg(
+        F.coalesce(F.sum("extra"), F.lit(0)).alias("duplicate_key")
+    )
+    parts = [part.unpivot([], part.columns, "check", "n_bad") for part in (text, labels, keys)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def missing_labels(df: DataFrame) -> DataFrame:
@@ -80,7 +62,7 @@ def missing_labels(df: DataFrame) -> DataFrame:
 
 def require_valid(df: DataFrame, class_names: Sequence[str], key: str = "row_id") -> None:
     require_columns(df)
-    found = quality_counts(df, len(class_names), key).first().asDict()
+    found = {r["check"]: r["n_bad"] for r in violations(df, len(class_names), key).collect()}
     say = {
         "null_text": "NULL texts are not allowed",
         "empty_text": "empty texts are not allowed",
@@ -93,8 +75,9 @@ def require_valid(df: DataFrame, class_names: Sequence[str], key: str = "row_id"
         if found[check]:
             raise InvalidDataError(f"{reason} ({found[check]} cases)")
     if found["class_count_off"]:
-        which = "class names are missing" if len(class_names) < found["n_labels"] else "class names are too many"
-        raise InvalidDataError(f"{which}: {len(class_names)} names, {found['n_labels']} labels in the data")
+        labels = df.select("label").distinct().count()
+        which = "class names are missing" if len(class_names) < labels else "class names are too many"
+        raise InvalidDataError(f"{which}: {len(class_names)} names, {labels} labels in the data")
 
 
 def require_probabilities(df: DataFrame, num_classes: int, column: str = "probs") -> DataFrame:

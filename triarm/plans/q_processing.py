@@ -212,13 +212,13 @@ def validate_replicates(spark, sf_dir):
 
 
 @query("validate_same_datasets", """
-WITH a AS (SELECT DISTINCT source AS dataset FROM documents WHERE lang = 'en'),
-     b AS (SELECT DISTINCT source AS dataset FROM documents WHERE lang = 'es')
+WITH a AS (SELECT DISTINCT source || '/' || lang AS dataset FROM documents WHERE n_chars >= 2000),
+     b AS (SELECT DISTINCT source || '/' || lang AS dataset FROM documents WHERE n_chars < 2000)
 SELECT dataset, 'left' AS only_in FROM a WHERE dataset NOT IN (SELECT dataset FROM b)
 UNION ALL SELECT dataset, 'right' FROM b WHERE dataset NOT IN (SELECT dataset FROM a)""")
 def validate_same_datasets(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumnRenamed("source", "dataset")
-    return validate.dataset_differences(docs.where("lang = 'en'"), docs.where("lang = 'es'"))
+    docs = table(spark, sf_dir, "documents").withColumn("dataset", F.concat_ws("/", "source", "lang"))
+    return validate.dataset_differences(docs.where("n_chars >= 2000"), docs.where("n_chars < 2000"))
 
 
 @query("describe_datasets", sql("""
