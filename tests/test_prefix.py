@@ -27,6 +27,14 @@ def test_positions(skewed):
     assert got.withColumn("want", want).where("pos <> want").isEmpty()
 
 
+def test_buckets_of_buckets(skewed):
+    buckets = [prefix.key_range(F.col("id"), width) for width in (500, 100, 20)]
+    got = prefix.total_before(skewed, "pos", ["g"], buckets, [F.col("id")])
+    want = F.row_number().over(Window.partitionBy("g").orderBy("id")) - 1
+    assert got.count() == 3000
+    assert got.withColumn("want", want).where("pos <> want").isEmpty()
+
+
 def test_weighted_totals_without_group(skewed):
     got = prefix.total_before(skewed, "before", [], [prefix.key_range(F.col("id"), 64)], [F.col("id")], F.col("id"))
     rows = {r["id"]: r["before"] for r in got.collect()}

@@ -10,12 +10,12 @@ columns, so a token costs one row for all three.
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from triarm.functions.fixed_values import ARMS
 from triarm.functions.scoring import argmax, softmax, tokens
 from triarm.operators import scoring
-from triarm.sources.scratch import stored
+from triarm.sources.scratch import spread, stored
 
 FITTED_ARMS = tuple(a for a in ARMS if a != "base")
 
@@ -24,72 +24,84 @@ def token_counts(data: DataFrame, splits: DataFrame, by: Sequence[str] = ("datas
     """Tokens of every drawn row: ``(*by, subsample_idx, role, row_id, label, token, tf)``.
 
     Each drawn text is cut into tokens once, however many replicates drew it. The
-    ids are a sample of known size, so the texts are filtered by a small table.
+    ids are a small sample, so they filter the texts before anything is shuffled; the
+    drawn texts are then shared out by row, which also serves the counts and the join.
     """
     ids = splits.select(*by, "row_id").distinct()
     drawn = data.select(*by, "row_id", "text").join(ids, [*by, "row_id"], "left_semi")
-    words = drawn.select(*by, "row_id", F.explode(tokens(F.col("text"))).alias("token"))
+    words = spread(drawn, *by, "row_id").select(*by, "row_id", F.explode(tokens(F.col("text"))).alias("token"))
     counts = words.groupBy(*by, "row_id", "token").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     return splits.join(counts, [*by, "row_id"])
 
 
-def unsupervised_fit(counts: DataFrame, splits: DataFrame, cell: Sequence[str]) -> DataFrame:
-    """Token weights per arm: ``w_extra`` and ``w_test`` are smoothed IDFs of their split."""
-    sizes = splits.groupBy(*cell).agg(
+def split_sizes(splits: DataFrame, cell: Sequence[str]) -> DataFrame:
+    """Rows an arm learns from: ``n_extra`` and ``n_test`` per cell."""
+    return splits.groupBy(*cell).agg(
         *[F.count_if(F.col("role") == a).cast("double").alias(f"n_{a}") for a in FITTED_ARMS]
     )
+
+
+def unsupervised_fit(counts: DataFrame, splits: DataFrame, cell: Sequence[str]) -> DataFrame:
+    """Token weights per arm: ``w_extra`` and ``w_test`` are smoothed IDFs of their split."""
     # A row has a token once, so rows are documents.
     frequency = counts.where(F.col("role").isin(*FITTED_ARMS)).groupBy(*cell, "token").agg(
         *[F.count_if(F.col("role") == a).cast("double").alias(f"df_{a}") for a in FITTED_ARMS]
     )
-    return frequency.join(sizes, list(cell))
+    return frequency.join(split_sizes(splits, cell), list(cell))
 
 
 def _idf(arm: str) -> Column:
-    seen = F.coalesce(F.col(f"df_{arm}"), F.lit(0.0))
-    return F.log((1 + F.col(f"n_{arm}")) / (1 + seen)) + 1
+    return F.log((1 + F.col(f"n_{arm}")) / (1 + F.col(f"df_{arm}"))) + 1
 
 
-def _weighted(counts: DataFrame, fit: DataFrame, splits: DataFrame, cell: Sequence[str], role: str) -> DataFrame:
-    """Rows of a role with one weighted token count per arm."""
-    sizes = splits.groupBy(*cell).agg(
-        *[F.count_if(F.col("role") == a).cast("double").alias(f"n_{a}") for a in FITTED_ARMS]
-    )
-    frequency = fit.drop(*[f"n_{a}" for a in FITTED_ARMS])
-    rows = counts.where(F.col("role") == role).join(frequency, [*cell, "token"], "left").join(sizes, list(cell))
+def weighted_tokens(data: DataFrame, splits: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFrame:
+    """Train and test tokens with one weighted count per arm: ``x_<arm>``.
+
+    How many rows of a split have the token is a window over the token's rows in its
+    cell, at most ``m + 2 n`` of them: one shuffle, and no join back.
+    """
+    cell = [*by, "subsample_idx"]
+    counts = token_counts(data, splits, by)
+    token = Window.partitionBy(*cell, "token")
+    seen = {f"df_{a}": F.count_if(F.col("role") == a).over(token) for a in FITTED_ARMS}
+    rows = counts.withColumns(seen).where("role in ('train', 'test')").join(split_sizes(splits, cell), cell)
     weights = {"base": F.lit(1.0), **{a: _idf(a) for a in FITTED_ARMS}}
     return rows.select(
-        *cell, "row_id", "label", "token", *[(F.col("tf") * w).alias(f"x_{a}") for a, w in weights.items()]
+        *cell, "role", "row_id", "label", "token", *[(F.col("tf") * w).alias(f"x_{a}") for a, w in weights.items()]
     )
 
 
-def classifier_fit(train: DataFrame, cell: Sequence[str]) -> DataFrame:
+def classifier_fit(weighted: DataFrame, cell: Sequence[str]) -> DataFrame:
     """Weighted token count of each class and arm: ``(*cell, label, token, c_<arm>)``."""
+    train = weighted.where("role = 'train'")
     return train.groupBy(*cell, "label", "token").agg(*[F.sum(f"x_{a}").alias(f"c_{a}") for a in ARMS])
 
 
-def class_table(model: DataFrame, splits: DataFrame, cell: Sequence[str]) -> DataFrame:
+def class_table(weighted: DataFrame, splits: DataFrame, cell: Sequence[str]) -> DataFrame:
     """Per class: log prior and, per arm, the log of its smoothed total count."""
-    vocabulary = model.groupBy(*cell).agg(F.count_distinct("token").alias("_v"))
-    totals = model.groupBy(*cell, "label").agg(*[F.sum(f"c_{a}").alias(f"_t_{a}") for a in ARMS])
+    train = weighted.where("role = 'train'")
+    vocabulary = train.groupBy(*cell).agg(F.count_distinct("token").alias("_v"))
+    totals = train.groupBy(*cell, "label").agg(*[F.sum(f"x_{a}").alias(f"_t_{a}") for a in ARMS])
     rows = splits.where("role = 'train'").groupBy(*cell, "label").agg(F.count(F.lit(1)).alias("_n"))
-    all_rows = rows.groupBy(*cell).agg(F.sum("_n").alias("_all"))
-    joined = rows.join(totals, [*cell, "label"], "left").join(all_rows, list(cell)).join(vocabulary, list(cell))
-    total = lambda a: F.coalesce(F.col(f"_t_{a}"), F.lit(0.0))
+    share = F.col("_n") / F.sum("_n").over(Window.partitionBy(*cell))
+    priors = rows.select(*cell, "label", F.log(share).alias("log_prior"))
+    joined = priors.join(totals, [*cell, "label"], "left").join(vocabulary, list(cell), "left")
+    size = lambda a: F.coalesce(F.col(f"_t_{a}"), F.lit(0.0)) + F.coalesce(F.col("_v"), F.lit(1))
     return joined.select(
-        *cell, F.col("label").alias("class_idx"), F.log(F.col("_n") / F.col("_all")).alias("log_prior"),
-        *[F.log(total(a) + F.col("_v")).alias(f"log_total_{a}") for a in ARMS],
+        *cell, F.col("label").alias("class_idx"), "log_prior", *[F.log(size(a)).alias(f"log_total_{a}") for a in ARMS]
     )
 
 
-def predict(test: DataFrame, model: DataFrame, classes: DataFrame, splits: DataFrame, cell: Sequence[str]) -> DataFrame:
+def predict(weighted: DataFrame, splits: DataFrame, cell: Sequence[str]) -> DataFrame:
     """Class probabilities: ``(*cell, row_id, label, arm, probs)``.
 
     A class scores its log prior plus the mean log likelihood of the row's tokens.
     Tokens the class never had add nothing but the denominator, so only matching
     tokens are joined.
     """
-    known = model.withColumnRenamed("label", "class_idx")
+    test = weighted.where("role = 'test'")
+    classes = class_table(weighted, splits, cell)
+    known = classifier_fit(weighted, cell).withColumnRenamed("label", "class_idx")
     hits = test.join(known, [*cell, "token"]).groupBy(*cell, "row_id", "class_idx").agg(
         *[F.sum(F.col(f"x_{a}") * F.log(F.col(f"c_{a}") + 1)).alias(f"hit_{a}") for a in ARMS]
     )
@@ -117,22 +129,14 @@ def predict(test: DataFrame, model: DataFrame, classes: DataFrame, splits: DataF
 
 def run_experiment(data: DataFrame, splits: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFrame:
     """Predictions of all arms, datasets and replicates: probabilities and class."""
-    cell = [*by, "subsample_idx"]
-    counts = stored(token_counts(data, splits, by), "tokens")
-    fit = unsupervised_fit(counts, splits, cell)
-    model = stored(classifier_fit(_weighted(counts, fit, splits, cell, "train"), cell), "model")
-    classes = class_table(model, splits, cell)
-    test = _weighted(counts, fit, splits, cell, "test")
-    scored = predict(test, model, classes, splits, cell)
+    weighted = stored(weighted_tokens(data, splits, by), "tokens")
+    scored = predict(weighted, splits, [*by, "subsample_idx"])
     return scored.withColumn("pred", argmax(F.col("probs")))
 
 
 def fitted_model(data: DataFrame, splits: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFrame:
     """The classifier of every cell and arm, as a table."""
-    cell = [*by, "subsample_idx"]
-    counts = stored(token_counts(data, splits, by), "tokens")
-    fit = unsupervised_fit(counts, splits, cell)
-    return classifier_fit(_weighted(counts, fit, splits, cell, "train"), cell)
+    return classifier_fit(weighted_tokens(data, splits, by), [*by, "subsample_idx"])
 
 
 def idf_table(data: DataFrame, splits: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from triarm.functions.draws import draw_key
 from triarm.functions.fixed_values import EFFECTS
-from triarm.operators.prefix import hash_range, total_before, value_ranks
+from triarm.operators.prefix import total_before, value_ranks
 from triarm.operators.summary import effect
 
 DECIMALS = 9  # differences equal at this many decimals are tied
@@ -66,7 +66,7 @@ def spearman_null(
     number = F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1)))
     shuffled = df.withColumn("shuffle", number).withColumn("_key", _shuffle_key(group, seed))
     placed = total_before(
-        shuffled, "place", [*group, "shuffle", "lm_type"], [hash_range(F.col("_key"))],
+        shuffled, "place", [*group, "shuffle", "lm_type"], [F.substring("_key", 1, 2)],
         [F.col("_key"), F.col("subsample_idx")],
     )
     rows = effect_rows(placed, [*group, "shuffle", "lm_type", "place"])

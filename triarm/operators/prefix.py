@@ -3,7 +3,7 @@
 ``row_number()`` or ``cume_dist()`` over a group sends the whole group to one
 task. Here every group is cut into buckets that follow the order; a small table
 of bucket totals gives each bucket its offset, and windows only run inside a
-bucket. Buckets come from the values alone (hash prefixes, key ranges, bins
+bucket. Where the buckets themselves may be many they get buckets, too. Buckets come from the values alone (hash prefixes, key ranges, bins
 between exact minimum and maximum), so a recomputed task lands in the same one.
 """
 
@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 KEY_RANGE = 1024
+COARSE_RANGE = KEY_RANGE * 1024
 BINS = 1024
 
 
@@ -38,36 +39,50 @@ def total_before(
 ) -> DataFrame:
     """Add the total weight of the rows that come before in the group's order.
 
-    ``bucket`` must be a coarse prefix of ``order``: never decreasing along it.
-    Without weights this is the 0-based position. The offset table holds one row
-    per bucket; the join brings the rows where the window needs them.
+    ``bucket`` must be a coarse prefix of ``order``: never decreasing along it, from
+    coarse to fine. Without weights this is the 0-based position. The offset table
+    holds one row per bucket; the join brings the rows where the window needs them.
     """
     weight = F.lit(1).cast("bigint") if weight is None else weight
     marks = [f"_bucket{i}" for i in range(len(bucket))]
     rows = df.withColumns({**dict(zip(marks, bucket)), "_weight": weight})
     rows = rows.withColumn("_part", _key([*group, *marks]))
-
-    earlier = Window.partitionBy(*group).orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy("_part", *group, *marks).agg(F.sum("_weight").alias("_total"))
-        .select("_part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
-    )
+    totals = rows.groupBy("_part", *group, *marks).agg(F.sum("_weight").alias("_total"))
     within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        rows.join(offsets, "_part")
+        rows.join(_offsets(totals, list(group), marks), "_part")
         .withColumn(name, F.col("_offset") + F.coalesce(F.sum("_weight").over(within), F.lit(0)))
         .drop(*marks, "_weight", "_offset", "_part")
     )
 
 
+def _offsets(totals: DataFrame, group: list[str], marks: list[str]) -> DataFrame:
+    """Total before each bucket; all marks but the last bucket the buckets in turn."""
+    *coarse, last = marks
+    earlier = Window.partitionBy(*group, *coarse).orderBy(last).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_total").over(earlier), F.lit(0))
+    if not coarse:
+        return totals.select("_part", before.alias("_offset"))
+    parents = totals.withColumn("_parent", _key([*group, *coarse]))
+    sums = parents.groupBy(F.col("_parent").alias("_part"), *group, *coarse).agg(F.sum("_total").alias("_total"))
+    above = _offsets(sums, group, coarse).select(F.col("_part").alias("_parent"), F.col("_offset").alias("_above"))
+    inside = parents.select("_part", "_parent", before.alias("_inside"))
+    return inside.join(above, "_parent").select("_part", (F.col("_above") + F.col("_inside")).alias("_offset"))
+
+
 def key_range(key: Column, width: int = KEY_RANGE) -> Column:
     """Bucket of an integer key."""
     return F.floor(key / width)
 
 
-def hash_range(key: Column) -> Column:
-    """Bucket of an MD5 key: 256 even ones."""
-    return F.substring(key, 1, 2)
+def key_ranges(key: Column) -> list[Column]:
+    """Buckets of the integer key of a whole table: ranges of ranges."""
+    return [key_range(key, COARSE_RANGE), key_range(key)]
+
+
+def hash_ranges(key: Column) -> list[Column]:
+    """Buckets of an MD5 key: 256 even ones of 256 each."""
+    return [F.substring(key, 1, 2), F.substring(key, 1, 4)]
 
 
 def with_bins(df: DataFrame, group: Sequence[str], value: str, name: str = "_bin", bins: int = BINS) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from triarm.functions.draws import below, draw_key
-from triarm.operators.prefix import hash_range, total_before
+from triarm.operators.prefix import hash_ranges, total_before
 from triarm.operators.validate import InvalidDataError
 from triarm.sources.scratch import BROADCAST_ROWS, new_path
 
@@ -40,26 +40,36 @@ def label_quotas(df: DataFrame, num_train: int, by: Sequence[str], stratify: boo
     }).withColumn("quota", F.floor(F.lit(num_train) / F.col("n_strata")).cast("int"))
 
 
-def require_enough(quotas: DataFrame, num_test: int) -> DataFrame:
-    """Raise where a draw cannot be made; return the quotas.
+def require_enough(quotas: DataFrame, num_test: int, by: Sequence[str]) -> tuple[DataFrame, int]:
+    """Raise where a draw cannot be made; return the quotas and the rows of one replicate.
 
     There are at most ``num_train`` classes per dataset, else the draw fails, so
     the quotas are a small table: it is made local (and then broadcast) unless it
     has more rows than may be broadcast.
     """
-    found = quotas.limit(BROADCAST_ROWS + 1).collect()
+    problem = F.when(F.col("quota") < 1, "more classes than training rows; raise num_train").when(
+        F.col("quota") > F.col("n"), "a class has fewer rows than its share of num_train"
+    ).when(
+        F.col("n_rows") - F.col("quota") * F.col("n_strata") < 2 * num_test,
+        "too few rows are left for the extra and test splits",
+    )
+    checked = quotas.withColumn("_problem", problem)
+    found = checked.limit(BROADCAST_ROWS + 1).collect()
     if not found:
         raise InvalidDataError("the table is empty")
-    for row in found:
-        if row["quota"] < 1:
-            raise InvalidDataError("more classes than training rows; raise num_train")
-        if row["quota"] > row["n"]:
-            raise InvalidDataError("a class has fewer rows than its share of num_train")
-        if row["n_rows"] - row["quota"] * row["n_strata"] < 2 * num_test:
-            raise InvalidDataError("too few rows are left for the extra and test splits")
     if len(found) > BROADCAST_ROWS:
-        return quotas
-    return F.broadcast(quotas.sparkSession.createDataFrame(found, quotas.schema))
+        worst = checked.agg(
+            F.min("_problem").alias("p"), F.sum("quota").alias("q"), F.count_distinct(*by or ["_stratum"]).alias("d")
+        ).first()
+        problems, rows = {worst["p"]}, worst["q"] + 2 * num_test * worst["d"]
+    else:
+        problems = {r["_problem"] for r in found}
+        rows = sum(r["quota"] for r in found) + 2 * num_test * len({tuple(r[c] for c in by) for r in found})
+        local = quotas.sparkSession.createDataFrame([tuple(r)[:-1] for r in found], quotas.schema)
+        quotas = F.broadcast(local)
+    if problems - {None}:
+        raise InvalidDataError(sorted(problems - {None})[0])
+    return quotas, rows
 
 
 def _roles(draws: DataFrame, by: Sequence[str], num_test: int) -> DataFrame:
@@ -106,7 +116,7 @@ def replicate_splits(
     spark, by = df.sparkSession, list(by)
     cell = [*by, "subsample_idx"]
     rows = df.select(*by, "row_id", "label").withColumn("_stratum", _stratum(stratify))
-    quotas = require_enough(label_quotas(df, num_train, by, stratify), num_test)
+    quotas, wanted = require_enough(label_quotas(df, num_train, by, stratify), num_test, by)
     cuts = quotas.select(
         *by, "_stratum", "quota",
         below(_generous(F.col("quota"), slack) / F.col("n")).alias("_train_cut"),
@@ -127,15 +137,16 @@ def replicate_splits(
     quick = _roles(flagged.where("_in_train or _in_rest"), by, num_test)
     quick.write.parquet(f"{path}/draw=1")
 
-    # Replicates the cut left short (as a rule none) are redrawn in full.
-    drawn = spark.read.parquet(f"{path}/draw=1")
+    # Replicates the cut left short (as a rule none) are redrawn in full. No replicate
+    # has too many rows, so the total tells whether one is short.
+    drawn = spark.read.schema(quick.schema).parquet(f"{path}/draw=1")
+    if drawn.count() == wanted * num_subsamples:
+        return drawn
     per_dataset = quotas.groupBy(*by).agg((F.sum("quota") + 2 * num_test).alias("_wanted"))
     expected = per_dataset.withColumn("subsample_idx", F.explode(replicates))
     counts = drawn.groupBy(*cell).agg(F.count(F.lit(1)).alias("_drawn"))
     missing = F.coalesce(F.col("_drawn"), F.lit(0)) < F.col("_wanted")
     short = expected.join(counts, cell, "left").where(missing).select(*cell)
-    if short.isEmpty():
-        return drawn
     whole = _whole_draw(keyed.join(short, cell, "left_semi"), by, num_test)
     drawn.join(short, cell, "left_anti").unionByName(whole).write.parquet(f"{path}/draw=2")
     return spark.read.parquet(f"{path}/draw=2")
@@ -145,14 +156,14 @@ def _whole_draw(draws: DataFrame, by: Sequence[str], num_test: int) -> DataFrame
     """Roles over uncut replicates: positions from bucket offsets, as cells are large."""
     cell = [*by, "subsample_idx"]
     placed = total_before(
-        draws, "_rank", [*cell, "_stratum"], [hash_range(F.col("_train_key"))],
+        draws, "_rank", [*cell, "_stratum"], hash_ranges(F.col("_train_key")),
         [F.col("_train_key"), F.col("row_id")],
     )
     train = placed.where("_rank < quota").select(*cell, "row_id", "label", F.lit("train").alias("role"))
     if not num_test:
         return train
     rest = total_before(
-        placed.where("_rank >= quota"), "_place", cell, [hash_range(F.col("_rest_key"))],
+        placed.where("_rank >= quota"), "_place", cell, hash_ranges(F.col("_rest_key")),
         [F.col("_rest_key"), F.col("row_id")],
     ).where(F.col("_place") < 2 * num_test)
     role = F.when(F.col("_place") < num_test, "extra").otherwise("test")

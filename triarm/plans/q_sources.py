@@ -152,7 +152,7 @@ def run_manifest(spark, sf_dir):
         results.write_manifest(spark, experiment, f"{home}/{lm_type}")
     runs = results.read_manifests(spark, f"{home}/*")
     keys = ["lm_type", "num_train", "num_test"]
-    joined = accuracies(spark, sf_dir).join(F.broadcast(runs.select(*keys, "num_subsamples")), keys)
+    joined = accuracies(spark, sf_dir).join(runs.select(*keys, "num_subsamples"), keys)
     return joined.groupBy(*keys, "num_subsamples").agg(F.count(F.lit(1)).alias("n_results"))
 
 
