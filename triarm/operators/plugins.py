@@ -12,7 +12,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from triarm.functions.fixed_values import ARMS
 from triarm.functions.scoring import argmax
@@ -57,6 +57,6 @@ def run_model(
             raise ValueError(f"expected one row of probabilities per text, got shape {probs.shape}")
         return test[[*cell, "row_id", "label", "arm"]].assign(probs=list(probs))
 
-    schema = rows.select(*cell, "row_id", "label", "arm").schema.add("probs", "array<double>")
+    schema = rows.select(*cell, "row_id", "label", "arm").schema.add("probs", T.ArrayType(T.DoubleType()))
     scored = rows.groupBy(*cell, "arm").applyInPandas(one, schema)
     return scored.withColumn("pred", argmax(F.col("probs")))

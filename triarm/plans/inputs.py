@@ -93,6 +93,12 @@ CTES["predictions"] = f"""
 # --- Accuracies -------------------------------------------------------------
 
 def accuracies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per replicate."""
+    return scoring.accuracies(predictions(spark, sf_dir))
+
+
+def full_accuracies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the constants of the dataset, which need another pass over it."""
     rows = predictions(spark, sf_dir)
     return scoring.with_dataset_constants(scoring.accuracies(rows), rows)
 
@@ -116,8 +122,8 @@ CTES["accuracies"] = """
 ACC = ("predictions", "accuracies")
 
 
-def num_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.num_correct(accuracies(spark, sf_dir), F.col("num_test"))
+def num_correct(spark: SparkSession, sf_dir: str, rows=accuracies) -> DataFrame:
+    return summary.num_correct(rows(spark, sf_dir), F.col("num_test"))
 
 
 def _sql_count(column: str) -> str:

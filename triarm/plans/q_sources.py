@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from triarm.operators import regression, scoring
 from triarm.plans.catalog import query
 from triarm.plans.inputs import (
-    ACC, accuracies, documents, predictions, r6, sql, table,
+    ACC, accuracies, documents, full_accuracies, predictions, r6, sql, table,
 )
 from triarm.plans.q_arms import PREDICT, predicted
 from triarm.plans.q_reshape import DRAW_CTES, draw_table
@@ -53,7 +53,7 @@ def scan_subset(spark, sf_dir):
 
 def tree(spark, sf_dir):
     path = new_path(spark, "tree")
-    results.write_accuracy_tree(accuracies(spark, sf_dir), path)
+    results.write_accuracy_tree(full_accuracies(spark, sf_dir), path)
     return path
 
 
@@ -85,7 +85,7 @@ SELECT {G5}, CASE WHEN lm_type = 'lm_b' THEN '2024-08-14 10:00:00' ELSE '2024-08
        round(CASE WHEN lm_type = 'lm_b' THEN 1 - base ELSE base END, 6) AS base FROM accuracies""", *ACC))
 def merge_runs(spark, sf_dir):
     """Two runs share the results of one LM type; the later run wins."""
-    home, acc = new_path(spark, "runs"), accuracies(spark, sf_dir)
+    home, acc = new_path(spark, "runs"), full_accuracies(spark, sf_dir)
     results.write_accuracy_tree(acc, f"{home}/run-2024-08-13_19-06-44-first/accuracies")
     again = acc.where("lm_type = 'lm_b'").withColumn("base", 1 - F.col("base"))
     results.write_accuracy_tree(again, f"{home}/run-2024-08-14_10-00-00/accuracies")
@@ -116,7 +116,7 @@ def sink_predictions(spark, sf_dir):
 @query("sink_accuracies", sql(f"SELECT {G5}, num_classes, {ROUNDED} FROM accuracies", *ACC))
 def sink_accuracies(spark, sf_dir):
     path = new_path(spark, "accuracies")
-    results.write_accuracies(accuracies(spark, sf_dir), path)
+    results.write_accuracies(full_accuracies(spark, sf_dir), path)
     return _rounded(spark.read.parquet(path))
 
 

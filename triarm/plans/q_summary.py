@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from triarm.functions.fixed_values import EFFECTS
 from triarm.operators import scoring, summary
 from triarm.plans.catalog import query
-from triarm.plans.inputs import ACC, NUM, accuracies, num_correct, predictions, r6, sql
+from triarm.plans.inputs import ACC, NUM, accuracies, datasets, full_accuracies, num_correct, r6, sql
 
 KEYS = ("num_train", "num_test", "lm_type", "dataset", "subsample_idx")
 GROUP = ("num_train", "num_test", "lm_type", "dataset")
@@ -18,7 +18,7 @@ SELECT num_train, num_test, lm_type, dataset, subsample_idx, num_classes, round(
 FROM accuracies""", *ACC))
 def accuracy(spark, sf_dir):
     rounded = [r6(c).alias(c) for c in ("base", "extra", "test", "majority", "majority_all")]
-    return accuracies(spark, sf_dir).select(*KEYS, "num_classes", *rounded)
+    return full_accuracies(spark, sf_dir).select(*KEYS, "num_classes", *rounded)
 
 
 @query("summary_table", sql("""
@@ -63,7 +63,7 @@ def relative_diff(spark, sf_dir):
 SELECT num_train, num_test, lm_type, dataset, subsample_idx, num_classes, base, extra, test, majority, majority_all
 FROM num_correct""", *NUM))
 def num_correct_counts(spark, sf_dir):
-    return num_correct(spark, sf_dir).select(
+    return num_correct(spark, sf_dir, full_accuracies).select(
         *KEYS, "num_classes", "base", "extra", "test", "majority", "majority_all"
     )
 
@@ -74,8 +74,6 @@ FROM (SELECT dataset, max(n) / CAST(sum(n) AS DOUBLE) AS majority_all, CAST(coun
       FROM (SELECT dataset, label, CAST(count(*) AS DOUBLE) AS n FROM datasets GROUP BY 1, 2) AS c GROUP BY 1) AS s
 """, "docs", "quality", "datasets"))
 def majority_share(spark, sf_dir):
-    from triarm.plans.inputs import datasets
-
     shares = scoring.majority_share(datasets(spark, sf_dir), ["dataset"])
     return shares.withColumn("majority_all", r6("majority_all"))
 
@@ -153,7 +151,7 @@ SELECT num_train, num_test, lm_type, dataset, max(num_classes) AS num_classes,
        round(min_by(majority, subsample_idx), 6) AS majority
 FROM accuracies GROUP BY 1, 2, 3, 4""", *ACC))
 def first_majority(spark, sf_dir):
-    return summary.first_majority(accuracies(spark, sf_dir)).withColumn("majority", r6("majority"))
+    return summary.first_majority(full_accuracies(spark, sf_dir)).withColumn("majority", r6("majority"))
 
 
 @query("outlier_filter", sql("""

@@ -8,19 +8,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without one (a local test) gets a temporary folder, which is
-    then set for the rest of the session.
+    Only a local session without one (a test) gets a temporary folder.
     """
-    folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder.rstrip("/")
+    folder = spark.conf.get(CHECKPOINT_DIR, None)
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
+    if context.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="run-")
+    return _LOCAL_DIRS[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
