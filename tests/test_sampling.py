@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,7 +25,14 @@ def as_set(df):
 
 def brute_force(rows, num_train, num_test, replicates):
     """The definition, one replicate at a time."""
-    key = lambda salt, seed, row: hashlib.md5(f"{salt}|{seed}|{row}".encode()).hexdigest()
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    part = lambda digest, i: int(digest[7 * i:7 * i + 7], 16)
+
+    def key(salt, seed, row):
+        s, r = md5(f"{salt}|{seed}"), md5(str(row))
+        mixed = (part(s, 0) * part(r, 0) + part(s, 1) * part(r, 1) + part(s, 2)) % (2**31 - 1)
+        return mixed, md5(f"{seed}|{row}"), row
+
     out = set()
     datasets = {r[0] for r in rows}
     for dataset in datasets:
@@ -51,6 +59,27 @@ def test_equals_definition_also_when_the_cut_is_too_low(spark, slack):
     assert as_set(splits) == brute_force(rows, 20, 25, 6)
 
 
+def test_every_row_is_drawn_equally_often(spark):
+    df = make(spark, [60, 60])
+    splits = sampling.replicate_splits(df, 20, 20, 600, by=["dataset"])
+    for role, share in (("train", 20 / 120), ("extra", 20 / 120), ("test", 20 / 120)):
+        counts = splits.where(F.col("role") == role).groupBy("row_id").count().toPandas()["count"]
+        assert len(counts) == 120
+        expected, spread = 600 * share, (600 * share * (1 - share)) ** 0.5
+        assert abs(counts - expected).max() < 4.5 * spread
+        assert 0.6 < counts.std() / spread < 1.4
+
+
+def test_rows_are_drawn_together_by_chance_only(spark):
+    splits = sampling.replicate_splits(make(spark, [60, 60]), 20, 20, 400, by=["dataset"])
+    drawn = splits.where("role = 'test'").toPandas()
+    member = drawn.assign(x=1).pivot(index="subsample_idx", columns="row_id", values="x").fillna(0)
+    pairs = member.T.dot(member).to_numpy()[~np.eye(120, dtype=bool)]
+    chance = 400 * (20 / 120) * (19 / 119)
+    assert abs(pairs.mean() - chance) < 0.5
+    assert pairs.std() < 1.4 * chance**0.5
+
+
 def test_sizes_disjoint_and_balanced(spark):
     splits = sampling.replicate_splits(make(spark, [500, 30, 30]), 20, 30, 4, by=["dataset"])
     counts = {(r["subsample_idx"], r["role"]): r["count"] for r in splits.groupBy("subsample_idx", "role").count().collect()}

@@ -80,11 +80,6 @@ def key_ranges(key: Column) -> list[Column]:
     return [key_range(key, COARSE_RANGE), key_range(key)]
 
 
-def hash_ranges(key: Column) -> list[Column]:
-    """Buckets of an MD5 key: 256 even ones of 256 each."""
-    return [F.substring(key, 1, 2), F.substring(key, 1, 4)]
-
-
 def with_bins(df: DataFrame, group: Sequence[str], value: str, name: str = "_bin", bins: int = BINS) -> DataFrame:
     """Add the value's bin between its group's exact minimum and maximum."""
     ends = [F.min(value).alias("_low"), F.max(value).alias("_high")]

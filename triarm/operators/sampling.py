@@ -1,8 +1,7 @@
 """Subsamples: all replicates of all datasets in one job.
 
-Each replicate orders the rows by an MD5 of (seed, row key) and takes the first
-ones. Only rows whose hash lies below a cut that is almost sure to be high enough
-leave the scan, so what is shuffled and sorted is a little more than the sample,
+Each replicate orders the rows by a hash of (seed, row key) and takes the first
+ones. A row is hashed once, and its key under each seed is two multiplications. Only rows whose key lies below a cut that is almost sure to be high enough leave the scan, so what is shuffled and sorted is a little more than the sample,
 however large (or lopsided) the tables are. Replicates that still come up short
 are redrawn without the cut, so the result is always the exact one.
 """
@@ -11,8 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from triarm.functions.draws import below, draw_key
-from triarm.operators.prefix import hash_ranges, total_before
+from triarm.functions.draws import PRIME, coefficients, draw_key, key_below, row_words, seed_key
+from triarm.operators.prefix import key_range, total_before
 from triarm.operators.validate import InvalidDataError
 from triarm.sources.scratch import BROADCAST_ROWS, new_path
 
@@ -76,14 +75,14 @@ def _roles(draws: DataFrame, by: Sequence[str], num_test: int) -> DataFrame:
     """Assign roles among drawn rows: best of each stratum train, then extra, test."""
     cell = [*by, "subsample_idx"]
     first = Window.partitionBy(*cell, "_stratum").orderBy(
-        F.col("_in_train").desc(), "_train_key", "row_id"
+        F.col("_in_train").desc(), "_train_key", "_tie", "row_id"
     )
     is_train = F.col("_in_train") & (F.row_number().over(first) <= F.col("quota"))
     marked = draws.withColumn("_is_train", is_train)
     if not num_test:
         return marked.where("_is_train").select(*cell, "row_id", "label", F.lit("train").alias("role"))
     usable = F.col("_in_rest") & ~F.col("_is_train")
-    rest = Window.partitionBy(*cell).orderBy(usable.desc(), "_rest_key", "row_id")
+    rest = Window.partitionBy(*cell).orderBy(usable.desc(), "_rest_key", "_tie", "row_id")
     place = F.row_number().over(rest)
     role = (
         F.when(F.col("_is_train"), "train")
@@ -119,22 +118,21 @@ def replicate_splits(
     quotas, wanted = require_enough(label_quotas(df, num_train, by, stratify), num_test, by)
     cuts = quotas.select(
         *by, "_stratum", "quota",
-        below(_generous(F.col("quota"), slack) / F.col("n")).alias("_train_cut"),
-        below(_generous(F.lit(2.0 * num_test + num_train), slack) / F.col("n_rows")).alias("_rest_cut"),
+        key_below(_generous(F.col("quota"), slack) / F.col("n")).alias("_train_cut"),
+        key_below(_generous(F.lit(2.0 * num_test + num_train), slack) / F.col("n_rows")).alias("_rest_cut"),
     )
     replicates = F.sequence(F.lit(1), F.lit(num_subsamples))
-    replicated = rows.join(cuts, [*by, "_stratum"]).withColumn("subsample_idx", F.explode(replicates))
-    seeded = (F.lit(seed) + F.col("subsample_idx")).cast("string")
-    keyed = replicated.withColumns({
-        "_train_key": draw_key(TRAIN_SALT, seeded, F.col("row_id")),
-        "_rest_key": draw_key(REST_SALT, seeded, F.col("row_id")),
+    words = dict(zip(("_h1", "_h2"), row_words(F.col("row_id"))))
+    hashed = rows.join(cuts, [*by, "_stratum"]).withColumns(words)
+    keyed = hashed.select("*", F.expr(_seeds(seed, num_subsamples))).withColumns({
+        "_train_key": _key_of("t"), "_rest_key": _key_of("r"),
     })
     flagged = keyed.withColumns({
         "_in_train": F.col("_train_key") < F.col("_train_cut"),
         "_in_rest": (F.col("_rest_key") < F.col("_rest_cut")) & F.lit(num_test > 0),
     })
     path = new_path(spark, "splits")
-    quick = _roles(flagged.where("_in_train or _in_rest"), by, num_test)
+    quick = _roles(_with_tie(flagged.where("_in_train or _in_rest"), seed), by, num_test)
     quick.write.parquet(f"{path}/draw=1")
 
     # Replicates the cut left short (as a rule none) are redrawn in full. No replicate
@@ -147,27 +145,48 @@ def replicate_splits(
     counts = drawn.groupBy(*cell).agg(F.count(F.lit(1)).alias("_drawn"))
     missing = F.coalesce(F.col("_drawn"), F.lit(0)) < F.col("_wanted")
     short = expected.join(counts, cell, "left").where(missing).select(*cell)
-    whole = _whole_draw(keyed.join(short, cell, "left_semi"), by, num_test)
+    whole = _whole_draw(_with_tie(keyed.join(short, cell, "left_semi"), seed), by, num_test)
     drawn.join(short, cell, "left_anti").unionByName(whole).write.parquet(f"{path}/draw=2")
     return spark.read.parquet(f"{path}/draw=2")
 
 
+def _seeds(seed: int, num_subsamples: int) -> str:
+    """The replicates and their coefficients as a generator of literal rows."""
+    rows = []
+    for i in range(1, num_subsamples + 1):
+        numbers = [*coefficients(TRAIN_SALT, seed + i), *coefficients(REST_SALT, seed + i)]
+        rows.append(f"struct({i}, {', '.join(f'{n}L' for n in numbers)})")
+    return f"inline(array({', '.join(rows)})) as (subsample_idx, _ta, _tb, _tc, _ra, _rb, _rc)"
+
+
+def _key_of(which: str) -> Column:
+    return seed_key([F.col("_h1"), F.col("_h2")], *[F.col(f"_{which}{x}") for x in "abc"])
+
+
+def _with_tie(draws: DataFrame, seed: int) -> DataFrame:
+    """Order of rows with equal keys: an MD5, computed for candidates only."""
+    seeded = (F.lit(seed) + F.col("subsample_idx")).cast("string")
+    return draws.withColumn("_tie", draw_key(seeded, F.col("row_id")))
+
+
+def _key_ranges(key: str) -> list[Column]:
+    """Buckets of a key: 256 even ones of 256 each."""
+    return [key_range(F.col(key), (PRIME + 1) // 2**8), key_range(F.col(key), (PRIME + 1) // 2**16)]
+
+
 def _whole_draw(draws: DataFrame, by: Sequence[str], num_test: int) -> DataFrame:
     """Roles over uncut replicates: positions from bucket offsets, as cells are large."""
     cell = [*by, "subsample_idx"]
-    placed = total_before(
-        draws, "_rank", [*cell, "_stratum"], hash_ranges(F.col("_train_key")),
-        [F.col("_train_key"), F.col("row_id")],
-    )
+    order = lambda key: [F.col(key), F.col("_tie"), F.col("row_id")]
+    placed = total_before(draws, "_rank", [*cell, "_stratum"], _key_ranges("_train_key"), order("_train_key"))
     train = placed.where("_rank < quota").select(*cell, "row_id", "label", F.lit("train").alias("role"))
     if not num_test:
         return train
-    rest = total_before(
-        placed.where("_rank >= quota"), "_place", cell, hash_ranges(F.col("_rest_key")),
-        [F.col("_rest_key"), F.col("row_id")],
-    ).where(F.col("_place") < 2 * num_test)
+    left = placed.where("_rank >= quota")
+    rest = total_before(left, "_place", cell, _key_ranges("_rest_key"), order("_rest_key"))
+    chosen = rest.where(F.col("_place") < 2 * num_test)
     role = F.when(F.col("_place") < num_test, "extra").otherwise("test")
-    return train.unionByName(rest.select(*cell, "row_id", "label", role.alias("role")))
+    return train.unionByName(chosen.select(*cell, "row_id", "label", role.alias("role")))
 
 
 def three_way_split(df: DataFrame, num_train: int, num_test: int, seed: int = SEED, **kwargs) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from triarm.functions.draws import draw_key
+from triarm.functions.draws import PRIME, draw_key
 from triarm.operators import sampling
 from triarm.plans.catalog import query
 from triarm.plans.inputs import ACC, CTES, accuracies, datasets, documents, quality, r6, sql, table
@@ -10,19 +10,28 @@ from triarm.plans.inputs import ACC, CTES, accuracies, datasets, documents, qual
 TRAIN, TEST, REPLICATES = 40, 50, 5
 
 
-def sql_splits(rows: str, num_train: int, num_test: int, replicates: int, stratify: bool = True) -> str:
+def _sql_key(salt: str, seed: str) -> str:
+    part = lambda digest, i: f"CAST('0x' || substr({digest}, {1 + 7 * i}, 7) AS BIGINT)"
+    row, numbers = "md5(CAST(row_id AS VARCHAR))", f"md5('{salt}|' || {seed})"
+    return (f"(({part(numbers, 0)} * {part(row, 0)} + {part(numbers, 1)} * {part(row, 1)} + {part(numbers, 2)}) "
+            f"% {PRIME})")
+
+
+def sql_splits(
+    rows: str, num_train: int, num_test: int, replicates: int, stratify: bool = True,
+    seed: str = "(42 + subsample_idx)",
+) -> str:
     """Splits of the rows of a building block ``(dataset, row_id, label)``."""
     stratum = "label" if stratify else "0"
+    order = lambda salt: f"{_sql_key(salt, seed)}, md5({seed} || '|' || row_id), row_id"
     return f"""
   SELECT dataset, subsample_idx, row_id, label, role FROM (
     SELECT *, CASE WHEN is_train THEN 'train'
                    WHEN place <= {num_test} THEN 'extra' WHEN place <= {2 * num_test} THEN 'test' END AS role
     FROM (
-      SELECT *, row_number() OVER (PARTITION BY dataset, subsample_idx, is_train
-                                   ORDER BY md5('rest|' || (42 + subsample_idx) || '|' || row_id), row_id) AS place
+      SELECT *, row_number() OVER (PARTITION BY dataset, subsample_idx, is_train ORDER BY {order('rest')}) AS place
       FROM (
-        SELECT *, row_number() OVER (PARTITION BY dataset, subsample_idx, {stratum}
-                                     ORDER BY md5('train|' || (42 + subsample_idx) || '|' || row_id), row_id)
+        SELECT *, row_number() OVER (PARTITION BY dataset, subsample_idx, {stratum} ORDER BY {order('train')})
                   <= floor({num_train} / k) AS is_train
         FROM (SELECT r.dataset, r.row_id, r.label, c.k, CAST(i AS INTEGER) AS subsample_idx
               FROM {rows} AS r
@@ -49,14 +58,14 @@ CTES["two"] = "SELECT 'quality' AS dataset, row_id, label FROM quality"
 
 
 @query("stratified_sample", sql(f"""
-SELECT row_id, label FROM ({sql_splits('one', 100, 0, 1)}) AS s""".replace("(42 + subsample_idx)", "42"),
+SELECT row_id, label FROM ({sql_splits('one', 100, 0, 1, seed='42')}) AS s""",
     "docs", "one"))
 def stratified_sample(spark, sf_dir):
     return sampling.stratified_sample(documents(spark, sf_dir), 100).select("row_id", "label")
 
 
 @query("three_way_split", sql(f"""
-SELECT row_id, label, role FROM ({sql_splits('two', 50, 100, 1)}) AS s""".replace("(42 + subsample_idx)", "42"),
+SELECT row_id, label, role FROM ({sql_splits('two', 50, 100, 1, seed='42')}) AS s""",
     "quality", "two"))
 def three_way_split(spark, sf_dir):
     return sampling.three_way_split(quality(spark, sf_dir), 50, 100).select("row_id", "label", "role")
