@@ -164,12 +164,17 @@ def keyword_scores(df: DataFrame, keywords: dict[int, Sequence[str]], text: str
 
     Row by row, so no shuffle; train rows are not looked at.
     """
+    every = sorted({word for names in keywords.values() for word in names})
+    # Look all keywords up in one go; the classes then only look at what was found.
     words = df.withColumn("_tokens", tokens(F.col(text)))
-    size = F.greatest(F.size("_tokens"), F.lit(1))
+    found = words.select(
+        *df.columns, F.greatest(F.size("_tokens"), F.lit(1)).alias("_size"),
+        F.filter("_tokens", lambda t: t.isin(*every)).alias("_found"),
+    )
 
     def share(names: Sequence[str]) -> Column:
-        return F.size(F.filter("_tokens", lambda t: t.isin(*names))) / size
+        return F.size(F.filter("_found", lambda t: t.isin(*names))) / F.col("_size")
 
     shares = F.array(*[share(keywords[label]) for label in sorted(keywords)])
-    scored = words.withColumn("probs", softmax(shares)).drop("_tokens")
+    scored = found.withColumn("probs", softmax(shares)).drop("_found", "_size")
     return scored.withColumn("pred", argmax(F.col("probs")))
