@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from triarm.llm import decision_list, query, slot_table, token_rollup, url_ratio
+from triarm.llm import decision_list, piece_edges, query, segments, slot_table, spaced_seeds, token_rollup, url_ratio
+from triarm.llm.text import crc_fold
 from triarm.sources.scratch import new_path
 
 
@@ -10,6 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_spaced_seeds")
+def op1_spaced_seeds(spark, sf_dir):
+    return spaced_seeds.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 SQL_WORDS_1 = "len(regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+'))"
 SQL_WORDS_2 = "len(regexp_extract_all({0}, '[A-Za-z0-9\\x{{80}}-\\x{{10FFFF}}]+|[!-/:-@\\[-`{{-~]'))"
 
@@ -60,6 +66,14 @@ def op5_decision_list(spark, sf_dir):
     return decision_list.judge(docs, decision_list.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op6_segments")
+def op6_segments(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = segments.score(docs, segments.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = crc_fold(F.col("doc_id"), segments.FOLDS) == 0
+    return rows.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
 URL_RULES = (
     url_ratio.Rule("allow", "com", "/"), url_ratio.Rule("block", "example.com", "/en/"),
     url_ratio.Rule("allow", "www.example.com", "/en/"), url_ratio.Rule("block", "net", "/es/"),
@@ -73,6 +87,21 @@ def op8_url_ratio(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 9).alias("score"))
 
 
+# The vocabulary file of a public tokenizer, read on the driver.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op9_piece_edges")
+def op9_piece_edges(spark, sf_dir):
+    """Every text to ids and back; ids as their number and hash."""
+    vocabulary = piece_edges.Vocabulary.load(VOCABULARY)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = piece_edges.decode(piece_edges.encode(docs, vocabulary), vocabulary, text="decoded")
+    expected = F.translate(F.coalesce("text", F.lit("")), piece_edges.META, " ")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"),
+                       (F.col("decoded") == expected).alias("round_trip"))
+
+
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 SLOTS = slot_table.build_table(SHARDS)
 
