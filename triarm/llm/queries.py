@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from triarm.llm import decision_list, piece_edges, query, segments, slot_table, spaced_seeds, token_rollup, url_ratio
+from triarm.llm import decision_list, lsh_forest, piece_edges, query, segments, slot_table, spaced_seeds, token_rollup, url_ratio
 from triarm.llm.text import crc_fold
 from triarm.sources.scratch import new_path
 
@@ -60,6 +60,32 @@ def op2_token_rollup(spark, sf_dir):
     return rollup.totals()
 
 
+# Every pair with a common shingle is compared, so this suits small tables only.
+SQL_NEAR = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+link AS (
+  SELECT p.a, p.b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s AS x JOIN s AS y USING (shingle)
+    WHERE x.doc_id <> y.doc_id GROUP BY ALL) AS p
+  JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM w
+  UNION SELECT r.a, l.b FROM reach AS r JOIN link AS l ON r.b = l.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) AS c USING (doc_id)"""
+
+
+@query("op3_lsh_forest", SQL_NEAR)
+def op3_lsh_forest(spark, sf_dir):
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op5_decision_list")
 def op5_decision_list(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
