@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from triarm.llm import decision_list, lsh_forest, piece_edges, query, segments, slot_table, spaced_seeds, token_rollup, url_ratio
+from triarm.llm import bucket_refinement, decision_list, lsh_forest, piece_edges, query, segments, slot_table, spaced_seeds, token_rollup, url_ratio
 from triarm.llm.text import crc_fold
 from triarm.sources.scratch import new_path
 
@@ -100,6 +100,16 @@ def op6_segments(spark, sf_dir):
     return rows.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
 
 
+@query("op7_bucket_refinement")
+def op7_bucket_refinement(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sizes = docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    rows = bucket_refinement.repeated_spans(sizes)
+    return rows.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("rest")).alias("n_removed"),
+        F.size("starts").cast("long").alias("n_spans"), F.sha2("rest", 256).alias("kept_sha256"))
+
+
 URL_RULES = (
     url_ratio.Rule("allow", "com", "/"), url_ratio.Rule("block", "example.com", "/en/"),
     url_ratio.Rule("allow", "www.example.com", "/en/"), url_ratio.Rule("block", "net", "/es/"),
