@@ -247,3 +247,19 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields),
                         "starts ARRAY<BIGINT>", "ends ARRAY<BIGINT>", "rest BINARY"])
     return docs.join(spans, "_key_", "left").drop("_key_").mapInArrow(_apply, schema)
+
+
+def remove_repeats(documents: DataFrame) -> DataFrame:
+    """``documents``, all columns and rows, with repeated bytes cut from ``text`` and ``n_chars`` set anew if it is there.
+
+    Where a cut goes through a character, the rest of the character goes too.
+    """
+    names = documents.columns
+
+    def as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([x.as_py().decode(errors="ignore") for x in batch.column("rest")], type=pa.string())
+            yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(c) for c in names], names=names)
+
+    out = repeated_spans(documents).mapInArrow(as_text, documents.schema)
+    return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in names else out

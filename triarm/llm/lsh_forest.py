@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from triarm.llm.components import components
-from triarm.llm.text import Slice, cut_words, mix, signed, slices
+from triarm.llm.text import Slice, cut_words, mix, signed, slices, text_key
 from triarm.sources.scratch import stored
 
 SHINGLE = 5
@@ -215,3 +215,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     named = named.join(least, "component", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
     return named.select("doc_id", "n_shingles", "component_id",
                         F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def drop_near_duplicates(documents: DataFrame) -> DataFrame:
+    """``documents``, all columns, with one row of each component: that of the smallest id.
+
+    Of rows with the same id and text one stays; rows without an id stay. The rows are shuffled once, by id.
+    """
+    kept = near_duplicates(documents).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id_")).distinct()
+    named = documents.where("doc_id IS NOT NULL").withColumn("_key_", text_key(F.col("text")))
+    one = named.join(kept, F.col("doc_id") == F.col("_id_"), "left_semi").dropDuplicates(["doc_id", "_key_"]).drop("_key_")
+    return one.unionByName(documents.where("doc_id IS NULL"))

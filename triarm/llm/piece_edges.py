@@ -21,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from triarm.llm.text import Slice, SubstringHashes, slices
 
@@ -377,6 +377,11 @@ def _with_space(texts: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(empty, texts, space))
 
 
+def as_decoded(text: Column) -> Column:
+    """What a text is after encoding and decoding: itself, but for U+2581, and empty for NULL."""
+    return F.translate(F.coalesce(text, F.lit("")), META, " ")
+
+
 def _columns(df: DataFrame, drop: str) -> tuple[list[str], str]:
     kept = [f for f in df.schema.fields if f.name != drop]
     return [f.name for f in kept], "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)

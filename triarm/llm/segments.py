@@ -139,9 +139,9 @@ def evidence(scores: list[float], n_tokens: int, log_k: float) -> float:
 PASSAGES = "passages ARRAY<STRUCT<first: INT, last: INT, score: DOUBLE>>"
 
 
-def find_segments(df: DataFrame, scores: Scores) -> DataFrame:
+def find_segments(df: DataFrame, scores: Scores, keep_text: bool = False) -> DataFrame:
     """``df`` (with ``text``) with ``n_tokens`` and ``passages``: its maximal segments, as token numbers."""
-    others = [f for f in df.schema.fields if f.name != "text"]
+    others = [f for f in df.schema.fields if keep_text or f.name != "text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "n_tokens BIGINT", PASSAGES])
     names = [f.name for f in others]
 
@@ -228,14 +228,14 @@ def fit(documents: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -
     return Model(learn_scores(texts.select("text", "toxic")), log_k, slope, base)
 
 
-def score(df: DataFrame, model: Model) -> DataFrame:
-    """``df`` without ``text`` but with ``n_tokens``, ``score``, ``predicted`` and ``passages``.
+def score(df: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+    """``df`` (without ``text`` unless it is to be kept) with ``n_tokens``, ``score``, ``predicted`` and ``passages``.
 
     ``passages`` are the significant segments with their p-values; NULL and empty texts have none and get the
     score of no evidence. Other columns of the names made here are replaced.
     """
     made = ("n_tokens", "passages", "score", "predicted")
-    found = find_segments(df.drop(*made), model.scores)
+    found = find_segments(df.drop(*made), model.scores, keep_text)
     shift = F.lit(model.log_k) + F.log(F.greatest("n_tokens", F.lit(1)))
     ordered = F.sort_array(F.col("passages.score"), asc=False)
     # Running sums of the best scores; r segments weigh in by the law of sums of r extreme values.
@@ -257,3 +257,10 @@ def score(df: DataFrame, model: Model) -> DataFrame:
     marked = F.transform("passages", lambda s: s.withField("p", p(s)))
     return rows.withColumn("passages", F.filter(marked, lambda s: s["p"] < SIGNIFICANCE)).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def reject(documents: DataFrame, model: Model) -> DataFrame:
+    """``documents``, all columns, without the rows whose text is called toxic."""
+    hidden = {c: f"_{i}_" for i, c in enumerate(documents.columns) if c != "text"}
+    scored = score(documents.withColumnsRenamed(hidden), model, keep_text=True).where("predicted = 0")
+    return scored.withColumnsRenamed({v: k for k, v in hidden.items()}).select(*[f"`{c}`" for c in documents.columns])
