@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from triarm.llm import bucket_refinement, decision_list, lsh_forest, piece_edges, query, segments, slot_table, spaced_seeds, token_rollup, url_ratio
+from triarm.llm import bucket_refinement, decision_list, lsh_forest, piece_edges, pitman_yor, query, segments, slot_table, spaced_seeds, token_rollup, url_ratio
 from triarm.llm.text import crc_fold
 from triarm.sources.scratch import new_path
 
@@ -86,6 +86,15 @@ def op3_lsh_forest(spark, sf_dir):
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op4_pitman_yor")
+def op4_pitman_yor(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = pitman_yor.fit(docs.where(~pitman_yor.held_out()))
+    return pitman_yor.score(docs, model).select(
+        "doc_id", pitman_yor.held_out().alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.samples[0].tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 @query("op5_decision_list")
 def op5_decision_list(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
