@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from triarm.llm.components import components
-from triarm.llm.text import Slice, cut_words, mix, signed, slices, text_key
+from triarm.llm.text import Slice, cut_words, mix, signed, slices, text_key, unused
 from triarm.sources.scratch import stored
 
 SHINGLE = 5
@@ -55,7 +55,7 @@ def shingle_sets(part: Slice) -> tuple[np.ndarray, np.ndarray]:
     n = len(words.hashes)
     count = np.diff(words.first)
     hashes = np.zeros(n, dtype=np.uint64)
-    for k, place in enumerate(_places()):
+    for k, place in enumerate(_places()[:n]):
         here = words.hashes[k:] * place
         inside = words.doc[k:] == words.doc[:n - k]
         hashes[:n - k] += np.where(inside, here, 0)
@@ -222,7 +222,8 @@ def drop_near_duplicates(documents: DataFrame) -> DataFrame:
 
     Of rows with the same id and text one stays; rows without an id stay. The rows are shuffled once, by id.
     """
-    kept = near_duplicates(documents).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id_")).distinct()
-    named = documents.where("doc_id IS NOT NULL").withColumn("_key_", text_key(F.col("text")))
-    one = named.join(kept, F.col("doc_id") == F.col("_id_"), "left_semi").dropDuplicates(["doc_id", "_key_"]).drop("_key_")
+    key = unused(documents, "text_key")
+    kept = near_duplicates(documents).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = documents.where("doc_id IS NOT NULL").withColumn(key, text_key(F.col("text")))
+    one = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", key]).select(*[f"`{c}`" for c in documents.columns])
     return one.unionByName(documents.where("doc_id IS NULL"))
