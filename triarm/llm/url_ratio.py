@@ -95,7 +95,9 @@ def gram_ratios(names: DataFrame) -> DataFrame:
 
 
 def _threshold(scores: DataFrame) -> float | None:
-    """Lower edge of the bin that separates best: most accepted at or above it, most rejected below it.
+    """The score that separates best, half way between the last bin above it and the first below it.
+
+    Best is where the share of accepted urls above it exceeds the share of rejected ones by most.
 
     The score of a character lies within the logarithm of the smallest probability, so the number of bins is
     bounded. None where one kind is missing.
@@ -104,10 +106,14 @@ def _threshold(scores: DataFrame) -> float | None:
         F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"))
     order = Window.orderBy(F.desc("bin"))
     everything = Window.partitionBy()
-    shares = bins.select("bin", *[(F.sum(c).over(order) / F.sum(c).over(everything)).alias(c) for c in ("allowed", "blocked")])
+    bins = bins.where("allowed + blocked > 0")
+    shares = bins.select("bin", F.lead("bin").over(order).alias("below"), *[
+        F.try_divide(F.sum(c).over(order), F.sum(c).over(everything)).alias(c) for c in ("allowed", "blocked")])
     gain = F.round(F.col("allowed") - F.col("blocked"), 9)
-    best = shares.where(gain.isNotNull()).orderBy(gain.desc(), F.desc("bin")).select("bin").first()
-    return None if best is None else best["bin"] / BINS
+    best = shares.where(gain.isNotNull()).orderBy(gain.desc(), F.desc("bin")).first()
+    if best is None:
+        return None
+    return best["bin"] / BINS if best["below"] is None else (best["bin"] + best["below"] + 1) / 2 / BINS
 
 
 def judge(df: DataFrame, url: str, rules: Sequence[Rule], default: str = "allow") -> DataFrame:
