@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from triarm.llm.text import SubstringHashes, mix, signed, slices, text_key
+from triarm.llm.text import SubstringHashes, mix, signed, slices, text_key, unused
 from triarm.sources.scratch import stored
 
 SPAN = 400
@@ -190,29 +190,31 @@ def _refine(contexts: DataFrame) -> DataFrame:
     return found
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _apply(spans_name: str):
     """Merge the spans of each text and cut them out."""
-    for batch in batches:
-        starts, ends, kept = [], [], []
-        for text, spans in zip(batch.column("text"), batch.column("_spans_")):
-            data = b"" if text.as_py() is None else text.as_buffer().to_pybytes()
-            begin, end, rest = [], [], []
-            for a, b in sorted((s["start"], s["end"]) for s in spans.as_py() or ()):
-                if end and a <= end[-1]:
-                    end[-1] = max(end[-1], b)
-                else:
-                    begin.append(a)
-                    end.append(b)
-            for a, b in zip([0, *end], [*begin, len(data)]):
-                rest.append(data[a:b])
-            starts.append(begin)
-            ends.append(end)
-            kept.append(b"".join(rest))
-        others = [c for c in batch.schema.names if c not in ("text", "_spans_")]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in others), pa.array(starts, type=pa.list_(pa.int64())),
-             pa.array(ends, type=pa.list_(pa.int64())), pa.array(kept, type=pa.binary())],
-            names=[*others, "starts", "ends", "rest"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, ends, kept = [], [], []
+            for text, spans in zip(batch.column("text"), batch.column(spans_name)):
+                data = b"" if text.as_py() is None else text.as_buffer().to_pybytes()
+                begin, end, rest = [], [], []
+                for a, b in sorted((s["start"], s["end"]) for s in spans.as_py() or ()):
+                    if end and a <= end[-1]:
+                        end[-1] = max(end[-1], b)
+                    else:
+                        begin.append(a)
+                        end.append(b)
+                for a, b in zip([0, *end], [*begin, len(data)]):
+                    rest.append(data[a:b])
+                starts.append(begin)
+                ends.append(end)
+                kept.append(b"".join(rest))
+            others = [c for c in batch.schema.names if c not in ("text", spans_name)]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in others), pa.array(starts, type=pa.list_(pa.int64())),
+                 pa.array(ends, type=pa.list_(pa.int64())), pa.array(kept, type=pa.binary())],
+                names=[*others, "starts", "ends", "rest"])
+    return run
 
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
@@ -222,8 +224,10 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     another. NULL is the empty text; shorter texts lose nothing. Copies of a row are texts of their own, so
     they lose what is ``SPAN`` bytes long. Columns with the names of the three new ones are replaced.
     """
-    docs = documents.drop("starts", "ends", "rest", "_key_").withColumn("_key_", text_key(F.col("text")))
-    keyed = docs.select(F.col("_key_").alias("key"), "text")
+    old = documents.drop("starts", "ends", "rest")
+    name, spans_name = unused(old, "text_key"), unused(old, "spans")
+    docs = old.withColumn(name, text_key(F.col("text")))
+    keyed = docs.select(F.col(name).alias("key"), "text")
     runs = stored(keyed.mapInArrow(_find_anchors, ANCHOR), "anchors")
     told = runs.where("bucket IS NOT NULL")
     buckets = told.groupBy("bucket").agg(F.sum("n").alias("members"), F.min("sig").alias("low"), F.max("sig").alias("high"))
@@ -242,11 +246,11 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
         shared.where("mixed").join(kinds.where("members > 1").select("bucket", "sig"), ["bucket", "sig"]),
     ]
     spans = reduce(DataFrame.unionAll, [x.select("key", span.alias("span")) for x in spans])
-    spans = spans.groupBy("key").agg(F.collect_set("span").alias("_spans_")).withColumnRenamed("key", "_key_")
-    fields = [f for f in docs.schema.fields if f.name not in ("text", "_key_")]
+    spans = spans.groupBy(F.col("key").alias(name)).agg(F.collect_set("span").alias(spans_name))
+    fields = [f for f in old.schema.fields if f.name != "text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields),
                         "starts ARRAY<BIGINT>", "ends ARRAY<BIGINT>", "rest BINARY"])
-    return docs.join(spans, "_key_", "left").drop("_key_").mapInArrow(_apply, schema)
+    return docs.join(spans, name, "left").drop(name).mapInArrow(_apply(spans_name), schema)
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
@@ -254,12 +258,15 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
 
     Where a cut goes through a character, the rest of the character goes too.
     """
-    names = documents.columns
+    hidden = documents.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(documents.columns)])
+    names = hidden.columns
 
     def as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pa.array([x.as_py().decode(errors="ignore") for x in batch.column("rest")], type=pa.string())
             yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(c) for c in names], names=names)
 
-    out = repeated_spans(documents).mapInArrow(as_text, documents.schema)
-    return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = repeated_spans(hidden).mapInArrow(as_text, hidden.schema).toDF(*documents.columns)
+    if "n_chars" not in documents.columns:
+        return out
+    return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))

@@ -261,6 +261,6 @@ def score(df: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
 
 def reject(documents: DataFrame, model: Model) -> DataFrame:
     """``documents``, all columns, without the rows whose text is called toxic."""
-    hidden = {c: f"_{i}_" for i, c in enumerate(documents.columns) if c != "text"}
-    scored = score(documents.withColumnsRenamed(hidden), model, keep_text=True).where("predicted = 0")
-    return scored.withColumnsRenamed({v: k for k, v in hidden.items()}).select(*[f"`{c}`" for c in documents.columns])
+    hidden = {c: "text" if c == "text" else f"c{i}" for i, c in enumerate(documents.columns)}
+    scored = score(documents.toDF(*hidden.values()), model, keep_text=True).where("predicted = 0")
+    return scored.select(*hidden.values()).toDF(*hidden)
