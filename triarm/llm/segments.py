@@ -27,6 +27,8 @@ MAX_SAMPLE = 50_000
 MAX_LISTED = 100_000
 # Standard errors by which a token's log-odds must exceed zero.
 MIN_Z = 3.0
+# Least log-odds of a listed token, so that common words of nearly equal use stay out.
+MIN_ODDS = 1.5
 PRIOR = 0.5
 PREFIX_BYTES = 5
 # Share of chance passages among those reported.
@@ -90,7 +92,7 @@ def learn_scores(texts: DataFrame) -> Scores:
         spread[prefix] = F.sqrt(1 / (F.col("bad") + alpha) + 1 / (F.col("good") + alpha))
     pick = lambda x: F.when(F.col("prefix"), x[True] if True in x else F.lit(0.0)).otherwise(x[False])
     rows = counts.select("unit", "prefix", "bad", "good", pick(odds).alias("odds"), (pick(odds) / pick(spread)).alias("z"))
-    rows = rows.where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "unit").limit(MAX_LISTED).collect()
+    rows = rows.where((F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_ODDS)).orderBy(F.desc("z"), "unit").limit(MAX_LISTED).collect()
     units = np.array([r["unit"] for r in rows], dtype=np.int64).view(np.uint64)
     order = np.argsort(units)
     listed = [sum(r[c] for r in rows if not r["prefix"]) / totals[False][c] for c in ("bad", "good")]
