@@ -90,9 +90,34 @@ def test_draws_are_read_by_folder(spark, tmp_path):
 
 def test_leaderboard_keeps_damaged_rows(spark, tmp_path):
     path = tmp_path / "board.tsv"
-    path.write_text("Rank\tSubmitter\tOverall\tA\tB\n2\tx\t0.7\t0.7450.944\n1\ty\t0.9\t0.1\t0.2\n")
+    path.write_text("Rank\tSubmitter\tSubmission Name\tOverall\tA\tB\n2\tx\tm\t0.7\t0.7450.944\n1\ty\tm\t0.9\t0.1\t0.2\n3\tz\n")
     rows = results.read_leaderboard(spark, str(path)).collect()
-    assert [(r["rank"], r["overall"]) for r in rows] == [(1, 0.9), (2, 0.7)]
+    assert [(r["rank"], r["submitter"], r["overall"]) for r in rows] == [(1, "y", 0.9), (2, "x", 0.7), (3, "z", None)]
+    with pytest.raises(ValueError, match="Tasks"):
+        results.read_leaderboard(spark, str(path), {"Tasks": "int"})
+
+
+def test_trees_without_run_folders_are_merged(spark, tmp_path):
+    leaf(tmp_path, "accuracies", "m1", "n1", "bert", "a", lines=["0.1,0,0,0,2,0"])
+    leaf(tmp_path, "accuracies", "m1", "n1", "bert", "b", lines=["0.3,0,0,0,2,0"])
+    leaf(tmp_path, "run-2024-08-14_00-00-01", "accuracies", "m1", "n1", "bert", "a", lines=["0.4,0,0,0,2,0"])
+    read = lambda runs: results.read_accuracy_tree(spark, str(tmp_path), runs=runs)
+    assert results.latest_runs(read("accuracies")).count() == 2
+    merged = results.latest_runs(read("accuracies").unionByName(read("run-*/accuracies")))
+    assert sorted((r["dataset"], r["base"]) for r in merged.collect()) == [("a", 0.4), ("b", 0.3)]
+
+
+def test_written_tree_keeps_gaps(spark, tree, tmp_path):
+    df = results.read_accuracy_tree(spark, str(tree)).drop("run_time").withColumn("subsample_idx", F.col("subsample_idx") * 7)
+    results.write_accuracy_tree(df, f"{tmp_path}/gaps")
+    again = results.read_accuracy_tree(spark, f"{tmp_path}/gaps").drop("run_time")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_indented_manifest(spark, tmp_path):
+    (tmp_path / "experiment.json").write_text('{\n    "lm_type": "bert",\n    "dataset_names": [\n        "a"\n    ],\n    "num_test": 50\n}\n')
+    rows = results.read_manifests(spark, f"{tmp_path}/experiment.json").collect()
+    assert [(r["lm_type"], r["dataset_names"], r["num_test"]) for r in rows] == [("bert", ["a"], 50)]
 
 
 def test_list_files(spark, tree):
@@ -106,8 +131,8 @@ PREDICTIONS = (
 )
 
 
-@pytest.mark.parametrize("event_time", [None, "ts"])
-def test_stream_counts_repeated_rows_once_and_restarts(spark, tmp_path, event_time):
+@pytest.mark.parametrize("in_state", [False, True])
+def test_stream_counts_repeated_rows_once_and_restarts(spark, tmp_path, in_state):
     at = datetime(2024, 1, 1)
     row = lambda i, pred: (100, 50, "a", "d", 1, i, 0, pred, 0, 0, at)
     source, sink, state = (f"{tmp_path}/{n}" for n in ("in", "out", "state"))
@@ -116,14 +141,14 @@ def test_stream_counts_repeated_rows_once_and_restarts(spark, tmp_path, event_ti
     def run():
         schema = spark.createDataFrame([], PREDICTIONS).schema
         stream = streaming.read_predictions(spark, f"{source}/*", schema, 1)
-        streaming.drain(streaming.first_deliveries(stream, event_time=event_time), sink, state, 120)
+        streaming.drain(streaming.first_deliveries(stream) if in_state else stream, sink, state, 120)
         return streaming.accuracies_so_far(spark, sink).first()
 
     deliver("a", [row(1, 0), row(2, 1)])
     assert run()["base"] == 0.5
     deliver("b", [row(2, 1), row(3, 0), row(4, 0)])
     assert run()["base"] == 0.75
-    assert spark.read.parquet(sink).count() == 4
+    assert spark.read.parquet(sink).count() == (4 if in_state else 5)
 
 
 def test_shared_folder_comes_from_the_session(spark):
@@ -151,3 +176,13 @@ def test_published_summaries(spark):
     found = {tuple(r[k] for k in keys): (round(r["mean"], 6), round(r["se"], 6)) for r in table.collect()}
     for key, expected in PUBLISHED.items():
         assert found[key] == pytest.approx(expected, abs=1e-9)
+
+
+def test_stream_keeps_rows_of_any_age(spark, tmp_path):
+    source, sink, state = (f"{tmp_path}/{n}" for n in ("in", "out", "state"))
+    for i, month in enumerate((12, 7, 1)):  # the newest file first, months apart
+        rows = [(100, 50, "a", "d", 1, 100 * i + k, 0, 0, 0, 0, datetime(2024, month, 1)) for k in range(100)]
+        spark.createDataFrame(rows, PREDICTIONS).coalesce(1).write.parquet(f"{source}/{i}")
+    stream = streaming.read_predictions(spark, f"{source}/*", spark.createDataFrame([], PREDICTIONS).schema, 1)
+    streaming.drain(stream, sink, state)
+    assert spark.read.parquet(sink).count() == 300

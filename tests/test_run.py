@@ -68,6 +68,11 @@ def test_analysis_of_a_run(spark, home, tmp_path):
     sizes = {name: df.count() for name, df in tables.items()}
     assert sizes["summary"] == 4 and sizes["groups"] == 4 and sizes["tests"] == 4
     assert sizes["single_subsamples"] == 20 and sizes["effect_interval"] == 1 and sizes["rank_correlation"] == 4
+    three = both.unionByName(other.withColumn("lm_type", F.lit("third")))
+    pairs = runs.rank_correlations(three).select("lm_type", "other_lm_type").distinct()
+    assert pairs.count() == 3 and runs.rank_correlations(other).count() == 0
+    with pytest.raises(ValueError, match="absent"):
+        runs.rank_correlations(three, (("absent", "third"),))
     runs.write_table(tables["single_subsamples"], f"{tmp_path}/meta")
     schema = "num_train int, num_test int, replicate int, n_subsamples long, log_odds double, mean double"
     again = runs.read_table(spark, f"{tmp_path}/meta", schema)

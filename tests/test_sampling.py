@@ -127,3 +127,9 @@ def test_down_sample(spark):
         assert {r["count"] for r in sample.groupBy("dataset").count().collect()} == {size}
     other = sampling.down_sample(df, ["id"], 7, seed=1)
     assert other.join(sampling.down_sample(df, ["id"], 7), "id").count() < 28
+
+
+def test_null_labels_are_refused(spark):
+    rows = spark.createDataFrame([(i, None if i % 9 == 0 else i % 2) for i in range(300)], "row_id long, label int")
+    with pytest.raises(InvalidDataError, match="NULL"):
+        sampling.stratified_sample(rows, 30)

@@ -211,6 +211,8 @@ def test_planted_effects_are_found_and_null_is_not(spark):
     replicates = effects.meta_replicates(counts, "boost", ["subsample_idx"], 100).toPandas()
     assert (replicates["n_subsamples"] == 16).all()
     assert replicates["mean"].mean() == pytest.approx(0.1, abs=0.03)
+    # Every LM type and dataset picks by itself, so experiments differ.
+    assert replicates["mean"].nunique() > 50
 
 
 def test_regression_agrees_with_the_pooled_effect(spark):
@@ -236,3 +238,14 @@ def test_pca_experiment(spark):
     assert (wide["base"] > 0.95).all()
     bars = regression.error_bars(regression.pca_r2(df, splits, 300, [6])).collect()
     assert {r["effect"] for r in bars} == {"boost", "bias"}
+
+
+def test_unpaired_draws_are_refused(spark):
+    from triarm.operators.posterior import conditional_differences
+
+    rows = [("bias", 50, p, m, 1, 10.0 + (m == "test")) for p in (1, 2) for m in ("extra", "test")]
+    draws = lambda r: spark.createDataFrame(r, "effect string, num_test int, pair int, method string, draw int, pred double")
+    assert conditional_differences(draws(rows), ["num_test"]).first()["acc_diff"] == pytest.approx(0.02)
+    for broken in (rows[:-1], [*rows[:-1], ("bias", 50, 3, "test", 1, 11.0)]):
+        with pytest.raises(Exception, match="only one of its two methods"):
+            conditional_differences(draws(broken), ["num_test"]).collect()

@@ -4,7 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from triarm.functions.draws import draw_key, pick
+from triarm.functions.draws import draw_key, order_key, pick
 from triarm.functions.fixed_values import EFFECTS
 from triarm.functions.scoring import logit
 
@@ -39,18 +39,16 @@ def meta_replicates(
 ) -> DataFrame:
     """Effects of experiments that keep ``size`` random subsamples per LM type and dataset.
 
-    All replicates are drawn in one aggregate: with one subsample each, the row with
-    the smallest hash per (replicate, LM type, dataset) survives the map side.
+    Every replicate draws anew in every configuration, LM type and dataset. All are drawn in one
+    aggregate: with one subsample each, the row with the smallest hash survives the map side.
     """
     cell = [*config, "replicate", "lm_type", "dataset"]
     numbered = num_correct.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    hashed = numbered.withColumn(
-        "_key", draw_key("meta", str(seed), F.col("replicate"), *[F.col(c) for c in key])
-    )
+    parts = [F.col("replicate"), *[F.col(c) for c in (*config, "lm_type", "dataset", *key)]]
+    hashed = numbered.withColumn("_key", order_key("meta", str(seed), *parts))
     counts = ["num_test", *EFFECTS[effect]]
     if size == 1:
-        row = F.min_by(F.struct(*dict.fromkeys(counts)), "_key").alias("_row")
-        drawn = hashed.groupBy(*cell).agg(row).select(*cell, *[F.col(f"_row.{c}").alias(f"_{c}") for c in counts])
+        drawn = hashed.groupBy(*cell).agg(*[F.min_by(c, "_key").alias(f"_{c}") for c in dict.fromkeys(counts)])
     else:
         order = Window.partitionBy(*cell).orderBy("_key", *key)
         kept = hashed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= size)

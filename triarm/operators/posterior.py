@@ -16,10 +16,13 @@ from triarm.sources.scratch import stored
 HDI_SHARE = 0.89  # fixed value: share of draws inside the reported interval
 
 
+def _method(which: int) -> Column:
+    """Name of the treatment (0) or control (1) of the row's effect."""
+    return F.create_map(*[F.lit(x) for e, pair in EFFECTS.items() for x in (e, pair[which])])[F.col("effect")]
+
+
 def _method_mean(which: int) -> Column:
-    """Mean prediction of the treatment (0) or control (1) of the row's effect."""
-    method = F.create_map(*[F.lit(x) for e, pair in EFFECTS.items() for x in (e, pair[which])])[F.col("effect")]
-    return F.avg(F.when(F.col("method") == method, F.col("pred")))
+    return F.avg(F.when(F.col("method") == _method(which), F.col("pred")))
 
 
 def conditional_differences(
@@ -27,13 +30,19 @@ def conditional_differences(
 ) -> DataFrame:
     """Per draw and group: mean treatment and control counts and ``acc_diff``.
 
-    Every subsample has both methods in a draw, so the mean of the differences is
-    the difference of the means and no join back to pairs is needed.
+    Where every subsample has both methods in a draw, the mean of the differences is
+    the difference of the means and no join back to pairs is needed. That is checked in
+    the same aggregate: a draw in which the subsamples of the methods differ fails.
     """
+    pair = F.xxhash64(*[c for c in draws.columns if c not in ("method", "pred")])
+    sides = [F.when(F.col("method") == _method(i), pair) for i in (0, 1)]
     means = draws.groupBy("effect", *group, "draw").agg(
-        _method_mean(0).alias("treatment"), _method_mean(1).alias("control")
+        _method_mean(0).alias("treatment"), _method_mean(1).alias("control"),
+        *[F.struct(F.count(s).alias("n"), F.bit_xor(s).alias("x")).alias(f"_side{i}") for i, s in enumerate(sides)],
     )
-    return means.withColumn("acc_diff", (F.col("treatment") - F.col("control")) / F.col("num_test"))
+    unpaired = F.raise_error(F.lit("a draw has subsamples with only one of its two methods")).cast("double")
+    difference = F.when(F.col("_side0") == F.col("_side1"), (F.col("treatment") - F.col("control")) / F.col("num_test"))
+    return means.withColumn("acc_diff", difference.otherwise(unpaired)).drop("_side0", "_side1")
 
 
 def marginal_differences(draws: DataFrame, group: Sequence[str] = ("num_test",)) -> DataFrame:
@@ -45,7 +54,7 @@ def marginal_differences(draws: DataFrame, group: Sequence[str] = ("num_test",))
 def calibration(draws: DataFrame, observed: DataFrame, effect: str, group: Sequence[str]) -> DataFrame:
     """Predicted against observed control accuracy and effect of each group."""
     treatment, control = EFFECTS[effect]
-    mean = lambda method: F.avg(F.when(F.col("method") == method, F.col("pred"))) / F.first("num_test")
+    mean = lambda method: F.avg(F.when(F.col("method") == method, F.col("pred") / F.col("num_test")))
     pred = draws.groupBy(*group).agg(
         mean(control).alias("pred_level"), (mean(treatment) - mean(control)).alias("pred_effect")
     )

@@ -10,10 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from triarm.functions.draws import PRIME, coefficients, draw_key, key_below, row_words, seed_key
+from triarm.functions.draws import PRIME, coefficients, draw_key, key_below, order_key, row_words, seed_key
 from triarm.operators.prefix import key_range, total_before
 from triarm.operators.validate import InvalidDataError
-from triarm.sources.scratch import BROADCAST_ROWS, new_path
+from triarm.sources.scratch import new_path, stored
 
 SEED = 42  # replicate i draws with seed 42 + i
 SLACK = 6.0  # standard deviations between the wanted count and the cut
@@ -43,32 +43,25 @@ def require_enough(quotas: DataFrame, num_test: int, by: Sequence[str]) -> tuple
     """Raise where a draw cannot be made; return the quotas and the rows of one replicate.
 
     There are at most ``num_train`` classes per dataset, else the draw fails, so
-    the quotas are a small table: it is made local (and then broadcast) unless it
-    has more rows than may be broadcast.
+    the quotas are a small table. It is stored, and its measured size decides how it
+    is joined. A NULL label belongs to no class, so it is refused.
     """
-    problem = F.when(F.col("quota") < 1, "more classes than training rows; raise num_train").when(
+    problem = F.when(F.col("_stratum").isNull(), "a label is NULL").when(F.col("quota") < 1, "more classes than training rows; raise num_train").when(
         F.col("quota") > F.col("n"), "a class has fewer rows than its share of num_train"
     ).when(
         F.col("n_rows") - F.col("quota") * F.col("n_strata") < 2 * num_test,
         "too few rows are left for the extra and test splits",
     )
-    checked = quotas.withColumn("_problem", problem)
-    found = checked.limit(BROADCAST_ROWS + 1).collect()
-    if not found:
+    quotas = stored(quotas, "quotas")
+    datasets = F.count_distinct(*by) if by else F.lit(1)
+    seen = quotas.withColumn("_problem", problem).agg(
+        F.count(F.lit(1)).alias("n"), F.min("_problem").alias("problem"), F.sum("quota").alias("quota"),
+        datasets.alias("datasets")).first()
+    if not seen["n"]:
         raise InvalidDataError("the table is empty")
-    if len(found) > BROADCAST_ROWS:
-        worst = checked.agg(
-            F.min("_problem").alias("p"), F.sum("quota").alias("q"), F.count_distinct(*by or ["_stratum"]).alias("d")
-        ).first()
-        problems, rows = {worst["p"]}, worst["q"] + 2 * num_test * worst["d"]
-    else:
-        problems = {r["_problem"] for r in found}
-        rows = sum(r["quota"] for r in found) + 2 * num_test * len({tuple(r[c] for c in by) for r in found})
-        local = quotas.sparkSession.createDataFrame([tuple(r)[:-1] for r in found], quotas.schema)
-        quotas = F.broadcast(local)
-    if problems - {None}:
-        raise InvalidDataError(sorted(problems - {None})[0])
-    return quotas, rows
+    if seen["problem"] is not None:
+        raise InvalidDataError(seen["problem"])
+    return quotas, seen["quota"] + 2 * num_test * seen["datasets"]
 
 
 def _roles(draws: DataFrame, by: Sequence[str], num_test: int) -> DataFrame:
@@ -147,7 +140,10 @@ def replicate_splits(
     short = expected.join(counts, cell, "left").where(missing).select(*cell)
     whole = _whole_draw(_with_tie(keyed.join(short, cell, "left_semi"), seed), by, num_test)
     drawn.join(short, cell, "left_anti").unionByName(whole).write.parquet(f"{path}/draw=2")
-    return spark.read.parquet(f"{path}/draw=2")
+    drawn = spark.read.schema(quick.schema).parquet(f"{path}/draw=2")
+    if drawn.count() != wanted * num_subsamples:
+        raise RuntimeError("a replicate could not be drawn in full")
+    return drawn
 
 
 def _seeds(seed: int, num_subsamples: int) -> str:
@@ -206,12 +202,12 @@ def down_sample(
 ) -> DataFrame:
     """``size`` random rows per group; ``key`` identifies a row.
 
-    One row per group is a plain aggregate. For more, the filter on the row
-    number limits every partition before the shuffle.
+    Every group draws by itself. One row per group is a plain aggregate on numbers. For more, the
+    filter on the row number limits every partition before the shuffle.
     """
-    keyed = df.withColumn("_key", draw_key("down", str(seed), *[F.col(c) for c in key]))
+    keyed = df.withColumn("_key", order_key("down", str(seed), *[F.col(c) for c in (*group, *key)]))
     if size == 1:
-        row = F.min_by(F.struct(*df.columns), F.struct("_key", *key)).alias("_row")
-        return keyed.groupBy(*group).agg(row).select("_row.*")
+        rest = [c for c in df.columns if c not in group]
+        return keyed.groupBy(*group).agg(*[F.min_by(c, "_key").alias(c) for c in rest]).select(*df.columns)
     order = Window.partitionBy(*group).orderBy("_key", *key)
     return keyed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= size).drop("_key", "_n")

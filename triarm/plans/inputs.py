@@ -5,7 +5,6 @@ MD5, which Spark and the checking engine compute alike.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
 from triarm.functions.draws import HEX, digit
 from triarm.operators import scoring, summary
@@ -15,15 +14,9 @@ LANG_NAMES = ("German", "English", "Spanish", "French")
 LANG_TASK = "The text is a document. Answer with its language."
 
 
-_SCHEMAS: dict[str, StructType] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table; its schema is looked up in the file once, not in every query."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """A test table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def r6(column: str | Column) -> Column:

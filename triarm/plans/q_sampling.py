@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from triarm.functions.draws import PRIME, draw_key
+from triarm.functions.draws import PRIME, order_key
 from triarm.operators import sampling
 from triarm.plans.catalog import query
 from triarm.plans.inputs import ACC, CTES, accuracies, datasets, documents, quality, r6, sql, table
@@ -89,7 +89,7 @@ def sql_down(size: int) -> str:
     return f"""
 SELECT lm_type, dataset, num_train, num_test, subsample_idx, round(base, 6) AS base
 FROM (SELECT *, row_number() OVER (PARTITION BY lm_type, dataset
-        ORDER BY md5('down|42|' || num_train || '|' || num_test || '|' || subsample_idx)) AS n FROM accuracies) AS d
+        ORDER BY md5('down|42|' || lm_type || '|' || dataset || '|' || num_train || '|' || num_test || '|' || subsample_idx)) AS n FROM accuracies) AS d
 WHERE n <= {size}"""
 
 
@@ -117,5 +117,5 @@ SELECT dataset, row_id, label FROM (
 WHERE n = 1""", "docs", "quality", "datasets"))
 def random_example(spark, sf_dir):
     rows = datasets(spark, sf_dir).select("dataset", "row_id", "label")
-    one = F.min_by(F.struct("row_id", "label"), draw_key("example", F.col("row_id"))).alias("one")
-    return rows.groupBy("dataset").agg(one).select("dataset", "one.*")
+    key = order_key("example", F.col("row_id"))
+    return rows.groupBy("dataset").agg(*[F.min_by(c, key).alias(c) for c in ("row_id", "label")])

@@ -7,6 +7,7 @@ from triarm.operators.describe import describe_series
 from triarm.operators.leaderboard import rank_gaps as gaps
 from triarm.plans.catalog import query
 from triarm.plans.inputs import ACC, CTES, NUM, accuracies, num_correct, predictions, r6, sql, sql_word
+from triarm.plans.run import rank_correlations
 from triarm.sources.scratch import stored
 
 CONFIG = ["num_train", "num_test"]
@@ -74,14 +75,14 @@ _EFFECTS = """
   UNION ALL SELECT num_train, num_test, dataset, lm_type, subsample_idx, 'bias', round(test - extra, 9) FROM accuracies"""
 
 
-def _sql_spearman(source: str, keys: str, match: str) -> str:
+def _sql_spearman(source: str, keys: str, match: str, types: tuple[str, str] = TYPES) -> str:
     return f"""
   SELECT {keys}, count(*) AS n,
          CASE WHEN stddev_samp(rx) > 0 AND stddev_samp(ry) > 0 THEN corr(rx, ry) END AS spearman
   FROM (SELECT {keys}, rank() OVER wx + (count(*) OVER (PARTITION BY {keys}, x) - 1) / 2e0 AS rx,
                rank() OVER wy + (count(*) OVER (PARTITION BY {keys}, y) - 1) / 2e0 AS ry
-        FROM (SELECT {keys}, {match}, max(diff) FILTER (WHERE lm_type = 'lm_a') AS x,
-                     max(diff) FILTER (WHERE lm_type = 'lm_b') AS y FROM {source} GROUP BY {keys}, {match}) AS p
+        FROM (SELECT {keys}, {match}, max(diff) FILTER (WHERE lm_type = '{types[0]}') AS x,
+                     max(diff) FILTER (WHERE lm_type = '{types[1]}') AS y FROM {source} GROUP BY {keys}, {match}) AS p
         WHERE x IS NOT NULL AND y IS NOT NULL
         WINDOW wx AS (PARTITION BY {keys} ORDER BY x), wy AS (PARTITION BY {keys} ORDER BY y)) AS r
   GROUP BY {keys}"""
@@ -94,6 +95,24 @@ def spearman_groups(spark, sf_dir):
     return correlation.spearman_between(stored(accuracies(spark, sf_dir), "accuracies"), TYPES).withColumn("spearman", r6("spearman"))
 
 
+THREE = (("lm_a", "lm_b"), ("lm_a", "lm_c"), ("lm_b", "lm_c"))
+
+
+@query("spearman_pairs", sql(f"""
+, three AS (SELECT num_train, num_test, dataset, lm_type, subsample_idx, base, extra, test FROM accuracies
+            UNION ALL SELECT num_train, num_test, dataset, 'lm_c', 17 - subsample_idx, base, extra, test
+            FROM accuracies WHERE lm_type = 'lm_b'),
+  rows AS ({_EFFECTS.replace('accuracies', 'three')})
+{' UNION ALL '.join(f"""SELECT '{t[0]}' AS lm_type, '{t[1]}' AS other_lm_type, num_train, num_test, dataset, effect, n,
+       round(spearman, 6) AS spearman
+FROM ({_sql_spearman('rows', 'num_train, num_test, dataset, effect', 'subsample_idx', t)}) AS s""" for t in THREE)}""", *ACC))
+def spearman_pairs(spark, sf_dir):
+    """Three LM types: every pair of them."""
+    acc = accuracies(spark, sf_dir)
+    third = acc.where("lm_type = 'lm_b'").withColumns({"lm_type": F.lit("lm_c"), "subsample_idx": 17 - F.col("subsample_idx")})
+    return rank_correlations(stored(acc.unionByName(third), "accuracies")).withColumn("spearman", r6("spearman"))
+
+
 SHUFFLES = 10
 _NULL_COLUMNS = [(e, i) for e in ("boost", "bias") for i in range(SHUFFLES)]
 
@@ -153,7 +172,7 @@ CTES["meta"] = f"""
          {_sql_logit('sum(test)', 'sum(num_test)')} - {_sql_logit('sum(extra)', 'sum(num_test)')} AS log_odds,
          (sum(test) - sum(extra)) / CAST(sum(num_test) AS DOUBLE) AS mean
   FROM (SELECT *, row_number() OVER (PARTITION BY num_train, num_test, replicate, lm_type, dataset ORDER BY
-                    md5('meta|0|' || replicate || '|' || subsample_idx)) AS k
+                    md5('meta|0|' || replicate || '|' || num_train || '|' || num_test || '|' || lm_type || '|' || dataset || '|' || subsample_idx)) AS k
         FROM num_correct CROSS JOIN range({META}) AS x(replicate)) AS d
   WHERE k = 1 GROUP BY 1, 2, 3"""
 META_CTES = (*NUM, "meta")

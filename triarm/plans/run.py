@@ -3,6 +3,8 @@
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -86,6 +88,7 @@ class Analysis:
     bootstrap: int = 1_000
     replicates: int = 500
     threshold: float = 0.03
+    pairs: tuple[tuple[str, str], ...] | None = None  # LM types to correlate; all pairs by default
 
     def __post_init__(self):
         if self.effect not in EFFECTS:
@@ -114,12 +117,26 @@ def analyze(accuracy: DataFrame, analysis: Analysis = Analysis()) -> dict[str, D
             counts, analysis.effect, ["subsample_idx"], analysis.replicates, config=config
         ),
     }
-    types = [r["lm_type"] for r in table.select("lm_type").distinct().orderBy("lm_type").limit(3).collect()]
-    if len(types) == 2:
-        out["rank_correlation"] = correlation.spearman_between(table, (types[0], types[1]))
+    out["rank_correlation"] = rank_correlations(table, analysis.pairs)
     return out
 
 
+def rank_correlations(accuracy: DataFrame, pairs: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """Rank correlation of every pair of LM types, named by ``lm_type`` and ``other_lm_type``.
+
+    One LM type has no pair, so no rows. A named type that is not in the table is refused.
+    """
+    types = sorted(r["lm_type"] for r in accuracy.select("lm_type").distinct().collect())
+    chosen = tuple(combinations(types, 2)) if pairs is None else pairs
+    if absent := sorted({t for pair in chosen for t in pair} - set(types)):
+        raise ValueError(f"no results of the LM types {absent}")
+    named = lambda pair: correlation.spearman_between(accuracy, pair).select(
+        F.lit(pair[0]).alias("lm_type"), F.lit(pair[1]).alias("other_lm_type"), "*")
+    if not chosen:
+        return named(("", "")).where("false")
+    return reduce(DataFrame.unionByName, map(named, chosen))
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """A small result table as CSV with a header."""
     df.write.mode("errorifexists").option("header", True).csv(path)

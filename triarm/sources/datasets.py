@@ -26,9 +26,9 @@ def scan_split(spark: SparkSession, root: str, fmt: str = "parquet", subset: str
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """Give a Parquet scan the stable key ``file:position``."""
+    """Give a Parquet scan the stable key ``path:position``."""
     position = F.col("_metadata.row_index").cast("string")
-    return df.withColumn("row_id", F.concat_ws(":", F.col("_metadata.file_name"), position))
+    return df.withColumn("row_id", F.concat_ws(":", F.col("_metadata.file_path"), position))
 
 
 def canonical(raw: DataFrame, spec: DatasetSpec) -> DataFrame:

@@ -40,9 +40,10 @@ def read_accuracy_tree(
 ) -> DataFrame:
     """Every accuracy file below ``home`` in one scan, keys taken from the paths.
 
-    A row's number in its file is its subsample, so files are read whole: they hold
-    one row per subsample of one dataset. Fixed keys narrow the path, so other files
-    are not even listed. Columns go by the header of each file.
+    A file with the column ``subsample_idx`` says which subsample a row is; in others it
+    is the row's number, so files are read whole: they hold one row per subsample of one
+    dataset. Fixed keys narrow the path, so other files are not even listed. Columns go
+    by the header of each file.
     """
     size = lambda name, value: f"{name}*" if value is None else f"{{{name}{value},{name}={value}}}"
     model = "*" if lm_type is None else f"{{{lm_type},lm_type={lm_type}}}"
@@ -56,23 +57,31 @@ def read_accuracy_tree(
         "path", F.split(F.get("lines", F.lit(0)), ",").alias("header"), F.posexplode("lines").alias("line_no", "line")
     ).where("line_no > 0")
     fields = F.map_from_arrays("header", F.split("line", ","))
-    parsed = rows.select("path", F.col("line_no").cast("int").alias("subsample_idx"), fields.alias("fields"))
+    parsed = rows.select("path", "line_no", fields.alias("fields"))
+    index = F.coalesce(F.try_element_at("fields", F.lit("subsample_idx")), F.col("line_no").cast("string")).cast("int")
     values = [F.col("fields")[name].cast(kind).alias(name) for name, kind in ACCURACY_FIELDS.items()]
-    return parsed.select(*tree_keys(F.col("path")), "subsample_idx", *values, run_time(F.col("path")).alias("run_time"))
+    return parsed.select(*tree_keys(F.col("path")), index.alias("subsample_idx"), *values, run_time(F.col("path")).alias("run_time"))
 
 
 def latest_runs(df: DataFrame, key: Sequence[str] = REPLICATE_GROUP) -> DataFrame:
-    """Where runs hold results of the same group, keep those of the latest run."""
-    newest = df.groupBy(*key).agg(F.max("run_time").alias("run_time"))
-    return df.join(newest, [*key, "run_time"], "left_semi")
+    """Where runs hold results of the same group, keep those of the latest run.
+
+    Results outside of a run folder (no ``run_time``) count as older than all runs.
+    """
+    dated = df.withColumn("_when", F.coalesce("run_time", F.lit(datetime(1900, 1, 1))))
+    newest = dated.groupBy(*key).agg(F.max("_when").alias("_when"))
+    return dated.join(newest, [*key, "_when"], "left_semi").drop("_when")
 
 
 def write_accuracy_tree(df: DataFrame, path: str) -> None:
-    """One CSV per replicate group, rows in subsample order. Existing results are not overwritten."""
+    """One CSV per replicate group, rows in subsample order. Existing results are not overwritten.
+
+    The last column is ``subsample_idx``, so groups with gaps keep their numbers.
+    """
     keys = [F.col("num_train").alias("m"), F.col("num_test").alias("n"), "lm_type", "dataset"]
     leaf = ["m", "n", "lm_type", "dataset"]
-    rows = df.select(*keys, "subsample_idx", *ACCURACY_FIELDS)
-    ordered = rows.repartition(*leaf).sortWithinPartitions(*leaf, "subsample_idx").drop("subsample_idx")
+    rows = df.select(*keys, *ACCURACY_FIELDS, "subsample_idx")
+    ordered = rows.repartition(*leaf).sortWithinPartitions(*leaf, "subsample_idx")
     ordered.write.mode("errorifexists").partitionBy(*leaf).option("header", True).csv(path)
 
 
@@ -127,16 +136,22 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", "modificationTime")
 
 
-LEADERBOARD = "rank INT, submitter STRING, overall DOUBLE"
+LEADERBOARD = {"Rank": "int", "Submitter": "string", "Overall": "double"}
 
 
-def read_leaderboard(spark: SparkSession, path: str, schema: str = LEADERBOARD) -> DataFrame:
-    """Tab-separated ranking, best first. Rows with damaged later columns are kept."""
-    rows = (
-        spark.read.schema(schema).option("sep", "\t").option("header", True)
-        .option("enforceSchema", True).option("mode", "PERMISSIVE").csv(path)
-    )
-    return rows.orderBy(F.col("overall").desc(), "rank")
+def read_leaderboard(spark: SparkSession, path: str, columns: dict[str, str] = LEADERBOARD) -> DataFrame:
+    """Tab-separated ranking, best first, its columns by the names in the header, in lower case.
+
+    A cell that is no number is NULL; rows with damaged or missing later cells are kept. A column
+    that the header lacks fails.
+    """
+    rows = spark.read.option("sep", "\t").option("header", True).option("mode", "PERMISSIVE").csv(path)
+    found = {name.strip().lower(): name for name in rows.columns}
+    if missing := [name for name in columns if name.lower() not in found]:
+        raise ValueError(f"the header of {path} lacks {missing}")
+    cells = [F.trim(F.col(f"`{found[name.lower()]}`")).try_cast(kind).alias(name.lower().replace(" ", "_"))
+             for name, kind in columns.items()]
+    return rows.select(*cells).orderBy(F.col("overall").desc_nulls_last(), "rank")
 
 
 # --- Run manifests -----------------------------------------------------------------
@@ -182,4 +197,5 @@ def write_manifest(spark: SparkSession, experiment: Experiment, path: str) -> No
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST_SCHEMA).json(path)
+    """One row per file; a manifest may be one line or indented."""
+    return spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(path)

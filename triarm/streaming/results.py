@@ -1,8 +1,9 @@
 """Results as they arrive.
 
-Prediction files of several runs are read as a stream. A row that was delivered
-twice counts once; the cleaned rows go to a Parquet sink exactly once, and the
-accuracy table is the batch operator over that sink.
+Prediction files of several runs are read as a stream and appended to a Parquet sink,
+each delivery exactly once. Rows may come in any order and at any distance in time, so
+nothing is dropped by a watermark: a row that was delivered twice counts once because
+the accuracy table takes one row per key from the sink.
 """
 
 from collections.abc import Sequence
@@ -19,30 +20,27 @@ def read_predictions(spark: SparkSession, path: str, schema: StructType, files_p
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def first_deliveries(
-    stream: DataFrame, key: Sequence[str] = KEY, event_time: str | None = None, delay: str = "1 day"
-) -> DataFrame:
-    """Drop rows that came before.
+def first_deliveries(stream: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """Drop rows that came before. The state holds every key, which only a bounded folder should do."""
+    return stream.dropDuplicates(list(key))
 
-    With an event time the state forgets keys after ``delay``; without one it holds
-    every key, which only a bounded folder should do.
-    """
-    if event_time is None:
-        return stream.dropDuplicates(list(key))
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(key))
 
+def drain(stream: DataFrame, path: str, checkpoint: str, timeout: int | None = None) -> None:
+    """Process what is there now and stop; a restart goes on from the checkpoint.
 
-def drain(stream: DataFrame, path: str, checkpoint: str, timeout: int = 3600) -> None:
-    """Process what is there now and stop; a restart goes on from the checkpoint."""
+    With a ``timeout`` in seconds, a stream that has not finished by then is stopped and fails.
+    """
     run = (
         stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
         .option("checkpointLocation", checkpoint).start(path)
     )
-    if not run.awaitTermination(timeout):
+    if timeout is None:
+        run.awaitTermination()
+    elif not run.awaitTermination(timeout):
         run.stop()
         raise TimeoutError(f"the stream did not finish within {timeout} seconds")
 
 
-def accuracies_so_far(spark: SparkSession, path: str) -> DataFrame:
-    """Accuracies of the rows the sink holds."""
-    return scoring.accuracies(spark.read.parquet(path))
+def accuracies_so_far(spark: SparkSession, path: str, key: Sequence[str] = KEY) -> DataFrame:
+    """Accuracies of the rows the sink holds, each key once."""
+    return scoring.accuracies(spark.read.parquet(path).dropDuplicates(list(key)))
