@@ -4,9 +4,13 @@ Everything covers whole tables. Keys and outcomes come from the hex digits of an
 MD5, which Spark and the checking engine compute alike.
 """
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from triarm.functions.draws import HEX, digit
+from triarm.functions.fixed_values import EFFECTS
 from triarm.operators import scoring, summary
 
 LANGS = ("de", "en", "es", "fr")
@@ -24,6 +28,16 @@ def r6(column: str | Column) -> Column:
     return F.round(col.cast("double"), 6)
 
 
+def per_effect(make: Callable[[str], DataFrame]) -> DataFrame:
+    """What ``make`` gives for each effect, with the effect's name."""
+    return reduce(DataFrame.unionByName, [make(e).withColumn("effect", F.lit(e)) for e in EFFECTS])
+
+
+def sql_per_effect(make: Callable[[str, str, str], str]) -> str:
+    """Union of ``make(effect, treatment, control)``."""
+    return " UNION ALL ".join(make(e, t, c) for e, (t, c) in EFFECTS.items())
+
+
 # --- SQL building blocks ---------------------------------------------------
 
 def sql_digit(key: str, position: int = 1) -> str:
@@ -50,14 +64,14 @@ def sql(body: str, *ctes: str) -> str:
 
 # --- Predictions: events as scored test rows -------------------------------
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event is a test row of one replicate, scored by three arms.
+def predictions(spark: SparkSession, sf_dir: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Every event is a test row of one replicate, scored by three arms; ``keep`` are columns of the event.
 
     The right answer comes with chance 9/16 in base, 11/16 in extra and test: a
     boost of 0.125 and no bias are planted.
     """
     key = F.md5(F.col("event_id").cast("string"))
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type").withColumn("k", key)
+    events = table(spark, sf_dir, "events").withColumn("k", key)
     label = (F.col("user_id") % 3).cast("int")
     wrong = ((F.col("user_id") + 1) % 3).cast("int")
     pred = lambda position, cut: F.when(digit(F.col("k"), position) < cut, label).otherwise(wrong)
@@ -72,6 +86,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         pred(4, 9).alias("pred_base"),
         pred(5, 11).alias("pred_extra"),
         pred(6, 11).alias("pred_test"),
+        *keep,
     )
 
 

@@ -7,7 +7,9 @@ from triarm.functions.draws import word
 from triarm.functions.naming import recode_strict
 from triarm.operators import posterior, reshape
 from triarm.plans.catalog import query
-from triarm.plans.inputs import ACC, CTES, NUM, accuracies, num_correct, r6, sql, sql_word
+from triarm.plans.inputs import (
+    ACC, CTES, NUM, accuracies, num_correct, per_effect, r6, sql, sql_per_effect, sql_word,
+)
 
 CONFIG = ("num_train", "num_test", "lm_type")
 
@@ -141,23 +143,24 @@ def posterior_conditional(spark, sf_dir):
     return diffs.withColumns({c: r6(c) for c in ("treatment", "control", "acc_diff")})
 
 
-@query("calibration_join", sql("""
-, p AS (SELECT num_train, num_test, lm_type, dataset,
-               avg(CASE WHEN method = 'base' THEN pred END) / num_test AS level,
-               (avg(CASE WHEN method = 'extra' THEN pred END) - avg(CASE WHEN method = 'base' THEN pred END)) / num_test
-               AS effect
-        FROM draws WHERE effect = 'boost' GROUP BY 1, 2, 3, 4),
-  o AS (SELECT num_train, num_test, lm_type, dataset, avg(base / CAST(num_test AS DOUBLE)) AS level,
-               avg((extra - base) / CAST(num_test AS DOUBLE)) AS effect
-        FROM num_correct GROUP BY 1, 2, 3, 4)
-SELECT num_train, num_test, lm_type, dataset, round(p.level, 6) AS pred_level, round(o.level, 6) AS obs_level,
-       round(p.effect, 6) AS pred_effect, round(o.effect, 6) AS obs_effect
-FROM p JOIN o USING (num_train, num_test, lm_type, dataset)""", *DRAW_CTES))
+@query("calibration_join", sql(f"""
+, p AS ({sql_per_effect(lambda e, t, c: f"""
+  SELECT '{e}' AS effect, num_train, num_test, lm_type, dataset,
+         avg(CASE WHEN method = '{c}' THEN pred END) / num_test AS level,
+         (avg(CASE WHEN method = '{t}' THEN pred END) - avg(CASE WHEN method = '{c}' THEN pred END)) / num_test AS diff
+  FROM draws WHERE effect = '{e}' GROUP BY 2, 3, 4, 5""")}),
+  o AS ({sql_per_effect(lambda e, t, c: f"""
+  SELECT '{e}' AS effect, num_train, num_test, lm_type, dataset, avg({c} / CAST(num_test AS DOUBLE)) AS level,
+         avg(({t} - {c}) / CAST(num_test AS DOUBLE)) AS diff
+  FROM num_correct GROUP BY 2, 3, 4, 5""")})
+SELECT effect, num_train, num_test, lm_type, dataset, round(p.level, 6) AS pred_level, round(o.level, 6) AS obs_level,
+       round(p.diff, 6) AS pred_effect, round(o.diff, 6) AS obs_effect
+FROM p JOIN o USING (effect, num_train, num_test, lm_type, dataset)""", *DRAW_CTES))
 def calibration_join(spark, sf_dir):
     group = ["num_train", "num_test", "lm_type", "dataset"]
-    draws = draw_table(spark, sf_dir).where("effect = 'boost'")
-    joined = posterior.calibration(draws, num_correct(spark, sf_dir), "boost", group)
-    return joined.withColumns({c: r6(c) for c in joined.columns if c not in group})
+    draws, counts = draw_table(spark, sf_dir), num_correct(spark, sf_dir)
+    joined = per_effect(lambda e: posterior.calibration(draws.where(F.col("effect") == e), counts, e, group))
+    return joined.withColumns({c: r6(c) for c in joined.columns if c not in (*group, "effect")})
 
 
 @query("hdi_summary", sql("""

@@ -246,10 +246,7 @@ def results_stream(spark, sf_dir):
     Equal to the batch accuracies, whatever the order and the age of the rows.
     """
     source, sink, state = (new_path(spark, n) for n in ("incoming", "cleaned", "stream_state"))
-    times = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("row_id"), F.col("ts").cast("timestamp").alias("ts")
-    )
-    rows = predictions(spark, sf_dir).join(times, "row_id")
+    rows = predictions(spark, sf_dir, keep=["ts"])
     newest = F.dayofmonth("ts") > 15
     for i, part in enumerate((rows.where(newest), rows.where("dataset <> 'view'"), rows.where(~newest))):
         part.coalesce(1).write.parquet(f"{source}/run={i}")

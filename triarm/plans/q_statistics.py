@@ -6,7 +6,7 @@ from triarm.operators import correlation, density, effects, permutation, posteri
 from triarm.operators.describe import describe_series
 from triarm.operators.leaderboard import rank_gaps as gaps
 from triarm.plans.catalog import query
-from triarm.plans.inputs import ACC, CTES, NUM, accuracies, num_correct, predictions, r6, sql, sql_word
+from triarm.plans.inputs import ACC, CTES, NUM, accuracies, num_correct, per_effect, predictions, r6, sql, sql_per_effect, sql_word
 from triarm.plans.run import rank_correlations
 from triarm.sources.scratch import stored
 
@@ -156,13 +156,15 @@ def _sql_logit(hits: str, trials: str) -> str:
 
 
 @query("effect_log_odds", sql(f"""
-, s AS (SELECT num_train, num_test, lm_type, CAST(sum(extra) AS DOUBLE) AS t, CAST(sum(base) AS DOUBLE) AS c,
-               CAST(sum(num_test) AS DOUBLE) AS n FROM num_correct GROUP BY 1, 2, 3)
-SELECT num_train, num_test, lm_type, 'boost' AS effect,
+, s AS ({sql_per_effect(lambda e, t, c: f"""
+  SELECT num_train, num_test, lm_type, '{e}' AS effect, CAST(sum({t}) AS DOUBLE) AS t, CAST(sum({c}) AS DOUBLE) AS c,
+         CAST(sum(num_test) AS DOUBLE) AS n FROM num_correct GROUP BY 1, 2, 3""")})
+SELECT num_train, num_test, lm_type, effect,
        round({_sql_logit('t', 'n')} - {_sql_logit('c', 'n')}, 6) AS log_odds,
        round(sqrt(1 / (t + 0.5e0) + 1 / (n - t + 0.5e0) + 1 / (c + 0.5e0) + 1 / (n - c + 0.5e0)), 6) AS se FROM s""", *NUM))
 def effect_log_odds(spark, sf_dir):
-    table = effects.log_odds_effect(num_correct(spark, sf_dir), "boost", [*CONFIG, "lm_type"])
+    counts = num_correct(spark, sf_dir)
+    table = per_effect(lambda e: effects.log_odds_effect(counts, e, [*CONFIG, "lm_type"]))
     return table.withColumns({"log_odds": r6("log_odds"), "se": r6("se")})
 
 
@@ -250,11 +252,8 @@ BOARD = ("predictions", "board")
 
 def board(spark, sf_dir):
     """Users ranked by their share of right answers."""
-    from triarm.plans.inputs import table
-
-    users = table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), "user_id")
     hit = (F.col("pred_extra") == F.col("label")).cast("double")
-    scored = predictions(spark, sf_dir).join(users, "row_id")
+    scored = predictions(spark, sf_dir, keep=["user_id"])
     return scored.groupBy("user_id").agg(F.round(F.avg(hit), 9).alias("score"))
 
 
@@ -262,7 +261,7 @@ def board(spark, sf_dir):
 SELECT rank, round(score, 6) AS score, round(next_score, 6) AS next_score, round(gap, 6) AS gap,
        round(odds_ratio, 6) AS odds_ratio FROM gaps""", *BOARD, "gaps"))
 def rank_gaps(spark, sf_dir):
-    table = gaps(board(spark, sf_dir), "score", "user_id")
+    table = gaps(stored(board(spark, sf_dir), "board"), "score", "user_id")
     return table.withColumns({c: r6(c) for c in ("score", "next_score", "gap", "odds_ratio")})
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from triarm.functions.fixed_values import EFFECTS
 from triarm.operators import scoring, summary
 from triarm.plans.catalog import query
-from triarm.plans.inputs import ACC, NUM, accuracies, datasets, full_accuracies, num_correct, r6, sql
+from triarm.plans.inputs import ACC, NUM, accuracies, datasets, full_accuracies, num_correct, per_effect, r6, sql, sql_per_effect
 
 KEYS = ("num_train", "num_test", "lm_type", "dataset", "subsample_idx")
 GROUP = ("num_train", "num_test", "lm_type", "dataset")
@@ -80,33 +80,38 @@ def majority_share(spark, sf_dir):
 
 @query("diff_summary", sql("""
 , per_group AS (SELECT DISTINCT count(*) AS k FROM accuracies GROUP BY num_train, num_test, lm_type, dataset)
-SELECT dataset, round(avg(test - extra), 6) AS mean,
-       round(stddev_samp(test - extra) / sqrt((SELECT max(k) FROM per_group)), 6) AS se
-FROM accuracies GROUP BY dataset""", *ACC))
+""" + sql_per_effect(lambda e, t, c: f"""
+SELECT '{e}' AS effect, dataset, round(avg({t} - {c}), 6) AS mean,
+       round(stddev_samp({t} - {c}) / sqrt((SELECT max(k) FROM per_group)), 6) AS se
+FROM accuracies GROUP BY dataset"""), *ACC))
 def diff_summary(spark, sf_dir):
-    table = summary.difference_summary(accuracies(spark, sf_dir), summary.effect("bias"))
+    acc = accuracies(spark, sf_dir)
+    table = per_effect(lambda e: summary.difference_summary(acc, summary.effect(e)))
     return table.withColumns({"mean": r6("mean"), "se": r6("se")})
 
 
-@query("eda_overall", sql("""
-, means AS (SELECT dataset, avg(extra - base) AS raw,
-                   avg(CASE WHEN base <> 0 THEN (extra - base) / base END) AS relative
-            FROM accuracies GROUP BY 1)
-SELECT 'raw' AS difference, round(avg(raw), 6) AS mean,
-       round(stddev_samp(raw) / sqrt(count(*)), 6) AS se FROM means
+@query("eda_overall", sql(f"""
+, means AS ({sql_per_effect(lambda e, t, c: f"""
+  SELECT '{e}' AS effect, dataset, avg({t} - {c}) AS raw, avg(CASE WHEN {c} <> 0 THEN ({t} - {c}) / {c} END) AS relative
+  FROM accuracies GROUP BY dataset""")})
+SELECT effect, 'raw' AS difference, round(avg(raw), 6) AS mean,
+       round(stddev_samp(raw) / sqrt(count(*)), 6) AS se FROM means GROUP BY 1
 UNION ALL
-SELECT 'relative', round(avg(relative), 6), round(stddev_samp(relative) / sqrt(count(*)), 6) FROM means""", *ACC))
+SELECT effect, 'relative', round(avg(relative), 6), round(stddev_samp(relative) / sqrt(count(*)), 6) FROM means GROUP BY 1""", *ACC))
 def eda_overall(spark, sf_dir):
-    table = summary.overall_difference(accuracies(spark, sf_dir), *EFFECTS["boost"])
+    acc = accuracies(spark, sf_dir)
+    table = per_effect(lambda e: summary.overall_difference(acc, *EFFECTS[e]))
     return table.withColumns({"mean": r6("mean"), "se": r6("se")})
 
 
-@query("summary_two_level", sql("""
-, means AS (SELECT num_test, lm_type, dataset, avg(extra - base) AS v FROM accuracies GROUP BY 1, 2, 3)
-SELECT num_test, lm_type, round(avg(v), 6) AS mean, round(stddev_samp(v) / sqrt(count(*)), 6) AS se
-FROM means GROUP BY 1, 2""", *ACC))
+@query("summary_two_level", sql(f"""
+, means AS ({sql_per_effect(lambda e, t, c: f"""
+  SELECT '{e}' AS effect, num_test, lm_type, dataset, avg({t} - {c}) AS v FROM accuracies GROUP BY ALL""")})
+SELECT effect, num_test, lm_type, round(avg(v), 6) AS mean, round(stddev_samp(v) / sqrt(count(*)), 6) AS se
+FROM means GROUP BY 1, 2, 3""", *ACC))
 def summary_two_level(spark, sf_dir):
-    table = summary.two_level_summary(accuracies(spark, sf_dir), summary.effect("boost"))
+    acc = accuracies(spark, sf_dir)
+    table = per_effect(lambda e: summary.two_level_summary(acc, summary.effect(e)))
     return table.withColumns({"mean": r6("mean"), "se": r6("se")})
 
 
