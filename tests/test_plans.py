@@ -88,3 +88,11 @@ def test_broadcast_only_below_the_bound(spark):
 @pytest.mark.parametrize("name", ["proc_len_filter", "proc_label_map", "prompt_query", "zero_shot_scores", "softmax"])
 def test_row_wise_steps_do_not_shuffle(spark, sf_dir, name):
     assert "Exchange" not in plan(all_queries()[name].run(spark, sf_dir))
+
+
+@pytest.mark.parametrize("name", ["meta_replicates", "down_sample", "random_example"])
+def test_random_picks_are_not_sorted(spark, sf_dir, name):
+    from triarm.plans import all_queries
+
+    plan = all_queries()[name].run(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan

@@ -194,3 +194,24 @@ def test_scores(spark):
     assert one(spark, scoring.odds_ratio(F.lit(0.8), F.lit(0.5))) == pytest.approx(4.0)
     assert one(spark, scoring.odds_ratio(F.lit(1.0), F.lit(0.5))) is None
     assert one(spark, scoring.tokens(F.lit("Élan, vital!  2x"))) == ["élan", "vital", "2x"]
+
+
+def test_prompts_must_share_their_prefix(spark):
+    from triarm.functions.fixed_values import QUERY_MARKER
+    from triarm.operators.validate import InvalidDataError, require_shared_prefix
+
+    frame = lambda *texts: spark.createDataFrame([(t,) for t in texts], "whole string")
+    require_shared_prefix(frame(f"a {QUERY_MARKER} x", f"a {QUERY_MARKER} y"), "whole")
+    for bad in ((f"a {QUERY_MARKER} x", f"b {QUERY_MARKER} x"), (f"a {QUERY_MARKER} x", "a x"), (f"a {QUERY_MARKER}", None)):
+        with pytest.raises(InvalidDataError):
+            require_shared_prefix(frame(*bad), "whole")
+
+
+def test_number_of_outliers_is_checked(spark):
+    from triarm.operators.summary import drop_outliers
+    from triarm.operators.validate import InvalidDataError
+
+    rows = spark.createDataFrame([(0.9, 0.9), (0.1, 0.9), (None, 0.9)], "extra double, test double")
+    assert drop_outliers(rows, 0.5, expected=2).count() == 1
+    with pytest.raises(InvalidDataError):
+        drop_outliers(rows, 0.5, expected=1)

@@ -34,6 +34,14 @@ def describe_texts(df: DataFrame, key: Sequence[str] = ("dataset",)) -> DataFram
     return described
 
 
+def class_range(described: DataFrame) -> DataFrame:
+    """Smallest and largest number of classes, and the number of datasets."""
+    return described.agg(
+        F.min("num_classes").alias("min_classes"), F.max("num_classes").alias("max_classes"),
+        F.count(F.lit(1)).alias("n_datasets"),
+    )
+
+
 def describe_series(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     """Count, NULLs, mean, deviation, range and nearest-rank quartiles, as rows.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from triarm.functions.fixed_values import ACCURACY_COLUMNS, EFFECTS, REPLICATE_GROUP
 from triarm.functions.scoring import standard_error
-from triarm.operators.validate import require_equal_replicates
+from triarm.operators.validate import InvalidDataError, require_equal_replicates
 
 
 def effect(name: str) -> Column:
@@ -110,9 +110,18 @@ def first_majority(df: DataFrame, groups: Sequence[str] = REPLICATE_GROUP) -> Da
     )
 
 
-def drop_outliers(df: DataFrame, threshold: float, arms: Sequence[str] = ("extra", "test")) -> DataFrame:
-    """Keep replicates where all the arms are above the threshold."""
+def drop_outliers(
+    df: DataFrame, threshold: float, arms: Sequence[str] = ("extra", "test"), expected: int | None = None,
+) -> DataFrame:
+    """Keep replicates where all the arms are above the threshold.
+
+    With ``expected``, another number of dropped replicates is an error.
+    """
     above = F.lit(True)
     for arm in arms:
-        above = above & (F.col(arm) > threshold)
+        above = above & F.coalesce(F.col(arm) > threshold, F.lit(False))
+    if expected is not None:
+        dropped = df.where(~above).count()
+        if dropped != expected:
+            raise InvalidDataError(f"{dropped} outliers, expected {expected}")
     return df.where(above)

@@ -8,7 +8,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from triarm.functions.fixed_values import REPLICATE_GROUP
+from triarm.functions.fixed_values import QUERY_MARKER, REPLICATE_GROUP
+from triarm.functions.prompts import shared_prefix
 
 
 class InvalidDataError(ValueError):
@@ -88,6 +89,19 @@ def require_probabilities(df: DataFrame, num_classes: int, column: str = "probs"
     return df.withColumn(column, F.coalesce(probs, F.raise_error(bad).cast("array<double>")))
 
 
+def require_shared_prefix(df: DataFrame, prompt: str) -> None:
+    """Every prompt has a query marker, and the same text in front of it."""
+    text = F.col(prompt)
+    seen = df.agg(
+        F.count_if(~F.coalesce(F.contains(text, F.lit(QUERY_MARKER)), F.lit(False))).alias("unmarked"),
+        F.min(shared_prefix(text)).alias("low"), F.max(shared_prefix(text)).alias("high"),
+    ).first()
+    if seen["unmarked"]:
+        raise InvalidDataError(f"{seen['unmarked']} prompts have no query marker")
+    if seen["low"] != seen["high"]:
+        raise InvalidDataError("the prompts do not share the text in front of the query")
+
+
 def replicate_counts(df: DataFrame, group: Sequence[str] = REPLICATE_GROUP) -> DataFrame:
     """Rows per replicate group, and how many groups have that many."""
     keys = [c for c in group if c in df.columns]

@@ -232,3 +232,12 @@ def describe_datasets(spark, sf_dir):
     from triarm.operators.describe import describe_texts
 
     return describe_texts(datasets(spark, sf_dir))
+
+
+@query("class_range", sql("""
+SELECT min(k) AS min_classes, max(k) AS max_classes, count(*) AS n_datasets
+FROM (SELECT dataset, count(DISTINCT label) AS k FROM datasets GROUP BY 1) AS c""", "docs", "quality", "datasets"))
+def class_range(spark, sf_dir):
+    from triarm.operators import describe
+
+    return describe.class_range(describe.describe_texts(datasets(spark, sf_dir)))

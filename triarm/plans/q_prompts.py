@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from triarm.functions import prompts
 from triarm.functions.fixed_values import ANSWER_MARKER, INSTRUCTION_OPENING, QUERY_MARKER
 from triarm.operators.packing import packed_prompts, with_batches
+from triarm.operators.validate import require_shared_prefix
 from triarm.plans.catalog import query
 from triarm.plans.inputs import CTES, LANG_NAMES, LANG_TASK, documents, sql, table
 
@@ -119,6 +120,7 @@ def prompt_factor_prefix(spark, sf_dir):
     texts = _chats(documents(spark, sf_dir), empty=True).select(
         "row_id", prompts.strip_suffix(prompts.render(F.col("chat")), "</s>").alias("whole")
     )
+    require_shared_prefix(texts, "whole")
     return texts.select(
         "row_id", prompts.shared_prefix(F.col("whole")).alias("prefix"),
         prompts.after_prefix(F.col("whole")).alias("prompt"),

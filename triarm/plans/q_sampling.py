@@ -71,6 +71,16 @@ def three_way_split(spark, sf_dir):
     return sampling.three_way_split(quality(spark, sf_dir), 50, 100).select("row_id", "label", "role")
 
 
+@query("split_sizes", sql(f"""
+SELECT 40 AS num_train, row_id, label, role FROM ({sql_splits('one', 40, 50, 1, seed='42')}) AS s
+UNION ALL SELECT 80, row_id, label, role FROM ({sql_splits('one', 80, 50, 1, seed='42')}) AS s""", "docs", "one"))
+def split_sizes(spark, sf_dir):
+    """The extra and test rows depend on the number of training rows, as they are drawn from what is left."""
+    docs = documents(spark, sf_dir)
+    cut = lambda m: sampling.three_way_split(docs, m, 50).select(F.lit(m).alias("num_train"), "row_id", "label", "role")
+    return cut(40).unionByName(cut(80))
+
+
 CTES["vectors"] = "SELECT 'vectors' AS dataset, vec_id AS row_id, label FROM embeddings"
 
 

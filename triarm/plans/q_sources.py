@@ -2,15 +2,16 @@
 
 from pyspark.sql import functions as F
 
-from triarm.operators import regression, scoring
+from triarm.operators import regression, scoring, summary
 from triarm.plans.catalog import query
 from triarm.plans.inputs import (
-    ACC, accuracies, documents, full_accuracies, predictions, r6, sql, table,
+    ACC, NUM, accuracies, documents, full_accuracies, predictions, r6, sql, table,
 )
 from triarm.plans.q_arms import PREDICT, predicted
 from triarm.plans.q_reshape import DRAW_CTES, draw_table
 from triarm.plans.q_sampling import vectors
-from triarm.plans.q_statistics import BOARD, board
+from triarm.plans.q_statistics import BOARD, META_CTES, board, meta
+from triarm.plans.run import read_table, write_table
 from triarm.operators.sampling import replicate_splits
 from triarm.sources import results
 from triarm.sources.datasets import scan_split
@@ -80,6 +81,26 @@ def accuracy_scan_grid(spark, sf_dir):
     return _rounded(results.read_accuracy_tree(spark, tree(spark, sf_dir)))
 
 
+@query("num_correct_scan", sql(f"""
+SELECT {G5}, num_classes, base, extra, test, majority, majority_all FROM num_correct WHERE num_test = 50""", *NUM))
+def num_correct_scan(spark, sf_dir):
+    """Accuracy files of one test size as counts."""
+    rows = results.read_accuracy_tree(spark, tree(spark, sf_dir), num_test=50)
+    return summary.num_correct(rows, F.col("num_test")).select(*KEYS, "num_classes", *VALUES)
+
+
+@query("meta_table", sql("""
+SELECT num_train, num_test, replicate, n_subsamples, round(log_odds, 6) AS log_odds, round(mean, 6) AS mean FROM meta""",
+    *META_CTES))
+def meta_table(spark, sf_dir):
+    """A small result table, written as CSV and read again."""
+    path, table_ = new_path(spark, "meta"), meta(spark, sf_dir)
+    write_table(table_, path)
+    schema = "num_train int, num_test int, replicate int, n_subsamples long, log_odds double, mean double"
+    rows = read_table(spark, path, schema)
+    return rows.withColumns({"log_odds": r6("log_odds"), "mean": r6("mean")})
+
+
 @query("merge_runs", sql(f"""
 SELECT {G5}, CASE WHEN lm_type = 'lm_b' THEN '2024-08-14 10:00:00' ELSE '2024-08-13 19:06:44' END AS run_time,
        round(CASE WHEN lm_type = 'lm_b' THEN 1 - base ELSE base END, 6) AS base FROM accuracies""", *ACC))
