@@ -35,10 +35,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, n_ids, ids`` and whether the ids decode to the text."""
     vocabulary = piece_edges.Vocabulary.load(VOCABULARY)
-    rows = piece_edges.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary)
-    rows = piece_edges.decode(rows, vocabulary, text="decoded")
-    same = F.col("decoded") == piece_edges.as_decoded(F.col("text"))
-    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
+    rows = piece_edges.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary, check="round_trip")
+    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 
 
 STAGES = [

@@ -21,16 +21,20 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from triarm.llm.text import Slice, SubstringHashes, slices
 
 META = "▁"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+# Text that is indexed at a time (a longer word by itself): its edges take some hundred times as much memory.
+INDEX_BYTES = 1 << 18
+# Ids that are decoded at a time (a longer text by itself).
+DECODE_IDS = 1 << 18
 # Pairs of pieces whose verdict a task remembers; past it the memory starts anew.
 MAX_PAIRS = 4_000_000
 # Words whose ids a task remembers, some 40 bytes each; past it the memory starts anew.
-MAX_SEEN = 1_000_000
+MAX_SEEN = 400_000
 UNKNOWN_TEXT = " ⁇ ".encode()
 
 
@@ -339,10 +343,14 @@ class Encoder:
             self._forget()
             new[:] = True
         if new.any():
-            sizes = (ends - words)[example[new]]
-            data = part.data[_expand(words[example[new]], sizes)]
-            tails = np.cumsum(sizes)
-            self._remember(kinds[new], *self._encode_words(data, tails - sizes, tails))
+            wanted, at = kinds[new], words[example[new]]
+            sizes = ends[example[new]] - at
+            chunk = np.cumsum(sizes) // INDEX_BYTES
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1, [len(at)]])
+            for a, b in zip(cuts, cuts[1:]):
+                tails = np.cumsum(sizes[a:b])
+                data = part.data[_expand(at[a:b], sizes[a:b])]
+                self._remember(wanted[a:b], *self._encode_words(data, tails - sizes[a:b], tails))
         at = np.searchsorted(self.seen, kinds)[which]
         per_word = self.counts[at]
         flat = self.pool[_expand(self.at[at], per_word)]
@@ -377,36 +385,63 @@ def _with_space(texts: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(empty, texts, space))
 
 
-def as_decoded(text: Column) -> Column:
-    """What a text is after encoding and decoding: itself, but for U+2581, and empty for NULL."""
-    return F.translate(F.coalesce(text, F.lit("")), META, " ")
-
-
-def _columns(df: DataFrame, drop: str) -> tuple[list[str], str]:
-    kept = [f for f in df.schema.fields if f.name != drop]
+def _columns(df: DataFrame, *drop: str) -> tuple[list[str], str]:
+    kept = [f for f in df.schema.fields if f.name not in drop]
     return [f.name for f in kept], "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
+class Decoder:
+    def __init__(self, vocabulary: Vocabulary):
+        self.sizes = np.array([len(p) for p in vocabulary.pieces])
+        self.joined = np.frombuffer(b"".join(vocabulary.pieces), dtype=np.uint8)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+
+    def texts(self, flat: np.ndarray, places: np.ndarray) -> pa.Array:
+        """Texts of the ids ``flat[places[i]:places[i + 1]]``."""
+        size = self.sizes[flat]
+        data = self.joined[_expand(self.begins[flat], size)]
+        ends = np.concatenate([[0], np.cumsum(size)])[places]
+        # The added space: the first byte of a text that has one.
+        starts = ends[:-1]
+        spaced = starts < ends[1:]
+        spaced[spaced] = data[starts[spaced]] == 32
+        keep = np.ones(len(data), dtype=bool)
+        keep[starts[spaced]] = False
+        data, ends = data[keep], ends - np.concatenate([[0], np.cumsum(spaced)])
+        out = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
+        try:
+            return out.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([x.decode(errors="replace") for x in out.to_pylist()], type=pa.string())
+
+
+def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", check: str | None = None) -> DataFrame:
     """``df`` with the column ``ids``, the encoding of ``text``; a column of that name is replaced.
 
-    NULL and empty texts have no ids. Each batch of texts is encoded in the task that reads it, a few
-    megabytes at a time (a longer text by itself); nothing is shuffled.
+    With ``check``, a column of that name says whether the ids decode to the text (with U+2581 as a space).
+    NULL and empty texts have no ids. Each batch of texts is encoded in the task that reads it, a megabyte at
+    a time (a longer text by itself); nothing is shuffled.
     """
-    names, schema = _columns(df, ids)
+    names, schema = _columns(df, *filter(None, (ids, check)))
     shared = Shared(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder, decoder = _encoder(shared), Decoder(shared.vocabulary)
         for batch in batches:
-            for part in slices(_with_space(batch.column(text)), SLICE_BYTES):
-                flat, counts = encoder.encode(part)
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                kept = [batch.column(n).slice(part.rows.start, part.rows.stop - part.rows.start) for n in names]
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*kept, lists], names=[*names, ids])
+            for part in slices(batch.column(text), SLICE_BYTES):
+                some = batch.slice(part.rows.start, part.rows.stop - part.rows.start)
+                spaced = _with_space(some.column(text))
+                flat, counts = encoder.encode(next(slices(spaced, 1 << 62)))
+                places = np.concatenate([[0], np.cumsum(counts)])
+                lists = pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(flat.astype(np.int32)))
+                columns = [*(some.column(n) for n in names), lists]
+                if check:
+                    back = _with_space(decoder.texts(flat, places))
+                    columns.append(pc.equal(back, spaced))
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, ids, *([check] if check else [])])
 
-    return df.mapInArrow(run, f"{schema}`{ids}` ARRAY<INT>")
+    return df.mapInArrow(run, f"{schema}`{ids}` ARRAY<INT>" + (f", `{check}` BOOLEAN" if check else ""))
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -416,33 +451,22 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str =
     character become U+FFFD; control pieces are nothing. An id outside the vocabulary fails the job.
     """
     names, schema = _columns(df, text)
-    sizes = np.array([len(p) for p in vocabulary.pieces])
-    joined = np.frombuffer(b"".join(vocabulary.pieces), dtype=np.uint8)
-    begins = np.cumsum(sizes) - sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(vocabulary)
         for batch in batches:
             column = batch.column(ids)
             flat = column.flatten().to_numpy(zero_copy_only=False)
-            if len(flat) and not (0 <= flat.min() and flat.max() < len(sizes)):
+            if len(flat) and not (0 <= flat.min() and flat.max() < len(decoder.sizes)):
                 raise ValueError("an id is outside the vocabulary")
             counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            data = joined[_expand(begins[flat], sizes[flat])]
-            ends = np.concatenate([[0], np.cumsum(sizes[flat])])[np.concatenate([[0], np.cumsum(counts)])]
-            # The added space: the first byte of a text that has one.
-            starts = ends[:-1].copy()
-            spaced = starts < ends[1:]
-            spaced[spaced] = data[starts[spaced]] == 32
-            keep = np.ones(len(data), dtype=bool)
-            keep[starts[spaced]] = False
-            data = data[keep]
-            ends = ends - np.concatenate([[0], np.cumsum(spaced)])
-            out = pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
-            try:
-                texts = out.cast(pa.large_string())
-            except pa.ArrowInvalid:
-                texts = pa.array([x.decode(errors="replace") for x in out.to_pylist()], type=pa.large_string())
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], texts.cast(pa.string())], names=[*names, text])
+            places = np.concatenate([[0], np.cumsum(counts)])
+            first = 0
+            while first < len(counts):
+                last = max(first + 1, int(np.searchsorted(places, places[first] + DECODE_IDS, "right")) - 1)
+                texts = decoder.texts(flat[places[first]:places[last]], places[first:last + 1] - places[first])
+                kept = [batch.column(n).slice(first, last - first) for n in names]
+                yield pa.RecordBatch.from_arrays([*kept, texts], names=[*names, text])
+                first = last
 
     return df.mapInArrow(run, f"{schema}`{text}` STRING")

@@ -141,9 +141,8 @@ def op9_piece_edges(spark, sf_dir):
     """Every text to ids and back; ids as their number and hash."""
     vocabulary = piece_edges.Vocabulary.load(VOCABULARY)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = piece_edges.decode(piece_edges.encode(docs, vocabulary), vocabulary, text="decoded")
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"),
-                       (F.col("decoded") == piece_edges.as_decoded(F.col("text"))).alias("round_trip"))
+    rows = piece_edges.encode(docs, vocabulary, check="round_trip")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
