@@ -12,7 +12,7 @@ threshold 0.75, the full depth 4 and 32 trees, all but 5 in a million.
 """
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +27,14 @@ MIN_SHARE = 75  # per cent of the union
 TREES, DEPTH, LEAST_DEPTH = 32, 4, 3
 HASHES = TREES * DEPTH
 BITS = 16  # of each value in a tree's key
-SORTED_TREES = 8
+SORTED_TREES = 16
 # Sets in a region up to which it is taken at the least depth.
 SPARSE = 32
-# Of 128 signature values a pair at the threshold differs in 32 on the average (standard deviation 4.9), and
-# each difference shows in two bits with probability 3/4: 24 in the mean, 4.4 the deviation. Six and a half
-# deviations more are let through.
-MAX_DIFFERENT = 53
+# Pairs of unsettled regions are screened by two bits of each of 1,536 further MinHash values. At the threshold
+# a value differs with probability 1/4, and then shows in the bits with 3/4: 288 times in the mean, with a
+# standard deviation of 15.3. Five deviations more are let through.
+SCREEN = 1536
+MAX_DIFFERENT = 364
 
 
 @cache
@@ -84,6 +85,10 @@ def _set_names(hashes: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(name), [None, pa.py_buffer(name.tobytes())]).cast(pa.binary())
 
 
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(signed(x).ravel()))
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch.column("text")):
@@ -92,27 +97,38 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = np.flatnonzero(sizes)
             heads = first[:-1][full]
             keys = np.zeros((len(sizes), TREES), dtype=np.uint64)
-            bits = np.zeros((len(sizes), 4), dtype=np.uint64)
             for j, a in enumerate(_multipliers() if len(full) else ()):
                 value = mix(np.minimum.reduceat(hashes * a, heads))
                 tree, level = j % TREES, j // TREES
                 shift = np.uint64(BITS * (DEPTH - 1 - level))
                 keys[full, tree] |= (value & np.uint64((1 << BITS) - 1)) << shift
-                for plane in (0, 1):
-                    bit = (value >> np.uint64(BITS + plane)) & np.uint64(1)
-                    bits[full, 2 * plane + j // 64] |= bit << np.uint64(j % 64)
             ids = batch.column("doc_id").slice(part.rows.start, len(sizes))
-            lists = lambda x: pa.ListArray.from_arrays(
-                pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(signed(x).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [ids, _set_names(hashes, first), pa.array(sizes.astype(np.int64)), lists(keys), lists(bits)],
-                names=["doc_id", "node", "n_shingles", "keys", "bits"])
+                [ids, _set_names(hashes, first), pa.array(sizes.astype(np.int64)), _lists(keys)],
+                names=["doc_id", "node", "n_shingles", "keys"])
+
+
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, bits``: two planes of one bit for each of the screening values."""
+    factors = np.random.default_rng(1_024).integers(1, 1 << 31, SCREEN, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    for batch in batches:
+        for part in slices(batch.column("text")):
+            hashes, first = shingle_sets(part)
+            heads = first[:-1]  # no set is empty here
+            short = (hashes >> np.uint64(32)).astype(np.uint32)
+            bits = np.zeros((len(heads), SCREEN // 32), dtype=np.uint64)
+            for j, a in enumerate(factors):
+                value = (np.minimum.reduceat(short * a, heads) * np.uint32(0x9E3779B1)).astype(np.uint64) >> np.uint64(30)
+                bits[:, j // 64] |= (value & np.uint64(1)) << np.uint64(j % 64)
+                bits[:, SCREEN // 64 + j // 64] |= (value >> np.uint64(1) & np.uint64(1)) << np.uint64(j % 64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").slice(part.rows.start, len(heads)), _lists(bits)], names=["node", "bits"])
 
 
 def sketches(documents: DataFrame) -> DataFrame:
-    """``doc_id, node, n_shingles, keys, bits``; equal sets have equal ``node``, 16 bytes."""
+    """``doc_id, node, n_shingles, keys``; equal sets have equal ``node``, 16 bytes."""
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _sketch, "doc_id BIGINT, node BINARY, n_shingles BIGINT, keys ARRAY<BIGINT>, bits ARRAY<BIGINT>")
+        _sketch, "doc_id BIGINT, node BINARY, n_shingles BIGINT, keys ARRAY<BIGINT>")
 
 
 def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,9 +181,9 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _alike(x: str, y: str) -> Column:
     """Whether sizes and signature bits leave it possible that two sets are alike enough."""
     size = lambda s: F.col(f"{s}.n_shingles")
-    differ = sum((F.bit_count(
-        (F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])).bitwiseOR(
-            F.col(f"{x}.bits")[i + 2].bitwiseXOR(F.col(f"{y}.bits")[i + 2]))) for i in (0, 1)), F.lit(0))
+    half = SCREEN // 64
+    plane = lambda i: F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])
+    differ = sum((F.bit_count(plane(i).bitwiseOR(plane(i + half))) for i in range(half)), F.lit(0))
     return (100 * F.least(size(x), size(y)) >= MIN_SHARE * F.greatest(size(x), size(y))) & (differ <= MAX_DIFFERENT)
 
 
@@ -182,7 +198,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """
     rows = stored(sketches(documents), "sketches")
     full = rows.where("n_shingles > 0")
-    nodes = stored(full.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_shingles", "keys", "bits")]), "nodes")
+    nodes = stored(full.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_shingles", "keys")]), "nodes")
     trees = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
     trees = trees.withColumn("region", F.shiftrightunsigned("key", BITS * (DEPTH - LEAST_DEPTH)))
     crowded = trees.groupBy("tree", "region").agg(F.count("*").alias("sets")).where("sets > 1")
@@ -202,16 +218,27 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     placed = placed.withColumn("region", F.when(F.col("sets") <= SPARSE, F.col("region")).otherwise(F.col("key")))
     same = ["tree", "region", "sets"]
     mixed = placed.groupBy(*same).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    unsettled = placed.join(mixed.select(*same), same).join(nodes.select("node", "n_shingles", "bits"), "node")
-    unsettled = stored(unsettled.select(*same, "node", "component", "n_shingles", "bits"), "unsettled")
+    unsettled = stored(placed.join(mixed.select(*same), same).select(
+        "tree", "node", "component", F.xxhash64(*same).alias("region")), "unsettled")
+    # All regions of a node, in order of the trees, so that a pair is taken in the first region it shares.
+    regions = unsettled.groupBy("node").agg(F.array(*[
+        F.coalesce(F.max(F.when(F.col("tree") == t, F.col("region"))), F.lit(0)) for t in range(TREES)]).alias("regions"))
+    screens = texts.join(unsettled.select("node").distinct(), "node", "left_semi").mapInArrow(
+        _screen, "node BINARY, bits ARRAY<BIGINT>")
+    screens = stored(screens.join(nodes.select("node", "n_shingles"), "node").join(regions, "node"), "screens")
+    unsettled = unsettled.join(screens, "node")
+    at = lambda side, t: F.col(f"{side}.regions")[t]
+    first = reduce(Column.__and__, [
+        (F.col("x.tree") <= t) | (at("x", t) != at("y", t)) | (at("x", t) == 0) for t in range(TREES - 1)])
     pairs = unsettled.alias("x").join(unsettled.alias("y"), [
-        *(F.col(f"x.{c}") == F.col(f"y.{c}") for c in same), F.col("x.component") < F.col("y.component"), _alike("x", "y")])
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        F.col("x.region") == F.col("y.region"), F.col("x.tree") == F.col("y.tree"),
+        F.col("x.component") < F.col("y.component"), _alike("x", "y"), first])
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     found = components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).union(confirm(pairs, texts)))
 
     named = rows.select("doc_id", "node", "n_shingles").join(found, "node", "left").withColumn(
         "component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
-    least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
+    least = stored(named.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
     named = named.join(least, "component", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
     return named.select("doc_id", "n_shingles", "component_id",
                         F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
