@@ -2,12 +2,13 @@
 
 A seed is a mask over consecutive words: the words at its ones are hashed, those at its zeros ignored, so a
 replaced word spoils only the seeds that use it. Seeds of documents that also occur in the benchmark give
-an alignment (document, item, shift); around it the words are compared one by one, and the stretch that
-agrees best is an overlap if it is long and equal enough.
+an alignment (document, item, shift); along it the words are compared one by one, and it is an overlap if any
+stretch of it has enough equal words and a large enough share of them.
 """
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from triarm.llm.text import cut_words, mix, slices
 
-MASKS = ("1101011", "11001101", "111001001")
+# One of these fits into every stretch of eight or more equal words that are three quarters of it: without four equal
+# words in a row its runs are of three at most, and two of them, of three and three or three and two words, are one
+# replaced word apart. At lower bounds than the two below some overlaps have no seed.
+MASKS = ("1111", "111011", "110111")
 # An overlap has at least this many equal words (or a whole shorter item), and this share of equal words.
 MIN_WORDS = 8
 MIN_SHARE = 0.75
@@ -85,6 +89,27 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
     return first, last - first, int(equal[first:last].sum())
 
 
+def fullest_stretch(equal: np.ndarray, min_share: float) -> tuple[int, int, int]:
+    """``(first, length, equal words)`` of the stretch with the most equal words among those of a large enough share.
+
+    The share is reached where the sum of (equal - share) is not negative, so for every end the first start
+    whose running sum is not above that of the end holds the most. Of equals the shortest, then the first.
+    """
+    over, under = Fraction(str(min_share)).as_integer_ratio()
+    counts = np.concatenate([[0], np.cumsum(equal)])
+    sums = under * counts - over * np.arange(len(counts))
+    starts = np.searchsorted(-np.minimum.accumulate(sums), -sums, "left")
+    found = counts - counts[starts]
+    if not found.max():
+        return 0, 0, 0
+    places = np.flatnonzero(equal)
+    # Ends with the most equal words, and the stretch between its outermost equal words.
+    last = np.flatnonzero(found == found.max())
+    first = places[counts[starts[last]]]
+    best = int(np.argmin(last - first))
+    return int(first[best]), int(last[best] - first[best]), int(found.max())
+
+
 def overlaps_in(part, block: Block, min_words: int, min_share: float) -> list[tuple]:
     """``(row of the slice, item, first word, words, equal words)``: for each pair its best overlap."""
     found = cut_words(part)
@@ -107,8 +132,8 @@ def overlaps_in(part, block: Block, min_words: int, min_share: float) -> list[tu
     for doc, item, shift in np.unique(np.concatenate(hits, axis=1), axis=1).T.tolist() if hits else ():
         own, other = found.hashes[found.first[doc]:found.first[doc + 1]], block.words[item]
         a, b = max(0, -shift), min(len(other), len(own) - shift)
-        first, length, equal = best_stretch(own[a + shift:b + shift] == other[a:b])
-        if equal >= min(min_words, len(other)) and equal >= min_share * length:
+        first, length, equal = fullest_stretch(own[a + shift:b + shift] == other[a:b], min_share)
+        if equal >= max(min(min_words, len(other)), 1):
             row = (equal, -length, -(first + a + shift))
             best[doc, item] = max(best.get((doc, item), row), row)
     return [(doc, item, -start, -length, equal) for (doc, item), (equal, length, start) in sorted(best.items())]
