@@ -6,7 +6,7 @@ from triarm.functions import scoring as fs
 from triarm.functions.fixed_values import ARMS
 from triarm.operators import arms, scoring
 from triarm.plans.catalog import query
-from triarm.plans.inputs import CTES, datasets, documents, r6, sql
+from triarm.plans.inputs import CTES, LANGS, datasets, documents, r6, sql
 from triarm.plans.q_sampling import SPLITS, splits
 
 CELL = "dataset, subsample_idx"
@@ -131,6 +131,21 @@ def pred_probs_wide(spark, sf_dir):
     return wide.withColumns({c: r6(c) for c in wide.columns if c.startswith("pred_prob")})
 
 
+CLASSES = {"languages": len(LANGS), "quality": 2}
+
+
+@query("pred_probs_wide_all", sql(f"""
+SELECT {CELL}, row_id, label, {', '.join(
+    f"round(max(prob) FILTER (WHERE arm = '{a}' AND class_idx = {i}), 6) AS pred_prob_{i}_{a}"
+    for a in ARMS for i in range(max(CLASSES.values())))}
+FROM probs GROUP BY 1, 2, 3, 4""", *PREDICT))
+def pred_probs_wide_all(spark, sf_dir):
+    """Both datasets; the columns of classes that a dataset does not have are NULL."""
+    rows = predicted(spark, sf_dir)
+    wide = scoring.probability_columns(rows, ["dataset", "subsample_idx", "row_id", "label"], max(CLASSES.values()))
+    return wide.withColumns({c: r6(c) for c in wide.columns if c.startswith("pred_prob")})
+
+
 # --- Scores without training --------------------------------------------------
 
 # Common words of each language, in label order.

@@ -1,13 +1,15 @@
 """Scans and sinks: tables are written to the shared folder and read back."""
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from triarm.operators import regression, scoring, summary
 from triarm.plans.catalog import query
 from triarm.plans.inputs import (
     ACC, NUM, accuracies, documents, full_accuracies, predictions, r6, sql, table,
 )
-from triarm.plans.q_arms import PREDICT, predicted
+from triarm.plans.q_arms import CLASSES, PREDICT, predicted
 from triarm.plans.q_reshape import DRAW_CTES, draw_table
 from triarm.plans.q_sampling import vectors
 from triarm.plans.q_statistics import BOARD, META_CTES, board, meta
@@ -15,7 +17,7 @@ from triarm.plans.run import read_table, write_table
 from triarm.operators.sampling import replicate_splits
 from triarm.sources import results
 from triarm.sources.datasets import scan_split
-from triarm.sources.scratch import new_path
+from triarm.sources.scratch import new_path, stored
 from triarm.streaming import results as streaming
 
 KEYS = ("num_train", "num_test", "lm_type", "dataset", "subsample_idx")
@@ -258,6 +260,26 @@ def accuracy_from_preds(spark, sf_dir):
     return scored.select("subsample_idx", *[r6(a).alias(a) for a in ARMS])
 
 
+@query("accuracy_from_preds_all", sql("""
+SELECT dataset, subsample_idx, round(avg((label = pred)::INTEGER) FILTER (WHERE arm = 'base'), 6) AS base,
+       round(avg((label = pred)::INTEGER) FILTER (WHERE arm = 'extra'), 6) AS extra,
+       round(avg((label = pred)::INTEGER) FILTER (WHERE arm = 'test'), 6) AS test
+FROM preds GROUP BY 1, 2""", *PREDICT))
+def accuracy_from_preds_all(spark, sf_dir):
+    """The same for both datasets, whose files have as many probability columns as they have classes."""
+    rows = stored(predicted(spark, sf_dir), "predicted")
+    key = ["dataset", "subsample_idx"]
+    scored = []
+    for dataset, num_classes in CLASSES.items():
+        path = new_path(spark, f"preds_{dataset}")
+        wide = scoring.probability_columns(rows.where(F.col("dataset") == dataset), [*key, "row_id", "label"], num_classes)
+        results.write_predictions_csv(wide, path)
+        kinds = ["row_id bigint", "label int", *[f"{c} double" for c in wide.columns if c.startswith("pred_prob")]]
+        files = spark.read.schema(", ".join(kinds)).option("header", True).csv(path)
+        scored.append(scoring.accuracies(scoring.predictions_from_columns(files), key))
+    return reduce(DataFrame.unionByName, scored).select(*key, *[r6(a).alias(a) for a in ARMS])
+
+
 @query("results_stream", sql(f"""
 SELECT {G5}, round(base, 6) AS base, round(extra, 6) AS extra, round(test, 6) AS test, round(majority, 6) AS majority
 FROM accuracies""", *ACC))
