@@ -113,6 +113,45 @@ def chat_strip_suffix(spark, sf_dir):
     return rendered(spark, sf_dir).withColumn("text", prompts.strip_suffix(F.col("text"), "."))
 
 
+CTES["turns"] = f"""
+  SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.turn, a.turn) AS turn,
+         CASE WHEN u.role IS NULL THEN a.text WHEN a.role IS NULL THEN u.opening ELSE u.opening || a.text END AS text
+  FROM (SELECT conv_id, turn, role, 'Reply politely.' || chr(10) || {SQL_QUERY} AS opening
+        FROM conversations WHERE role = 'user') AS u
+  FULL JOIN (SELECT conv_id, turn, role, text FROM conversations WHERE role = 'assistant') AS a
+    ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
+  UNION ALL
+  SELECT conv_id, turn, text FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')"""
+
+
+def all_turns(spark, sf_dir):
+    """Every turn once: with its reply, as a question without one, or as a message of its own."""
+    turns = table(spark, sf_dir, "conversations")
+    of_role = lambda role: F.col("role") == F.lit(role)
+    opening = F.concat(F.lit("Reply politely.\n"), prompts.query(F.col("text")))
+    user = turns.where(of_role("user")).select("conv_id", "turn", opening.alias("opening"), F.lit(True).alias("asked"))
+    reply = turns.where(of_role("assistant")).select(
+        F.col("conv_id").alias("reply_conv"), F.col("turn").alias("reply_turn"), F.col("text").alias("reply"), F.lit(True).alias("replied"))
+    both = user.join(reply, (F.col("conv_id") == F.col("reply_conv")) & (F.col("turn") + 1 == F.col("reply_turn")), "full")
+    text = F.when(F.col("asked").isNull(), F.col("reply")).when(F.col("replied").isNull(), F.col("opening")).otherwise(
+        F.concat("opening", "reply"))
+    paired = both.select(F.coalesce("conv_id", "reply_conv").alias("conv_id"), F.coalesce("turn", "reply_turn").alias("turn"), text.alias("text"))
+    others = turns.where(F.coalesce(~F.col("role").isin("user", "assistant"), F.lit(True)))
+    return paired.unionByName(others.select("conv_id", "turn", "text"))
+
+
+@query("chat_render_all", sql("SELECT conv_id, turn, text FROM turns", "turns"))
+def chat_render_all(spark, sf_dir):
+    return all_turns(spark, sf_dir)
+
+
+@query("chat_strip_suffix_all", sql("""
+SELECT conv_id, turn, CASE WHEN suffix(text, '.') THEN substr(text, 1, length(text) - 1) ELSE text END AS text
+FROM turns""", "turns"))
+def chat_strip_suffix_all(spark, sf_dir):
+    return all_turns(spark, sf_dir).withColumn("text", prompts.strip_suffix(F.col("text"), "."))
+
+
 @query("prompt_factor_prefix", sql(f"""
 SELECT row_id, {SQL_INSTRUCTION} AS prefix, {SQL_QUERY} || ' ### Answer:' AS prompt FROM docs""", "docs"))
 def prompt_factor_prefix(spark, sf_dir):
