@@ -1,23 +1,25 @@
 """Language-model scores by a hierarchical Pitman-Yor process.
 
 Every context is a restaurant whose customers are the tokens seen after it and whose tables are dishes (tokens)
-ordered from the parent restaurant: one customer there for each table. The contexts of a token are the last
-two bytes of the word before, then the last byte, then nothing, so that 65,536 restaurants share 256 parents and
-these share one; the root orders from a uniform base over the known tokens and one for all others. How many
-tables a dish has is sampled by Gibbs steps: the customers of a dish are seated anew, each at a table of its
-dish or, with a probability that grows with the parent's belief in the dish, at a new one. The predictive
-probabilities of several samples are averaged.
-
-Everything about a token lies in one part of the model (parts are ranges of word hashes), so a sweep is a
-map over parts. What parts share is the number of customers and tables per restaurant: at most 65,793
-rows, whatever the corpus. Documents meet the parts as blocks of counts, one block per part and
-batch of documents, and the sums of the parts come back per batch.
+ordered from the parent restaurant: one customer there for each table. The context of a token is the whole word
+before, its parent that word's last two bytes, whose parent is nothing; the root orders from a uniform base over the
+known tokens and one for all others. How many tables a dish has is sampled by Gibbs steps: the customers of a dish are
+seated anew, each at a table of its dish or, with a probability that grows with the parent's belief in the dish, at a
+new one. The predictive probabilities of several samples are averaged.
+
+Everything about a token lies in one part of the model (parts are ranges of word hashes), so a sweep is a map over
+parts. What parts share is the number of customers and tables per restaurant. Those of the root and the parents, 65,537
+at most, go through the driver. Those of the words before grow with the vocabulary and stay distributed: each
+part sends the sums of its contexts to ranges of context hashes, where they are added up and sent back, one row per
+part and range, so that a frequent context is one number of each part. Documents meet the parts as blocks of
+counts, one block per part and batch of documents, and the sums of the parts come back per batch.
 """
 
 import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +30,14 @@ from triarm.llm.text import SLICE_BYTES, Slice, crc_fold, cut_words, slices
 from triarm.sources.scratch import stored
 
 FOLDS = 10
-CONTEXTS = 1 << 16
-PARENTS = 1 << 8
-START = 0  # the context of a text's first token; shared with the word of one NUL byte
+PARENTS = 1 << 16  # a context is 47 bits of the hash of the word before, and its last two bytes
+START = 0  # the context of a text's first token
 END = np.uint64(0x0E2D0E2D0E2D0E2D)  # stands for the token that ends a text
 STRENGTH = (1.0, 1.0, 1.0)  # of the root, the parents, the contexts
 BURN_IN, SAMPLES = 2, 2
 SEED = 4
 # Text that a part of the model stands for, and text whose counts make one block.
-PART_BYTES = 24 << 20
+PART_BYTES = 12 << 20
 MAX_PARTS = 20_000
 BLOCK_BYTES = 16 << 20
 # Counts a task gathers before it adds up equal ones.
@@ -54,6 +55,16 @@ def _unpack(data: bytes) -> tuple:
     return pickle.loads(pa.decompress(data[8:], decompressed_size=size, codec=_CODEC, asbytes=True))
 
 
+def _thin(x: np.ndarray) -> np.ndarray:
+    """Hashes in order as the bytes of their differences, place by place, which compress."""
+    steps = np.diff(x.astype(np.uint64), prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
+
+
+def _full(thin: np.ndarray, dtype=np.int64) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(thin.T).view(np.uint64).ravel(), dtype=np.uint64).astype(dtype)
+
+
 def parent_of(context: np.ndarray) -> np.ndarray:
     return context % PARENTS
 
@@ -74,7 +85,7 @@ def tokens(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     longer = words.ends - words.starts > 1
     other = np.where(longer, fold[part.data[np.maximum(words.ends - 2, 0)]], 0) if len(words.ends) else last
     context = np.full(n, START, dtype=np.int64)
-    context[place + 1] = other * PARENTS + last
+    context[place + 1] = (words.hashes >> np.uint64(17) << np.uint64(16)).astype(np.int64) | other * 256 + last
     return token, context, doc
 
 
@@ -83,15 +94,21 @@ def _part_of(token: np.ndarray, parts: int) -> np.ndarray:
     return (((token >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
+def _range_of(context: np.ndarray, parts: int) -> np.ndarray:
+    return _part_of(context.astype(np.uint64) << np.uint64(1), parts)
+
+
 def _count(token, context, doc) -> tuple:
-    """Different tokens in order; different (token number, context, text) in order, and their counts."""
+    """Different tokens and contexts in order; different (token number, context number, text) in order, and their counts."""
     words, which = np.unique(token, return_inverse=True)
-    docs = int(doc.max()) + 1 if len(doc) else 1
-    keys, counts = np.unique((which.astype(np.uint64) * np.uint64(CONTEXTS) + context.astype(np.uint64)) * np.uint64(docs)
-                             + doc.astype(np.uint64), return_counts=True)
-    pair = keys // np.uint64(docs)
-    return (words, (pair // np.uint64(CONTEXTS)).astype(np.int64), (pair % np.uint64(CONTEXTS)).astype(np.int64),
-            (keys % np.uint64(docs)).astype(np.int64), counts)
+    contexts, at = np.unique(context, return_inverse=True)
+    docs = np.uint64(int(doc.max()) + 1 if len(doc) else 1)
+    kinds = np.uint64(max(len(contexts), 1))
+    keys, counts = np.unique((which.astype(np.uint64) * kinds + at.astype(np.uint64)) * docs + doc.astype(np.uint64),
+                             return_counts=True)
+    pair = keys // docs
+    return (words, contexts, (pair // kinds).astype(np.int64), (pair % kinds).astype(np.int64),
+            (keys % docs).astype(np.int64), counts)
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[slice, list]]:
@@ -131,9 +148,11 @@ def _count_training(parts: int):
         for batch in batches:
             for _, held in _blocks(batch):
                 token, context, _ = (np.concatenate(x) for x in zip(*held))
-                words, number, context, _, counts = _count(token, context, np.zeros(len(token), dtype=np.int64))
-                rows = [(p, _pack(words[w], _small(number[r] - w.start), _small(context[r]), _small(counts[r])))
-                        for p, w, r in _split(words, number, parts)]
+                words, contexts, number, at, _, counts = _count(token, context, np.zeros(len(token), dtype=np.int64))
+                rows = []
+                for p, w, r in _split(words, number, parts):
+                    own, local = np.unique(at[r], return_inverse=True)
+                    rows.append((p, _pack(_thin(words[w]), _thin(contexts[own]), _small(number[r] - w.start), _small(local), _small(counts[r]))))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], type=pa.int32()),
                                                   pa.array([x[1] for x in rows], type=pa.binary())], names=["part", "data"])
     return run
@@ -141,26 +160,44 @@ def _count_training(parts: int):
 
 @dataclass
 class Part:
-    """Tokens in order; pairs (token number, context) in order with their customers, and tables per sample."""
+    """Tokens and contexts in order; pairs of their numbers in order with their customers, and tables per sample."""
 
     words: np.ndarray
+    contexts: np.ndarray
     number: np.ndarray
-    context: np.ndarray
+    at: np.ndarray
     customers: np.ndarray
     tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # of pairs, of (token, parent) pairs, of tokens
 
+    @cached_property
     def parents(self) -> tuple[np.ndarray, np.ndarray]:
         """Different (token number * PARENTS + parent), and which of them each pair belongs to."""
-        return np.unique(self.number * PARENTS + parent_of(self.context), return_inverse=True)
+        return np.unique(self.number * PARENTS + parent_of(self.contexts)[self.at], return_inverse=True)
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        return self.number * len(self.contexts) + self.at
+
+    @cached_property
+    def seen(self) -> np.ndarray:
+        """Training count of each token."""
+        return np.bincount(self.number, self.customers, minlength=len(self.words)).astype(np.int64)
+
+    @cached_property
+    def inner(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per sample the customers of (token, parent) pairs, and of tokens in the root: tables of the level above."""
+        pairs, which = self.parents
+        return [(np.bincount(which, t2, minlength=len(pairs)).astype(np.int64),
+                 np.bincount(pairs // PARENTS, t1, minlength=len(self.words)).astype(np.int64)) for t2, t1, _ in self.tables]
 
     def pack(self) -> bytes:
-        return _pack(self.words, _small(self.number), self.context.astype(np.uint16), _small(self.customers),
+        return _pack(_thin(self.words), _thin(self.contexts), _small(self.number), _small(self.at), _small(self.customers),
                      [tuple(_small(t) for t in s) for s in self.tables])
 
     @staticmethod
     def unpack(data: bytes) -> "Part":
-        words, number, context, customers, tables = _unpack(data)
-        return Part(words, number.astype(np.int64), context.astype(np.int64), customers.astype(np.int64),
+        words, contexts, number, at, customers, tables = _unpack(data)
+        return Part(_full(words, np.uint64), _full(contexts), number.astype(np.int64), at.astype(np.int64), customers.astype(np.int64),
                     [tuple(t.astype(np.int64) for t in s) for s in tables])
 
 
@@ -171,16 +208,14 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def merge():
         token, context, counts = (np.concatenate(x) for x in zip(*held))
         words, which = np.unique(token, return_inverse=True)
-        keys, back = np.unique(which * CONTEXTS + context, return_inverse=True)
-        total = np.zeros(len(keys), dtype=np.int64)
-        np.add.at(total, back, counts)
-        return words, keys // CONTEXTS, keys % CONTEXTS, total
+        contexts, at = np.unique(context, return_inverse=True)
+        keys, back = np.unique(which * len(contexts) + at, return_inverse=True)
+        total = np.bincount(back, counts).astype(np.int64)
+        return words, contexts, keys // len(contexts), keys % len(contexts), total
 
     def done():
-        words, number, context, counts = merge()
-        here = Part(words, number, context, counts, [])
-        pairs, _ = here.parents()
-        here.tables = [(np.ones(len(number), np.int64), np.ones(len(pairs), np.int64), np.ones(len(words), np.int64))]
+        here = Part(*merge(), [])
+        here.tables = [tuple(np.ones(n, np.int64) for n in (len(here.number), len(here.parents[0]), len(here.words)))]
         return pa.RecordBatch.from_arrays([pa.array([part], type=pa.int32()), pa.array([here.pack()], type=pa.binary())],
                                           names=["part", "data"])
 
@@ -190,23 +225,27 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield done()
                 held, size = [], 0
             part = p
-            words, number, context, counts = _unpack(data.as_py())
-            held.append((words[number], context.astype(np.int64), counts.astype(np.int64)))
+            words, contexts, number, at, counts = _unpack(data.as_py())
+            held.append((_full(words, np.uint64)[number], _full(contexts)[at], counts.astype(np.int64)))
             size += len(number)
             if size > MERGE_ROWS:
-                words, number, context, counts = merge()
-                held, size = [(words[number], context, counts)], 0
+                words, contexts, number, at, counts = merge()
+                held, size = [(words[number], contexts[at], counts)], 0
     if held:
         yield done()
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``level, context, customers, tables`` of the last sample, and counts of counts in levels 3 to 5."""
+    """``level, context, customers, tables`` of the last sample; of all contexts only START and, as -1, their sum.
+
+    Counts of counts are levels 3 to 5.
+    """
     for batch in batches:
         for data in batch.column("data"):
             part = Part.unpack(data.as_py())
-            pairs, which = part.parents()
+            pairs, _ = part.parents
             t2, t1, t0 = part.tables[-1]
+            c1, c0 = part.inner[-1]
             rows = []
 
             def add(level, context, customers, tables):
@@ -214,9 +253,9 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((np.full(len(kinds), level), kinds, np.bincount(at, customers).astype(np.int64),
                              np.bincount(at, tables).astype(np.int64)))
 
-            c1 = np.bincount(which, t2, minlength=len(pairs)).astype(np.int64)
-            c0 = np.bincount(pairs // PARENTS, t1, minlength=len(part.words)).astype(np.int64)
-            add(2, part.context, part.customers, t2)
+            first = part.contexts[part.at] == START
+            add(2, np.full(int(first.sum()), START), part.customers[first], t2[first])
+            add(2, np.full(len(t2), -1), part.customers, t2)
             add(1, pairs % PARENTS, c1, t1)
             add(0, np.zeros(len(part.words), dtype=np.int64), c0, t0)
             for level, c in ((3, c0), (4, c1), (5, part.customers)):
@@ -228,7 +267,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Totals:
-    """Customers and tables of each restaurant of the three levels; discounts; different tokens; tokens."""
+    """Customers and tables of the root, of each parent and of START; discounts; different tokens; tokens."""
 
     customers: list[np.ndarray]
     tables: list[np.ndarray]
@@ -238,21 +277,124 @@ class Totals:
 
     @staticmethod
     def of(parts: DataFrame, discounts: list[float] | None = None) -> "Totals":
-        """Collects one row per restaurant, 65,793 at most."""
+        """Collects one row for each of the root, the parents and START."""
         rows = parts.mapInArrow(_sums, "level BIGINT, context BIGINT, customers BIGINT, tables BIGINT").groupBy(
             "level", "context").agg(F.sum("customers").alias("c"), F.sum("tables").alias("t")).collect()
-        sizes = (1, PARENTS, CONTEXTS)
+        sizes = (1, PARENTS, 1)
         customers, tables = ([np.zeros(n, dtype=np.int64) for n in sizes] for _ in range(2))
-        ones, kinds = np.zeros((3, 3)), 0
+        ones, kinds, tokens = np.zeros((3, 3)), 0, 0
         for r in rows:
-            if r["level"] < 3:
+            if r["context"] == -1:
+                tokens = r["c"]
+            elif r["level"] < 3:
                 customers[r["level"]][r["context"]], tables[r["level"]][r["context"]] = r["c"], r["t"]
             else:
                 ones[r["level"] - 3, r["context"]] = r["c"]
                 kinds = r["t"]
         if discounts is None:  # by the counts of ones and twos
             discounts = [min(0.95, max(0.05, n[1] / max(n[1] + 2 * n[2], 1.0))) for n in ones]
-        return Totals(customers, tables, discounts, kinds, int(customers[2].sum()))
+        return Totals(customers, tables, discounts, kinds, tokens)
+
+
+LINK = "part INT, source INT, data BINARY"
+
+
+def _links(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    part, source, data = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(part, type=pa.int32()), pa.array(source, type=pa.int32()),
+                                       pa.array(data, type=pa.binary())], names=["part", "source", "data"])
+
+
+def _to_ranges(contexts: np.ndarray, values, source: int, parts: int) -> pa.RecordBatch:
+    """Contexts in order, with their values if there are any, by range; ``source`` is the part that wants an answer."""
+    cut = lambda a, b: None if values is None else [_small(v[a:b]) for v in values]
+    return _links([(int(q), source, _pack(_thin(contexts[a:b]), cut(a, b))) for q, a, b in zip(*_runs(_range_of(contexts, parts)))])
+
+
+def _offer(parts: int, last: bool):
+    """Tables of each part's contexts in the last sample, to be answered, or customers and tables in all samples."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, data in zip(batch.column("part").to_pylist(), batch.column("data")):
+                part = Part.unpack(data.as_py())
+                seats = [part.tables[-1][0]] if last else [part.customers, *(t2 for t2, _, _ in part.tables)]
+                values = [np.bincount(part.at, x, minlength=len(part.contexts)).astype(np.int64) for x in seats]
+                yield _to_ranges(part.contexts, values, p if last else -1, parts)
+    return run
+
+
+def _ask(parts: int):
+    """The different contexts of all blocks of a part, which stand together."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, size = None, [], 0
+        for batch in batches:
+            for p, data in zip(batch.column("part").to_pylist(), batch.column("contexts")):
+                if part is not None and p != part:
+                    yield _to_ranges(np.unique(np.concatenate(held)), None, part, parts)
+                    held, size = [], 0
+                part = p
+                held.append(_full(_unpack(data.as_py())[0]))
+                size += len(held[-1])
+                if size > MERGE_ROWS:
+                    held, size = [np.unique(np.concatenate(held))], 0
+        if held:
+            yield _to_ranges(np.unique(np.concatenate(held)), None, part, parts)
+    return run
+
+
+def _answer(n_values: int):
+    """Add up the values of each range, whose rows stand together, and send the sums to the parts that want them.
+
+    A part that sent values has its contexts, and gets the range and the sums in the order of what it sent.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, held = None, []
+
+        def answers():
+            contexts, at = np.unique(np.concatenate([c for _, c, _ in held]), return_inverse=True)
+            at = np.split(at, np.cumsum([len(c) for _, c, _ in held])[:-1])
+            total = np.zeros((n_values, len(contexts)), dtype=np.int64)
+            for (_, _, values), places in zip(held, at):
+                for i, v in enumerate(values or ()):
+                    total[i, places] += v  # a row has a context once
+            for (source, own, values), places in zip(held, at):
+                if source >= 0:
+                    about = _thin(own) if values is None else owner
+                    yield _links([(source, owner, _pack(about, [_small(t[places]) for t in total]))])
+
+        for batch in batches:
+            for q, source, data in zip(*(batch.column(c).to_pylist() for c in ("part", "source", "data"))):
+                if owner is not None and q != owner:
+                    yield from answers()
+                    held = []
+                owner = q
+                contexts, values = _unpack(data)
+                held.append((source, _full(contexts), values))
+        if held:
+            yield from answers()
+    return run
+
+
+def _answered(links: DataFrame, parts: int, n_values: int) -> DataFrame:
+    return links.repartition(parts, "part").sortWithinPartitions("part", "source").mapInArrow(_answer(n_values), LINK).select(
+        "part", F.lit(0).alias("kind"), F.lit(b"").alias("batch"), "data")
+
+
+class Guests:
+    """Customers and tables of contexts, as the ranges answered."""
+
+    def __init__(self, answers: list[bytes]):
+        found = [_unpack(x) for x in answers]
+        contexts = np.concatenate([_full(c) for c, _ in found])
+        order = np.argsort(contexts)
+        self.contexts = contexts[order]
+        self.values = [np.concatenate(v)[order].astype(np.int64) for v in zip(*(v for _, v in found))]
+
+    def of(self, context: np.ndarray) -> list[np.ndarray]:
+        at = np.searchsorted(self.contexts, context)
+        if len(context) and (at.max() >= len(self.contexts) or (self.contexts[at] != context).any()):
+            raise ValueError("a context came without its totals")
+        return [v[at] for v in self.values]
 
 
 def _belief(c, t, customers, tables, discount, strength, above):
@@ -277,18 +419,17 @@ def seat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.rando
     return tables
 
 
-def resample(part: Part, totals: Totals, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tables of a part after one Gibbs sweep from the outer restaurants to the root."""
-    pairs, which = part.parents()
-    t2, t1, t0 = part.tables[-1]
+def resample(part: Part, totals: Totals, m2: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tables of a part after one Gibbs sweep from the outer restaurants to the root; ``m2`` are tables of its contexts."""
+    pairs, which = part.parents
+    _, t1, t0 = part.tables[-1]
     token, parent = pairs // PARENTS, pairs % PARENTS
-    c1 = np.bincount(which, t2, minlength=len(pairs))
-    c0 = np.bincount(token, t1, minlength=len(part.words))
-    (n0, n1, n2), (m0, m1, m2), (d0, d1, d2) = totals.customers, totals.tables, totals.discounts
+    c1, c0 = part.inner[-1]
+    (n0, n1, _), (m0, m1, _), (d0, d1, d2) = totals.customers, totals.tables, totals.discounts
     base = 1.0 / (totals.kinds + 1)
     p0 = _belief(c0, t0, n0[0], m0[0], d0, STRENGTH[0], base)
     p1 = _belief(c1, t1, n1[parent], m1[parent], d1, STRENGTH[1], p0[token])
-    new2 = seat(part.customers, (STRENGTH[2] + d2 * m2[part.context]) * p1[which], d2, rng)
+    new2 = seat(part.customers, (STRENGTH[2] + d2 * m2[part.at]) * p1[which], d2, rng)
     c1 = np.bincount(which, new2, minlength=len(pairs)).astype(np.int64)
     new1 = seat(c1, (STRENGTH[1] + d1 * m1[parent]) * p0[token], d1, rng)
     c0 = np.bincount(token, new1, minlength=len(part.words)).astype(np.int64)
@@ -297,11 +438,20 @@ def resample(part: Part, totals: Totals, rng: np.random.Generator) -> tuple[np.n
 
 
 def _sweep(totals: Totals, sweep: int, keep: bool):
+    """The answers to a part stand before it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers = []
         for batch in batches:
-            for p, data in zip(batch.column("part").to_pylist(), batch.column("data")):
+            for p, kind, data in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("data")):
+                if kind == 0:
+                    answers.append(_unpack(data.as_py()))
+                    continue
                 part = Part.unpack(data.as_py())
-                tables = resample(part, totals, np.random.default_rng([SEED, sweep, p]))
+                m2 = np.concatenate([x[0] for _, x in sorted(answers, key=lambda a: a[0])]).astype(np.int64)
+                if len(m2) != len(part.contexts):
+                    raise ValueError("a context came without its tables")
+                tables = resample(part, totals, m2, np.random.default_rng([SEED, sweep, p]))
+                answers = []
                 part.tables = [*part.tables, tables] if keep else [tables]
                 yield pa.RecordBatch.from_arrays([pa.array([p], type=pa.int32()), pa.array([part.pack()], type=pa.binary())],
                                                  names=["part", "data"])
@@ -320,6 +470,10 @@ class Model:
     samples: list[Totals]
 
 
+def _kind_1(parts: DataFrame) -> DataFrame:
+    return parts.select("part", F.lit(1).alias("kind"), F.lit(b"").alias("batch"), "data")
+
+
 def fit(documents: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
     """Learn from the texts of ``documents``: all of their tokens. No documents give a model of the base alone."""
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -329,14 +483,16 @@ def fit(documents: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) ->
     totals = Totals.of(parts)
     kept = []
     for sweep in range(burn_in + samples):
-        parts = stored(parts.mapInArrow(_sweep(totals, sweep, sweep > burn_in), STATE), "parts")
+        guests = _answered(parts.mapInArrow(_offer(count, True), LINK), count, 1)
+        both = guests.union(_kind_1(parts)).repartition(count, "part").sortWithinPartitions("part", "kind")
+        parts = stored(both.mapInArrow(_sweep(totals, sweep, sweep > burn_in), STATE), "parts")
         totals = Totals.of(parts, totals.discounts)
         if sweep >= burn_in:
             kept.append(totals)
     return Model(parts, count, kept)
 
 
-BLOCK = "part INT, kind INT, batch BINARY, data BINARY"
+BLOCK = "part INT, kind INT, batch BINARY, data BINARY, contexts BINARY"
 
 
 def _count_documents(parts: int):
@@ -349,75 +505,92 @@ def _count_documents(parts: int):
                 token, context, doc = (np.concatenate(x) for x in zip(*held))
                 ids = batch.column("doc_id")[rows.start:rows.stop]
                 sizes = np.bincount(doc, minlength=len(ids))
-                words, number, context, doc, counts = _count(token, context, doc)
-                out = {p: (words[w], _small(number[r] - w.start), context[r].astype(np.uint16), _small(doc[r]), _small(counts[r]))
-                       for p, w, r in _split(words, number, parts)}
+                words, contexts, number, at, doc, counts = _count(token, context, doc)
                 empty = np.zeros(0, dtype=np.int64)
-                out.setdefault(0, (np.zeros(0, np.uint64), empty, empty, empty, empty))
+                out = {0: (_thin(np.zeros(0, np.uint64)), empty, empty, empty, empty)}
+                own = {0: empty}
+                for p, w, r in _split(words, number, parts):
+                    some, local = np.unique(at[r], return_inverse=True)
+                    out[p] = (_thin(words[w]), _small(number[r] - w.start), _small(local), _small(doc[r]), _small(counts[r]))
+                    own[p] = contexts[some]
                 name = b"%d/%d" % (task, turn)
                 turn += 1
                 about = lambda p: (len(ids), ids.to_pylist() if p == 0 else None, sizes if p == 0 else None)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(out), type=pa.int32()), pa.array([2] * len(out), type=pa.int32()),
                      pa.array([name] * len(out), type=pa.binary()),
-                     pa.array([_pack(*about(p), *x) for p, x in out.items()], type=pa.binary())],
-                    names=["part", "kind", "batch", "data"])
+                     pa.array([_pack(*about(p), *x) for p, x in out.items()], type=pa.binary()),
+                     pa.array([_pack(_thin(own[p])) for p in out], type=pa.binary())],
+                    names=["part", "kind", "batch", "data", "contexts"])
     return run
 
 
-def log_probabilities(part: Part | None, samples: list[Totals], words, number, context) -> tuple[np.ndarray, np.ndarray]:
-    """Averaged probability of each (token, context), and the training count of each token (not per pair)."""
+def log_probabilities(part: Part | None, samples: list[Totals], words, number, context,
+                      guests: Guests | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Averaged probability of each (token, context), and the training count of each token (not per pair).
+
+    Without ``guests`` the contexts, but for START, are taken as never seen.
+    """
     base = 1.0 / (samples[0].kinds + 1)
     known = np.zeros(len(words), dtype=bool)
     seen = np.zeros(len(words), dtype=np.int64)
     at_word = np.zeros(len(words), dtype=np.int64)
+    parent = parent_of(context)
     if part is not None and len(part.words):
         at_word = np.minimum(np.searchsorted(part.words, words), len(part.words) - 1)
         known = part.words[at_word] == words
-        pairs, which = part.parents()
-        seen = np.where(known, np.bincount(part.number, part.customers, minlength=len(part.words))[at_word], 0).astype(np.int64)
-        own = part.number * CONTEXTS + part.context
-        ask = at_word[number] * CONTEXTS + context
-        at2 = np.minimum(np.searchsorted(own, ask), len(own) - 1)
-        has2 = known[number] & (own[at2] == ask)
-        ask = at_word[number] * PARENTS + parent_of(context)
+        pairs, _ = part.parents
+        seen = np.where(known, part.seen[at_word], 0)
+        at_context = np.minimum(np.searchsorted(part.contexts, context), len(part.contexts) - 1)
+        ask = at_word[number] * len(part.contexts) + at_context
+        at2 = np.minimum(np.searchsorted(part.keys, ask), len(part.keys) - 1)
+        has2 = known[number] & (part.contexts[at_context] == context) & (part.keys[at2] == ask)
+        ask = at_word[number] * PARENTS + parent
         at1 = np.minimum(np.searchsorted(pairs, ask), len(pairs) - 1)
         has1 = known[number] & (pairs[at1] == ask)
     total = np.zeros(len(number))
-    parent = parent_of(context)
-    for i, s in enumerate(samples):
-        (n0, n1, n2), (m0, m1, m2), (d0, d1, d2) = s.customers, s.tables, s.discounts
+    at_start = (context == START).astype(np.int64)
+    n2, *m2s = guests.of(context) if guests else (
+        x * at_start for x in (samples[0].customers[2], *(s.tables[2] for s in samples)))
+    for i, (s, m2) in enumerate(zip(samples, m2s)):
+        (n0, n1, _), (m0, m1, _), (d0, d1, d2) = s.customers, s.tables, s.discounts
         if part is not None and len(part.words):
             t2, t1, t0 = part.tables[i]
-            c1 = np.bincount(which, t2, minlength=len(pairs))
-            c0 = np.bincount(pairs // PARENTS, t1, minlength=len(part.words))
+            c1, c0 = part.inner[i]
             pick = lambda x, at, has: np.where(has, x[at], 0)
             p0 = _belief(pick(c0, at_word, known), pick(t0, at_word, known), n0[0], m0[0], d0, STRENGTH[0], base)[number]
             p1 = _belief(pick(c1, at1, has1), pick(t1, at1, has1), n1[parent], m1[parent], d1, STRENGTH[1], p0)
-            total += _belief(pick(part.customers, at2, has2), pick(t2, at2, has2), n2[context], m2[context], d2, STRENGTH[2], p1)
+            total += _belief(pick(part.customers, at2, has2), pick(t2, at2, has2), n2, m2, d2, STRENGTH[2], p1)
         else:
             p0 = _belief(0, 0, n0[0], m0[0], d0, STRENGTH[0], base)
             p1 = _belief(0, 0, n1[parent], m1[parent], d1, STRENGTH[1], p0)
-            total += _belief(0, 0, n2[context], m2[context], d2, STRENGTH[2], p1)
+            total += _belief(0, 0, n2, m2, d2, STRENGTH[2], p1)
     return total / len(samples), seen
 
 
 def _score_blocks(samples: list[Totals]):
-    """For each block the sums of its documents; the blocks of a part stand behind the part."""
+    """For each block the sums of its documents; the blocks of a part stand behind the part, this behind its answers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, owner = None, None
+        part, owner, answers, guests = None, None, [], None
         scale = math.log10(samples[0].tokens + 0.1 * (samples[0].kinds + 1))
         for batch in batches:
             out = []
-            for p, kind, name, data in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "batch", "data"))):
+            for p, kind, name, data, contexts in zip(
+                    *(batch.column(c).to_pylist() for c in ("part", "kind", "batch", "data", "contexts"))):
+                if owner != p:
+                    part, owner, answers, guests = None, p, [], None  # perhaps no training token lies in this part
+                if kind == 0:
+                    answers.append(data)
+                    continue
                 if kind == 1:
-                    part, owner = Part.unpack(data), p
+                    part = Part.unpack(data)
                     continue
-                if owner != p:
-                    part, owner = None, p  # no training token lies in this part
-                docs, ids, sizes, words, number, context, doc, counts = _unpack(data)
-                number, context, doc, counts = (x.astype(np.int64) for x in (number, context, doc, counts))
-                chance, seen = log_probabilities(part, samples, words, number, context)
+                if answers:
+                    guests, answers = Guests(answers), []
+                docs, ids, sizes, words, number, at, doc, counts = _unpack(data)
+                words = _full(words, np.uint64)
+                number, at, doc, counts = (x.astype(np.int64) for x in (number, at, doc, counts))
+                chance, seen = log_probabilities(part, samples, words, number, _full(_unpack(contexts)[0])[at], guests)
                 sums = [np.bincount(doc, w, minlength=docs) for w in (
                     counts * np.log10(chance), counts * (np.log10(seen[number] + 0.1) - scale), counts * (seen[number] > 0))]
                 out.append((name, 0 if ids is not None else 1, _pack(ids, sizes, *sums)))
@@ -465,8 +638,12 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = docs.mapInArrow(_count_documents(model.count), BLOCK)
-    parts = model.parts.select("part", F.lit(1).alias("kind"), F.lit(b"").alias("batch"), "data")
-    both = blocks.union(parts).repartition(model.count, "part").sortWithinPartitions("part", "kind", "batch")
+    asks = blocks.select("part", "contexts").repartition(model.count, "part").sortWithinPartitions("part").mapInArrow(
+        _ask(model.count), LINK)
+    offers = model.parts.mapInArrow(_offer(model.count, False), LINK)
+    guests = _answered(asks.union(offers), model.count, 1 + len(model.samples))
+    both = blocks.union(guests.union(_kind_1(model.parts)).withColumn("contexts", F.lit(None).cast("binary")))
+    both = both.repartition(model.count, "part").sortWithinPartitions("part", "kind", "batch")
     sums = both.mapInArrow(_score_blocks(model.samples), "batch BINARY, kind INT, data BINARY")
     return sums.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(_add_up, SCORED)
 
