@@ -129,3 +129,24 @@ def url_parts(url):
 def url_rule(host, path, rules):
     fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
     return max(fits, key=lambda r: len(r.name), default=None)
+
+
+UNITS = re.compile("[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+
+
+def middles(docs, seed, percent, spm_percent):
+    """``doc_id, n, form, prefix_chars, middle_chars, output`` of each document, cut as a list of units."""
+    for doc_id, text in docs:
+        text = text or ""
+        units = UNITS.findall(text)
+        n = len(units)
+        h = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+        h = [int(h[8 * i:8 * i + 8], 16) for i in range(4)]
+        if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= percent:
+            yield doc_id, n, "plain", None, None, text
+            continue
+        a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+        prefix, middle, suffix = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+        spm = h[3] % 100 < spm_percent
+        output = f"<S>{suffix}<P>{prefix}<M>{middle}" if spm else f"<P>{prefix}<S>{suffix}<M>{middle}"
+        yield doc_id, n, "spm" if spm else "psm", len(prefix), len(middle), output

@@ -18,5 +18,6 @@ def query(name: str, sql: str | None = None):
 
 
 def llm_queries() -> dict[str, Query]:
-    importlib.import_module("triarm.llm.queries")
+    for module in ("queries", "queries_select"):
+        importlib.import_module(f"triarm.llm.{module}")
     return CATALOG
