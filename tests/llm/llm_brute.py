@@ -150,3 +150,90 @@ def middles(docs, seed, percent, spm_percent):
         spm = h[3] % 100 < spm_percent
         output = f"<S>{suffix}<P>{prefix}<M>{middle}" if spm else f"<P>{prefix}<S>{suffix}<M>{middle}"
         yield doc_id, n, "spm" if spm else "psm", len(prefix), len(middle), output
+
+
+def seats_one_by_one(shares, caps, seats):
+    """Sainte-Laguë: each seat to the highest quotient, the first of equals."""
+    won = [0] * len(shares)
+    for _ in range(min(seats, sum(c for s, c in zip(shares, caps) if s > 0))):
+        open_ = [i for i in range(len(shares)) if shares[i] > 0 and won[i] < caps[i]]
+        won[max(open_, key=lambda i: (shares[i] / (2 * won[i] + 1), -i))] += 1
+    return won
+
+
+def level_targets(sizes, weights, repeats):
+    """Targets by resharing what is over a cap until none is."""
+    target, free, rest = [0.0] * len(sizes), set(range(len(sizes))), sum(sizes)
+    while free:
+        level = rest / sum(weights[i] for i in free)
+        over = {i for i in free if weights[i] * level > repeats * sizes[i]}
+        if not over:
+            for i in free:
+                target[i] = weights[i] * level
+            break
+        for i in over:
+            target[i] = float(repeats * sizes[i])
+            rest -= repeats * sizes[i]
+        free -= over
+    return target
+
+
+def mixed(docs, weights, repeats, seed, block_tokens, shard_tokens, section, least_blocks):
+    """``(doc_id, size, source_size, target, taken)`` of documents ``(doc_id, text, source)``, a token at a time."""
+    docs = [(d, len(words(t)), s) for d, t, s in docs]
+    names = sorted({s for *_, s in docs if s is not None}) + [None] * any(s is None for *_, s in docs)
+    sizes = [sum(n for _, n, s in docs if s == name) for name in names]
+    targets = level_targets(sizes, [weights[i % len(weights)] for i in range(len(names))], repeats)
+    block = max(1, min(block_tokens, int(min([t for t in targets if t > 0], default=0) // least_blocks)))
+    draw = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:15], 16)
+    key = lambda d: f"{seed}:{'' if d is None else d}"
+    shards = defaultdict(lambda: defaultdict(list))
+    for d, n, s in docs:
+        i = names.index(s)
+        shards[i][draw(key(d)) % max(1, -(-sizes[i] // shard_tokens))].append((hashlib.md5(key(d).encode()).hexdigest(), d is not None, d, n))
+    blocks = {i: {h: -(-sum(n for *_, n in own) // block) for h, own in sorted(by.items())} for i, by in shards.items()}
+    quota = seats_one_by_one(targets, [repeats * sum(blocks[i].values()) for i in range(len(names))],
+                             (2 * sum(sizes) + block) // (2 * block))
+    rows = []
+    for i, by in shards.items():
+        sections = sorted({h // section for h in by})
+        tokens = lambda hs: sum(n for h in hs for *_, n in by[h])
+        inside = {c: [h for h in sorted(by) if h // section == c] for c in sections}
+        first = seats_one_by_one([tokens(inside[c]) for c in sections], [repeats * sum(blocks[i][h] for h in inside[c]) for c in sections], quota[i])
+        for c, seats in zip(sections, first):
+            second = seats_one_by_one([tokens([h]) for h in inside[c]], [repeats * blocks[i][h] for h in inside[c]], seats)
+            for h, won in zip(inside[c], second):
+                n = max(1, blocks[i][h])
+                start = draw(f"{seed}:{names[i] or ''}:{h}") % n
+                times = [won // n + ((b + 1) * (won % n) + start) // n - (b * (won % n) + start) // n for b in range(n)]
+                place = 0
+                for _, _, d, size in sorted(by[h], key=lambda x: (x[0], x[1], x[2] or 0, x[3])):
+                    taken = sum(times[t // block] for t in range(place, place + size))
+                    rows.append((d, size, sizes[i], targets[i], taken))
+                    place += size
+    return rows
+
+
+TERM = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def ranked(docs, items, k=10):
+    """``(item_id, rank, doc_id, score)`` by scoring all documents that hold a term."""
+    terms = [(d, Counter(TERM.findall((t or "").translate(LOWER)))) for d, t in docs]
+    terms = [(d, c, sum(c.values())) for d, c in terms if c]
+    total, many = sum(n for *_, n in terms), len(terms)
+    df = Counter(t for _, c, _ in terms for t in c)
+    asked = defaultdict(set)
+    for i, text in items:
+        asked[i] |= set(TERM.findall((text or "").translate(LOWER)))
+    rows = []
+    for i, own in asked.items():
+        found = []
+        for d, c, n in terms:
+            m = 100 - 90 + (90 * n * many) // total
+            score = sum(math.floor(1000 * math.log((2 * many + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in own if t in c)
+            if score > 0:
+                found.append((-score, d is not None, d, score))
+        rows += [(i, r + 1, d, score) for r, (_, _, d, score) in enumerate(sorted(found, key=lambda x: (x[0], x[1], x[2] or 0))[:k])]
+    return rows

@@ -32,7 +32,7 @@ def documents(spark, sf_dir):
 
 
 def test_all_queries_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 12))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql])
