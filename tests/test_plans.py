@@ -42,9 +42,10 @@ def test_several_random_rows_are_limited_before_the_shuffle(spark, sf_dir):
     assert "WindowGroupLimit" in plan(sample)
 
 
-def test_positions_bring_the_rows_together_once(spark, sf_dir):
+@pytest.mark.parametrize("rows", [100, 10**6])
+def test_positions_bring_the_rows_together_once(spark, sf_dir, rows):
     docs = inputs.documents(spark, sf_dir).select("label", "row_id", "text")
-    placed = prefix.total_before(docs, "pos", ["label"], prefix.key_ranges(F.col("row_id")), [F.col("row_id")])
+    placed = prefix.total_before(docs, "pos", ["label"], F.col("row_id"), [F.col("row_id")], rows=rows)
     # Only one branch carries the text, and it is shuffled at most once.
     assert sum("text" in columns for columns in read_columns(placed)) == 1
 

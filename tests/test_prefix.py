@@ -1,4 +1,4 @@
-"""Two-level prefix totals equal plain window functions."""
+"""Ordered totals equal plain window functions, in whichever way they are made."""
 
 import random
 
@@ -20,28 +20,72 @@ def skewed(spark):
     return spark.createDataFrame(rows, "g string, id long, v double").repartition(7)
 
 
-def test_positions(skewed):
-    got = prefix.total_before(skewed, "pos", ["g"], [prefix.key_range(F.col("id"), 100)], [F.col("id")])
+@pytest.fixture(params=["window", "parts"])
+def way(request, monkeypatch):
+    """Both ways: groups that fit one task, and groups that are cut."""
+    if request.param == "parts":
+        monkeypatch.setattr(prefix, "ROWS", 150)
+    return request.param
+
+
+def test_positions(skewed, way):
+    got = prefix.total_before(skewed, "pos", ["g"], F.col("id"), [F.col("id")])
     want = F.row_number().over(Window.partitionBy("g").orderBy("id")) - 1
-    assert got.count() == 3000
+    assert got.count() == 3000 and got.columns == ["g", "id", "v", "pos"]
     assert got.withColumn("want", want).where("pos <> want").isEmpty()
 
 
-def test_buckets_of_buckets(skewed):
-    buckets = [prefix.key_range(F.col("id"), width) for width in (500, 100, 20)]
-    got = prefix.total_before(skewed, "pos", ["g"], buckets, [F.col("id")])
+def test_positions_by_named_parts(skewed):
+    got = prefix.total_before(skewed, "pos", ["g"], F.col("id"), [F.col("id")], part=F.floor(F.col("id") / 100))
     want = F.row_number().over(Window.partitionBy("g").orderBy("id")) - 1
     assert got.count() == 3000
     assert got.withColumn("want", want).where("pos <> want").isEmpty()
 
 
-def test_weighted_totals_without_group(skewed):
-    got = prefix.total_before(skewed, "before", [], [prefix.key_range(F.col("id"), 64)], [F.col("id")], F.col("id"))
+def test_weighted_totals_without_group(skewed, way):
+    got = prefix.total_before(skewed, "before", [], F.col("id"), [F.col("id")], F.col("id"))
     rows = {r["id"]: r["before"] for r in got.collect()}
     assert all(rows[i] == i * (i - 1) // 2 for i in range(3000))
 
 
-def test_value_ranks(skewed):
+def test_minimum_from(skewed, way):
+    value = F.abs(F.hash("id"))
+    got = prefix.minimum_from(skewed, "low", ["g"], "id", value)
+    want = F.min(value).over(Window.partitionBy("g").orderBy(F.col("id").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    assert got.count() == 3000
+    assert got.withColumn("want", want).where("low <> want").isEmpty()
+
+
+def test_mid_ranks(skewed, way):
+    rows = skewed.where("v is not null")
+    got = prefix.mid_ranks(rows, "r", ["g"], "v")
+    values = Window.partitionBy("g").orderBy("v")
+    want = F.rank().over(values) + (F.count(F.lit(1)).over(Window.partitionBy("g", "v")) - 1) / 2.0
+    assert got.count() == rows.count()
+    assert got.withColumn("want", want).where("r <> want").isEmpty()
+
+
+@pytest.mark.parametrize("values", ["sparse ids", "outlier", "both ends"])
+def test_parts_are_even_whatever_the_values(spark, values):
+    rng = random.Random(8)
+    n = 40_000
+    made = {
+        "sparse ids": lambda i: rng.getrandbits(63) - 2**62,
+        "outlier": lambda i: 2**62 if i == 0 else i,
+        "both ends": lambda i: rng.choice([-1, 1]) * int(rng.expovariate(1) * 10**15),
+    }[values]
+    df = spark.createDataFrame([("hot" if i % 4 else "small", made(i)) for i in range(n)], "g string, id long").distinct()
+    cut = prefix.with_parts(df, ["g"], F.col("id"), 1000)
+    sizes = sorted(r["count"] for r in cut.where("g = 'hot'").groupBy("_part").count().collect())
+    assert len(sizes) > 30 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    order = cut.groupBy("g", "_part").agg(F.min("id").alias("a"), F.max("id").alias("b")).orderBy("g", "_part").collect()
+    assert all(x["g"] != y["g"] or x["b"] < y["a"] for x, y in zip(order, order[1:]))
+    got = prefix.total_before(df, "pos", ["g"], F.col("id"), [F.col("id")], rows=1000)
+    want = F.row_number().over(Window.partitionBy("g").orderBy("id")) - 1
+    assert got.withColumn("want", want).where("pos <> want").isEmpty()
+
+
+def test_value_ranks(skewed, way):
     ranks = prefix.value_ranks(skewed, ["g"], "v")
     want = skewed.withColumn("r", F.rank().over(Window.partitionBy("g").orderBy("v")) - 1).groupBy("g", "v").agg(
         F.max("r").alias("r"), F.count(F.lit(1)).alias("c")
@@ -52,7 +96,7 @@ def test_value_ranks(skewed):
 
 
 @pytest.mark.parametrize("descending", [False, True])
-def test_positions_by_value(skewed, descending):
+def test_positions_by_value(skewed, descending, way):
     got = prefix.positions_by_value(skewed, "pos", ["g"], "v", "id", descending)
     order = F.col("v").desc() if descending else F.col("v")
     want = F.row_number().over(Window.partitionBy("g").orderBy(order, "id")) - 1

@@ -131,24 +131,66 @@ PREDICTIONS = (
 )
 
 
-@pytest.mark.parametrize("in_state", [False, True])
-def test_stream_counts_repeated_rows_once_and_restarts(spark, tmp_path, in_state):
-    at = datetime(2024, 1, 1)
-    row = lambda i, pred: (100, 50, "a", "d", 1, i, 0, pred, 0, 0, at)
-    source, sink, state = (f"{tmp_path}/{n}" for n in ("in", "out", "state"))
-    deliver = lambda name, rows: spark.createDataFrame(rows, PREDICTIONS).write.parquet(f"{source}/{name}")
+def running(spark, tmp_path):
+    source, table = f"{tmp_path}/in", streaming.RunningAccuracies(spark, f"{tmp_path}/table")
+    schema = spark.createDataFrame([], PREDICTIONS).schema
+
+    def deliver(name, rows, files=1):
+        spark.createDataFrame(rows, PREDICTIONS).repartition(files).write.parquet(f"{source}/{name}")
+        table.drain(streaming.read_predictions(spark, f"{source}/*", schema, 1), 120)
+    return table, deliver
 
-    def run():
-        schema = spark.createDataFrame([], PREDICTIONS).schema
-        stream = streaming.read_predictions(spark, f"{source}/*", schema, 1)
-        streaming.drain(streaming.first_deliveries(stream) if in_state else stream, sink, state, 120)
-        return streaming.accuracies_so_far(spark, sink).first()
 
+def test_stream_counts_repeated_rows_once_and_restarts(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    row = lambda i, pred, label=0: (100, 50, "a", "d", 1, i, label, pred, 0, 0, at)
+    table, deliver = running(spark, tmp_path)
+    with pytest.raises(ValueError, match="no batch"):
+        table.accuracies()
     deliver("a", [row(1, 0), row(2, 1)])
-    assert run()["base"] == 0.5
-    deliver("b", [row(2, 1), row(3, 0), row(4, 0)])
-    assert run()["base"] == 0.75
-    assert spark.read.parquet(sink).count() == (4 if in_state else 5)
+    assert table.accuracies().first()["base"] == 0.5
+    deliver("b", [row(2, 1), row(3, 0), row(4, 0), row(1, 0)])
+    assert table.accuracies().first()["base"] == 0.75
+    deliver("c", [row(5, 1, label=1), row(5, 1, label=1)])
+    assert table.accuracies().first()["base"] == 0.8 and table.accuracies().first()["majority"] == 0.8
+
+
+def test_stream_of_many_batches_in_any_order(spark, tmp_path):
+    """Rows of any age over many batches: after each delivery the table is that of all rows so far."""
+    from triarm.operators import scoring
+
+    table, deliver = running(spark, tmp_path)
+    seen = []
+    for number, month in enumerate((12, 7, 1, 3)):  # the newest rows first, months apart
+        rows = [(100, 50, "a", "dz"[k % 2], k % 3, 50 * number + k, k % 4, (k * number) % 4, 0, 1, datetime(2024, month, 1)) for k in range(60)]
+        seen += rows
+        deliver(str(number), rows, files=5)
+        wanted = scoring.accuracies(spark.createDataFrame(seen, PREDICTIONS).dropDuplicates(list(streaming.ROW_KEY)))
+        assert sorted(map(tuple, table.accuracies().collect())) == sorted(map(tuple, wanted.collect()))
+    batches = table.batches()
+    assert batches >= 16
+    held = os.listdir(f"{tmp_path}/table/runs")
+    # The runs in use, and those that the last batch has merged.
+    assert len(held) <= 2 * batches.bit_length()
+    assert {f"{a:09d}-{b:09d}" for a, b in table.cover(batches)} <= set(held)
+
+
+def test_a_batch_that_is_retried_counts_once(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    rows = lambda *ids: spark.createDataFrame([(100, 50, "a", "d", 1, i, 0, i % 2, 0, 0, at) for i in ids], PREDICTIONS)
+    table = streaming.RunningAccuracies(spark, str(tmp_path))
+    for batch, ids in enumerate(((1, 2), (3,), (4, 5, 6), (7,), (8, 9))):
+        table._add(rows(*ids), batch)
+        table._add(rows(*ids), batch)
+        read = [spark.read.parquet(table._run(run)) for run in table.cover(batch + 1)]
+        assert sum(r["_n"] for df in read for r in df.collect()) == max(ids)
+
+
+def test_runs_are_the_binary_digits_of_the_batches():
+    cover = streaming.RunningAccuracies.cover
+    assert cover(0) == [] and cover(13) == [(0, 7), (8, 11), (12, 12)] and cover(16) == [(0, 15)]
+    table = streaming.RunningAccuracies.__new__(streaming.RunningAccuracies)
+    assert table._merged_by(0) == [] and table._merged_by(12) == [] and table._merged_by(15) == [(0, 7), (8, 11), (12, 13), (14, 14)]
 
 
 def test_shared_folder_comes_from_the_session(spark):
@@ -176,13 +218,3 @@ def test_published_summaries(spark):
     found = {tuple(r[k] for k in keys): (round(r["mean"], 6), round(r["se"], 6)) for r in table.collect()}
     for key, expected in PUBLISHED.items():
         assert found[key] == pytest.approx(expected, abs=1e-9)
-
-
-def test_stream_keeps_rows_of_any_age(spark, tmp_path):
-    source, sink, state = (f"{tmp_path}/{n}" for n in ("in", "out", "state"))
-    for i, month in enumerate((12, 7, 1)):  # the newest file first, months apart
-        rows = [(100, 50, "a", "d", 1, 100 * i + k, 0, 0, 0, 0, datetime(2024, month, 1)) for k in range(100)]
-        spark.createDataFrame(rows, PREDICTIONS).coalesce(1).write.parquet(f"{source}/{i}")
-    stream = streaming.read_predictions(spark, f"{source}/*", spark.createDataFrame([], PREDICTIONS).schema, 1)
-    streaming.drain(stream, sink, state)
-    assert spark.read.parquet(sink).count() == 300

@@ -139,6 +139,13 @@ def test_spearman(spark):
     assert correlation.spearman(flat, ["g"], "k", ("a", "b")).first()["spearman"] is None
 
 
+def test_a_key_that_comes_twice_is_refused(spark):
+    rows = [(t, i, float(i)) for t in "ab" for i in range(4)] + [("a", 2, 9.0)]
+    df = spark.createDataFrame(rows, "lm_type string, k int, diff double").withColumn("g", F.lit(1))
+    with pytest.raises(Exception, match="two rows with one key"):
+        correlation.spearman(df, ["g"], "k", ("a", "b")).collect()
+
+
 def test_shuffles_break_the_correlation(spark):
     df = accuracy_table(spark, subsamples=40, types=("a",), datasets=2)
     same = df.unionByName(df.withColumn("lm_type", F.lit("b")))

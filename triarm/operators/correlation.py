@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from triarm.functions.draws import draw_key
 from triarm.functions.fixed_values import EFFECTS
-from triarm.operators.prefix import total_before, value_ranks
+from triarm.operators.prefix import mid_ranks, total_before
 from triarm.operators.summary import effect
 
 DECIMALS = 9  # differences equal at this many decimals are tied
@@ -21,33 +21,26 @@ def effect_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def spearman(df: DataFrame, group: Sequence[str], key: str, types: tuple[str, str]) -> DataFrame:
     """Correlation of mid-ranks of ``diff`` between two LM types, matched by ``key``.
 
-    Pairs are counted per value, and only distinct values are ranked. A group
-    without spread has no correlation (NULL).
+    Both sides of a pair are ranked as one long series, and meet again in an aggregate by key. A key that an LM type has
+    twice is an error. A group without spread has no correlation (NULL).
     """
     one = lambda t: F.max(F.when(F.col("lm_type") == t, F.col("diff")))
-    pairs = df.where(F.col("lm_type").isin(*types)).groupBy(*group, key).agg(
-        one(types[0]).alias("x"), one(types[1]).alias("y")
-    )
-    counts = pairs.where("x is not null and y is not null").groupBy(*group, "x", "y").agg(
-        F.count(F.lit(1)).alias("pairs")
-    )
-
-    def mid_ranks(value: str) -> DataFrame:
-        ranks = value_ranks(counts, group, value, "pairs")
-        return ranks.select(*group, value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(f"r_{value}"))
-
-    ranked = counts.join(mid_ranks("x"), [*group, "x"]).join(mid_ranks("y"), [*group, "y"])
-    total = lambda c: F.sum(c.cast("double") * F.col("pairs"))
-    sums = ranked.groupBy(*group).agg(
-        F.sum("pairs").alias("n"),
-        total(F.col("r_x") * F.col("r_y")).alias("xy"),
-        total(F.col("r_x") * F.col("r_x")).alias("xx"),
-        total(F.col("r_y") * F.col("r_y")).alias("yy"),
-    )
+    twice = F.raise_error(F.lit("an LM type has two rows with one key")).cast("double")
+    once = lambda t: F.when(F.count_if(F.col("lm_type") == t) <= 1, one(t)).otherwise(twice)
+    sides = df.where(F.col("lm_type").isin(*types)).groupBy(*group, key).agg(
+        once(types[0]).alias("_x"), once(types[1]).alias("_y"))
+    long = sides.where("_x is not null and _y is not null").unpivot([*group, key], ["_x", "_y"], "_side", "_value")
+    ranked = mid_ranks(long, "_rank", [*group, "_side"], "_value")
+    rank = lambda side: F.max(F.when(F.col("_side") == side, F.col("_rank")))
+    pairs = ranked.groupBy(*group, key).agg(rank("_x").alias("_rx"), rank("_y").alias("_ry"))
+    total = lambda a, b: F.sum(F.col(a) * F.col(b))
+    sums = pairs.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"), total("_rx", "_ry").alias("_xy"), total("_rx", "_rx").alias("_xx"),
+        total("_ry", "_ry").alias("_yy"))
     # Mid-ranks average (n + 1) / 2 whatever the ties.
     centre = F.col("n") * F.pow((F.col("n") + 1) / 2.0, F.lit(2))
     spread = lambda c: F.sqrt(F.col(c) - centre)
-    return sums.select(*group, "n", F.try_divide(F.col("xy") - centre, spread("xx") * spread("yy")).alias("spearman"))
+    return sums.select(*group, "n", F.try_divide(F.col("_xy") - centre, spread("_xx") * spread("_yy")).alias("spearman"))
 
 
 def spearman_between(
@@ -65,10 +58,9 @@ def spearman_null(
     """The same after shuffling the subsamples of each LM type: one column per effect and shuffle."""
     number = F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1)))
     shuffled = df.withColumn("shuffle", number).withColumn("_key", _shuffle_key(group, seed))
+    start = F.conv(F.substring("_key", 1, 13), 16, 10).cast("bigint")
     placed = total_before(
-        shuffled, "place", [*group, "shuffle", "lm_type"], [F.substring("_key", 1, 2)],
-        [F.col("_key"), F.col("subsample_idx")],
-    )
+        shuffled, "place", [*group, "shuffle", "lm_type"], start, [F.col("_key"), F.col("subsample_idx")])
     rows = effect_rows(placed, [*group, "shuffle", "lm_type", "place"])
     long = spearman(rows, [*group, "effect", "shuffle"], "place", types)
     columns = [

@@ -5,14 +5,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from triarm.functions import prompts
-from triarm.operators.prefix import key_ranges, total_before
+from triarm.operators.prefix import total_before
+
+TEXT_ROWS = 20_000  # rows with their texts that one task sorts
 
 
 def with_batches(df: DataFrame, size: int, group: Sequence[str], key: str = "row_id") -> DataFrame:
     """Number the rows of a group by their integer key; every ``size`` of them are a batch."""
     if size < 1:
         raise ValueError("a batch holds at least one row")
-    placed = total_before(df, "pos", group, key_ranges(F.col(key)), [F.col(key)])
+    placed = total_before(df, "pos", group, F.col(key), [F.col(key)], rows=TEXT_ROWS)
     return placed.withColumn("batch", F.floor(F.col("pos") / size))
 
 

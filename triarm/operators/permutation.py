@@ -5,7 +5,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from triarm.functions.draws import draw_key
-from triarm.operators.prefix import join_groups, value_ranks, with_bins
+from triarm.operators.prefix import minimum_from, total_before
 from triarm.sources.scratch import spread, stored
 
 SIGNS = 32  # hex digits of an MD5: signs from one hash
@@ -75,24 +75,15 @@ def sign_flip_test(
 def adjust_fdr(df: DataFrame, p_value: str = "p_value", family: Sequence[str] = ()) -> DataFrame:
     """Benjamini-Hochberg adjusted p-values, as column ``p_adjusted``.
 
-    The adjusted value is the smallest ``p * m / rank`` at or above it: a running
-    minimum inside bins of p, plus the minimum over the bins above. The p-values are
-    stored first, as making them costs more than all of this.
+    Tests are counted by p-value first. A p-value is a number of hits over the number of resamples, so a family has no
+    more distinct ones than resamples, whatever the number of its tests; the adjusted value is the smallest
+    ``p * m / rank`` in this small table from the present value on.
     """
     df = stored(df, "p_values")
-    ranked = value_ranks(df, family, p_value)
-    sizes = ranked.groupBy(*family).agg(F.sum("n").alias("_m"))
-    scaled = join_groups(ranked, sizes, family).withColumn(
-        "_q", F.col(p_value) * F.col("_m") / (F.col("before") + F.col("n"))
-    )
-    binned = with_bins(scaled, family, p_value)
-    higher = Window.partitionBy(*family).orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    above = binned.groupBy(*family, "_bin").agg(F.min("_q").alias("_q_bin")).select(
-        *family, "_bin", F.min("_q_bin").over(higher).alias("_above")
-    )
-    within = Window.partitionBy(*family, "_bin").orderBy(F.col(p_value).desc()).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    lowest = F.least(F.lit(1.0), F.min("_q").over(within), F.coalesce(F.col("_above"), F.lit(1.0)))
-    adjusted = binned.join(above, [*family, "_bin"]).select(*family, p_value, lowest.alias("p_adjusted"))
+    counts = df.where(F.col(p_value).isNotNull()).groupBy(*family, p_value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = total_before(counts, "_before", family, F.col(p_value), [F.col(p_value)], F.col("_n"))
+    all_of_family = F.sum("_n").over(Window.partitionBy(*family))
+    scaled = ranked.withColumn("_q", F.col(p_value) * all_of_family / (F.col("_before") + F.col("_n")))
+    lowest = minimum_from(scaled, "_lowest", family, p_value, F.col("_q"))
+    adjusted = lowest.select(*family, p_value, F.least(F.lit(1.0), F.col("_lowest")).alias("p_adjusted"))
     return df.join(adjusted, [*family, p_value], "left")

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from triarm.functions.fixed_values import EFFECTS
-from triarm.operators.prefix import join_groups, total_before, with_bins
+from triarm.operators.prefix import join_groups, total_before
 from triarm.sources.scratch import stored
 
 HDI_SHARE = 0.89  # fixed value: share of draws inside the reported interval
@@ -68,14 +68,13 @@ def calibration(draws: DataFrame, observed: DataFrame, effect: str, group: Seque
 def highest_density(draws: DataFrame, group: Sequence[str], value: str, tie: str, share: float = HDI_SHARE) -> DataFrame:
     """Narrowest interval over ``floor(share * n)`` steps of the sorted draws, the first of equals.
 
-    Sorted positions come from bins. Each draw is sent to its own position as lower
+    Each draw is sent to its own position as lower
     end and ``floor(share * n)`` positions back as upper end, where the two meet in
     an aggregate; a group of any size is spread over many tasks.
     """
     rows = draws.where(F.col(value).isNotNull()).select(*group, value, tie)
     sizes = rows.groupBy(*group).agg(F.floor(share * F.count(F.lit(1))).alias("_steps"))
-    binned = join_groups(with_bins(rows, group, value), sizes, group)
-    placed = total_before(binned, "_pos", group, [F.col("_bin")], [F.col(value), F.col(tie)])
+    placed = total_before(join_groups(rows, sizes, group), "_pos", group, F.col(value), [F.col(value), F.col(tie)])
     nothing = F.lit(None).cast("double")
     low = F.struct(F.col("_pos"), F.col(value).alias("_lo"), nothing.alias("_hi"))
     high = F.struct((F.col("_pos") - F.col("_steps")).alias("_pos"), nothing.alias("_lo"), F.col(value).alias("_hi"))

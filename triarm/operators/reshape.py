@@ -2,11 +2,11 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from triarm.functions.fixed_values import EFFECT_NAMES, EFFECTS
 from triarm.functions.naming import recode
-from triarm.operators.prefix import key_range, total_before
+from triarm.operators.prefix import total_before
 
 MELT_KEYS = ("num_test", "pair", "lm_type", "dataset")
 
@@ -17,9 +17,13 @@ def with_pair(df: DataFrame, group: Sequence[str] = ("lm_type",)) -> DataFrame:
     The same subsample has the same index for every LM type that covers the same
     datasets, as it is drawn with the same seed.
     """
-    return total_before(
-        df, "pair", group, [F.col("dataset"), key_range(F.col("subsample_idx"))], [F.col("subsample_idx")]
-    )
+    placed = total_before(df, "_at", [*group, "dataset"], F.col("subsample_idx"), [F.col("subsample_idx")])
+    # Datasets are few; their sizes give each its first index.
+    sizes = df.groupBy(*group, "dataset").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy(*group).orderBy("dataset").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select(*group, "dataset", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_first"))
+    joined = placed.join(first, [*group, "dataset"])
+    return joined.withColumn("pair", F.col("_first") + F.col("_at")).drop("_first", "_at")
 
 
 def melt_num_correct(

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from triarm.functions.draws import PRIME, coefficients, draw_key, key_below, order_key, row_words, seed_key
-from triarm.operators.prefix import key_range, total_before
+from triarm.operators.prefix import total_before
 from triarm.operators.validate import InvalidDataError
 from triarm.sources.scratch import new_path, stored
 
@@ -165,21 +165,22 @@ def _with_tie(draws: DataFrame, seed: int) -> DataFrame:
     return draws.withColumn("_tie", draw_key(seeded, F.col("row_id")))
 
 
-def _key_ranges(key: str) -> list[Column]:
-    """Buckets of a key: 256 even ones of 256 each."""
-    return [key_range(F.col(key), (PRIME + 1) // 2**8), key_range(F.col(key), (PRIME + 1) // 2**16)]
+def _part(key: str) -> Column:
+    """Part of a key: one of 4,096 even ones, as keys are hashes."""
+    return F.floor(F.col(key) / ((PRIME + 1) // 2**12))
 
 
 def _whole_draw(draws: DataFrame, by: Sequence[str], num_test: int) -> DataFrame:
     """Roles over uncut replicates: positions from bucket offsets, as cells are large."""
     cell = [*by, "subsample_idx"]
     order = lambda key: [F.col(key), F.col("_tie"), F.col("row_id")]
-    placed = total_before(draws, "_rank", [*cell, "_stratum"], _key_ranges("_train_key"), order("_train_key"))
+    placed = total_before(
+        draws, "_rank", [*cell, "_stratum"], F.col("_train_key"), order("_train_key"), part=_part("_train_key"))
     train = placed.where("_rank < quota").select(*cell, "row_id", "label", F.lit("train").alias("role"))
     if not num_test:
         return train
     left = placed.where("_rank >= quota")
-    rest = total_before(left, "_place", cell, _key_ranges("_rest_key"), order("_rest_key"))
+    rest = total_before(left, "_place", cell, F.col("_rest_key"), order("_rest_key"), part=_part("_rest_key"))
     chosen = rest.where(F.col("_place") < 2 * num_test)
     role = F.when(F.col("_place") < num_test, "extra").otherwise("test")
     return train.unionByName(chosen.select(*cell, "row_id", "label", role.alias("role")))

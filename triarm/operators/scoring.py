@@ -13,10 +13,6 @@ def softmax_probabilities(df: DataFrame, logits: str = "logits", name: str = "pr
     return df.withColumn(name, fs.softmax(F.col(logits)))
 
 
-def predicted_class(df: DataFrame, probs: str = "probs", name: str = "pred") -> DataFrame:
-    return df.withColumn(name, fs.argmax(F.col(probs)))
-
-
 def accuracies(
     predictions: DataFrame, key: Sequence[str] = (*REPLICATE_GROUP, "subsample_idx"), arms: Sequence[str] = ARMS
 ) -> DataFrame:
@@ -27,10 +23,17 @@ def accuracies(
     """
     hits = [F.count_if(F.col("label") == F.col(f"pred_{arm}")).alias(arm) for arm in arms]
     by_label = predictions.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("_n"), *hits)
+    return _of_labels(by_label, key, arms)
+
+
+def accuracies_of_sums(sums: DataFrame, key: Sequence[str], arms: Sequence[str] = ARMS) -> DataFrame:
+    """The same from sums per label: rows ``_n`` and hits of each arm, of which a label may have several."""
+    return _of_labels(sums.groupBy(*key, "label").agg(*[F.sum(c).alias(c) for c in ("_n", *arms)]), key, arms)
+
+
+def _of_labels(by_label: DataFrame, key: Sequence[str], arms: Sequence[str]) -> DataFrame:
     return by_label.groupBy(*key).agg(
-        *[(F.sum(arm) / F.sum("_n")).alias(arm) for arm in arms],
-        (F.max("_n") / F.sum("_n")).alias("majority"),
-    )
+        *[(F.sum(arm) / F.sum("_n")).alias(arm) for arm in arms], (F.max("_n") / F.sum("_n")).alias("majority"))
 
 
 def majority_share(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -47,12 +50,6 @@ def with_dataset_constants(accuracy: DataFrame, data: DataFrame, key: Sequence[s
     return accuracy.join(majority_share(data, key), list(key))
 
 
-def accuracy_of_arm(scored: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Accuracy over long rows ``(key, label, pred)``, the arm being one of the keys."""
-    hit = (F.col("label") == F.col("pred")).cast("double")
-    return scored.groupBy(*key).agg(F.avg(hit).alias("accuracy"))
-
-
 def arms_to_columns(
     scored: DataFrame, key: Sequence[str], value: str, arms: Sequence[str] = ARMS, prefix: str = ""
 ) -> DataFrame:

@@ -4,10 +4,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from triarm.functions.draws import digit
 from triarm.operators import regression, scoring, summary
 from triarm.plans.catalog import query
 from triarm.plans.inputs import (
-    ACC, NUM, accuracies, documents, full_accuracies, predictions, r6, sql, table,
+    ACC, CTES, NUM, accuracies, documents, full_accuracies, predictions, r6, sql, sql_digit, table,
 )
 from triarm.plans.q_arms import CLASSES, PREDICT, predicted
 from triarm.plans.q_reshape import DRAW_CTES, draw_table
@@ -228,10 +229,10 @@ def draws_scan(spark, sf_dir):
 SELECT CAST(row_number() OVER (ORDER BY user_id) AS INTEGER) AS rank, 'user ' || user_id AS submitter,
        round(score, 6) AS overall FROM board""", *BOARD))
 def leaderboard_scan(spark, sf_dir):
-    from triarm.operators.prefix import key_range, total_before
+    from triarm.operators.prefix import total_before
 
     path = new_path(spark, "leaderboard")
-    numbered = total_before(board(spark, sf_dir), "n", [], [key_range(F.col("user_id"))], [F.col("user_id")])
+    numbered = total_before(stored(board(spark, sf_dir), "board"), "n", [], F.col("user_id"), [F.col("user_id")])
     # The published columns; later cells are damaged or missing.
     numbered.select(
         (F.col("n") + 1).alias("Rank"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("Submitter"),
@@ -280,22 +281,52 @@ def accuracy_from_preds_all(spark, sf_dir):
     return reduce(DataFrame.unionByName, scored).select(*key, *[r6(a).alias(a) for a in ARMS])
 
 
+DELIVERIES = 3
+CTES["delivered"] = f"SELECT *, {sql_digit('md5(CAST(row_id AS VARCHAR))', 8)} % {DELIVERIES} AS delivery FROM predictions"
+
+
+def deliveries(spark, sf_dir):
+    """Predictions as they come in: each row in a delivery drawn by its id, half of them in all later ones, too."""
+    rows, key = predictions(spark, sf_dir), F.md5(F.col("row_id").cast("string"))
+    first, again = digit(key, 8) % DELIVERIES, digit(key, 9) < 8
+    for number in range(DELIVERIES):
+        here = rows.where(first == number)
+        yield here.unionByName(rows.where(again & (first < number))) if number else here.unionByName(here.where(again))
+
+
+def _running(spark, sf_dir, files_per_batch):
+    """The running table after each delivery, which is one batch or several."""
+    source = new_path(spark, "incoming")
+    running = streaming.RunningAccuracies(spark, new_path(spark, "running"))
+    for number, rows in enumerate(deliveries(spark, sf_dir)):
+        rows.write.parquet(f"{source}/delivery={number}")
+        running.drain(streaming.read_predictions(spark, f"{source}/*", rows.schema, files_per_batch))
+        yield number, running
+
+
 @query("results_stream", sql(f"""
 SELECT {G5}, round(base, 6) AS base, round(extra, 6) AS extra, round(test, 6) AS test, round(majority, 6) AS majority
 FROM accuracies""", *ACC))
 def results_stream(spark, sf_dir):
-    """Predictions of two overlapping runs as a stream, the newest events first, a file at a time.
-
-    Equal to the batch accuracies, whatever the order and the age of the rows.
-    """
-    source, sink, state = (new_path(spark, n) for n in ("incoming", "cleaned", "stream_state"))
-    rows = predictions(spark, sf_dir, keep=["ts"])
-    newest = F.dayofmonth("ts") > 15
-    for i, part in enumerate((rows.where(newest), rows.where("dataset <> 'view'"), rows.where(~newest))):
-        part.coalesce(1).write.parquet(f"{source}/run={i}")
-    stream = streaming.read_predictions(spark, f"{source}/*", rows.schema, files_per_batch=1)
-    streaming.drain(stream, sink, state)
-    return streaming.accuracies_so_far(spark, sink).select(*KEYS, *[r6(c).alias(c) for c in (*ARMS, "majority")])
+    """The table after the last of several deliveries with repeated rows: equal to the accuracies of all rows."""
+    *_, (_, running) = _running(spark, sf_dir, 64)
+    return running.accuracies().select(*KEYS, *[r6(c).alias(c) for c in (*ARMS, "majority")])
+
+
+@query("results_stream_running", sql(f"""
+, by_label AS (
+  SELECT x.delivery, num_train, num_test, lm_type, dataset, subsample_idx, label, CAST(count(*) AS DOUBLE) AS n,
+         CAST(count(*) FILTER (WHERE pred_base = label) AS DOUBLE) AS base, CAST(count(*) FILTER (WHERE pred_extra = label) AS DOUBLE) AS extra,
+         CAST(count(*) FILTER (WHERE pred_test = label) AS DOUBLE) AS test
+  FROM range({DELIVERIES}) AS x(delivery) JOIN delivered AS d ON d.delivery <= x.delivery GROUP BY ALL)
+SELECT CAST(delivery AS INTEGER) AS delivery, {G5}, round(sum(base) / sum(n), 6) AS base, round(sum(extra) / sum(n), 6) AS extra,
+       round(sum(test) / sum(n), 6) AS test, round(max(n) / sum(n), 6) AS majority
+FROM by_label GROUP BY delivery, {G5}""", "predictions", "delivered"))
+def results_stream_running(spark, sf_dir):
+    """The table after each delivery."""
+    looks = [
+        stored(running.accuracies(), "look").withColumn("delivery", F.lit(number)) for number, running in _running(spark, sf_dir, 4)]
+    return reduce(DataFrame.unionByName, looks).select("delivery", *KEYS, *[r6(c).alias(c) for c in (*ARMS, "majority")])
 
 
 @query("pca_experiment")

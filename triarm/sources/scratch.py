@@ -32,6 +32,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+class FileSystem:
+    """The few things the library asks of a path, wherever it is."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self, path: str) -> list[str]:
+        """Names in a folder; none if there is no such folder."""
+        folder = self._path(path)
+        return [f.getPath().getName() for f in self._files.listStatus(folder)] if self._files.exists(folder) else []
+
+    def remove(self, path: str) -> None:
+        self._files.delete(self._path(path), True)
+
+
+def file_system(spark: SparkSession, path: str) -> FileSystem:
+    return FileSystem(spark, path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several later steps read, and read it back.
 
