@@ -18,7 +18,7 @@ from triarm.llm.text import SPACE, let, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 # Labelled rows the learner sees, at most; taken by the hash of their id.
 MAX_SAMPLE = 20_000
 
@@ -27,29 +27,26 @@ FEATURES = ("n_words", "mean_chars", "symbol_share", "dup_line_share", "repeat_s
             "distinct_share")
 
 
-def _count_of(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _windows(h: Column) -> Column:
+    """Hashes of all 3-word windows, from those of the words."""
+    n = F.greatest(F.size(h) - 2, F.lit(0))
+    two = F.zip_with(F.slice(h, 1, n), F.slice(h, 2, n), lambda a, b: F.xxhash64(a, b))
+    return F.zip_with(two, F.slice(h, 3, n), lambda a, b: F.xxhash64(a, b))
 
 
-def _pairs(items: Column, use) -> Column:
-    """``use(item, next item)`` of neighbours; one element fewer than ``items``."""
-    n = F.size(items)
-    return F.zip_with(F.slice(items, 1, F.greatest(n - 1, F.lit(0))), F.slice(items, 2, F.greatest(n - 1, F.lit(0))), use)
+def _repeat_words(h: Column) -> Column:
+    """Words in 3-word windows that are found twice or more, from the hashes of the words.
 
+    Equal windows stand side by side among the sorted hashes. Most texts have none, and only the others are sorted with places.
+    """
+    def covered(x: Column) -> Column:
+        placed = F.sort_array(F.transform(x, lambda v, i: F.struct(v.alias("h"), i.alias("i"))))
+        twins = let(placed, lambda p: F.filter(
+            p, lambda a, i: (a["h"] == F.get(p, i - 1)["h"]) | (a["h"] == F.get(p, i + 1)["h"])))
+        return F.size(F.array_distinct(F.flatten(F.transform(twins, lambda a: F.array(a["i"], a["i"] + 1, a["i"] + 2)))))
 
-def _repeat_words(w: Column) -> Column:
-    """Words in 3-word windows that are found twice or more."""
-    windows = _pairs(_pairs(w, lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-                     lambda x, y: F.xxhash64(x["a"], x["b"], y["b"]))
-
-    def covered(h: Column) -> Column:
-        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        twins = F.flatten(_pairs(placed, lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])).otherwise(
-            F.array().cast("array<int>"))))
-        return F.size(F.array_distinct(F.flatten(F.transform(F.array_distinct(twins), lambda i: F.array(i, i + 1, i + 2)))))
-
-    return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(
-        h, covered)))
+    single = lambda x: let(F.sort_array(x), lambda s: ~F.exists(F.transform(s, lambda v, i: v == F.get(s, i - 1)), lambda same: same))
+    return let(_windows(h), lambda x: F.when(F.coalesce(single(x), F.lit(True)), 0).otherwise(covered(x)))
 
 
 def statistics(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -59,16 +56,17 @@ def statistics(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id
     A text is worked on in the task that reads it, in one pass per statistic, whatever its length.
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    bare = F.translate(t, " \t\n\x0b\x0c\r", "")
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
-    of_words = let(words(t), lambda w: F.struct(
-        F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("d"), _repeat_words(w).alias("r")))
+    count = lambda chars: F.regexp_count(t, F.lit(chars))
+    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike("[^\\x09-\\x0D\\x20]"))
+    # A word is hashed once; all that follows works on its hash.
+    of_words = let(F.transform(words(t), lambda w: F.xxhash64(w)), lambda h: F.struct(
+        F.size(h).alias("n"), F.size(F.array_distinct(h)).alias("d"), _repeat_words(h).alias("r")))
     out = df.select(
         *[F.col(f"`{c}`") for c in keep], of_words.alias("_words_"),
-        F.length(bare).alias("word_chars"), _count_of(t, SYMBOLS).alias("n_symbols"),
+        (F.length(t) - count("[\\x09-\\x0D\\x20]")).alias("word_chars"), count(SYMBOLS).alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"),
         let(lines, F.size).alias("n_lines"),
-        _count_of(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("upper"), _count_of(t, "!?").alias("marks"))
+        count("[A-Z]").alias("upper"), count("[!?]").alias("marks"))
     out = out.withColumns({"n_words": F.col("_words_.n"), "n_distinct": F.col("_words_.d"), "n_repeat_words": F.col("_words_.r")})
     return out.select(*keep, *[F.col(c).cast("long") for c in (*COUNTS, "n_lines", "upper", "marks", "n_distinct")])
 
