@@ -99,7 +99,10 @@ def test_missing_column_is_refused(spark):
 
 def test_missing_labels(spark):
     df = frame(spark, [(1, "a", 0), (2, "b", 4), (3, "c", -2)])
-    assert sorted(r["label"] for r in validate.missing_labels(df).collect()) == [1, 2, 3]
+    assert [tuple(r) for r in validate.missing_labels(df).collect()] == [(1, 3)]
+    stray = df.unionByName(df.limit(1).withColumn("label", F.lit(2**31 - 1)))
+    assert sorted(tuple(r) for r in validate.missing_labels(stray).collect())[-1][1] == 2**31 - 2
+    assert validate.missing_labels(df.where("label < 0")).collect() == []
 
 
 def test_probabilities_need_the_right_size(spark):

@@ -74,7 +74,7 @@ def test_analysis_of_a_run(spark, home, tmp_path):
     with pytest.raises(ValueError, match="absent"):
         runs.rank_correlations(three, (("absent", "third"),))
     runs.write_table(tables["single_subsamples"], f"{tmp_path}/meta")
-    schema = "num_train int, num_test int, replicate int, n_subsamples long, log_odds double, mean double"
+    schema = "num_train int, num_test int, replicate int, n_subsamples long, effect string, log_odds double, mean double"
     again = runs.read_table(spark, f"{tmp_path}/meta", schema)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, tables["single_subsamples"].collect()))
     with pytest.raises(ValueError):

@@ -162,6 +162,20 @@ def test_kernel_density_integrates_to_one(spark):
     assert np.trapezoid(curve["density"], curve["x"]) == pytest.approx(1, abs=0.01)
 
 
+def test_binned_density_keeps_its_bound(spark):
+    rng = np.random.default_rng(6)
+    data = {"even": rng.normal(0, 1, 400), "outlier": np.append(rng.normal(0, 1, 300), 40.0), "few": np.repeat([1.0, 2.0, 2.5], 20)}
+    df = spark.createDataFrame([(g, float(v)) for g, xs in data.items() for v in xs], "g string, v double")
+    curves = density.kernel_density(df, "v", ["g"]).toPandas()
+    for g, xs in data.items():
+        curve = curves[curves["g"] == g].sort_values("point")
+        h = xs.std(ddof=1) * len(xs) ** -0.2
+        x = curve["x"].to_numpy()
+        exact = np.exp(-0.5 * ((x[:, None] - xs) / h) ** 2).sum(axis=1) / (len(xs) * h * np.sqrt(2 * np.pi))
+        bound = (x[1] - x[0]) ** 2 / (8 * h**2) / (h * np.sqrt(2 * np.pi))
+        assert len(x) == 200 and np.abs(curve["density"] - exact).max() <= bound * (1 + 1e-6)
+
+
 def test_cumulative_share(spark):
     df = spark.createDataFrame([("g", v) for v in (1.0, 1.0, 2.0, 5.0)], "g string, v double")
     rows = {r["v"]: r["ecdf"] for r in density.cumulative_share(df, "v", ["g"]).collect()}
@@ -198,7 +212,7 @@ def test_highest_density_interval(spark):
 
 def test_melt_and_pivot_round_trip(spark):
     counts = summary.num_correct(accuracy_table(spark), F.col("num_test"), "round")
-    melted = reshape.melt_num_correct(counts, "test", "extra")
+    melted = reshape.melt_num_correct(counts, ["bias"]).drop("effect")
     assert melted.count() == 2 * counts.count()
     pairs = melted.where("lm_type = 'a' and method = 'test'").select("pair", "dataset").orderBy("pair").collect()
     assert [r["pair"] for r in pairs] == list(range(80))
@@ -215,7 +229,7 @@ def test_planted_effects_are_found_and_null_is_not(spark):
     assert abs(bias["log_odds"]) < 3 * bias["se"]
     draws = effects.bootstrap_effect(counts, "boost", 300).toPandas()["log_odds"]
     assert len(draws) == 300 and draws.quantile(0.025) > 0.2
-    replicates = effects.meta_replicates(counts, "boost", ["subsample_idx"], 100).toPandas()
+    replicates = effects.meta_replicates(counts, ["boost"], ["subsample_idx"], 100).toPandas()
     assert (replicates["n_subsamples"] == 16).all()
     assert replicates["mean"].mean() == pytest.approx(0.1, abs=0.03)
     # Every LM type and dataset picks by itself, so experiments differ.
@@ -230,6 +244,29 @@ def test_regression_agrees_with_the_pooled_effect(spark):
     assert fitted["method"] == pytest.approx(logit(sums[0]) - logit(sums[1]), abs=1e-6)
 
 
+@pytest.mark.parametrize("boost", [0.0, 0.25])
+def test_regression_equals_a_plain_fit(spark, boost):
+    """Estimates and standard errors of the whole design matrix, fitted by Newton steps over all of its columns."""
+    counts = summary.num_correct(accuracy_table(spark, boost=boost, types=("a", "b", "c"), n=60), F.col("num_test"), "round")
+    found = {r["term"]: (r["estimate"], r["se"]) for r in effects.glm_effect(counts, "boost").collect()}
+    sums = {r[0]: r[1:] for r in counts.groupBy("lm_type").agg(F.sum("base"), F.sum("extra"), F.sum("num_test")).collect()}
+    x, hits, trials = [], [], []
+    for i, t in enumerate(sorted(sums)):
+        for method in (0, 1):
+            x.append([1, method, int(i == 1), int(i == 2)])
+            hits.append(sums[t][method])
+            trials.append(sums[t][2])
+    x, hits, trials, w = np.array(x, float), np.array(hits, float), np.array(trials, float), np.zeros(4)
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-x @ w))
+        information = x.T @ (x * (trials * p * (1 - p))[:, None])
+        w = w + np.linalg.solve(information, x.T @ (hits - trials * p))
+    errors = np.sqrt(np.diag(np.linalg.inv(information)))
+    for name, estimate, error in zip(("intercept", "method", "lm_type[b]", "lm_type[c]"), w, errors):
+        assert found[name] == (pytest.approx(estimate, abs=1e-8), pytest.approx(error, rel=1e-6))
+    assert len(found) == 4
+
+
 def test_pca_experiment(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(120, 6))

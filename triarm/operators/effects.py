@@ -4,11 +4,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from triarm.functions.draws import draw_key, order_key, pick
+from triarm.functions.draws import coefficients, draw_key, pick, row_words, seed_key
 from triarm.functions.fixed_values import EFFECTS
 from triarm.functions.scoring import logit
 
 REPLICATES = 500  # fixed value: down-sampled experiments of the meta-analysis
+META_SALT = "meta"
+NEWTON_STEPS = 8
 
 
 def _sums(effect: str) -> list[Column]:
@@ -34,37 +36,39 @@ def log_odds_effect(num_correct: DataFrame, effect: str, group: Sequence[str]) -
 
 
 def meta_replicates(
-    num_correct: DataFrame, effect: str, key: Sequence[str], replicates: int = REPLICATES, size: int = 1,
+    num_correct: DataFrame, names: Sequence[str], key: Sequence[str], replicates: int = REPLICATES, size: int = 1,
     config: Sequence[str] = (), seed: int = 0,
 ) -> DataFrame:
-    """Effects of experiments that keep ``size`` random subsamples per LM type and dataset.
+    """Effects ``names`` of experiments that keep ``size`` random subsamples per LM type and dataset, a row for each effect.
 
-    Every replicate draws anew in every configuration, LM type and dataset. All are drawn in one
-    aggregate: with one subsample each, the row with the smallest hash survives the map side.
+    Every replicate draws anew in every configuration, LM type and dataset. A row is hashed once, and its key in a
+    replicate is two multiplications; equal keys are told apart by the row's hash. With one subsample each, the row
+    with the smallest key survives the map side, for all effects at once.
     """
     cell = [*config, "replicate", "lm_type", "dataset"]
-    numbered = num_correct.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    parts = [F.col("replicate"), *[F.col(c) for c in (*config, "lm_type", "dataset", *key)]]
-    hashed = numbered.withColumn("_key", order_key("meta", str(seed), *parts))
-    counts = ["num_test", *EFFECTS[effect]]
+    own = F.concat_ws("|", *[F.col(c).cast("string") for c in (*config, "lm_type", "dataset", *key)])
+    words = dict(zip(("_h1", "_h2"), row_words(own)))
+    numbers = ", ".join(
+        f"struct({i}, {', '.join(f'{x}L' for x in coefficients(META_SALT, seed + i))})" for i in range(replicates))
+    numbered = num_correct.withColumns(words).select("*", F.expr(f"inline(array({numbers})) as (replicate, _a, _b, _c)"))
+    drawn_key = seed_key([F.col("_h1"), F.col("_h2")], F.col("_a"), F.col("_b"), F.col("_c"))
+    keyed = numbered.withColumn("_key", F.shiftleft(drawn_key, 32) + F.col("_h2"))
+    arms = list(dict.fromkeys(arm for name in names for arm in EFFECTS[name]))
     if size == 1:
-        drawn = hashed.groupBy(*cell).agg(*[F.min_by(c, "_key").alias(f"_{c}") for c in dict.fromkeys(counts)])
+        drawn = keyed.groupBy(*cell).agg(*[F.min_by(c, "_key").alias(f"_{c}") for c in ("num_test", *arms)])
     else:
-        order = Window.partitionBy(*cell).orderBy("_key", *key)
-        kept = hashed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= size)
-        drawn = kept.select(*cell, *[F.col(c).alias(f"_{c}") for c in counts])
-    drawn = drawn.select(*cell, *[F.col(f"_{c}").alias(f"v_{c}") for c in counts])
-    treatment, control = EFFECTS[effect]
-    pooled = drawn.groupBy(*config, "replicate").agg(
-        F.sum(f"v_{treatment}").cast("double").alias("_t"),
-        F.sum(f"v_{control}").cast("double").alias("_c"),
-        F.sum("v_num_test").cast("double").alias("_n"),
-        F.count(F.lit(1)).alias("n_subsamples"),
-    )
-    difference = (F.col("_t") - F.col("_c")) / F.col("_n")
-    return pooled.select(
-        *config, "replicate", "n_subsamples", _log_odds().alias("log_odds"), difference.alias("mean")
-    )
+        order = Window.partitionBy(*cell).orderBy("_key")
+        kept = keyed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= size)
+        drawn = kept.select(*cell, *[F.col(c).alias(f"_{c}") for c in ("num_test", *arms)])
+    sums = drawn.groupBy(*config, "replicate").agg(
+        F.count(F.lit(1)).alias("n_subsamples"), *[F.sum(f"_{c}").cast("double").alias(f"_{c}") for c in ("num_test", *arms)])
+    rows = []
+    for name in names:
+        treatment, control = (F.col(f"_{arm}") for arm in EFFECTS[name])
+        total = F.col("_num_test")
+        rows.append(F.struct(F.lit(name).alias("effect"), (logit(treatment, total) - logit(control, total)).alias("log_odds"),
+                             ((treatment - control) / total).alias("mean")))
+    return sums.select(*config, "replicate", "n_subsamples", F.inline(F.array(*rows)))
 
 
 def bootstrap_effect(
@@ -92,35 +96,42 @@ def bootstrap_effect(
     return pooled.select(*config, "replicate", _log_odds().alias("log_odds"))
 
 
-def glm_effect(num_correct: DataFrame, effect: str) -> DataFrame:
-    """Binomial regression ``num_correct / num_test ~ method + lm_type``.
+def glm_effect(num_correct: DataFrame, effect: str, steps: int = NEWTON_STEPS) -> DataFrame:
+    """Binomial regression ``num_correct / num_test ~ method + lm_type``: ``term, estimate, se``, one row per coefficient.
 
-    The likelihood only needs the sums per method and LM type, so Spark ML fits a few
-    aggregated rows. Returns one row per coefficient.
+    The likelihood only needs the sums per method and LM type. Each Newton step is an aggregate over these few rows: an
+    LM type's own coefficient only meets the common one, so the equations fall apart into one number per LM type and
+    one sum. LM types are levels against the first by name; the steps are a fixed number, as they double the digits each.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    treatment, control = EFFECTS[effect]
-    sums = num_correct.groupBy("lm_type").agg(*_sums(effect))
-    cells = sums.select(
-        "lm_type",
-        F.inline(F.array(
-            F.struct(F.lit(0.0).alias("method"), F.col("_c").alias("hits"), F.col("_n").alias("trials")),
-            F.struct(F.lit(1.0).alias("method"), F.col("_t").alias("hits"), F.col("_n").alias("trials")),
-        )),
-    )
-    types = [r["lm_type"] for r in num_correct.select("lm_type").distinct().orderBy("lm_type").collect()]
-    names = ["method", *[f"lm_type[{t}]" for t in types[1:]]]
-    dummies = [(F.col("lm_type") == t).cast("double").alias(f"is_{i}") for i, t in enumerate(types[1:])]
-    features = VectorAssembler(inputCols=["method", *[f"is_{i}" for i in range(len(types) - 1)]], outputCol="features")
-    rows = features.transform(
-        cells.select("method", "trials", (F.col("hits") / F.col("trials")).alias("share"), *dummies)
-    )
-    fit = GeneralizedLinearRegression(
-        family="binomial", link="logit", labelCol="share", weightCol="trials", maxIter=50, tol=1e-10
-    ).fit(rows)
-    errors = fit.summary.coefficientStandardErrors
-    values = [*fit.coefficients.toArray().tolist(), fit.intercept]
-    terms = [(n, float(v), float(e)) for n, v, e in zip([*names, "intercept"], values, errors)]
-    return num_correct.sparkSession.createDataFrame(terms, "term string, estimate double, se double")
+    everything = Window.partitionBy()
+    over_all = lambda c: F.sum(c).over(everything)
+    start = F.log((F.col("_t") + F.col("_c") + 0.5) / (2 * F.col("_n") - F.col("_t") - F.col("_c") + 0.5))
+    rows = num_correct.groupBy("lm_type").agg(*_sums(effect)).withColumns({"_level": start, "_method": F.lit(0.0)})
+
+    def weighed(rows: DataFrame) -> DataFrame:
+        chance = lambda x: 1 / (1 + F.exp(-x))
+        control, treatment = chance(F.col("_level")), chance(F.col("_level") + F.col("_method"))
+        rows = rows.withColumns({
+            "_w": F.col("_n") * treatment * (1 - treatment), "_w0": F.col("_n") * control * (1 - control),
+            "_r": F.col("_t") - F.col("_n") * treatment, "_r0": F.col("_c") - F.col("_n") * control})
+        return rows.withColumns({"_both": F.col("_w") + F.col("_w0"), "_rest": F.col("_r") + F.col("_r0")}).withColumn(
+            "_information", over_all(F.col("_w") - F.col("_w") * F.col("_w") / F.col("_both")))
+
+    for _ in range(steps):
+        rows = weighed(rows)
+        rows = rows.withColumn(
+            "_step", over_all(F.col("_r") - F.col("_w") * F.col("_rest") / F.col("_both")) / F.col("_information"))
+        rows = rows.withColumn("_level", F.col("_level") + (F.col("_rest") - F.col("_w") * F.col("_step")) / F.col("_both"))
+        rows = rows.withColumn("_method", F.col("_method") + F.col("_step"))
+    first = F.min(F.struct("lm_type", "_level", "_w", "_both")).over(everything)
+    rows = weighed(rows).withColumn("_first", first)
+    tilt = F.col("_w") / F.col("_both") - F.when(
+        F.col("lm_type") != F.col("_first.lm_type"), F.col("_first._w") / F.col("_first._both")).otherwise(0.0)
+    alone = 1 / F.col("_both") + F.when(F.col("lm_type") != F.col("_first.lm_type"), 1 / F.col("_first._both")).otherwise(0.0)
+    error = F.sqrt(alone + tilt * tilt / F.col("_information"))
+    term = lambda name, estimate, se: F.struct(name.alias("term"), estimate.alias("estimate"), se.alias("se"))
+    common = term(F.lit("method"), F.col("_method"), 1 / F.sqrt("_information"))
+    intercept = term(F.lit("intercept"), F.col("_level"), error)
+    level = term(F.concat(F.lit("lm_type["), "lm_type", F.lit("]")), F.col("_level") - F.col("_first._level"), error)
+    terms = F.when(F.col("lm_type") == F.col("_first.lm_type"), F.array(common, intercept)).otherwise(F.array(level))
+    return rows.select(F.inline(terms))

@@ -37,26 +37,28 @@ class Model(Protocol):
 def run_model(
     data: DataFrame, splits: DataFrame, make_model: Callable[[], Model], by: Sequence[str] = ("dataset",)
 ) -> DataFrame:
-    """Predictions of all arms: ``(*by, subsample_idx, row_id, label, arm, probs, pred)``."""
+    """Predictions of all arms: ``(*by, subsample_idx, row_id, label, arm, probs, pred)``.
+
+    All arms of a replicate are one call, so a text is shuffled once, whatever the arms that see it.
+    """
     cell = [*by, "subsample_idx"]
-    texts = data.select(*by, "row_id", "text")
-    rows = splits.join(texts, [*by, "row_id"]).withColumn("arm", F.explode(F.array(*[F.lit(a) for a in ARMS])))
-    # An arm sees the train rows, the test rows, and the unlabelled rows it learns from.
-    rows = rows.where("role in ('train', 'test') or role = arm")
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id")
-        part = {role: group for role, group in pdf.groupby("role")}
-        arm, model = key[-1], make_model()
-        if arm != "base":
-            model.learn(part[arm]["text"].tolist())
-        model.fit(part["train"]["text"].tolist(), part["train"]["label"].tolist())
-        test = part["test"]
-        probs = np.asarray(model.predict_proba(test["text"].tolist()), dtype=float)
-        if probs.ndim != 2 or len(probs) != len(test):
-            raise ValueError(f"expected one row of probabilities per text, got shape {probs.shape}")
-        return test[[*cell, "row_id", "label", "arm"]].assign(probs=list(probs))
-
-    schema = rows.select(*cell, "row_id", "label", "arm").schema.add("probs", T.ArrayType(T.DoubleType()))
-    scored = rows.groupBy(*cell, "arm").applyInPandas(one, schema)
+    rows = splits.join(data.select(*by, "row_id", "text"), [*by, "row_id"])
+
+    def replicate(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = {role: group for role, group in pdf.sort_values("row_id").groupby("role")}
+        train, test, out = part["train"], part["test"], []
+        for arm in ARMS:
+            # An arm sees the train rows, the test rows, and the unlabelled rows it learns from.
+            model = make_model()
+            if arm != "base":
+                model.learn(part[arm]["text"].tolist())
+            model.fit(train["text"].tolist(), train["label"].tolist())
+            probs = np.asarray(model.predict_proba(test["text"].tolist()), dtype=float)
+            if probs.ndim != 2 or len(probs) != len(test):
+                raise ValueError(f"expected one row of probabilities per text, got shape {probs.shape}")
+            out.append(test[[*cell, "row_id", "label"]].assign(arm=arm, probs=list(probs)))
+        return pd.concat(out)
+
+    schema = rows.select(*cell, "row_id", "label", F.lit("").alias("arm")).schema.add("probs", T.ArrayType(T.DoubleType()))
+    scored = rows.groupBy(*cell).applyInPandas(replicate, schema)
     return scored.withColumn("pred", argmax(F.col("probs")))

@@ -40,6 +40,11 @@ def _size(group: Sequence[str], df: DataFrame, rows: int) -> tuple[int, int]:
     return largest or 0, many
 
 
+def fits(df: DataFrame, group: Sequence[str]) -> bool:
+    """Whether no group is larger than one task should sort."""
+    return not _size(group, df, ROWS)[1]
+
+
 def _number_of_part(by: Column, splits: str, parts: int) -> Column:
     """How many of the sorted splitters are at or below the value, by halving; 0 without splitters."""
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(parts.bit_length()))])
@@ -125,7 +130,7 @@ def value_ranks(df: DataFrame, group: Sequence[str], value: str, count: str | No
 
 def mid_ranks(df: DataFrame, name: str, group: Sequence[str], value: str) -> DataFrame:
     """Add the 1-based rank of each row's value in its group, the mean one for equal values."""
-    if not _size(group, df, ROWS)[1]:
+    if fits(df, group):
         values = Window.partitionBy(*group).orderBy(value)
         last = F.count(F.lit(1)).over(values.rangeBetween(Window.unboundedPreceding, Window.currentRow))
         return df.withColumn(name, (F.rank().over(values) + last) / 2.0)
@@ -144,7 +149,7 @@ def positions_by_value(
     """
     signed = -F.col(value) if descending else F.col(value)
     rows = df.where(F.col(value).isNotNull()).withColumn("_signed", signed)
-    if not _size(group, rows, ROWS)[1]:
+    if fits(rows, group):
         order = Window.partitionBy(*group).orderBy("_signed", tie)
         return rows.withColumn(name, F.row_number().over(order).cast("bigint") - 1).drop("_signed")
     rows = rows.withColumn("_place", _key([*group, "_signed"]))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from triarm.functions.fixed_values import EFFECT_NAMES, EFFECTS
 from triarm.functions.naming import recode
-from triarm.operators.prefix import total_before
+from triarm.operators.prefix import fits, total_before
 
 MELT_KEYS = ("num_test", "pair", "lm_type", "dataset")
 
@@ -17,6 +17,9 @@ def with_pair(df: DataFrame, group: Sequence[str] = ("lm_type",)) -> DataFrame:
     The same subsample has the same index for every LM type that covers the same
     datasets, as it is drawn with the same seed.
     """
+    if fits(df, group):
+        order = Window.partitionBy(*group).orderBy("dataset", "subsample_idx")
+        return df.withColumn("pair", F.row_number().over(order).cast("bigint") - 1)
     placed = total_before(df, "_at", [*group, "dataset"], F.col("subsample_idx"), [F.col("subsample_idx")])
     # Datasets are few; their sizes give each its first index.
     sizes = df.groupBy(*group, "dataset").agg(F.count(F.lit(1)).alias("_size"))
@@ -27,13 +30,17 @@ def with_pair(df: DataFrame, group: Sequence[str] = ("lm_type",)) -> DataFrame:
 
 
 def melt_num_correct(
-    df: DataFrame, treatment: str, control: str, id_vars: Sequence[str] = MELT_KEYS,
+    df: DataFrame, names: Sequence[str] = tuple(EFFECTS), id_vars: Sequence[str] = MELT_KEYS,
     group: Sequence[str] = ("lm_type",),
 ) -> DataFrame:
-    """One row per subsample and method: ``(*id_vars, method, num_correct)``."""
+    """One row per effect, subsample and method: ``(effect, *id_vars, method, num_correct)``. Subsamples are indexed once."""
     keys = list(dict.fromkeys(["num_test", "lm_type", *id_vars]))
     paired = with_pair(df, group) if "pair" in keys else df
-    return paired.unpivot(keys, [control, treatment], "method", "num_correct")
+    rows = [
+        F.struct(F.lit(name).alias("effect"), F.lit(arm).alias("method"), F.col(arm).alias("num_correct"))
+        for name in names for arm in reversed(EFFECTS[name])
+    ]
+    return paired.select(*keys, F.inline(F.array(*rows))).select("effect", *keys, "method", "num_correct")
 
 
 def melt_differences(df: DataFrame, keys: Sequence[str] = ("dataset",)) -> DataFrame:

@@ -46,6 +46,15 @@ def difference_summary(df: DataFrame, diff: Column, groups: Sequence[str] = ("da
     )
 
 
+def effects_of_groups(df: DataFrame, treatment: str, control: str, groups: Sequence[str] = ("dataset",)) -> DataFrame:
+    """Mean and standard error of the raw and the relative effect per group; groups must hold equally many replicates."""
+    require_equal_replicates(df, groups)
+    raw, relative = F.col(treatment) - F.col(control), relative_difference(treatment, control)
+    return df.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(raw).alias("raw_mean"), standard_error(raw).alias("raw_se"),
+        F.avg(relative).alias("relative_mean"), standard_error(relative).alias("relative_se"))
+
+
 def overall_difference(df: DataFrame, treatment: str, control: str) -> DataFrame:
     """Raw and relative effect over dataset means; datasets are the replicates."""
     diffs = {

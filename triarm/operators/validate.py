@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from triarm.functions.fixed_values import QUERY_MARKER, REPLICATE_GROUP
 from triarm.functions.prompts import shared_prefix
+from triarm.operators.prefix import total_before
 
 
 class InvalidDataError(ValueError):
@@ -42,7 +43,7 @@ def violations(df: DataFrame, num_class_names: int | None = None, key: str = "ro
     labels = df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(
         F.coalesce(F.sum(F.when(label.isNull(), n)), F.lit(0)).alias("null_label"),
         F.coalesce(F.sum(F.when(label < 0, n)), F.lit(0)).alias("negative_label"),
-        F.greatest(F.coalesce(F.max(label) + 1, F.lit(0)) - F.count_if(label >= 0), F.lit(0))
+        F.greatest(F.coalesce(F.max(label).cast("bigint") + 1, F.lit(0)) - F.count_if(label >= 0), F.lit(0))
         .cast("bigint").alias("missing_label"),
         F.abs(known - (known if num_class_names is None else F.lit(num_class_names)))
         .cast("bigint").alias("class_count_off"),
@@ -55,10 +56,20 @@ def violations(df: DataFrame, num_class_names: int | None = None, key: str = "ro
 
 
 def missing_labels(df: DataFrame) -> DataFrame:
-    """Labels in 0..max that no row has. Negative labels are another rule's business."""
-    top = df.agg(F.max("label")).first()[0]
-    every = df.sparkSession.range(0, 0 if top is None else int(top)).select(F.col("id").cast("int").alias("label"))
-    return every.join(df.select("label").distinct(), "label", "left_anti")
+    """Ranges of labels from 0 to the largest that no row has, as ``first_label, last_label``.
+
+    Each distinct label is sent to its own place in their order and to the place before, where neighbours meet; a stray label
+    far off costs one range. Negative labels are another rule's business.
+    """
+    there = df.where("label >= 0").select(F.col("label").cast("bigint").alias("_label")).distinct()
+    placed = total_before(there, "_place", [], F.col("_label"), [F.col("_label")])
+    nothing = F.lit(None).cast("bigint")
+    own = F.struct((F.col("_place") + 1).alias("_place"), F.col("_label"), nothing.alias("_next"))
+    before = F.struct(F.col("_place"), nothing.alias("_label"), F.col("_label").alias("_next"))
+    met = placed.select(F.inline(F.array(own, before))).groupBy("_place").agg(
+        F.coalesce(F.max("_label"), F.lit(-1)).alias("_label"), F.max("_next").alias("_next"))
+    return met.where("_next > _label + 1").select(
+        (F.col("_label") + 1).alias("first_label"), (F.col("_next") - 1).alias("last_label"))
 
 
 def require_valid(df: DataFrame, class_names: Sequence[str], key: str = "row_id") -> None:

@@ -15,10 +15,12 @@ class Query:
 CATALOG: dict[str, Query] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, also: str | None = None):
+    """Register ``(spark, sf_dir) -> DataFrame`` under ``name``, and under an earlier name that it goes on having."""
     def add(run):
-        if name in CATALOG:
-            raise ValueError(f"two queries are called {name}")
-        CATALOG[name] = Query(run, sql)
+        for known in filter(None, (name, also)):
+            if known in CATALOG:
+                raise ValueError(f"two queries are called {known}")
+            CATALOG[known] = Query(run, sql)
         return run
     return add

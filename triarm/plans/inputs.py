@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from triarm.functions.draws import HEX, digit
+from triarm.functions.draws import DIGITS, HEX, PRIME, digit
 from triarm.functions.fixed_values import EFFECTS
 from triarm.operators import scoring, summary
 
@@ -48,6 +48,21 @@ def sql_word(key: str) -> str:
     return f"CAST('0x' || substr({key}, 1, 8) AS BIGINT)"
 
 
+def _sql_part(digest: str, i: int) -> str:
+    return f"CAST('0x' || substr({digest}, {1 + DIGITS * i}, {DIGITS}) AS BIGINT)"
+
+
+def sql_row_word(row: str, i: int) -> str:
+    """Number ``i`` of a row that is hashed once; ``row`` is the text that is hashed."""
+    return _sql_part(f"md5({row})", i)
+
+
+def sql_seed_key(row: str, seed: str) -> str:
+    """Key of a row under a seed; ``seed`` is the text that is hashed, salt included."""
+    a, b, c = (_sql_part(f"md5({seed})", i) for i in range(3))
+    return f"(({a} * {sql_row_word(row, 0)} + {b} * {sql_row_word(row, 1)} + {c}) % {PRIME})"
+
+
 CTES: dict[str, str] = {}
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from triarm.functions import scoring as fs
 from triarm.functions.fixed_values import ARMS
-from triarm.operators import arms, scoring
+from triarm.operators import arms, plugins, scoring
 from triarm.plans.catalog import query
 from triarm.plans.inputs import CTES, LANGS, datasets, documents, r6, sql
 from triarm.plans.q_sampling import SPLITS, splits
@@ -120,32 +120,69 @@ def experiment_arms(spark, sf_dir):
     return acc.withColumns({c: r6(c) for c in (*ARMS, "majority", "majority_all")})
 
 
-@query("pred_probs_wide", sql(f"""
-SELECT subsample_idx, row_id, label, {', '.join(
-    f"round(max(prob) FILTER (WHERE arm = '{a}' AND class_idx = {i}), 6) AS pred_prob_{i}_{a}"
-    for a in ARMS for i in range(2))}
-FROM probs WHERE dataset = 'quality' GROUP BY 1, 2, 3""", *PREDICT))
-def pred_probs_wide(spark, sf_dir):
-    rows = predicted(spark, sf_dir).where("dataset = 'quality'")
-    wide = scoring.probability_columns(rows, ["subsample_idx", "row_id", "label"], 2)
-    return wide.withColumns({c: r6(c) for c in wide.columns if c.startswith("pred_prob")})
-
-
 CLASSES = {"languages": len(LANGS), "quality": 2}
 
 
-@query("pred_probs_wide_all", sql(f"""
+@query("pred_probs_wide", sql(f"""
 SELECT {CELL}, row_id, label, {', '.join(
     f"round(max(prob) FILTER (WHERE arm = '{a}' AND class_idx = {i}), 6) AS pred_prob_{i}_{a}"
     for a in ARMS for i in range(max(CLASSES.values())))}
-FROM probs GROUP BY 1, 2, 3, 4""", *PREDICT))
-def pred_probs_wide_all(spark, sf_dir):
+FROM probs GROUP BY 1, 2, 3, 4""", *PREDICT), also="pred_probs_wide_all")
+def pred_probs_wide(spark, sf_dir):
     """Both datasets; the columns of classes that a dataset does not have are NULL."""
     rows = predicted(spark, sf_dir)
     wide = scoring.probability_columns(rows, ["dataset", "subsample_idx", "row_id", "label"], max(CLASSES.values()))
     return wide.withColumns({c: r6(c) for c in wide.columns if c.startswith("pred_prob")})
 
 
+# --- A model of the user's own ---------------------------------------------------
+
+class NearestLength:
+    """The class whose mean text length is nearest; lengths count in means of the texts a model has learned from, if any."""
+
+    def __init__(self):
+        self.unit = None
+
+    def learn(self, texts):
+        self.unit = sum(map(len, texts)) / len(texts)
+
+    def fit(self, texts, labels):
+        sizes = [len(t) for t in texts]
+        scale = 1.0 if self.unit is None else sum(sizes) / len(sizes)
+        self.means = []
+        for label in range(max(labels) + 1):
+            own = [n for n, x in zip(sizes, labels) if x == label]
+            self.means.append(sum(own) / len(own) / scale)
+
+    def predict_proba(self, texts):
+        rows = []
+        for text in texts:
+            away = [abs(len(text) / (self.unit or 1.0) - m) for m in self.means]
+            rows.append([1 / (1 + x) / sum(1 / (1 + y) for y in away) for x in away])
+        return rows
+
+
+_AWAY = "abs(length(d.text) / u.unit - m.mean / u.scale)"
+
+
+@query("user_model_arms", sql(f"""
+, t AS (SELECT s.dataset, s.subsample_idx, s.row_id, s.label, s.role, d.text FROM splits AS s JOIN datasets AS d USING (dataset, row_id)),
+  m AS (SELECT {CELL}, label AS class_idx, avg(length(text)) AS mean FROM t WHERE role = 'train' GROUP BY ALL),
+  a AS (SELECT {CELL}, avg(length(text)) FILTER (WHERE role = 'train') AS train,
+               avg(length(text)) FILTER (WHERE role = 'extra') AS extra, avg(length(text)) FILTER (WHERE role = 'test') AS test
+        FROM t GROUP BY ALL),
+  u AS (SELECT {CELL}, 'base' AS arm, 1e0 AS unit, 1e0 AS scale FROM a UNION ALL SELECT {CELL}, 'extra', extra, train FROM a
+        UNION ALL SELECT {CELL}, 'test', test, train FROM a),
+  p AS (SELECT {CELL}, d.row_id, d.label, u.arm, m.class_idx, 1 / (1 + {_AWAY}) AS w
+        FROM t AS d JOIN m USING ({CELL}) JOIN u USING ({CELL}) WHERE d.role = 'test')
+SELECT {CELL}, row_id, arm, class_idx, round(w / sum(w) OVER (PARTITION BY {CELL}, row_id, arm), 6) AS prob FROM p""", *SPLITS))
+def user_model_arms(spark, sf_dir):
+    """Probabilities of a plain model that is brought along."""
+    rows = plugins.run_model(datasets(spark, sf_dir), splits(spark, sf_dir), NearestLength)
+    flat = rows.select("dataset", "subsample_idx", "row_id", "arm", F.posexplode("probs").alias("class_idx", "prob"))
+    return flat.withColumn("prob", r6("prob"))
+
+
 # --- Scores without training --------------------------------------------------
 
 # Common words of each language, in label order.

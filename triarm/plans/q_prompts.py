@@ -78,41 +78,6 @@ def chat_build(spark, sf_dir):
     return messages.select("row_id", "kind", "pos", "message.role", "message.content")
 
 
-CTES["exchanges"] = """
-  SELECT u.conv_id, u.turn, u.text, a.text AS reply
-  FROM conversations AS u JOIN conversations AS a
-    ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant'"""
-
-
-def exchanges(spark, sf_dir):
-    """User turns with the assistant turn that follows: an equi-join per turn, not a list per conversation."""
-    turns = table(spark, sf_dir, "conversations")
-    user = turns.where("role = 'user'").select("conv_id", "turn", "text")
-    reply = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
-    return user.join(reply, ["conv_id", "turn"])
-
-
-def rendered(spark, sf_dir):
-    rows = exchanges(spark, sf_dir)
-    chat = prompts.chat(F.lit("Reply politely.\n"), prompts.query(F.col("text")), F.col("reply"))
-    return rows.select("conv_id", "turn", prompts.render(chat).alias("text"))
-
-
-SQL_RENDERED = f"'Reply politely.' || chr(10) || {SQL_QUERY} || reply"
-
-
-@query("chat_render", sql(f"SELECT conv_id, turn, {SQL_RENDERED} AS text FROM exchanges", "exchanges"))
-def chat_render(spark, sf_dir):
-    return rendered(spark, sf_dir)
-
-
-@query("chat_strip_suffix", sql(f"""
-SELECT conv_id, turn, CASE WHEN suffix(t, '.') THEN substr(t, 1, length(t) - 1) ELSE t END AS text
-FROM (SELECT conv_id, turn, {SQL_RENDERED} AS t FROM exchanges) AS r""", "exchanges"))
-def chat_strip_suffix(spark, sf_dir):
-    return rendered(spark, sf_dir).withColumn("text", prompts.strip_suffix(F.col("text"), "."))
-
-
 CTES["turns"] = f"""
   SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.turn, a.turn) AS turn,
          CASE WHEN u.role IS NULL THEN a.text WHEN a.role IS NULL THEN u.opening ELSE u.opening || a.text END AS text
@@ -140,15 +105,15 @@ def all_turns(spark, sf_dir):
     return paired.unionByName(others.select("conv_id", "turn", "text"))
 
 
-@query("chat_render_all", sql("SELECT conv_id, turn, text FROM turns", "turns"))
-def chat_render_all(spark, sf_dir):
+@query("chat_render", sql("SELECT conv_id, turn, text FROM turns", "turns"), also="chat_render_all")
+def chat_render(spark, sf_dir):
     return all_turns(spark, sf_dir)
 
 
-@query("chat_strip_suffix_all", sql("""
+@query("chat_strip_suffix", sql("""
 SELECT conv_id, turn, CASE WHEN suffix(text, '.') THEN substr(text, 1, length(text) - 1) ELSE text END AS text
-FROM turns""", "turns"))
-def chat_strip_suffix_all(spark, sf_dir):
+FROM turns""", "turns"), also="chat_strip_suffix_all")
+def chat_strip_suffix(spark, sf_dir):
     return all_turns(spark, sf_dir).withColumn("text", prompts.strip_suffix(F.col("text"), "."))
 
 

@@ -22,20 +22,18 @@ PAIRS = (*NUM, "pairs")
 IDS = ("num_train", "num_test", "pair", "lm_type", "dataset")
 
 
-def melted(spark, sf_dir, effect):
-    return reshape.melt_num_correct(num_correct(spark, sf_dir), *EFFECTS[effect], id_vars=IDS, group=CONFIG)
+def melted(spark, sf_dir):
+    return reshape.melt_num_correct(num_correct(spark, sf_dir), id_vars=IDS, group=CONFIG)
 
 
-def sql_melted(effect: str) -> str:
-    treatment, control = EFFECTS[effect]
-    ids = ", ".join(IDS)
-    return (f"SELECT {ids}, '{control}' AS method, {control} AS num_correct FROM pairs "
-            f"UNION ALL SELECT {ids}, '{treatment}', {treatment} FROM pairs")
+CTES["melted"] = sql_per_effect(lambda e, t, c: " UNION ALL ".join(
+    f"SELECT '{e}' AS effect, {', '.join(IDS)}, '{m}' AS method, {m} AS num_correct FROM pairs" for m in (c, t)))
+MELTED = (*PAIRS, "melted")
 
 
-@query("melt_num_correct", sql(sql_melted("bias"), *PAIRS))
+@query("melt_num_correct", sql("SELECT * FROM melted", *MELTED))
 def melt_num_correct(spark, sf_dir):
-    return melted(spark, sf_dir, "bias")
+    return melted(spark, sf_dir)
 
 
 @query("melt_diffs", sql("""
@@ -71,16 +69,21 @@ def union_runs(spark, sf_dir):
     )
 
 
-@query("pivot_predictions", sql(f"""
-, melted AS ({sql_melted('boost')})
-SELECT num_train, num_test, lm_type, dataset,
-       max(CASE WHEN method = 'extra' THEN num_correct + 0.25 END::DOUBLE) AS extra,
-       max(CASE WHEN method = 'base' THEN num_correct + 0.25 END::DOUBLE) AS base
-FROM melted GROUP BY num_train, num_test, pair, lm_type, dataset""", *PAIRS))
+@query("pivot_predictions", sql(sql_per_effect(lambda e, t, c: f"""
+SELECT '{e}' AS effect, num_train, num_test, lm_type, dataset,
+       max(CASE WHEN method = '{t}' THEN num_correct + 0.25 END::DOUBLE) AS treatment,
+       max(CASE WHEN method = '{c}' THEN num_correct + 0.25 END::DOUBLE) AS control
+FROM melted WHERE effect = '{e}' GROUP BY num_train, num_test, pair, lm_type, dataset"""), *MELTED))
 def pivot_predictions(spark, sf_dir):
-    rows = melted(spark, sf_dir, "boost")
-    predicted = rows.withColumn("pred", F.col("num_correct") + F.lit(0.25))
-    return reshape.pivot_predictions(rows, predicted, *EFFECTS["boost"], id_vars=IDS)
+    long = melted(spark, sf_dir)
+
+    def one(effect):
+        rows, (treatment, control) = long.where(F.col("effect") == effect).drop("effect"), EFFECTS[effect]
+        predicted = rows.withColumn("pred", F.col("num_correct") + F.lit(0.25))
+        wide = reshape.pivot_predictions(rows, predicted, treatment, control, id_vars=IDS)
+        return wide.withColumnsRenamed({treatment: "treatment", control: "control"})
+
+    return per_effect(one)
 
 
 # --- Draw tables: 100 draws around every count --------------------------------
@@ -90,11 +93,7 @@ DRAWS = 100
 
 def draw_table(spark, sf_dir):
     """Long draws ``(effect, keys, method, draw, pred)`` of both effects."""
-    both = None
-    for effect in EFFECTS:
-        rows = melted(spark, sf_dir, effect).withColumn("effect", F.lit(effect))
-        both = rows if both is None else both.unionByName(rows)
-    drawn = both.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
+    drawn = melted(spark, sf_dir).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
     key = F.md5(F.concat_ws("|", "effect", *[
         F.col(c).cast("string") for c in ("num_train", "num_test", "lm_type", "dataset", "pair", "method", "draw")
     ]))
@@ -103,15 +102,14 @@ def draw_table(spark, sf_dir):
 
 
 def _sql_draws() -> str:
-    both = " UNION ALL ".join(f"SELECT '{e}' AS effect, * FROM ({sql_melted(e)}) AS m" for e in EFFECTS)
     key = ("md5(concat_ws('|', effect, num_train, num_test, lm_type, dataset, pair, method, draw))")
     return (f"SELECT effect, num_train, num_test, pair, lm_type, dataset, method, CAST(draw AS INTEGER) AS draw, "
             f"num_correct + (CAST({sql_word(key)} AS DOUBLE) / 2147483648e0 - 1e0) AS pred "
-            f"FROM ({both}) AS b CROSS JOIN range({DRAWS}) AS d(draw)")
+            f"FROM melted AS b CROSS JOIN range({DRAWS}) AS d(draw)")
 
 
 CTES["draws"] = _sql_draws()
-DRAW_CTES = (*PAIRS, "draws")
+DRAW_CTES = (*MELTED, "draws")
 
 
 @query("posterior_marginal", sql("""

@@ -2,19 +2,16 @@
 
 from pyspark.sql import functions as F
 
-from triarm.functions.draws import PRIME, order_key
+from triarm.functions.draws import order_key
 from triarm.operators import sampling
 from triarm.plans.catalog import query
-from triarm.plans.inputs import ACC, CTES, accuracies, datasets, documents, quality, r6, sql, table
+from triarm.plans.inputs import ACC, CTES, accuracies, datasets, documents, quality, r6, sql, sql_seed_key, table
 
 TRAIN, TEST, REPLICATES = 40, 50, 5
 
 
 def _sql_key(salt: str, seed: str) -> str:
-    part = lambda digest, i: f"CAST('0x' || substr({digest}, {1 + 7 * i}, 7) AS BIGINT)"
-    row, numbers = "md5(CAST(row_id AS VARCHAR))", f"md5('{salt}|' || {seed})"
-    return (f"(({part(numbers, 0)} * {part(row, 0)} + {part(numbers, 1)} * {part(row, 1)} + {part(numbers, 2)}) "
-            f"% {PRIME})")
+    return sql_seed_key("CAST(row_id AS VARCHAR)", f"'{salt}|' || {seed}")
 
 
 def sql_splits(

@@ -244,30 +244,12 @@ def leaderboard_scan(spark, sf_dir):
 
 
 @query("accuracy_from_preds", sql("""
-SELECT subsample_idx, round(avg((label = pred)::INTEGER) FILTER (WHERE arm = 'base'), 6) AS base,
-       round(avg((label = pred)::INTEGER) FILTER (WHERE arm = 'extra'), 6) AS extra,
-       round(avg((label = pred)::INTEGER) FILTER (WHERE arm = 'test'), 6) AS test
-FROM preds WHERE dataset = 'quality' GROUP BY 1""", *PREDICT))
-def accuracy_from_preds(spark, sf_dir):
-    """Accuracies of prediction files with a probability column per class and arm."""
-    path = new_path(spark, "preds")
-    rows = predicted(spark, sf_dir).where("dataset = 'quality'")
-    wide = scoring.probability_columns(rows, ["dataset", "subsample_idx", "row_id", "label"], 2)
-    results.write_predictions_csv(wide, path)
-    kinds = ["row_id bigint", "label int", *[f"{c} double" for c in wide.columns if c.startswith("pred_prob")]]
-    # The folders of the tree add dataset and subsample_idx.
-    files = spark.read.schema(", ".join(kinds)).option("header", True).csv(path)
-    scored = scoring.accuracies(scoring.predictions_from_columns(files), ["subsample_idx"])
-    return scored.select("subsample_idx", *[r6(a).alias(a) for a in ARMS])
-
-
-@query("accuracy_from_preds_all", sql("""
 SELECT dataset, subsample_idx, round(avg((label = pred)::INTEGER) FILTER (WHERE arm = 'base'), 6) AS base,
        round(avg((label = pred)::INTEGER) FILTER (WHERE arm = 'extra'), 6) AS extra,
        round(avg((label = pred)::INTEGER) FILTER (WHERE arm = 'test'), 6) AS test
-FROM preds GROUP BY 1, 2""", *PREDICT))
-def accuracy_from_preds_all(spark, sf_dir):
-    """The same for both datasets, whose files have as many probability columns as they have classes."""
+FROM preds GROUP BY 1, 2""", *PREDICT), also="accuracy_from_preds_all")
+def accuracy_from_preds(spark, sf_dir):
+    """Accuracies of prediction files with a probability column per class and arm, a tree for each dataset."""
     rows = stored(predicted(spark, sf_dir), "predicted")
     key = ["dataset", "subsample_idx"]
     scored = []

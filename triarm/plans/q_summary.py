@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from triarm.functions.fixed_values import EFFECTS
 from triarm.operators import scoring, summary
 from triarm.plans.catalog import query
+from triarm.sources.scratch import stored
 from triarm.plans.inputs import ACC, NUM, accuracies, datasets, full_accuracies, num_correct, per_effect, r6, sql, sql_per_effect
 
 KEYS = ("num_train", "num_test", "lm_type", "dataset", "subsample_idx")
@@ -104,6 +105,20 @@ def eda_overall(spark, sf_dir):
     return table.withColumns({"mean": r6("mean"), "se": r6("se")})
 
 
+@query("eda_datasets", sql(sql_per_effect(lambda e, t, c: f"""
+SELECT '{e}' AS effect, lm_type, num_train, num_test, dataset, count(*) AS n, round(avg({t} - {c}), 6) AS raw_mean,
+       round(stddev_samp({t} - {c}) / sqrt(count(*)), 6) AS raw_se,
+       round(avg(CASE WHEN {c} <> 0 THEN ({t} - {c}) / {c} END), 6) AS relative_mean,
+       round(stddev_samp(CASE WHEN {c} <> 0 THEN ({t} - {c}) / {c} END) / sqrt(count(CASE WHEN {c} <> 0 THEN 1 END)), 6) AS relative_se
+FROM accuracies GROUP BY lm_type, num_train, num_test, dataset"""), *ACC))
+def eda_datasets(spark, sf_dir):
+    """Raw and relative effect of every dataset, all of which must hold equally many replicates."""
+    acc = stored(accuracies(spark, sf_dir), "accuracies")
+    group = ["lm_type", "num_train", "num_test", "dataset"]
+    table = per_effect(lambda e: summary.effects_of_groups(acc, *EFFECTS[e], group))
+    return table.withColumns({c: r6(c) for c in ("raw_mean", "raw_se", "relative_mean", "relative_se")})
+
+
 @query("summary_two_level", sql(f"""
 , means AS ({sql_per_effect(lambda e, t, c: f"""
   SELECT '{e}' AS effect, num_test, lm_type, dataset, avg({t} - {c}) AS v FROM accuracies GROUP BY ALL""")})
@@ -130,15 +145,19 @@ def group_stats(spark, sf_dir):
     return stats.withColumns({c: r6(c) for c in ("boost_mean", "boost_se", "bias_mean", "bias_se")})
 
 
-@query("effect_threshold", sql(_STATS + """
-SELECT num_train, num_test, lm_type, dataset, round(bias_mean, 6) AS bias_mean, round(bias_se, 6) AS bias_se,
-       CASE WHEN bias_mean > 0 THEN 'above' ELSE 'below' END AS side
-FROM stats WHERE bias_mean > 0.03 OR bias_mean < -0.03""", *ACC))
+@query("effect_threshold", sql(_STATS + sql_per_effect(lambda e, t, c: f"""
+SELECT '{e}' AS effect, num_train, num_test, lm_type, dataset, round({e}_mean, 6) AS mean, round({e}_se, 6) AS se,
+       CASE WHEN {e}_mean > 0 THEN 'above' ELSE 'below' END AS side
+FROM stats WHERE {e}_mean > 0.03 OR {e}_mean < -0.03"""), *ACC))
 def effect_threshold(spark, sf_dir):
     stats = summary.group_stats(accuracies(spark, sf_dir))
-    above = summary.beyond(stats, 0.03).withColumn("side", F.lit("above"))
-    below = summary.beyond(stats, -0.03).withColumn("side", F.lit("below"))
-    return above.unionByName(below).select(*GROUP, r6("bias_mean").alias("bias_mean"), r6("bias_se").alias("bias_se"), "side")
+
+    def one(effect):
+        side = lambda threshold, name: summary.beyond(stats, threshold, f"{effect}_mean").withColumn("side", F.lit(name))
+        both = side(0.03, "above").unionByName(side(-0.03, "below"))
+        return both.select(*GROUP, r6(f"{effect}_mean").alias("mean"), r6(f"{effect}_se").alias("se"), "side")
+
+    return per_effect(one)
 
 
 @query("dataset_rollup", sql(_STATS + """

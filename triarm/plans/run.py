@@ -114,7 +114,7 @@ def analyze(accuracy: DataFrame, analysis: Analysis = Analysis()) -> dict[str, D
         "effect": effects.log_odds_effect(counts, analysis.effect, [*config, "lm_type"]),
         "effect_interval": posterior.draw_summary(boot, config, "log_odds", "replicate"),
         "single_subsamples": effects.meta_replicates(
-            counts, analysis.effect, ["subsample_idx"], analysis.replicates, config=config
+            counts, [analysis.effect], ["subsample_idx"], analysis.replicates, config=config
         ),
     }
     out["rank_correlation"] = rank_correlations(table, analysis.pairs)
