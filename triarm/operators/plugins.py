@@ -5,20 +5,16 @@ replicate; replicates and arms run side by side. Spark joins the texts to the sp
 and brings each group together.
 """
 
-import sys
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from triarm.functions.fixed_values import ARMS
 from triarm.functions.scoring import argmax
-
-# Executors may not have the package: send this module with the task.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from triarm.session import ship
 
 
 class Model(Protocol):
@@ -41,6 +37,7 @@ def run_model(
 
     All arms of a replicate are one call, so a text is shuffled once, whatever the arms that see it.
     """
+    ship(data.sparkSession)
     cell = [*by, "subsample_idx"]
     rows = splits.join(data.select(*by, "row_id", "text"), [*by, "row_id"])
 
