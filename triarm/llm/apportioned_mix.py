@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from triarm.llm.text import words
+from triarm.session import ship
 from triarm.sources.scratch import stored
 
 SECTION = 4096
@@ -73,6 +74,7 @@ def apportion(parties: DataFrame, group: Sequence[str], order: Sequence[str]) ->
         part = part.sort_values(list(order), kind="stable")
         return part.assign(quota=highest_quotients(part["share"], part["cap"], part["seats"].iloc[0]))
 
+    ship(parties.sparkSession)
     return parties.groupBy(*group).applyInPandas(run, schema)
 
 

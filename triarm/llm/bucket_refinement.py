@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from triarm.llm.text import SubstringHashes, mix, signed, slices, text_key, unused
+from triarm.llm.text import SubstringHashes, map_arrow, mix, signed, slices, text_key, unused
 from triarm.sources.scratch import stored
 
 SPAN = 400
@@ -170,7 +170,7 @@ def _refine(contexts: DataFrame) -> DataFrame:
     parents = "ARRAY<STRUCT<block: BIGINT, id: BIGINT>>"
     live = contexts.withColumn("parents", F.lit(None).cast(parents))
     for size in BLOCKS:
-        rows = stored(live.mapInArrow(
+        rows = stored(live.transform(map_arrow,
             _identify(size), "bucket BIGINT, sig BIGINT, block BIGINT, core BIGINT, whole BIGINT"), "blocks")
         shared = rows.groupBy("core").agg(F.count("*").alias("members")).where("members > 1")
         rows = rows.join(shared, "core")
@@ -228,7 +228,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     name, spans_name = unused(old, "text_key"), unused(old, "spans")
     docs = old.withColumn(name, text_key(F.col("text")))
     keyed = docs.select(F.col(name).alias("key"), "text")
-    runs = stored(keyed.mapInArrow(_find_anchors, ANCHOR), "anchors")
+    runs = stored(keyed.transform(map_arrow, _find_anchors, ANCHOR), "anchors")
     told = runs.where("bucket IS NOT NULL")
     buckets = told.groupBy("bucket").agg(F.sum("n").alias("members"), F.min("sig").alias("low"), F.max("sig").alias("high"))
     buckets = buckets.where("members > 1").select("bucket", (F.col("low") != F.col("high")).alias("mixed"))
@@ -238,7 +238,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
 
     run = F.struct("bucket", "sig", (F.col("members") == 1).alias("open"), "one.first", "one.last", "one.anchor")
     to_cut = kinds.select("one.key", run.alias("run")).groupBy("key").agg(F.collect_list("run").alias("runs"))
-    contexts = stored(keyed.join(to_cut, "key").mapInArrow(_cut_contexts, CONTEXT).dropDuplicates(["bucket", "sig"]), "contexts")
+    contexts = stored(keyed.join(to_cut, "key").transform(map_arrow, _cut_contexts, CONTEXT).dropDuplicates(["bucket", "sig"]), "contexts")
 
     span = F.struct(F.col("first").alias("start"), (F.col("last") + SPAN).alias("end"))
     spans = [
@@ -250,7 +250,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     fields = [f for f in old.schema.fields if f.name != "text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields),
                         "starts ARRAY<BIGINT>", "ends ARRAY<BIGINT>", "rest BINARY"])
-    return docs.join(spans, name, "left").drop(name).mapInArrow(_apply(spans_name), schema)
+    return docs.join(spans, name, "left").drop(name).transform(map_arrow, _apply(spans_name), schema)
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
             texts = pa.array([x.as_py().decode(errors="ignore") for x in batch.column("rest")], type=pa.string())
             yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(c) for c in names], names=names)
 
-    out = repeated_spans(hidden).mapInArrow(as_text, hidden.schema).toDF(*documents.columns)
+    out = repeated_spans(hidden).transform(map_arrow, as_text, hidden.schema).toDF(*documents.columns)
     if "n_chars" not in documents.columns:
         return out
     return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))

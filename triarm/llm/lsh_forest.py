@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from triarm.llm.components import components
-from triarm.llm.text import Slice, cut_words, mix, signed, slices, text_key, unused
+from triarm.llm.text import Slice, cut_words, map_arrow, mix, signed, slices, text_key, unused
 from triarm.sources.scratch import stored
 
 SHINGLE = 5
@@ -127,7 +127,7 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketches(documents: DataFrame) -> DataFrame:
     """``doc_id, node, n_shingles, keys``; equal sets have equal ``node``, 16 bytes."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_arrow,
         _sketch, "doc_id BIGINT, node BINARY, n_shingles BIGINT, keys ARRAY<BIGINT>")
 
 
@@ -175,7 +175,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs ``a, b`` whose texts, ``node, text``, have sets that are alike enough."""
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_compare, "a BINARY, b BINARY")
+    return pairs.join(side("a"), "a").join(side("b"), "b").transform(map_arrow, _compare, "a BINARY, b BINARY")
 
 
 def _alike(x: str, y: str) -> Column:
@@ -204,12 +204,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     crowded = trees.groupBy("tree", "region").agg(F.count("*").alias("sets")).where("sets > 1")
     active = stored(trees.join(crowded, ["tree", "region"]), "active")
     # One text per node, of the nodes that are in a region with others. Copies meet before they are sent.
-    texts = documents.select("text").mapInArrow(_name, "node BINARY, text STRING").groupBy("node").agg(
+    texts = documents.select("text").transform(map_arrow, _name, "node BINARY, text STRING").groupBy("node").agg(
         F.first("text").alias("text")).join(active.select("node").distinct(), "node", "left_semi")
     texts = stored(texts, "texts")
 
     order = active.where(F.col("tree") < SORTED_TREES).select("tree", "key", "node")
-    neighbours = order.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node").mapInArrow(
+    neighbours = order.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node").transform(map_arrow,
         _neighbours, "a BINARY, b BINARY").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = components(stored(confirm(neighbours, texts), "links"))
 
@@ -223,7 +223,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     # All regions of a node, in order of the trees, so that a pair is taken in the first region it shares.
     regions = unsettled.groupBy("node").agg(F.array(*[
         F.coalesce(F.max(F.when(F.col("tree") == t, F.col("region"))), F.lit(0)) for t in range(TREES)]).alias("regions"))
-    screens = texts.join(unsettled.select("node").distinct(), "node", "left_semi").mapInArrow(
+    screens = texts.join(unsettled.select("node").distinct(), "node", "left_semi").transform(map_arrow,
         _screen, "node BINARY, bits ARRAY<BIGINT>")
     screens = stored(screens.join(nodes.select("node", "n_shingles"), "node").join(regions, "node"), "screens")
     unsettled = unsettled.join(screens, "node")

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from triarm.llm.text import Slice, SubstringHashes, slices
+from triarm.llm.text import KEPT, Slice, SubstringHashes, map_arrow, slices
 
 META = "▁"
 SLICE_BYTES = 1 << 20
@@ -363,6 +363,9 @@ def _encoder(vocabulary: "Shared") -> Encoder:
     return Encoder(vocabulary.vocabulary)
 
 
+KEPT[__name__] = _encoder.cache_clear
+
+
 class Shared:
     """A vocabulary by its contents, so that tasks of one process use one encoder and what it remembers."""
 
@@ -441,7 +444,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
                     columns.append(pc.equal(back, spaced))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, ids, *([check] if check else [])])
 
-    return df.mapInArrow(run, f"{schema}`{ids}` ARRAY<INT>" + (f", `{check}` BOOLEAN" if check else ""))
+    return df.transform(map_arrow, run, f"{schema}`{ids}` ARRAY<INT>" + (f", `{check}` BOOLEAN" if check else ""))
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -469,4 +472,4 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str =
                 yield pa.RecordBatch.from_arrays([*kept, texts], names=[*names, text])
                 first = last
 
-    return df.mapInArrow(run, f"{schema}`{text}` STRING")
+    return df.transform(map_arrow, run, f"{schema}`{text}` STRING")

@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyspark
 from pyspark.sql import DataFrame, functions as F
 
-from triarm.llm.text import SLICE_BYTES, Slice, crc_fold, cut_words, slices
+from triarm.llm.text import SLICE_BYTES, Slice, crc_fold, cut_words, map_arrow, slices
 from triarm.sources.scratch import stored
 
 FOLDS = 10
@@ -278,7 +278,7 @@ class Totals:
     @staticmethod
     def of(parts: DataFrame, discounts: list[float] | None = None) -> "Totals":
         """Collects one row for each of the root, the parents and START."""
-        rows = parts.mapInArrow(_sums, "level BIGINT, context BIGINT, customers BIGINT, tables BIGINT").groupBy(
+        rows = parts.transform(map_arrow, _sums, "level BIGINT, context BIGINT, customers BIGINT, tables BIGINT").groupBy(
             "level", "context").agg(F.sum("customers").alias("c"), F.sum("tables").alias("t")).collect()
         sizes = (1, PARENTS, 1)
         customers, tables = ([np.zeros(n, dtype=np.int64) for n in sizes] for _ in range(2))
@@ -376,7 +376,7 @@ def _answer(n_values: int):
 
 
 def _answered(links: DataFrame, parts: int, n_values: int) -> DataFrame:
-    return links.repartition(parts, "part").sortWithinPartitions("part", "source").mapInArrow(_answer(n_values), LINK).select(
+    return links.repartition(parts, "part").sortWithinPartitions("part", "source").transform(map_arrow, _answer(n_values), LINK).select(
         "part", F.lit(0).alias("kind"), F.lit(b"").alias("batch"), "data")
 
 
@@ -478,14 +478,14 @@ def fit(documents: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) ->
     """Learn from the texts of ``documents``: all of their tokens. No documents give a model of the base alone."""
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = min(MAX_PARTS, max(8, -(-size // PART_BYTES)))
-    blocks = documents.select("text").mapInArrow(_count_training(count), STATE)
-    parts = stored(blocks.repartition(count, "part").sortWithinPartitions("part").mapInArrow(_gather, STATE), "parts")
+    blocks = documents.select("text").transform(map_arrow, _count_training(count), STATE)
+    parts = stored(blocks.repartition(count, "part").sortWithinPartitions("part").transform(map_arrow, _gather, STATE), "parts")
     totals = Totals.of(parts)
     kept = []
     for sweep in range(burn_in + samples):
-        guests = _answered(parts.mapInArrow(_offer(count, True), LINK), count, 1)
+        guests = _answered(parts.transform(map_arrow, _offer(count, True), LINK), count, 1)
         both = guests.union(_kind_1(parts)).repartition(count, "part").sortWithinPartitions("part", "kind")
-        parts = stored(both.mapInArrow(_sweep(totals, sweep, sweep > burn_in), STATE), "parts")
+        parts = stored(both.transform(map_arrow, _sweep(totals, sweep, sweep > burn_in), STATE), "parts")
         totals = Totals.of(parts, totals.discounts)
         if sweep >= burn_in:
             kept.append(totals)
@@ -637,15 +637,15 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     NULL and empty texts have the token that ends them. Rows with equal ids are rows of their own.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = docs.mapInArrow(_count_documents(model.count), BLOCK)
-    asks = blocks.select("part", "contexts").repartition(model.count, "part").sortWithinPartitions("part").mapInArrow(
+    blocks = docs.transform(map_arrow, _count_documents(model.count), BLOCK)
+    asks = blocks.select("part", "contexts").repartition(model.count, "part").sortWithinPartitions("part").transform(map_arrow,
         _ask(model.count), LINK)
-    offers = model.parts.mapInArrow(_offer(model.count, False), LINK)
+    offers = model.parts.transform(map_arrow, _offer(model.count, False), LINK)
     guests = _answered(asks.union(offers), model.count, 1 + len(model.samples))
     both = blocks.union(guests.union(_kind_1(model.parts)).withColumn("contexts", F.lit(None).cast("binary")))
     both = both.repartition(model.count, "part").sortWithinPartitions("part", "kind", "batch")
-    sums = both.mapInArrow(_score_blocks(model.samples), "batch BINARY, kind INT, data BINARY")
-    return sums.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(_add_up, SCORED)
+    sums = both.transform(map_arrow, _score_blocks(model.samples), "batch BINARY, kind INT, data BINARY")
+    return sums.repartition("batch").sortWithinPartitions("batch", "kind").transform(map_arrow, _add_up, SCORED)
 
 
 def held_out(doc_id: str = "doc_id"):

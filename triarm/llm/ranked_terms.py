@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from triarm.llm.text import LOWER, UPPER, lower_ascii
+from triarm.llm.text import LOWER, UPPER, lower_ascii, map_arrow
 from triarm.sources.scratch import stored
 
 TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -68,7 +68,7 @@ def vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(counts, pa.int64()))], names=["doc_id", "n", "terms", "counts"])
             yield whole.filter(pa.array(np.array(n, dtype=np.int64) > 0))
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(map_arrow, run, schema)
 
 
 @dataclass
@@ -179,7 +179,7 @@ def _search(index: DataFrame, items: Items, total_terms: int, n_docs: int, n_ter
             if top:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top[1]), i)), top[0], pa.array(top[1])], names=["item", "doc_id", "score"])
 
-    return rows.mapInArrow(run, f"item BIGINT, doc_id {ids}, score BIGINT")
+    return rows.transform(map_arrow, run, f"item BIGINT, doc_id {ids}, score BIGINT")
 
 
 def _terms(text: Column) -> Column:

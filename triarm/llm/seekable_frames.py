@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from triarm.llm.text import separators
+from triarm.llm.text import map_arrow, separators
 
 FRAME_BYTES = 1 << 16
 LEVEL = 3
@@ -203,7 +203,7 @@ def to_frames(docs: DataFrame) -> DataFrame:
 
             yield from _batches(rows(), names, lambda r: sum(len(f["data"]) for f in r[-1]))
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(map_arrow, run, schema)
 
 
 def choose_cuts(framed: DataFrame, seed: int, percent: int, spm_percent: int) -> DataFrame:
@@ -249,7 +249,7 @@ def _outputs(cuts: DataFrame, extra: dict[str, pa.DataType], extra_ddl: str, use
 
             yield from _batches(rows(), names, lambda r: sum(len(x) for x in r if isinstance(x, str)))
 
-    return cuts.mapInArrow(run, schema)
+    return cuts.transform(map_arrow, run, schema)
 
 
 def outputs(cuts: DataFrame) -> DataFrame:
@@ -282,4 +282,4 @@ def restore(rows: DataFrame) -> DataFrame:
 
             yield from _batches(texts(), names, lambda r: len(r[1]))
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(map_arrow, run, schema)

@@ -17,14 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from triarm.llm.text import SubstringHashes, crc_fold, cut_words, signed, slices, text_key
+from triarm.llm.text import SubstringHashes, crc_fold, cut_words, map_arrow, signed, slices, text_key
 
 FOLDS = 5
 CALIBRATION_FOLD = 4
 # Labelled rows the model is learned from, at most; those whose ids have the smallest hashes.
 MAX_SAMPLE = 50_000
-# Listed tokens, at most: the vocabulary of the model, 16 bytes each in every task.
-MAX_LISTED = 100_000
 # Standard errors by which a token's log-odds must exceed zero.
 MIN_Z = 3.0
 # Least log-odds of a listed token, so that common words of nearly equal use stay out.
@@ -74,8 +72,8 @@ class Scores:
 
 
 def learn_scores(texts: DataFrame) -> Scores:
-    """Scores from ``text, toxic``; at most ``MAX_LISTED`` units are listed, those of the largest z."""
-    counts = texts.mapInArrow(_count, "unit BIGINT, prefix BOOLEAN, bad BIGINT, good BIGINT").groupBy("unit", "prefix").agg(
+    """Scores from ``text, toxic``. The texts are a bounded sample, which bounds the listed units, too."""
+    counts = texts.transform(map_arrow, _count, "unit BIGINT, prefix BOOLEAN, bad BIGINT, good BIGINT").groupBy("unit", "prefix").agg(
         F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     totals = {r["prefix"]: r for r in counts.groupBy("prefix").agg(
         F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("kinds")).collect()}
@@ -92,7 +90,7 @@ def learn_scores(texts: DataFrame) -> Scores:
         spread[prefix] = F.sqrt(1 / (F.col("bad") + alpha) + 1 / (F.col("good") + alpha))
     pick = lambda x: F.when(F.col("prefix"), x[True] if True in x else F.lit(0.0)).otherwise(x[False])
     rows = counts.select("unit", "prefix", "bad", "good", pick(odds).alias("odds"), (pick(odds) / pick(spread)).alias("z"))
-    rows = rows.where((F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_ODDS)).orderBy(F.desc("z"), "unit").limit(MAX_LISTED).collect()
+    rows = rows.where((F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_ODDS)).collect()
     units = np.array([r["unit"] for r in rows], dtype=np.int64).view(np.uint64)
     order = np.argsort(units)
     listed = [sum(r[c] for r in rows if not r["prefix"]) / totals[False][c] for c in ("bad", "good")]
@@ -172,7 +170,7 @@ def find_segments(df: DataFrame, scores: Scores, keep_text: bool = False) -> Dat
                         [("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())])))],
                     names=[*names, "n_tokens", "passages"])
 
-    return df.mapInArrow(scan, schema)
+    return df.transform(map_arrow, scan, schema)
 
 
 @dataclass

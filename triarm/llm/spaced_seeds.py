@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from triarm.llm.text import cut_words, mix, slices
+from triarm.llm.text import cut_words, map_arrow, mix, slices
 
 # One of these fits into every stretch of eight or more equal words that are three quarters of it: without four equal
 # words in a row its runs are of three at most, and two of them, of three and three or three and two words, are one
@@ -178,7 +178,7 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, min_words: int = M
                             [batch.column("doc_id").take(pa.array(doc + part.rows.start)), ids.take(pa.array(item)),
                              *map(pa.array, numbers)], names=["doc_id", "item_id", "first_word", "n_words", "n_equal"])
 
-        one = docs.mapInArrow(search, schema)
+        one = docs.transform(map_arrow, search, schema)
         found = one if i == 0 else found.unionByName(one)
     return found
 
@@ -196,5 +196,5 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, min_words: int = M
                         keep[doc + part.rows.start] = False
                 yield batch if keep.all() else pc.filter(batch, pa.array(keep))
 
-        kept = kept.mapInArrow(clean, documents.schema)
+        kept = kept.transform(map_arrow, clean, documents.schema)
     return kept

@@ -4,6 +4,7 @@ A word is a run of bytes other than the space and the control characters 9 to 13
 bytes never belong to another character, so cutting bytes is cutting characters.
 """
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -13,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from triarm.session import ship
+
 SPACE = "[\\x09-\\x0D\\x20]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -22,6 +25,46 @@ SLICE_BYTES = 1 << 20
 HASH_SEED = 20_240_229
 
 
+# Bytes of an Arrow batch, where the session has Spark's own limit.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, SPARK_BYTES = 16 << 20, "67108864b"
+
+# What operators keep in a worker process for its next task, by module: how to forget it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def _give_back() -> None:
+    """Return freed memory to the machine; workers are reused by other operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def _tidily(run: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for module, forget in KEPT.items():
+        if module != run.__module__:
+            forget()
+    try:
+        yield from run(batches)
+    finally:
+        _give_back()
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of bounded size.
+
+    A worker process serves many tasks: one that starts on an operator forgets what the others kept, and one that ends
+    gives its memory back.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(ARROW_BYTES) == SPARK_BYTES:
+        spark.conf.set(ARROW_BYTES, f"{BATCH_BYTES}b")
+    return df.mapInArrow(lambda batches: _tidily(run, batches), schema)
+
+
 def words(text: Column) -> Column:
     """Words of a text in order; no words for NULL."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
