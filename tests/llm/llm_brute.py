@@ -89,31 +89,33 @@ def base_scores(rows):
     return out
 
 
+def fullest(equal, min_share=0.75):
+    """Most equal words of any stretch that has the share."""
+    return max((sum(equal[i:j]) for i in range(len(equal)) for j in range(i + 1, len(equal) + 1)
+                if sum(equal[i:j]) >= min_share * (j - i)), default=0)
+
+
 def overlaps(rows, items, min_words=8, min_share=0.75, min_item=5):
-    """Best stretch of every document with every item over all shifts; ``{(doc, item): equal words}``."""
-    out = {}
+    """Most equal words of any stretch with the share, of every document with every item over all shifts: ``{(doc, item): words}``.
+
+    A shift with fewer equal words than any such stretch needs is passed over.
+    """
+    out, places = {}, defaultdict(list)
+    asked = [(item, words(text)) for item, text in items]
+    for k, (_, other) in enumerate(asked):
+        if len(other) >= min_item:
+            for i, w in enumerate(other):
+                places[w].append((k, i))
     for doc, text in rows:
         own = words(text)
-        for item, other_text in items:
-            other = words(other_text)
-            if len(other) < min_item:
-                continue
-            best = 0
-            for shift in range(-len(other) + 1, len(own)):
-                pairs = [own[shift + i] == other[i] for i in range(len(other)) if 0 <= shift + i < len(own)]
-                total = low = 0
-                top, at, begin, first = 0, 0, 0, 0
-                for i, equal in enumerate(pairs):
-                    total += 1 if equal else -3
-                    if total < low:
-                        low, begin = total, i + 1
-                    if total - low > top:
-                        top, at, first = total - low, i + 1, begin
-                equal = sum(pairs[first:at])
-                if equal >= min(min_words, len(other)) and equal >= min_share * (at - first):
-                    best = max(best, equal)
-            if best:
-                out[doc, item] = best
+        shifts = Counter((k, p - i) for p, w in enumerate(own) for k, i in places.get(w, ()))
+        for (k, shift), n in shifts.items():
+            item, other = asked[k]
+            enough = min(min_words, len(other))
+            if n >= enough:
+                best = fullest([own[shift + i] == w for i, w in enumerate(other) if 0 <= shift + i < len(own)], min_share)
+                if best >= enough:
+                    out[doc, item] = max(best, out.get((doc, item), 0))
     return out
 
 

@@ -7,16 +7,10 @@ import numpy as np
 import pytest
 from hypothesis import given, strategies as st
 
-from llm_brute import words
+from llm_brute import fullest, words
 from triarm.llm import spaced_seeds
 
 
-def fullest(equal, min_share=0.75):
-    """Most equal words of any stretch that has the share."""
-    return max((sum(equal[i:j]) for i in range(len(equal)) for j in range(i + 1, len(equal) + 1)
-                if sum(equal[i:j]) >= min_share * (j - i)), default=0)
-
-
 def overlaps_by_rule(rows, items, min_words=8):
     out = {}
     for doc, text in rows:

@@ -59,14 +59,6 @@ def test_maximal_segments(scores):
     assert sorted(round(s, 6) for *_, s in found) == sorted(round(sum(scores[a:b + 1]), 6) for a, b in segments_by_definition(scores))
 
 
-@given(st.lists(st.booleans(), min_size=1, max_size=30))
-def test_best_stretch(equal):
-    first, length, count = spaced_seeds.best_stretch(np.array(equal))
-    value = lambda x: sum(1 if e else -3 for e in x)
-    assert value(equal[first:first + length]) == max(0, *(value(equal[i:j]) for i in range(len(equal)) for j in range(i, len(equal) + 1)))
-    assert count == sum(equal[first:first + length])
-
-
 @given(st.binary(max_size=40), st.lists(st.binary(min_size=1, max_size=20), min_size=1, max_size=10))
 def test_suffix_array_ranges(data, pieces):
     data = bytes(97 + x % 3 for x in data) + b"abc"

@@ -126,7 +126,42 @@ URL_RULES = (
 )
 
 
-@query("op8_url_ratio")
+def _sql_urls() -> str:
+    """The two models as tables of grams, one per order; the threshold as the best of all bins."""
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    ordered = sorted(URL_RULES, key=lambda r: -len(r.name))
+    chain = lambda what: f"CASE {' '.join(f"WHEN {fits(r)} THEN '{getattr(r, what)}'" for r in ordered)} END"
+    part = lambda i: f"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', {i}), '')"
+    order, both = url_ratio.ORDER, ("allowed", "blocked")
+    levels = [f"""b0 AS (SELECT '' AS gram, {', '.join(f'1e0 / {url_ratio.ALPHABET} AS b_{c}' for c in both)})"""]
+    for k in range(1, order + 1):
+        smooth = ", ".join(
+            f"CASE WHEN n_{c} > 0 THEN (s.{c} + t_{c} * b.b_{c}) / CAST(n_{c} + t_{c} AS DOUBLE) ELSE b.b_{c} END AS b_{c}" for c in both)
+        levels.append(f"""s{k} AS (SELECT substr(gram, {order + 1 - k}, {k}) AS gram, sum(allowed) AS allowed, sum(blocked) AS blocked FROM c GROUP BY 1),
+t{k} AS (SELECT substr(gram, 1, {k - 1}) AS context, {', '.join(f'sum({c}) AS n_{c}, count(*) FILTER (WHERE {c} > 0) AS t_{c}' for c in both)}
+  FROM s{k} GROUP BY 1),
+b{k} AS (SELECT s.gram, {smooth} FROM s{k} AS s JOIN t{k} AS t ON t.context = substr(s.gram, 1, {k - 1})
+  JOIN b{k - 1} AS b ON b.gram = substr(s.gram, 2, {k - 1}))""")
+    return f"""
+WITH u AS (SELECT page_id, translate({part(1)}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, {part(2)} AS path FROM pages),
+p AS (SELECT *, host || path AS name, {chain('name')} AS rule, {chain('verdict')} AS rule_verdict FROM u),
+n AS (SELECT name, count(*) FILTER (WHERE rule_verdict = 'allow') AS allowed, count(*) FILTER (WHERE rule_verdict = 'block') AS blocked
+  FROM p GROUP BY name),
+g AS (SELECT name, allowed, blocked, substr(repeat(chr(2), {order - 1}) || name || chr(3), CAST(unnest(range(1, length(name) + 2)) AS INTEGER), {order}) AS gram FROM n),
+c AS (SELECT gram, sum(allowed) AS allowed, sum(blocked) AS blocked FROM g GROUP BY gram),
+{(','+chr(10)).join(levels)},
+v AS (SELECT name, allowed, blocked, avg(ln(b_allowed / b_blocked)) AS score FROM g JOIN b{order} USING (gram) GROUP BY ALL),
+bin AS (SELECT floor(score * {url_ratio.BINS}) AS bin, sum(allowed) AS allowed, sum(blocked) AS blocked FROM v GROUP BY 1 HAVING sum(allowed + blocked) > 0),
+share AS (SELECT bin, lead(bin) OVER o AS below, round(sum(allowed) OVER o / nullif(sum(allowed) OVER (), 0) - sum(blocked) OVER o / nullif(sum(blocked) OVER (), 0), 9) AS gain
+  FROM bin WINDOW o AS (ORDER BY bin DESC)),
+cut AS (SELECT CASE WHEN below IS NULL THEN bin / {url_ratio.BINS} ELSE (bin + below + 1) / 2 / {url_ratio.BINS} END AS threshold
+  FROM share WHERE gain IS NOT NULL ORDER BY gain DESC, bin DESC LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN (SELECT threshold FROM cut) IS NULL OR score >= (SELECT threshold FROM cut)
+       THEN 'allow' ELSE 'block' END) AS verdict, round(score, 9) AS score
+FROM p JOIN v USING (name)"""
+
+
+@query("op8_url_ratio", _sql_urls())
 def op8_url_ratio(spark, sf_dir):
     judged = url_ratio.judge(table(spark, sf_dir, "pages").select("page_id", "url"), "url", URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 9).alias("score"))

@@ -79,16 +79,6 @@ class Block:
         return Block(masks, hashes[order], items[order], places[order], words, ids)
 
 
-def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """``(first, length, equal words)`` of the stretch with the most equal words less thrice the others."""
-    steps = np.where(equal, 1, -3)
-    sums = np.concatenate([[0], np.cumsum(steps)])
-    low = np.minimum.accumulate(sums)
-    last = int(np.argmax(sums - low))
-    first = int(np.flatnonzero(sums[:last + 1] == low[last])[0])
-    return first, last - first, int(equal[first:last].sum())
-
-
 def fullest_stretch(equal: np.ndarray, min_share: float) -> tuple[int, int, int]:
     """``(first, length, equal words)`` of the stretch with the most equal words among those of a large enough share.
 
