@@ -198,6 +198,18 @@ def test_shared_folder_comes_from_the_session(spark):
     assert scratch.shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
 
+def test_stored_tables_go_with_their_owner(spark):
+    names = lambda: set(scratch.file_system(spark, scratch.shared_dir(spark)).names(scratch.shared_dir(spark)))
+    before = names()
+    with scratch.working(spark):
+        outer = scratch.stored(spark.range(3), "outer")
+        with scratch.working(spark):
+            assert scratch.stored(spark.range(5), "inner").count() == 5
+            assert len(names() - before) == 2
+        assert outer.count() == 3 and len(names() - before) == 1
+    assert names() == before
+
+
 # Published two-level summaries (m, n, LM type, effect) -> (mean, se): fixed values.
 PUBLISHED = {
     (50, 200, "bert", "boost"): (0.03902, 0.011268), (50, 200, "bert", "bias"): (-0.003848, 0.00316),

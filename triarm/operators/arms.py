@@ -77,60 +77,61 @@ def classifier_fit(weighted: DataFrame, cell: Sequence[str]) -> DataFrame:
     return train.groupBy(*cell, "label", "token").agg(*[F.sum(f"x_{a}").alias(f"c_{a}") for a in ARMS])
 
 
-def class_table(weighted: DataFrame, splits: DataFrame, cell: Sequence[str]) -> DataFrame:
-    """Per class: log prior and, per arm, the log of its smoothed total count."""
-    train = weighted.where("role = 'train'")
-    vocabulary = train.groupBy(*cell).agg(F.count_distinct("token").alias("_v"))
-    totals = train.groupBy(*cell, "label").agg(*[F.sum(f"x_{a}").alias(f"_t_{a}") for a in ARMS])
+def class_table(model: DataFrame, splits: DataFrame, cell: Sequence[str]) -> DataFrame:
+    """A row for each cell: ``classes``, in order, with their log prior and, per arm, the log of their smoothed total count."""
+    totals = model.groupBy(*cell, "label").agg(*[F.sum(f"c_{a}").alias(f"_t_{a}") for a in ARMS])
+    vocabulary = model.groupBy(*cell).agg(F.count_distinct("token").alias("_v"))
     rows = splits.where("role = 'train'").groupBy(*cell, "label").agg(F.count(F.lit(1)).alias("_n"))
-    share = F.col("_n") / F.sum("_n").over(Window.partitionBy(*cell))
-    priors = rows.select(*cell, "label", F.log(share).alias("log_prior"))
-    joined = priors.join(totals, [*cell, "label"], "left").join(vocabulary, list(cell), "left")
+    joined = rows.join(totals, [*cell, "label"], "left").join(vocabulary, list(cell), "left")
     size = lambda a: F.coalesce(F.col(f"_t_{a}"), F.lit(0.0)) + F.coalesce(F.col("_v"), F.lit(1))
-    return joined.select(
-        *cell, F.col("label").alias("class_idx"), "log_prior", *[F.log(size(a)).alias(f"log_total_{a}") for a in ARMS]
-    )
+    one = F.struct(F.col("label").alias("class_idx"), "_n", *[F.log(size(a)).alias(f"log_total_{a}") for a in ARMS])
+    # A handful of classes per cell.
+    cells = joined.groupBy(*cell).agg(F.sort_array(F.collect_list(one)).alias("classes"), F.sum("_n").alias("_all"))
+    prior = lambda c: c.withField("log_prior", F.log(c["_n"] / F.col("_all"))).dropFields("_n")
+    return cells.select(*cell, F.transform("classes", prior).alias("classes"))
 
 
-def predict(weighted: DataFrame, splits: DataFrame, cell: Sequence[str]) -> DataFrame:
+def predict(weighted: DataFrame, model: DataFrame, splits: DataFrame, cell: Sequence[str]) -> DataFrame:
     """Class probabilities: ``(*cell, row_id, label, arm, probs)``.
 
     A class scores its log prior plus the mean log likelihood of the row's tokens.
-    Tokens the class never had add nothing but the denominator, so only matching
-    tokens are joined.
+    Tokens the class never had add nothing but the denominator. A token of the model is one row with all of
+    its classes, so a test token meets it once; what a row then needs is a short array.
     """
-    test = weighted.where("role = 'test'")
-    classes = class_table(weighted, splits, cell)
-    known = classifier_fit(weighted, cell).withColumnRenamed("label", "class_idx")
-    hits = test.join(known, [*cell, "token"]).groupBy(*cell, "row_id", "class_idx").agg(
-        *[F.sum(F.col(f"x_{a}") * F.log(F.col(f"c_{a}") + 1)).alias(f"hit_{a}") for a in ARMS]
-    )
-    mass = test.groupBy(*cell, "row_id").agg(*[F.sum(f"x_{a}").alias(f"mass_{a}") for a in ARMS])
-    rows = splits.where("role = 'test'").select(*cell, "row_id", "label")
-    # A handful of classes per cell: every test row gets a score for each.
-    candidates = (
-        rows.join(mass, [*cell, "row_id"], "left")
-        .join(classes, list(cell))
-        .join(hits, [*cell, "row_id", "class_idx"], "left")
-    )
-
-    def score(a: str) -> Column:
-        weight = F.col(f"mass_{a}")
-        likelihood = F.coalesce(F.col(f"hit_{a}"), F.lit(0.0)) - weight * F.col(f"log_total_{a}")
-        return F.col("log_prior") + F.coalesce(F.try_divide(likelihood, weight), F.lit(0.0))
-
-    scores = candidates.select(*cell, "row_id", "label", "class_idx", *[score(a).alias(f"s_{a}") for a in ARMS])
-    ordered = scores.groupBy(*cell, "row_id", "label").agg(
-        F.sort_array(F.collect_list(F.struct("class_idx", *[f"s_{a}" for a in ARMS]))).alias("_s")
-    )
-    per_arm = [F.struct(F.lit(a).alias("arm"), softmax(F.col(f"_s.s_{a}")).alias("probs")) for a in ARMS]
-    return ordered.select(*cell, "row_id", "label", F.inline(F.array(*per_arm)))
+    key = [*cell, "row_id"]
+    known = model.groupBy(*cell, "token").agg(
+        F.collect_list(F.struct(F.col("label").alias("class_idx"), *[f"c_{a}" for a in ARMS])).alias("_known"))
+    tokens_ = weighted.where("role = 'test'").join(known, [*cell, "token"], "left")
+    # Weights of all tokens count as class -1.
+    mass = F.struct(F.lit(-1).alias("class_idx"), *[F.col(f"x_{a}").alias(f"v_{a}") for a in ARMS])
+    hit = lambda k: F.struct(k["class_idx"].alias("class_idx"), *[(F.col(f"x_{a}") * F.log(k[f"c_{a}"] + 1)).alias(f"v_{a}") for a in ARMS])
+    hits = F.coalesce(F.transform("_known", hit), F.array().cast(f"array<struct<class_idx:int,{','.join(f'v_{a}:double' for a in ARMS)}>>"))
+    sums = tokens_.select(*key, F.inline(F.concat(F.array(mass), hits))).groupBy(*key, "class_idx").agg(
+        *[F.sum(f"v_{a}").alias(f"v_{a}") for a in ARMS])
+    found = sums.groupBy(*key).agg(F.collect_list(F.struct("class_idx", *[f"v_{a}" for a in ARMS])).alias("_found"))
+    rows = splits.where("role = 'test'").select(*key, "label").join(found, key, "left").join(
+        class_table(model, splits, cell), list(cell))
+    of_class = lambda i: F.get(F.filter("_found", lambda x: x["class_idx"] == i), F.lit(0))
+
+    def probabilities(a: str) -> Column:
+        weight = of_class(F.lit(-1))[f"v_{a}"]
+
+        def score(c: Column) -> Column:
+            likelihood = F.coalesce(of_class(c["class_idx"])[f"v_{a}"], F.lit(0.0)) - weight * c[f"log_total_{a}"]
+            return c["log_prior"] + F.coalesce(F.try_divide(likelihood, weight), F.lit(0.0))
+
+        return softmax(F.transform("classes", score))
+
+    per_arm = [F.struct(F.lit(a).alias("arm"), probabilities(a).alias("probs")) for a in ARMS]
+    return rows.select(*key, "label", F.inline(F.array(*per_arm)))
 
 
 def run_experiment(data: DataFrame, splits: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFrame:
     """Predictions of all arms, datasets and replicates: probabilities and class."""
+    cell = [*by, "subsample_idx"]
     weighted = stored(weighted_tokens(data, splits, by), "tokens")
-    scored = predict(weighted, splits, [*by, "subsample_idx"])
+    model = stored(classifier_fit(weighted, cell), "model")
+    scored = predict(weighted, model, splits, cell)
     return scored.withColumn("pred", argmax(F.col("probs")))
 
 

@@ -6,7 +6,7 @@ raise.
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from triarm.functions.fixed_values import QUERY_MARKER, REPLICATE_GROUP
 from triarm.functions.prompts import shared_prefix
@@ -92,11 +92,12 @@ def require_valid(df: DataFrame, class_names: Sequence[str], key: str = "row_id"
         raise InvalidDataError(f"{which}: {len(class_names)} names, {labels} labels in the data")
 
 
-def require_probabilities(df: DataFrame, num_classes: int, column: str = "probs") -> DataFrame:
+def require_probabilities(df: DataFrame, num_classes: int | Column, column: str = "probs") -> DataFrame:
     """Fail the query on a row whose array is not one probability per class."""
-    size = F.size(column)
-    bad = F.concat(F.lit(f"expected {num_classes} probabilities, got "), size.cast("string"))
-    probs = F.when(F.coalesce(size, F.lit(-1)) == num_classes, F.col(column))
+    wanted, size = F.lit(num_classes) if isinstance(num_classes, int) else num_classes, F.coalesce(F.size(column), F.lit(-1))
+    say = lambda n: F.coalesce(n.cast("string"), F.lit("?"))
+    bad = F.concat(F.lit("expected "), say(wanted), F.lit(" probabilities, got "), say(size))
+    probs = F.when(size == wanted, F.col(column))
     return df.withColumn(column, F.coalesce(probs, F.raise_error(bad).cast("array<double>")))
 
 

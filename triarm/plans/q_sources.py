@@ -2,6 +2,7 @@
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from triarm.functions.draws import digit
@@ -263,6 +264,74 @@ def accuracy_from_preds(spark, sf_dir):
     return reduce(DataFrame.unionByName, scored).select(*key, *[r6(a).alias(a) for a in ARMS])
 
 
+@query("sink_outcomes", sql(f"""
+, arrived AS (
+  SELECT 'whole' AS target, num_train, num_test, lm_type, dataset, false AS other FROM accuracies
+  UNION ALL SELECT 'faulty', num_train, num_test, lm_type, dataset, false FROM accuracies
+            WHERE (lm_type = 'lm_b' OR num_test = 100 OR subsample_idx <= 8) AND (lm_type = 'lm_a' OR num_train = 100)
+  UNION ALL SELECT 'faulty', num_train, num_test, lm_type, dataset, false FROM accuracies WHERE lm_type = 'lm_a' AND num_test = 100 AND num_train = 50
+  UNION ALL SELECT 'faulty', num_train, num_test, lm_type, 'stray', false FROM accuracies WHERE lm_type = 'lm_b' AND num_train = 100 AND subsample_idx = 1
+            AND dataset = (SELECT min(dataset) FROM accuracies)),
+  there AS (SELECT target, num_train, num_test, lm_type, dataset, count(*) AS n_found FROM arrived GROUP BY ALL),
+  sent AS (SELECT target, num_train, num_test, lm_type, dataset, count(*) AS n_rows
+           FROM accuracies CROSS JOIN (VALUES ('whole'), ('faulty')) AS t(target) GROUP BY ALL)
+SELECT target, num_train, num_test, lm_type, dataset, n_rows, n_found,
+       CASE WHEN n_found IS NULL THEN 'missing' WHEN n_rows IS NULL THEN 'unexpected' WHEN n_found = 2 * n_rows THEN 'doubled'
+            WHEN n_found < n_rows THEN 'truncated'
+            WHEN target = 'faulty' AND lm_type = 'lm_b' AND num_test = 50 THEN 'changed' ELSE 'complete' END AS outcome
+FROM sent FULL JOIN there USING (target, num_train, num_test, lm_type, dataset)""", *ACC))
+def sink_outcomes(spark, sf_dir):
+    """What became of each group of a result tree in two copies: one whole, one with rows cut off, groups sent twice, left out, changed or not asked for."""
+    sent = stored(full_accuracies(spark, sf_dir), "sent")
+    a, b = F.col("lm_type") == "lm_a", F.col("lm_type") == "lm_b"
+    first = sent.agg(F.min("dataset")).first()[0]
+    cut = sent.where((b | (F.col("num_test") == 100) | (F.col("subsample_idx") <= 8)) & (a | (F.col("num_train") == 100)))
+    changed = cut.withColumn("base", F.when(b & (F.col("num_test") == 50), F.col("base") / 2 + 0.01).otherwise(F.col("base")))
+    twice = sent.where(a & (F.col("num_test") == 100) & (F.col("num_train") == 50))
+    stray = sent.where(b & (F.col("num_train") == 100) & (F.col("subsample_idx") == 1) & (F.col("dataset") == F.lit(first)))
+    faulty = changed.unionByName(twice).unionByName(stray.withColumn("dataset", F.lit("stray")))
+
+    def held(rows, name):
+        path = new_path(spark, name)
+        results.write_accuracy_tree(rows, path)
+        return results.read_accuracy_tree(spark, path)
+
+    source = held(sent, "source")
+    return reduce(DataFrame.unionByName, [
+        results.transfer_outcomes(source, held(rows, name)).withColumn("target", F.lit(name))
+        for name, rows in (("whole", sent), ("faulty", faulty))])
+
+
+@query("sink_refusals", sql("""
+SELECT sink, true AS refused, count(*) AS n_rows FROM accuracies CROSS JOIN (VALUES ('tree'), ('accuracies')) AS s(sink) GROUP BY sink""", *ACC))
+def sink_refusals(spark, sf_dir):
+    """A second writer to the same place is refused, and what was there stays."""
+    rows = stored(full_accuracies(spark, sf_dir), "accuracies")
+    sinks = {"tree": (results.write_accuracy_tree, results.read_accuracy_tree),
+             "accuracies": (results.write_accuracies, lambda spark, path: spark.read.parquet(path))}
+    found = []
+    for name, (write, read) in sinks.items():
+        path = new_path(spark, name)
+        write(rows, path)
+        try:
+            write(rows.limit(1), path)
+            refused = False
+        except AnalysisException as error:
+            refused = error.getCondition() == "PATH_ALREADY_EXISTS"
+        found.append(read(spark, path).agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(name).alias("sink"), F.lit(refused).alias("refused"), "n_rows"))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("results_paths", sql("""
+SELECT 'run-2024-08-13_19-06-44/accuracies/m' || num_train || '/n' || num_test || '/' || lm_type || '/' || dataset AS path, count(*) AS n_results
+FROM accuracies GROUP BY 1""", *ACC))
+def results_paths(spark, sf_dir):
+    """Where a run puts the results of each group."""
+    path = results.results_path(F.lit("run-2024-08-13_19-06-44"))
+    return accuracies(spark, sf_dir).groupBy(path.alias("path")).agg(F.count(F.lit(1)).alias("n_results"))
+
+
 DELIVERIES = 3
 CTES["delivered"] = f"SELECT *, {sql_digit('md5(CAST(row_id AS VARCHAR))', 8)} % {DELIVERIES} AS delivery FROM predictions"
 

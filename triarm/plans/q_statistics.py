@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from triarm.functions.fixed_values import EFFECTS
-from triarm.operators import correlation, density, effects, permutation, posterior, summary
+from triarm.functions.fixed_values import ARMS, EFFECTS
+from triarm.operators import correlation, density, effects, permutation, posterior, regression, summary
 from triarm.operators.describe import describe_series
 from triarm.operators.leaderboard import rank_gaps as gaps
 from triarm.plans.catalog import query
@@ -230,6 +230,28 @@ def ecdf_positions(spark, sf_dir):
     return shares.withColumns({"below_minus": r6("below_minus"), "below_plus": r6("below_plus")})
 
 
+@query("interval_band", sql("""
+SELECT num_train, num_test, effect, replicate, round((row_number() OVER w - 1) / CAST(count(*) OVER (PARTITION BY num_train, num_test, effect) AS DOUBLE), 6)
+       AS height, round(mean, 6) AS mean, round(mean - 0.02, 6) AS low, round(mean + 0.02, 6) AS high
+FROM (SELECT * REPLACE (round(mean, 9) AS mean) FROM meta) AS m WINDOW w AS (PARTITION BY num_train, num_test, effect ORDER BY mean, replicate)""", *META_CTES))
+def interval_band(spark, sf_dir):
+    """Intervals around the means of all replicates, the smallest lowest."""
+    means = stored(meta(spark, sf_dir).withColumn("mean", F.round("mean", 9)), "means")
+    ends = means.withColumns({"low": F.col("mean") - 0.02, "high": F.col("mean") + 0.02})
+    band = density.interval_band(ends, "mean", "replicate", [*CONFIG, "effect"], "low", "high")
+    return band.withColumns({c: r6(c) for c in ("height", "mean", "low", "high")})
+
+
+@query("error_bars", sql(f"""
+SELECT concat_ws('/', {G4}) AS components, effect, count(*) AS n, round(avg(d), 6) AS mean,
+       round({regression.Z} * stddev_samp(d) / sqrt(count(*)), 6) AS margin FROM effect_rows GROUP BY 1, 2""", *ACC, "effect_rows"))
+def error_bars(spark, sf_dir):
+    """Mean of both effects over the replicates of each group, with the half width of its bar."""
+    group = F.concat_ws("/", *[F.col(c).cast("string") for c in GROUP]).alias("components")
+    long = accuracies(spark, sf_dir).select(group, "subsample_idx", *ARMS).unpivot(["components", "subsample_idx"], list(ARMS), "arm", "r2")
+    return regression.error_bars(long).withColumns({"mean": r6("mean"), "margin": r6("margin")})
+
+
 BOOT = 1000
 
 

@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from triarm.functions.fixed_values import ARMS, EFFECTS, REPLICATE_GROUP
-from triarm.operators import arms, correlation, effects, permutation, posterior, sampling, scoring, summary
+from triarm.operators import arms, correlation, effects, permutation, posterior, sampling, scoring, summary, validate
 from triarm.sources import results
 from triarm.sources.datasets import load_dataset
 from triarm.sources.scratch import stored
@@ -55,7 +55,9 @@ def run(
         data, experiment.num_train, experiment.num_test, experiment.num_subsamples, by=["dataset"]
     )
     cell = ["dataset", "subsample_idx"]
-    results.write_predictions(predict(data, splits), f"{home}/predictions")
+    classes = F.create_map(*[F.lit(x) for n in names for x in (known[n].name, len(known[n].class_names))])
+    predicted = validate.require_probabilities(predict(data, splits), classes[F.col("dataset")])
+    results.write_predictions(predicted, f"{home}/predictions")
     scored = spark.read.parquet(f"{home}/predictions")
 
     records = [

@@ -136,6 +136,36 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", "modificationTime")
 
 
+# --- Transfers -----------------------------------------------------------------------
+
+def group_sums(df: DataFrame, key: Sequence[str] = REPLICATE_GROUP) -> DataFrame:
+    """What a result table holds of each group: ``(*key, n_rows, checksum)``.
+
+    The checksum is a sum over the rows, so it depends neither on files nor on order, and a group that came twice has it twice.
+    """
+    others = sorted(c for c in df.columns if c not in key)
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in others]).cast("decimal(20,0)")
+    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(row).alias("checksum"))
+
+
+def transfer_outcomes(source: DataFrame, target: DataFrame, key: Sequence[str] = REPLICATE_GROUP) -> DataFrame:
+    """What became of each group of ``source`` in ``target``: ``(*key, n_rows, n_found, outcome)``.
+
+    The outcome is complete, missing, unexpected (not in the source), doubled (a whole number of times there), truncated (fewer
+    rows) or changed. Only sums per group meet.
+    """
+    sums = lambda df, name: group_sums(df, key).select(
+        F.struct(*key).alias("_group"), F.struct("n_rows", "checksum").alias(name))
+    both = sums(source, "_a").join(sums(target, "_b"), "_group", "full")
+    a, b = F.col("_a"), F.col("_b")
+    times = F.call_function("div", b["n_rows"], a["n_rows"])
+    repeated = (b["n_rows"] % a["n_rows"] == 0) & (b["checksum"] == a["checksum"] * times)
+    outcome = (
+        F.when(b.isNull(), "missing").when(a.isNull(), "unexpected").when(repeated & (times == 1), "complete")
+        .when(repeated, "doubled").when(b["n_rows"] < a["n_rows"], "truncated").otherwise("changed"))
+    return both.select("_group.*", a["n_rows"].alias("n_rows"), b["n_rows"].alias("n_found"), outcome.alias("outcome"))
+
+
 LEADERBOARD = {"Rank": "int", "Submitter": "string", "Overall": "double"}
 
 
@@ -182,6 +212,12 @@ class Experiment:
         return f"{run_id}/accuracies/m{self.num_train}/n{self.num_test}/{self.lm_type}/{short}"
 
 
+def results_path(run_id: Column) -> Column:
+    """The same for each row of a result table."""
+    short = F.substring_index("dataset", "/", -1)
+    return F.concat(run_id, F.lit("/accuracies/m"), "num_train", F.lit("/n"), "num_test", F.lit("/"), "lm_type", F.lit("/"), short)
+
+
 _SPARK_TYPES = {str: T.StringType(), int: T.IntegerType(), bool: T.BooleanType()}
 MANIFEST_SCHEMA = T.StructType([
     T.StructField(name, T.ArrayType(T.StringType()) if name == "dataset_names" else _SPARK_TYPES[kind])

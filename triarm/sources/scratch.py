@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -9,6 +11,8 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 _LOCAL_DIRS: dict[str, str] = {}
+_MADE: list[str] = []  # paths that were handed out while a ``working`` block is open
+_OPEN = [0]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +33,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path nobody has written to yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN[0]:
+        _MADE.append(path)
+    return path
+
+
+@contextmanager
+def working(spark: SparkSession) -> Iterator[None]:
+    """Owner of the tables that are stored inside the block: they go when it ends.
+
+    So results must be written within. Stored tables of no block stay, as a caller may still read them.
+    """
+    start = len(_MADE)
+    _OPEN[0] += 1
+    try:
+        yield
+    finally:
+        _OPEN[0] -= 1
+        made = _MADE[start:]
+        del _MADE[start:]
+        for path in made:
+            file_system(spark, path).remove(path)
 
 
 class FileSystem:
