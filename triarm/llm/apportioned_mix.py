@@ -142,14 +142,15 @@ def mix(docs: DataFrame, weights: Sequence[int], max_repeats: int = 3, seed: int
                                        F.lit(0).alias("all")), ["all"], ["number"])
     seats_of = lambda df, *keys: df.select(*keys, F.col("quota").alias("seats"))
     second = apportion(by_section.drop("target").join(seats_of(first, "number"), "number"), ["number"], ["section"])
-    parts = by_shard.select("number", "section", "shard", F.col("tokens").alias("share"), "cap", "n_blocks", "source")
+    whole = F.greatest(F.col("n_blocks"), F.lit(1))
+    name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("source").cast("string"), F.lit("")), "shard")
+    offset = F.pmod(_draw(F.md5(name.cast("binary"))), whole)
+    parts = by_shard.select(
+        "number", "section", "shard", F.col("tokens").alias("share"), "cap", "n_blocks", offset.alias("offset"))
     third = apportion(parts.join(seats_of(second, "number", "section"), ["number", "section"]), ["number", "section"], ["shard"])
 
-    whole = F.greatest(F.col("n_blocks"), F.lit(1))
-    start = _draw(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("source").cast("string"), F.lit("")), "shard").cast("binary")))
     quotas = third.select(
-        "number", "shard", "n_blocks", _div(F.col("quota"), whole).alias("passes"),
-        (F.col("quota") % whole).alias("extra"), F.pmod(start, whole).alias("offset"))
+        "number", "shard", "n_blocks", _div(F.col("quota"), whole).alias("passes"), (F.col("quota") % whole).alias("extra"), "offset")
 
     earlier = Window.partitionBy("number", "shard").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = placed.withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0))).join(quotas, ["number", "shard"])
