@@ -16,13 +16,6 @@ INSTRUCTION_OPENING = "Your task is to classify a given text as one of these cat
 ARMS = ("base", "extra", "test")
 EFFECTS = {"boost": ("extra", "base"), "bias": ("test", "extra")}
 EFFECT_NAMES = {"boost": "pretraining boost", "bias": "evaluation bias"}
-LM_TYPE_NAMES = {
-    "bert": "BERT",
-    "gpt2": "GPT-2",
-    "gpt2-epochs-2": "GPT-2 (2 epochs)",
-    "mistral-qlora-zero-shot": "Mistral-7B, zero-shot",
-    "mistral-qlora-zero-shot-packing": "Mistral-7B, zero-shot with packing",
-}
 
 # The columns of the accuracy table and its maximal replicate group.
 ACCURACY_COLUMNS = ("base", "extra", "test", "majority", "majority_all")

@@ -186,6 +186,7 @@ def read_leaderboard(spark: SparkSession, path: str, columns: dict[str, str] = L
 
 # --- Run manifests -----------------------------------------------------------------
 
+# Names and defaults of the settings, as published manifests hold them. A run here uses the names, sizes and LM type.
 @dataclass(frozen=True)
 class Experiment:
     """Settings of a run, as they are written next to its results."""
