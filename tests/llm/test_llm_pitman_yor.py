@@ -99,3 +99,24 @@ def test_seating_in_groups_is_near_that_one_by_one(customers, pull, discount):
     assert np.abs(share - exact).sum() / 2 <= 0.1
     if customers <= 10:
         assert np.abs(share - exact).sum() / 2 <= 0.02
+
+
+def test_only_the_last_parts_of_the_model_stay_stored(spark):
+    """Each sweep reads the parts that the one before stored; five tables of them filled the disk."""
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.glob("parts-*"))
+    docs = spark.createDataFrame([(i, f"word{i % 3} and word{i % 5}") for i in range(40)], "doc_id LONG, text STRING")
+    model = pitman_yor.fit(docs)
+    assert len(set(folder.glob("parts-*")) - before) == 1
+    assert pitman_yor.score(docs, model).count() == 40
+
+
+def test_counting_leaves_no_arrays_of_tokens_behind():
+    held = [tuple(np.array(x, dtype=kind) for x, kind in zip(rows, (np.uint64, np.int64, np.int64))) for rows in (
+        ([5, 3, 5], [0, 9, 0], [0, 0, 0]), ([5, 3], [9, 9], [1, 1]))]
+    words, contexts, number, at, doc, counts = pitman_yor._count(held)
+    assert held == []
+    rows = sorted(zip(words[number].tolist(), contexts[at].tolist(), doc.tolist(), counts.tolist()))
+    assert rows == [(3, 9, 0, 1), (3, 9, 1, 1), (5, 0, 0, 2), (5, 9, 1, 1)]

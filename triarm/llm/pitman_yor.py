@@ -27,7 +27,7 @@ import pyspark
 from pyspark.sql import DataFrame, functions as F
 
 from triarm.llm.text import SLICE_BYTES, Slice, crc_fold, cut_words, map_arrow, slices
-from triarm.sources.scratch import stored
+from triarm.sources.scratch import rounds
 
 FOLDS = 10
 PARENTS = 1 << 16  # a context is 47 bits of the hash of the word before, and its last two bytes
@@ -98,14 +98,26 @@ def _range_of(context: np.ndarray, parts: int) -> np.ndarray:
     return _part_of(context.astype(np.uint64) << np.uint64(1), parts)
 
 
-def _count(token, context, doc) -> tuple:
-    """Different tokens and contexts in order; different (token number, context number, text) in order, and their counts."""
-    words, which = np.unique(token, return_inverse=True)
-    contexts, at = np.unique(context, return_inverse=True)
+def _count(held: list, by_text: bool = True) -> tuple:
+    """Different tokens and contexts in order; different (token number, context number, text) in order, and their counts.
+
+    ``held`` has the token arrays of slices and is emptied; few arrays of its whole size are alive at a time.
+    """
+    def numbered(i):
+        kinds, at = np.unique(np.concatenate([x[i] for x in held]), return_inverse=True)
+        return kinds, at.astype(np.uint32)
+
+    (words, which), (contexts, at) = numbered(0), numbered(1)
+    doc = np.concatenate([x[2] for x in held]) if by_text else np.zeros(len(at), dtype=np.int64)
+    held.clear()
     docs = np.uint64(int(doc.max()) + 1 if len(doc) else 1)
     kinds = np.uint64(max(len(contexts), 1))
-    keys, counts = np.unique((which.astype(np.uint64) * kinds + at.astype(np.uint64)) * docs + doc.astype(np.uint64),
-                             return_counts=True)
+    keys = which.astype(np.uint64)
+    for times, plus in ((kinds, at), (docs, doc.view(np.uint64))):
+        keys *= times
+        keys += plus
+    del which, at, doc
+    keys, counts = np.unique(keys, return_counts=True)
     pair = keys // docs
     return (words, contexts, (pair // kinds).astype(np.int64), (pair % kinds).astype(np.int64),
             (keys % docs).astype(np.int64), counts)
@@ -147,8 +159,7 @@ def _count_training(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, held in _blocks(batch):
-                token, context, _ = (np.concatenate(x) for x in zip(*held))
-                words, contexts, number, at, _, counts = _count(token, context, np.zeros(len(token), dtype=np.int64))
+                words, contexts, number, at, _, counts = _count(held, by_text=False)
                 rows = []
                 for p, w, r in _split(words, number, parts):
                     own, local = np.unique(at[r], return_inverse=True)
@@ -479,13 +490,14 @@ def fit(documents: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) ->
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = min(MAX_PARTS, max(8, -(-size // PART_BYTES)))
     blocks = documents.select("text").transform(map_arrow, _count_training(count), STATE)
-    parts = stored(blocks.repartition(count, "part").sortWithinPartitions("part").transform(map_arrow, _gather, STATE), "parts")
+    store = rounds(documents.sparkSession)
+    parts = store(blocks.repartition(count, "part").sortWithinPartitions("part").transform(map_arrow, _gather, STATE), "parts")
     totals = Totals.of(parts)
     kept = []
     for sweep in range(burn_in + samples):
         guests = _answered(parts.transform(map_arrow, _offer(count, True), LINK), count, 1)
         both = guests.union(_kind_1(parts)).repartition(count, "part").sortWithinPartitions("part", "kind")
-        parts = stored(both.transform(map_arrow, _sweep(totals, sweep, sweep > burn_in), STATE), "parts")
+        parts = store(both.transform(map_arrow, _sweep(totals, sweep, sweep > burn_in), STATE), "parts")
         totals = Totals.of(parts, totals.discounts)
         if sweep >= burn_in:
             kept.append(totals)
@@ -502,10 +514,9 @@ def _count_documents(parts: int):
         turn = 0
         for batch in batches:
             for rows, held in _blocks(batch):
-                token, context, doc = (np.concatenate(x) for x in zip(*held))
                 ids = batch.column("doc_id")[rows.start:rows.stop]
-                sizes = np.bincount(doc, minlength=len(ids))
-                words, contexts, number, at, doc, counts = _count(token, context, doc)
+                sizes = sum(np.bincount(doc, minlength=len(ids)) for _, _, doc in held)
+                words, contexts, number, at, doc, counts = _count(held)
                 empty = np.zeros(0, dtype=np.int64)
                 out = {0: (_thin(np.zeros(0, np.uint64)), empty, empty, empty, empty)}
                 own = {0: empty}
