@@ -367,3 +367,29 @@ def test_pipeline_is_the_plain_composition(spark, small_dir):
     assert {d for d, _ in overlaps(short, items)} == gone & {d for d, _ in short}
     out = stages["encoding"](spark, clean, small_dir).collect()
     assert {r["doc_id"] for r in out} == {d for d, _ in plain(clean)} and all(r["round_trip"] for r in out)
+
+
+def test_pairs_of_a_large_region_are_shared_out_and_found_once(spark, monkeypatch):
+    """All pairs of a region of many sets, in groups of two chunks; those of one component, unlike sizes or bits, or met before stay out."""
+    monkeypatch.setattr(lsh_forest, "CHUNK", 8)
+    rng = random.Random(5)
+    sets, half = [], lsh_forest.SCREEN // 64
+    for i in range(60):
+        bits = [0] * (2 * half)
+        for j in rng.sample(range(lsh_forest.SCREEN), rng.choice([0, 100, 300])):
+            bits[j // 64] |= 1 << (j % 63)
+        regions = [0] * lsh_forest.TREES
+        regions[2], regions[5] = 7 if i % 3 else 0, 9
+        sets.append((b"%02d" % i, b"c%d" % (i // 4), rng.choice([80, 100, 140]), bits, regions))
+    met = [s for s in sets if s[4][2]]
+    unsettled = [(5, s[0], s[1], 9, 60) for s in sets] + [(2, s[0], s[1], 7, len(met)) for s in met]
+    found = lsh_forest.candidates(
+        spark.createDataFrame(unsettled, "tree INT, node BINARY, component BINARY, region LONG, members LONG"),
+        spark.createDataFrame([(s[0], s[3], s[2], s[4]) for s in sets],
+                              "node BINARY, bits ARRAY<LONG>, n_shingles LONG, regions ARRAY<LONG>")).collect()
+    differ = lambda x, y: sum(bin((x[i] ^ y[i]) | (x[i + half] ^ y[i + half])).count("1") for i in range(half))
+    expected = sorted(
+        (x[0], y[0]) for i, x in enumerate(sets) for y in sets[i + 1:]
+        if x[1] != y[1] and 100 * min(x[2], y[2]) >= 75 * max(x[2], y[2]) and differ(x[3], y[3]) <= lsh_forest.MAX_DIFFERENT)
+    assert sorted(tuple(sorted(map(bytes, r))) for r in found) == expected
+    assert 100 < len(expected) < 1770

@@ -12,11 +12,11 @@ threshold 0.75, the full depth 4 and 32 trees, all but 5 in a million.
 """
 
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from triarm.llm.components import components
 from triarm.llm.text import Slice, cut_words, map_arrow, mix, signed, slices, text_key, unused
@@ -35,6 +35,9 @@ SPARSE = 32
 # standard deviation of 15.3. Five deviations more are let through.
 SCREEN = 1536
 MAX_DIFFERENT = 364
+# Sets of a region that are compared with each other, or with as many others of it, in one go; pairs held at a time.
+CHUNK = 512
+PAIRS = 1 << 14
 
 
 @cache
@@ -178,13 +181,93 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").transform(map_arrow, _compare, "a BINARY, b BINARY")
 
 
-def _alike(x: str, y: str) -> Column:
-    """Whether sizes and signature bits leave it possible that two sets are alike enough."""
-    size = lambda s: F.col(f"{s}.n_shingles")
-    half = SCREEN // 64
-    plane = lambda i: F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])
-    differ = sum((F.bit_count(plane(i).bitwiseOR(plane(i + half))) for i in range(half)), F.lit(0))
-    return (100 * F.least(size(x), size(y)) >= MIN_SHARE * F.greatest(size(x), size(y))) & (differ <= MAX_DIFFERENT)
+def _partners(group: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last row behind each row that it forms a pair with; a group of two chunks pairs only one with the other."""
+    n = len(group)
+    head = np.ones(n, dtype=bool)
+    head[1:] = group[1:] != group[:-1]
+    starts = np.flatnonzero(head)
+    which = np.cumsum(head) - 1
+    end = np.append(starts[1:], n)[which]
+    change = np.ones(n, dtype=bool)
+    change[1:] = head[1:] | (own[1:] != own[:-1])
+    # The row at which the chunk behind this row's begins, if the group has two.
+    turns = np.append(np.flatnonzero(change), n)
+    turn = np.minimum(turns[np.cumsum(change)], end)
+    return turn, end
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets of a region, from different components, that sizes and signature bits leave possible.
+
+    A region's rows stand together, or those of two of its chunks. A pair is taken in the first region it shares.
+    """
+    half, trees = SCREEN // 64, np.arange(TREES)
+
+    def wide(x: pa.Array) -> np.ndarray:
+        return x.flatten().to_numpy().reshape(len(x), -1).view(np.uint64)
+
+    def pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if batch.num_rows < 2:
+            return
+        low, high, own, tree, size = (batch.column(c).to_numpy() for c in ("low", "high", "own", "tree", "n_shingles"))
+        node, bits, regions = batch.column("node"), wide(batch.column("bits")), wide(batch.column("regions"))
+        component = batch.column("component").dictionary_encode().indices.to_numpy()
+        turn, end = _partners(_groups(batch), own)
+        begin = np.where(low == high, np.arange(len(own)) + 1, turn)
+        count = end - begin
+        before = np.concatenate([[0], np.cumsum(count)])
+        for first in range(0, int(before[-1]), PAIRS):
+            number = np.arange(first, min(first + PAIRS, int(before[-1])))
+            x = np.searchsorted(before, number, "right") - 1
+            y = begin[x] + number - before[x]
+            small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+            keep = (component[x] != component[y]) & (100 * small >= MIN_SHARE * large)
+            x, y = x[keep], y[keep]
+            differ = bits[x] ^ bits[y]
+            keep = np.bitwise_count(differ[:, :half] | differ[:, half:]).sum(axis=1, dtype=np.int64) <= MAX_DIFFERENT
+            x, y = x[keep], y[keep]
+            shared = (regions[x] == regions[y]) & (regions[x] != 0) & (trees < tree[x][:, None])
+            new = ~shared.any(axis=1)
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(x[new])), node.take(pa.array(y[new]))], names=["a", "b"])
+
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rest is not None:
+            batch = pa.concat_batches([rest, batch])
+        group = _groups(batch)
+        last = int(np.searchsorted(group, group[-1]))
+        yield from pairs(batch.slice(0, last))
+        rest = batch.slice(last)
+    if rest is not None:
+        yield from pairs(rest)
+
+
+def _groups(batch: pa.RecordBatch) -> np.ndarray:
+    """Numbers of the runs of rows that stand together, in order."""
+    new = np.zeros(batch.num_rows, dtype=np.int64)
+    for c in ("region", "tree", "low", "high"):
+        x = batch.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.cumsum(new)
+
+
+def candidates(unsettled: DataFrame, screens: DataFrame) -> DataFrame:
+    """``a, b``: pairs of sets from different components in a region of ``unsettled`` that the screen lets through.
+
+    A region of many sets is cut into chunks, and every two of them, or one with itself, make a group of its own, so
+    that a large region is shared out among tasks.
+    """
+    chunks = F.ceil(F.col("members") / CHUNK)
+    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    rows = unsettled.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int"))))
+    rows = rows.join(screens, "node").select(
+        "region", "tree", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own",
+        "node", "component", "n_shingles", "bits", "regions")
+    group = ["region", "tree", "low", "high"]
+    return rows.repartition(*group).sortWithinPartitions(*group, "own", "node").transform(map_arrow, _alike, "a BINARY, b BINARY")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -217,23 +300,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     # Dense regions are taken deeper.
     placed = placed.withColumn("region", F.when(F.col("sets") <= SPARSE, F.col("region")).otherwise(F.col("key")))
     same = ["tree", "region", "sets"]
-    mixed = placed.groupBy(*same).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    unsettled = stored(placed.join(mixed.select(*same), same).select(
-        "tree", "node", "component", F.xxhash64(*same).alias("region")), "unsettled")
+    mixed = placed.groupBy(*same).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
+    mixed = mixed.where("low < high").select(*same, "members")
+    unsettled = stored(placed.join(mixed, same).select(
+        "tree", "node", "component", F.xxhash64(*same).alias("region"), "members"), "unsettled")
     # All regions of a node, in order of the trees, so that a pair is taken in the first region it shares.
     regions = unsettled.groupBy("node").agg(F.array(*[
         F.coalesce(F.max(F.when(F.col("tree") == t, F.col("region"))), F.lit(0)) for t in range(TREES)]).alias("regions"))
     screens = texts.join(unsettled.select("node").distinct(), "node", "left_semi").transform(map_arrow,
         _screen, "node BINARY, bits ARRAY<BIGINT>")
     screens = stored(screens.join(nodes.select("node", "n_shingles"), "node").join(regions, "node"), "screens")
-    unsettled = unsettled.join(screens, "node")
-    at = lambda side, t: F.col(f"{side}.regions")[t]
-    first = reduce(Column.__and__, [
-        (F.col("x.tree") <= t) | (at("x", t) != at("y", t)) | (at("x", t) == 0) for t in range(TREES - 1)])
-    pairs = unsettled.alias("x").join(unsettled.alias("y"), [
-        F.col("x.region") == F.col("y.region"), F.col("x.tree") == F.col("y.tree"),
-        F.col("x.component") < F.col("y.component"), _alike("x", "y"), first])
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    pairs = candidates(unsettled, screens)
     found = components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).union(confirm(pairs, texts)))
 
     named = rows.select("doc_id", "node", "n_shingles").join(found, "node", "left").withColumn(
