@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -393,3 +394,19 @@ def test_pairs_of_a_large_region_are_shared_out_and_found_once(spark, monkeypatc
         if x[1] != y[1] and 100 * min(x[2], y[2]) >= 75 * max(x[2], y[2]) and differ(x[3], y[3]) <= lsh_forest.MAX_DIFFERENT)
     assert sorted(tuple(sorted(map(bytes, r))) for r in found) == expected
     assert 100 < len(expected) < 1770
+
+
+@pytest.mark.parametrize("find, columns", [(bucket_refinement._find_anchors, ["key", "text"]), (lsh_forest._sketch, ["doc_id", "text"])])
+def test_workers_hold_few_arrays_of_a_batch(find, columns):
+    """What a task holds at a time, besides the batch, is bounded by the slice and not by the batch."""
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.randrange(1 << 40):x}" for _ in range(400)) for _ in range(800)]
+    first = [b"%016d" % i for i in range(len(texts))] if columns[0] == "key" else list(range(len(texts)))
+    batch = pa.RecordBatch.from_arrays([pa.array(first), pa.array(texts)], names=columns)
+    assert batch.nbytes > 3 << 20 
+    list(find(iter([batch.slice(0, 2)])))  # fills the tables that stay
+    tracemalloc.start()
+    rows = sum(x.num_rows for x in find(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows >= len(texts) and peak < 40 << 20

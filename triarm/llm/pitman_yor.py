@@ -137,6 +137,19 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[slice, list]]:
         yield slice(first, batch.num_rows), held
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``BLOCK_BYTES`` at least, but for the last, of smaller ones."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BLOCK_BYTES:
+            whole, held, size = pa.concat_batches(held), [], 0
+            yield whole
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _split(words, number, parts: int) -> Iterator[tuple[int, slice, slice]]:
     """Part, its words, and its rows of ``number`` (token numbers in order)."""
     part = _part_of(words, parts)
@@ -157,7 +170,7 @@ def _small(x: np.ndarray) -> np.ndarray:
 
 def _count_training(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches):
             for _, held in _blocks(batch):
                 words, contexts, number, at, _, counts = _count(held, by_text=False)
                 rows = []
@@ -512,7 +525,7 @@ def _count_documents(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = pyspark.TaskContext.get().partitionId()
         turn = 0
-        for batch in batches:
+        for batch in _gathered(batches):
             for rows, held in _blocks(batch):
                 ids = batch.column("doc_id")[rows.start:rows.stop]
                 sizes = sum(np.bincount(doc, minlength=len(ids)) for _, _, doc in held)
