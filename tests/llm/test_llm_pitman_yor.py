@@ -120,3 +120,31 @@ def test_counting_leaves_no_arrays_of_tokens_behind():
     assert held == []
     rows = sorted(zip(words[number].tolist(), contexts[at].tolist(), doc.tolist(), counts.tolist()))
     assert rows == [(3, 9, 0, 1), (3, 9, 1, 1), (5, 0, 0, 2), (5, 9, 1, 1)]
+
+
+def test_documents_are_read_once_in_scoring(spark):
+    """They were counted and sent to the parts twice, once for the totals of their contexts."""
+    rows = spark.sparkContext.accumulator(0)
+    texts = spark.createDataFrame([(i, f"word{i % 7} and word{i % 5}") for i in range(60)], "doc_id LONG, text STRING")
+    model = pitman_yor.fit(texts.where("doc_id < 40"))
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    found = pitman_yor.score(texts.mapInArrow(counted, texts.schema), model).collect()
+    assert len(found) == 60 and rows.value == 60
+
+
+def test_hashes_and_pairs_are_packed_by_place():
+    rng = np.random.default_rng(5)
+    letters = rng.integers(97, 123, (2, 20_000))
+    contexts = np.unique(rng.integers(0, 1 << 47, 20_000) * pitman_yor.PARENTS + letters[0] * 256 + letters[1])
+    packed = pitman_yor._pack(pitman_yor._thin(contexts))
+    assert len(packed) < 5.7 * len(contexts)  # 6.3 when all places were compressed as one
+    assert (pitman_yor._full(pitman_yor._unpack(packed)[0]) == contexts).all()
+    for n in (0, 1, 5, 5000):
+        number, at = np.unique(rng.integers(0, 40, (2, n)), axis=1)
+        more = pitman_yor._unpack(pitman_yor._pack(pitman_yor._thin_pairs(number, at)))[0]
+        assert [x.tolist() for x in pitman_yor._full_pairs(more)] == [number.tolist(), at.tolist()]

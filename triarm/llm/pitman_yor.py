@@ -45,24 +45,64 @@ MERGE_ROWS = 4_000_000
 _CODEC = "zstd"
 
 
-def _pack(*arrays) -> bytes:
-    raw = pickle.dumps(arrays, protocol=5)
-    return len(raw).to_bytes(8, "big") + pa.compress(raw, codec=_CODEC, asbytes=True)
+# Arrays of as many values have each place of their bytes compressed by itself.
+_LONG = 2048
+
+
+def _pack(*values) -> bytes:
+    """Values as bytes, with the bytes of arrays compressed place by place."""
+    buffers: list[pickle.PickleBuffer] = []
+    head = pickle.dumps(values, protocol=5, buffer_callback=buffers.append)
+    arrays = []
+    for buffer in buffers:
+        raw, width = np.frombuffer(buffer.raw(), dtype=np.uint8), memoryview(buffer).itemsize
+        places = np.ascontiguousarray(raw.reshape(-1, width).T)
+        runs = places if places.shape[1] >= _LONG else [places]
+        arrays.append((places.shape, [pa.compress(run, codec=_CODEC, asbytes=True) for run in runs]))
+    return pickle.dumps((head, arrays), protocol=5)
 
 
 def _unpack(data: bytes) -> tuple:
-    size = int.from_bytes(data[:8], "big")
-    return pickle.loads(pa.decompress(data[8:], decompressed_size=size, codec=_CODEC, asbytes=True))
+    head, arrays = pickle.loads(data)
+    buffers = []
+    for (width, n), runs in arrays:
+        size = width * n // len(runs)
+        raw = b"".join(pa.decompress(run, decompressed_size=size, codec=_CODEC, asbytes=True) for run in runs)
+        buffers.append(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, n).T))
+    return pickle.loads(head, buffers=buffers)
+
+
+def _thin(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order as differences of their first 48 bits, and their last 16, which are letters in a context."""
+    x = x.astype(np.uint64)
+    return np.diff(x >> np.uint64(16), prepend=np.uint64(0)), x.astype(np.uint16)
+
+
+def _full(thin: tuple[np.ndarray, np.ndarray], dtype=np.int64) -> np.ndarray:
+    steps, last = thin
+    return (np.cumsum(steps, dtype=np.uint64) << np.uint64(16) | last).astype(dtype)
+
+
+def _thin_pairs(number: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in order, and those in order for each of them, as differences."""
+    first = np.diff(number, prepend=-1) != 0
+    return _small(np.diff(number, prepend=0)), _small(np.where(first, at, np.diff(at, prepend=0)))
 
 
-def _thin(x: np.ndarray) -> np.ndarray:
-    """Hashes in order as the bytes of their differences, place by place, which compress."""
-    steps = np.diff(x.astype(np.uint64), prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
+def _full_pairs(thin: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    number, at = (np.cumsum(x, dtype=np.int64) for x in thin)
+    _, starts, ends = _runs(number)
+    return number, at - np.repeat(at[starts] - thin[1][starts], ends - starts)
 
 
-def _full(thin: np.ndarray, dtype=np.int64) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(thin.T).view(np.uint64).ravel(), dtype=np.uint64).astype(dtype)
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values in order, and the number of each value: ``np.unique`` that sorts only the different ones."""
+    coded = pa.array(x).dictionary_encode()
+    kinds = coded.dictionary.to_numpy()
+    order = np.argsort(kinds)
+    rank = np.empty(len(kinds), dtype=np.int32)
+    rank[order] = np.arange(len(kinds), dtype=np.int32)
+    return kinds[order], rank[coded.indices.to_numpy()]
 
 
 def parent_of(context: np.ndarray) -> np.ndarray:
@@ -103,19 +143,15 @@ def _count(held: list, by_text: bool = True) -> tuple:
 
     ``held`` has the token arrays of slices and is emptied; few arrays of its whole size are alive at a time.
     """
-    def numbered(i):
-        kinds, at = np.unique(np.concatenate([x[i] for x in held]), return_inverse=True)
-        return kinds, at.astype(np.uint32)
-
-    (words, which), (contexts, at) = numbered(0), numbered(1)
+    (words, which), (contexts, at) = (_numbered(np.concatenate([x[i] for x in held])) for i in (0, 1))
     doc = np.concatenate([x[2] for x in held]) if by_text else np.zeros(len(at), dtype=np.int64)
     held.clear()
     docs = np.uint64(int(doc.max()) + 1 if len(doc) else 1)
     kinds = np.uint64(max(len(contexts), 1))
     keys = which.astype(np.uint64)
-    for times, plus in ((kinds, at), (docs, doc.view(np.uint64))):
+    for times, plus in ((kinds, at), (docs, doc)):
         keys *= times
-        keys += plus
+        keys += plus.view(np.uint64) if plus.itemsize == 8 else plus.astype(np.uint64)
     del which, at, doc
     keys, counts = np.unique(keys, return_counts=True)
     pair = keys // docs
@@ -175,8 +211,8 @@ def _count_training(parts: int):
                 words, contexts, number, at, _, counts = _count(held, by_text=False)
                 rows = []
                 for p, w, r in _split(words, number, parts):
-                    own, local = np.unique(at[r], return_inverse=True)
-                    rows.append((p, _pack(_thin(words[w]), _thin(contexts[own]), _small(number[r] - w.start), _small(local), _small(counts[r]))))
+                    own, local = _numbered(at[r])
+                    rows.append((p, _pack(_thin(words[w]), _thin(contexts[own]), _thin_pairs(number[r] - w.start, local), _small(counts[r]))))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], type=pa.int32()),
                                                   pa.array([x[1] for x in rows], type=pa.binary())], names=["part", "data"])
     return run
@@ -196,7 +232,7 @@ class Part:
     @cached_property
     def parents(self) -> tuple[np.ndarray, np.ndarray]:
         """Different (token number * PARENTS + parent), and which of them each pair belongs to."""
-        return np.unique(self.number * PARENTS + parent_of(self.contexts)[self.at], return_inverse=True)
+        return _numbered(self.number * PARENTS + parent_of(self.contexts)[self.at])
 
     @cached_property
     def keys(self) -> np.ndarray:
@@ -215,13 +251,13 @@ class Part:
                  np.bincount(pairs // PARENTS, t1, minlength=len(self.words)).astype(np.int64)) for t2, t1, _ in self.tables]
 
     def pack(self) -> bytes:
-        return _pack(_thin(self.words), _thin(self.contexts), _small(self.number), _small(self.at), _small(self.customers),
+        return _pack(_thin(self.words), _thin(self.contexts), _thin_pairs(self.number, self.at), _small(self.customers),
                      [tuple(_small(t) for t in s) for s in self.tables])
 
     @staticmethod
     def unpack(data: bytes) -> "Part":
-        words, contexts, number, at, customers, tables = _unpack(data)
-        return Part(_full(words, np.uint64), _full(contexts), number.astype(np.int64), at.astype(np.int64), customers.astype(np.int64),
+        words, contexts, pairs, customers, tables = _unpack(data)
+        return Part(_full(words, np.uint64), _full(contexts), *_full_pairs(pairs), customers.astype(np.int64),
                     [tuple(t.astype(np.int64) for t in s) for s in tables])
 
 
@@ -231,17 +267,15 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def merge():
         token, context, counts = (np.concatenate(x) for x in zip(*held))
-        words, which = np.unique(token, return_inverse=True)
-        contexts, at = np.unique(context, return_inverse=True)
-        keys, back = np.unique(which * len(contexts) + at, return_inverse=True)
+        (words, which), (contexts, at) = _numbered(token), _numbered(context)
+        keys, back = _numbered(which.astype(np.int64) * len(contexts) + at)
         total = np.bincount(back, counts).astype(np.int64)
         return words, contexts, keys // len(contexts), keys % len(contexts), total
 
     def done():
         here = Part(*merge(), [])
         here.tables = [tuple(np.ones(n, np.int64) for n in (len(here.number), len(here.parents[0]), len(here.words)))]
-        return pa.RecordBatch.from_arrays([pa.array([part], type=pa.int32()), pa.array([here.pack()], type=pa.binary())],
-                                          names=["part", "data"])
+        return _state(part, here)
 
     for batch in batches:
         for p, data in zip(batch.column("part").to_pylist(), batch.column("data")):
@@ -249,7 +283,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield done()
                 held, size = [], 0
             part = p
-            words, contexts, number, at, counts = _unpack(data.as_py())
+            words, contexts, pairs, counts = _unpack(data.as_py())
+            number, at = _full_pairs(pairs)
             held.append((_full(words, np.uint64)[number], _full(contexts)[at], counts.astype(np.int64)))
             size += len(number)
             if size > MERGE_ROWS:
@@ -259,34 +294,36 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+STATE = "part INT, data BINARY, sums BINARY"
+
+
+def _state(p: int, part: Part) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p], type=pa.int32()), pa.array([part.pack()], type=pa.binary()),
+                                       pa.array([_pack(*_sums_of(part))], type=pa.binary())], names=["part", "data", "sums"])
+
+
+def _sums_of(part: Part) -> list[np.ndarray]:
     """``level, context, customers, tables`` of the last sample; of all contexts only START and, as -1, their sum.
 
     Counts of counts are levels 3 to 5.
     """
+    pairs, _ = part.parents
+    t2, t1, t0 = part.tables[-1]
+    c1, c0 = part.inner[-1]
+    first = part.contexts[part.at] == START
+    customers, tables = (np.bincount(pairs % PARENTS, x, minlength=PARENTS).astype(np.int64) for x in (c1, t1))
+    parents = np.flatnonzero(customers)  # each has a customer for every table
+    rows = [
+        (2, START, part.customers[first].sum(), t2[first].sum()), (2, -1, part.customers.sum(), t2.sum()), (0, 0, c0.sum(), t0.sum()),
+        *((level, k, (c == k).sum(), len(part.words)) for level, c in ((3, c0), (4, c1), (5, part.customers)) for k in (1, 2))]
+    few = np.array(rows, dtype=np.int64).T
+    return [np.concatenate(x) for x in zip(few, (np.ones(len(parents), dtype=np.int64), parents, customers[parents], tables[parents]))]
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for data in batch.column("data"):
-            part = Part.unpack(data.as_py())
-            pairs, _ = part.parents
-            t2, t1, t0 = part.tables[-1]
-            c1, c0 = part.inner[-1]
-            rows = []
-
-            def add(level, context, customers, tables):
-                kinds, at = np.unique(context, return_inverse=True)
-                rows.append((np.full(len(kinds), level), kinds, np.bincount(at, customers).astype(np.int64),
-                             np.bincount(at, tables).astype(np.int64)))
-
-            first = part.contexts[part.at] == START
-            add(2, np.full(int(first.sum()), START), part.customers[first], t2[first])
-            add(2, np.full(len(t2), -1), part.customers, t2)
-            add(1, pairs % PARENTS, c1, t1)
-            add(0, np.zeros(len(part.words), dtype=np.int64), c0, t0)
-            for level, c in ((3, c0), (4, c1), (5, part.customers)):
-                for k in (1, 2):
-                    rows.append(([level], [k], [int((c == k).sum())], [len(part.words)]))
-            columns = [np.concatenate([np.asarray(r[i], dtype=np.int64) for r in rows]) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["level", "context", "customers", "tables"])
+        for data in batch.column("sums"):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _unpack(data.as_py())], names=["level", "context", "customers", "tables"])
 
 
 @dataclass
@@ -302,7 +339,7 @@ class Totals:
     @staticmethod
     def of(parts: DataFrame, discounts: list[float] | None = None) -> "Totals":
         """Collects one row for each of the root, the parents and START."""
-        rows = parts.transform(map_arrow, _sums, "level BIGINT, context BIGINT, customers BIGINT, tables BIGINT").groupBy(
+        rows = parts.select("sums").transform(map_arrow, _sums, "level BIGINT, context BIGINT, customers BIGINT, tables BIGINT").groupBy(
             "level", "context").agg(F.sum("customers").alias("c"), F.sum("tables").alias("t")).collect()
         sizes = (1, PARENTS, 1)
         customers, tables = ([np.zeros(n, dtype=np.int64) for n in sizes] for _ in range(2))
@@ -335,34 +372,50 @@ def _to_ranges(contexts: np.ndarray, values, source: int, parts: int) -> pa.Reco
     return _links([(int(q), source, _pack(_thin(contexts[a:b]), cut(a, b))) for q, a, b in zip(*_runs(_range_of(contexts, parts)))])
 
 
-def _offer(parts: int, last: bool):
-    """Tables of each part's contexts in the last sample, to be answered, or customers and tables in all samples."""
+def _seats(part: Part, seats: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.bincount(part.at, x, minlength=len(part.contexts)).astype(np.int64) for x in seats]
+
+
+def _offer(parts: int):
+    """Tables of each part's contexts in the last sample, to be answered."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, data in zip(batch.column("part").to_pylist(), batch.column("data")):
                 part = Part.unpack(data.as_py())
-                seats = [part.tables[-1][0]] if last else [part.customers, *(t2 for t2, _, _ in part.tables)]
-                values = [np.bincount(part.at, x, minlength=len(part.contexts)).astype(np.int64) for x in seats]
-                yield _to_ranges(part.contexts, values, p if last else -1, parts)
+                yield _to_ranges(part.contexts, _seats(part, [part.tables[-1][0]]), p, parts)
     return run
 
 
 def _ask(parts: int):
-    """The different contexts of all blocks of a part, which stand together."""
+    """Customers and tables of each part's contexts in all samples, and the other contexts of its blocks, which stand behind it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, size = None, [], 0
+        part, own, held, size = None, None, [], 0
+        others = lambda: _to_ranges(np.unique(np.concatenate(held)), None, part, parts)
         for batch in batches:
-            for p, data in zip(batch.column("part").to_pylist(), batch.column("contexts")):
+            for p, kind, data, contexts in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(),
+                                               batch.column("data"), batch.column("contexts")):
                 if part is not None and p != part:
-                    yield _to_ranges(np.unique(np.concatenate(held)), None, part, parts)
-                    held, size = [], 0
+                    if held:
+                        yield others()
+                    own, held, size = None, [], 0
                 part = p
-                held.append(_full(_unpack(data.as_py())[0]))
-                size += len(held[-1])
+                if kind == 0:
+                    continue
+                if kind == 1:
+                    here = Part.unpack(data.as_py())
+                    own = here.contexts
+                    yield _to_ranges(own, _seats(here, [here.customers, *(t2 for t2, _, _ in here.tables)]), p, parts)
+                    continue
+                asked = _full(_unpack(contexts.as_py())[0])
+                if own is not None:
+                    asked = asked[own[np.minimum(np.searchsorted(own, asked), len(own) - 1)] != asked]
+                held.append(asked)
+                size += len(asked)
                 if size > MERGE_ROWS:
-                    held, size = [np.unique(np.concatenate(held))], 0
+                    held = [np.unique(np.concatenate(held))]
+                    size = len(held[0])
         if held:
-            yield _to_ranges(np.unique(np.concatenate(held)), None, part, parts)
+            yield others()
     return run
 
 
@@ -401,22 +454,27 @@ def _answer(n_values: int):
 
 def _answered(links: DataFrame, parts: int, n_values: int) -> DataFrame:
     return links.repartition(parts, "part").sortWithinPartitions("part", "source").transform(map_arrow, _answer(n_values), LINK).select(
-        "part", F.lit(0).alias("kind"), F.lit(b"").alias("batch"), "data")
+        "part", "data")
 
 
 class Guests:
-    """Customers and tables of contexts, as the ranges answered."""
+    """Customers and tables of contexts, as the ranges answered; those of a part's ``own`` contexts come without their hashes."""
 
-    def __init__(self, answers: list[bytes]):
+    def __init__(self, answers: list[bytes], own: np.ndarray = np.zeros(0, dtype=np.int64)):
         found = [_unpack(x) for x in answers]
-        contexts = np.concatenate([_full(c) for c, _ in found])
-        order = np.argsort(contexts)
+        mine = sorted((x for x in found if isinstance(x[0], int)), key=lambda x: x[0])
+        others = [x for x in found if not isinstance(x[0], int)]
+        contexts = np.concatenate([own, *(_full(c) for c, _ in others)])
+        values = [np.concatenate(v) for v in zip(*(v for _, v in mine + others))]
+        if any(len(v) != len(contexts) for v in values):
+            raise ValueError("a context came without its totals")
+        order = np.argsort(contexts, kind="stable")
         self.contexts = contexts[order]
-        self.values = [np.concatenate(v)[order].astype(np.int64) for v in zip(*(v for _, v in found))]
+        self.values = [v[order].astype(np.int64) for v in values]
 
-    def of(self, context: np.ndarray) -> list[np.ndarray]:
-        at = np.searchsorted(self.contexts, context)
-        if len(context) and (at.max() >= len(self.contexts) or (self.contexts[at] != context).any()):
+    def of(self, contexts: np.ndarray) -> list[np.ndarray]:
+        at = np.searchsorted(self.contexts, contexts)
+        if len(contexts) and (at.max() >= len(self.contexts) or (self.contexts[at] != contexts).any()):
             raise ValueError("a context came without its totals")
         return [v[at] for v in self.values]
 
@@ -477,14 +535,11 @@ def _sweep(totals: Totals, sweep: int, keep: bool):
                 tables = resample(part, totals, m2, np.random.default_rng([SEED, sweep, p]))
                 answers = []
                 part.tables = [*part.tables, tables] if keep else [tables]
-                yield pa.RecordBatch.from_arrays([pa.array([p], type=pa.int32()), pa.array([part.pack()], type=pa.binary())],
-                                                 names=["part", "data"])
+                del part.inner  # was made from the tables before
+                yield _state(p, part)
     return run
 
 
-STATE = "part INT, data BINARY"
-
-
 @dataclass
 class Model:
     """Parts of the model as a stored table, and the totals of the samples that are averaged."""
@@ -495,21 +550,21 @@ class Model:
 
 
 def _kind_1(parts: DataFrame) -> DataFrame:
-    return parts.select("part", F.lit(1).alias("kind"), F.lit(b"").alias("batch"), "data")
+    return parts.select("part", F.lit(1).alias("kind"), "data")
 
 
 def fit(documents: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
     """Learn from the texts of ``documents``: all of their tokens. No documents give a model of the base alone."""
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = min(MAX_PARTS, max(8, -(-size // PART_BYTES)))
-    blocks = documents.select("text").transform(map_arrow, _count_training(count), STATE)
+    blocks = documents.select("text").transform(map_arrow, _count_training(count), "part INT, data BINARY")
     store = rounds(documents.sparkSession)
     parts = store(blocks.repartition(count, "part").sortWithinPartitions("part").transform(map_arrow, _gather, STATE), "parts")
     totals = Totals.of(parts)
     kept = []
     for sweep in range(burn_in + samples):
-        guests = _answered(parts.transform(map_arrow, _offer(count, True), LINK), count, 1)
-        both = guests.union(_kind_1(parts)).repartition(count, "part").sortWithinPartitions("part", "kind")
+        guests = _answered(parts.transform(map_arrow, _offer(count), LINK), count, 1).withColumn("kind", F.lit(0))
+        both = guests.unionByName(_kind_1(parts)).repartition(count, "part").sortWithinPartitions("part", "kind")
         parts = store(both.transform(map_arrow, _sweep(totals, sweep, sweep > burn_in), STATE), "parts")
         totals = Totals.of(parts, totals.discounts)
         if sweep >= burn_in:
@@ -521,7 +576,7 @@ BLOCK = "part INT, kind INT, batch BINARY, data BINARY, contexts BINARY"
 
 
 def _count_documents(parts: int):
-    """Blocks of kind 2 per part; that of part 0 is there always and has the documents' ids and sizes."""
+    """Blocks of kind 2 per part, as kind 0 is its head, which gets the answers, and 1 the part itself; that of part 0 is there always and has the documents' ids and sizes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = pyspark.TaskContext.get().partitionId()
         turn = 0
@@ -531,11 +586,11 @@ def _count_documents(parts: int):
                 sizes = sum(np.bincount(doc, minlength=len(ids)) for _, _, doc in held)
                 words, contexts, number, at, doc, counts = _count(held)
                 empty = np.zeros(0, dtype=np.int64)
-                out = {0: (_thin(np.zeros(0, np.uint64)), empty, empty, empty, empty)}
+                out = {0: (_thin(empty), (empty, empty), empty, empty)}
                 own = {0: empty}
                 for p, w, r in _split(words, number, parts):
-                    some, local = np.unique(at[r], return_inverse=True)
-                    out[p] = (_thin(words[w]), _small(number[r] - w.start), _small(local), _small(doc[r]), _small(counts[r]))
+                    some, local = _numbered(at[r])
+                    out[p] = (_thin(words[w]), _thin_pairs(number[r] - w.start, local), _small(doc[r]), _small(counts[r]))
                     own[p] = contexts[some]
                 name = b"%d/%d" % (task, turn)
                 turn += 1
@@ -550,32 +605,34 @@ def _count_documents(parts: int):
 
 
 def log_probabilities(part: Part | None, samples: list[Totals], words, number, context,
-                      guests: Guests | None = None) -> tuple[np.ndarray, np.ndarray]:
+                      guests: Guests | None = None, at=slice(None)) -> tuple[np.ndarray, np.ndarray]:
     """Averaged probability of each (token, context), and the training count of each token (not per pair).
 
-    Without ``guests`` the contexts, but for START, are taken as never seen.
+    ``at`` are the rows' places in ``context``, which else has one for each row. Without ``guests`` the contexts, but for
+    START, are taken as never seen.
     """
     base = 1.0 / (samples[0].kinds + 1)
     known = np.zeros(len(words), dtype=bool)
     seen = np.zeros(len(words), dtype=np.int64)
     at_word = np.zeros(len(words), dtype=np.int64)
-    parent = parent_of(context)
+    parent = parent_of(context)[at]
     if part is not None and len(part.words):
         at_word = np.minimum(np.searchsorted(part.words, words), len(part.words) - 1)
         known = part.words[at_word] == words
         pairs, _ = part.parents
         seen = np.where(known, part.seen[at_word], 0)
         at_context = np.minimum(np.searchsorted(part.contexts, context), len(part.contexts) - 1)
-        ask = at_word[number] * len(part.contexts) + at_context
+        has_context = part.contexts[at_context] == context
+        ask = at_word[number] * len(part.contexts) + at_context[at]
         at2 = np.minimum(np.searchsorted(part.keys, ask), len(part.keys) - 1)
-        has2 = known[number] & (part.contexts[at_context] == context) & (part.keys[at2] == ask)
+        has2 = known[number] & has_context[at] & (part.keys[at2] == ask)
         ask = at_word[number] * PARENTS + parent
         at1 = np.minimum(np.searchsorted(pairs, ask), len(pairs) - 1)
         has1 = known[number] & (pairs[at1] == ask)
     total = np.zeros(len(number))
     at_start = (context == START).astype(np.int64)
-    n2, *m2s = guests.of(context) if guests else (
-        x * at_start for x in (samples[0].customers[2], *(s.tables[2] for s in samples)))
+    n2, *m2s = (x[at] for x in (guests.of(context) if guests else (
+        x * at_start for x in (samples[0].customers[2], *(s.tables[2] for s in samples)))))
     for i, (s, m2) in enumerate(zip(samples, m2s)):
         (n0, n1, _), (m0, m1, _), (d0, d1, d2) = s.customers, s.tables, s.discounts
         if part is not None and len(part.words):
@@ -593,31 +650,32 @@ def log_probabilities(part: Part | None, samples: list[Totals], words, number, c
 
 
 def _score_blocks(samples: list[Totals]):
-    """For each block the sums of its documents; the blocks of a part stand behind the part, this behind its answers."""
+    """For each block the sums of its documents; the blocks of a part stand behind the part, this behind the answers to it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, owner, answers, guests = None, None, [], None
+        part, owner, answers, guests = None, None, None, None
         scale = math.log10(samples[0].tokens + 0.1 * (samples[0].kinds + 1))
         for batch in batches:
             out = []
-            for p, kind, name, data, contexts in zip(
-                    *(batch.column(c).to_pylist() for c in ("part", "kind", "batch", "data", "contexts"))):
-                if owner != p:
-                    part, owner, answers, guests = None, p, [], None  # perhaps no training token lies in this part
-                if kind == 0:
-                    answers.append(data)
+            for p, kind, name, data, contexts, found in zip(
+                    *(batch.column(c) for c in ("part", "kind", "batch", "data", "contexts", "answers"))):
+                if owner != p.as_py():
+                    part, owner, answers, guests = None, p.as_py(), None, None  # perhaps no training token lies in this part
+                if kind.as_py() == 0:
+                    answers = found.as_py()
                     continue
-                if kind == 1:
-                    part = Part.unpack(data)
+                if kind.as_py() == 1:
+                    part = Part.unpack(data.as_py())
                     continue
                 if answers:
-                    guests, answers = Guests(answers), []
-                docs, ids, sizes, words, number, at, doc, counts = _unpack(data)
-                words = _full(words, np.uint64)
-                number, at, doc, counts = (x.astype(np.int64) for x in (number, at, doc, counts))
-                chance, seen = log_probabilities(part, samples, words, number, _full(_unpack(contexts)[0])[at], guests)
+                    guests, answers = Guests(answers, *([] if part is None else [part.contexts])), None
+                docs, ids, sizes, words, pairs, doc, counts = _unpack(data.as_py())
+                number, at = _full_pairs(pairs)
+                doc, counts = doc.astype(np.int64), counts.astype(np.int64)
+                chance, seen = log_probabilities(
+                    part, samples, _full(words, np.uint64), number, _full(_unpack(contexts.as_py())[0]), guests, at)
                 sums = [np.bincount(doc, w, minlength=docs) for w in (
-                    counts * np.log10(chance), counts * (np.log10(seen[number] + 0.1) - scale), counts * (seen[number] > 0))]
-                out.append((name, 0 if ids is not None else 1, _pack(ids, sizes, *sums)))
+                    counts * np.log10(chance), counts * (np.log10(seen + 0.1) - scale)[number], counts * (seen > 0)[number])]
+                out.append((name.as_py(), 0 if ids is not None else 1, _pack(ids, sizes, *sums)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], type=pa.binary()), pa.array([x[1] for x in out], type=pa.int32()),
                  pa.array([x[2] for x in out], type=pa.binary())], names=["batch", "kind", "data"])
@@ -661,14 +719,19 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     NULL and empty texts have the token that ends them. Rows with equal ids are rows of their own.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    nothing = F.lit(None).cast("binary")
     blocks = docs.transform(map_arrow, _count_documents(model.count), BLOCK)
-    asks = blocks.select("part", "contexts").repartition(model.count, "part").sortWithinPartitions("part").transform(map_arrow,
-        _ask(model.count), LINK)
-    offers = model.parts.transform(map_arrow, _offer(model.count, False), LINK)
-    guests = _answered(asks.union(offers), model.count, 1 + len(model.samples))
-    both = blocks.union(guests.union(_kind_1(model.parts)).withColumn("contexts", F.lit(None).cast("binary")))
-    both = both.repartition(model.count, "part").sortWithinPartitions("part", "kind", "batch")
-    sums = both.transform(map_arrow, _score_blocks(model.samples), "batch BINARY, kind INT, data BINARY")
+    known = _kind_1(model.parts).select("part", "kind", F.lit(b"").alias("batch"), "data", nothing.alias("contexts"))
+    heads = documents.sparkSession.range(model.count).select(
+        F.col("id").cast("int").alias("part"), F.lit(0).alias("kind"), F.lit(b"").alias("batch"), nothing.alias("data"), nothing.alias("contexts"))
+    # Both readers of these rows name all of their columns, so documents are counted and sent to the parts once.
+    both = blocks.union(known).union(heads).repartition(model.count, "part")
+    links = both.sortWithinPartitions("part", "kind").transform(map_arrow, _ask(model.count), LINK)
+    answers = _answered(links, model.count, 1 + len(model.samples)).repartition(model.count, "part").groupBy("part").agg(
+        F.collect_list("data").alias("answers")).withColumnRenamed("part", "asker")
+    rows = both.join(answers.hint("shuffle_hash"), (both["part"] == answers["asker"]) & (both["kind"] == 0), "left").drop("asker")
+    sums = rows.sortWithinPartitions("part", "kind", "batch").transform(
+        map_arrow, _score_blocks(model.samples), "batch BINARY, kind INT, data BINARY")
     return sums.repartition("batch").sortWithinPartitions("batch", "kind").transform(map_arrow, _add_up, SCORED)
 
 
